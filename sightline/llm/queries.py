@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sightline.llm.byte_bpe import round_trip
+from sightline.llm import byte_bpe, decontaminate, importance, language_id, minhash, secret_scan, simhash, warc
 from sightline.llm.token_counts import token_counts
 
 JSON_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -21,8 +21,38 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip(_read(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+    return byte_bpe.round_trip(_read(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_byte_bpe)}
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.drop("key").distinct()
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find_secrets(_read(spark, sf_dir, "documents"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(_read(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_read(spark, sf_dir, "pages"))
+
+
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.beside_next(_read(spark, sf_dir, "documents"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_read(spark, sf_dir, "documents"))
+
+
+def op10_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = importance.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "log_weight", "gumbel_key", "selected")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_decontamination, op4_secret_scan, op5_simhash, op7_warc, op8_minhash, op9_language_id, op10_importance)}
 SQL: dict[str, str] = {}
