@@ -130,8 +130,11 @@ def mask_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def mask_secrets(docs: DataFrame, owner_col: str = "source", repo_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with every secret in the text masked, but for widely copied examples. Other columns and rows stay."""
+def mask_secrets(docs: DataFrame, owner_col: str = "source", repo_col: str = "source", id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """``docs`` with every secret in the text masked, but for widely copied examples.
+
+    All rows and other columns stay, but for a column ``length_col`` of the text's length, which follows the text.
+    """
     scanned = scan(docs, F.col(owner_col), F.col(repo_col), id_col, text_col)
     cut = verdicts(scanned).select("row", F.filter("kept", lambda s: ~s["wide"]).alias("cut")).where(F.size("cut") > 0)
     cut = materialize(cut.join(scanned.select("row", F.col("key").alias("__key")), "row").groupBy("__key").agg(F.first("cut").alias("__cut")), "cuts")
@@ -147,4 +150,6 @@ def mask_secrets(docs: DataFrame, owner_col: str = "source", repo_col: str = "so
     may = F.coalesce(may, F.lit(False))
     joined = keyed.where(may).join(cut, "__key", "left")
     hit = joined.where("__cut is not null").withColumn(text_col, masked(F.col(text_col), F.col("__cut")))
+    if length_col in docs.columns:
+        hit = hit.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
     return keyed.where(~may).select(*docs.columns).unionByName(joined.where("__cut is null").select(*docs.columns)).unionByName(hit.select(*docs.columns))
