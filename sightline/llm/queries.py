@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sightline.llm import byte_bpe, decontaminate, importance, language_id, minhash, secret_scan, simhash, warc
+from sightline.llm import byte_bpe, decontaminate, importance, language_id, minhash, ngram_lm, secret_scan, simhash, warc
 from sightline.llm.token_counts import token_counts
 
 JSON_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -37,6 +37,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_read(spark, sf_dir, "documents"))
 
 
+def op6_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(_read(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_read(spark, sf_dir, "pages"))
 
@@ -54,5 +58,5 @@ def op10_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "log_weight", "gumbel_key", "selected")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_decontamination, op4_secret_scan, op5_simhash, op7_warc, op8_minhash, op9_language_id, op10_importance)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_decontamination, op4_secret_scan, op5_simhash, op6_ngram_lm, op7_warc, op8_minhash, op9_language_id, op10_importance)}
 SQL: dict[str, str] = {}
