@@ -73,11 +73,12 @@ def tiled_links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
                 break
             near = np.bitwise_count(left[:, None] ^ fps[None, j : j + TILE]) <= radius
             for a, b in zip(*np.nonzero(near), strict=True):
-                a, b = root(i + int(a)), root(j + int(b))
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-                    out_a.append(max(a, b))
-                    out_b.append(min(a, b))
+                a, b = i + int(a), j + int(b)
+                ra, rb = root(a), root(b)
+                if ra != rb:
+                    parent[max(ra, rb)] = min(ra, rb)
+                    out_a.append(a)
+                    out_b.append(b)
     return order[np.array(out_a, dtype=np.int64)], order[np.array(out_b, dtype=np.int64)]
 
 
