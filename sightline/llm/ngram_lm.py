@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 from sightline.llm.rows import slices, text_input
 
 #: Words in a block, a bound on a task's memory (one document more may exceed it); documents in a block.
-BLOCK_WORDS, BLOCK_DOCS = 3_000_000, 60_000
+BLOCK_WORDS, BLOCK_DOCS = 1_500_000, 60_000
 #: Words of this share of a sample are dealt by bigram: at most 1 / FREQUENT of them, from at most SAMPLE documents.
 FREQUENT, SAMPLE = 1 / 1_000, 2_000
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 #: Words are known by 48 bits of their XXH64. Reserved: a document's first word, and its end.
 WORD_BITS, FIRST, END = 48, 1, 2
 BACKOFF, SCORE, PAIRS, COUNTS, DOCS = 0.4, 0, 1, 2, 3
@@ -176,6 +176,7 @@ def _map_blocks(deal) -> object:
                     made, ids, texts, words = made + 1, [], [], 0
         if ids:
             yield _block_rows(deal.value, task << 24 | made, ids, texts)
+        _words.clear()
 
     return run
 
