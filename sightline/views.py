@@ -45,8 +45,31 @@ VIEWS = {
         from (select *, {epoch_s} epoch_s from {events}) e""",
     "vectors": "select vec_id, embedding, cast(label as bigint) label from {embeddings}",
 }
+_BITS = " + ".join(f"case when ascii(substr(text, {k + 1}, 1)) > ascii(substr(text, {k + 2}, 1)) then {1 << k} else 0 end" for k in range(60))
+_LEVELS = " + ".join(f"case when ascii(substr(text, {k + 1}, 1)) > 108 then {1 << k} else 0 end" for k in range(60))
+VIEWS |= {
+    # documents as images: gradient and level hashes of the first characters stand for those of pixels
+    "images": f"""
+        select doc_id image_id, source, case when doc_id % 10 < 7 then 'train' when doc_id % 10 < 9 then 'val' else 'test' end split,
+          concat('Panel', cast(doc_id % 89 as varchar(20)), case when doc_id % 3 = 0 then '_rot90' when doc_id % 3 = 1 then '' else '-flip' end, '_', cast(doc_id % 7 as varchar(20)),
+            case when doc_id % 5 = 0 then '_jpg.rf.0123456789abcdef' else '' end, '.jpg') filename,
+          cast({_BITS} as bigint) dhash, cast({_LEVELS} as bigint) ahash, sha256(text) sha
+        from {{documents}}""",
+    # annotation lines of the ground truth, some of them broken
+    "label_lines": """
+        select image_id, gt_id, class_no, case when gt_id % 97 = 1 then concat(cast(class_no as varchar(20)), ' 0.5 0.5') when gt_id % 97 = 2 then concat(cast(class_no as varchar(20)), ' a 0.5 0.1 0.1')
+            when gt_id % 97 = 3 then '77 0.5 0.5 0.1 0.1' when gt_id % 97 = 4 then concat(cast(class_no as varchar(20)), ' 1.5 0.5 0.1 0.1') when gt_id % 97 = 5 then concat(cast(class_no as varchar(20)), ' 0.5 0.5 0 0.1')
+            when gt_id % 97 = 6 then concat(cast(class_no as varchar(20)), ' 0.5 0.5 1.5 0.1') when gt_id % 97 = 7 then concat(cast(class_no as varchar(20)), ' 0.5 0.5 0.97 0.99') when gt_id % 97 = 8 then concat(cast(class_no as varchar(20)), ' 0.02 0.5 0.3 0.1')
+            when gt_id % 97 = 9 then concat(cast(class_no as varchar(20)), ' 0.5 0.5 0.001 0.001')
+            else concat(cast(class_no as varchar(20)), '  0.', cast(100 + gt_id % 700 as varchar(20)), ' 0.', cast(100 + gt_id % 800 as varchar(20)), ' 0.1', cast(gt_id % 10 as varchar(20)), ' 0.15') end line
+        from (select image_id, gt_id, case class_id when 'contactor' then 0 when 'overload_relay' then 1 when 'mcb' then 2 when 'terminal_block' then 3 else 4 end class_no from ground_truth) g""",
+    "image_stats": """
+        select event_id image_id, 200 + event_id % 900 w, 150 + event_id % 700 h, cast(event_id % 256 as double) luma_mean, cast(event_id % 60 as double) luma_std,
+          cast(event_id % 100 as double) / 200 clipped_frac, cast(event_id % 400 as double) laplacian_var
+        from {events}""",
+}
 #: Views that others read.
-NEEDS = {"candidates": ["detections"]}
+NEEDS = {"candidates": ["detections"], "label_lines": ["ground_truth"]}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -57,6 +80,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The view as a DataFrame; only the tables that it reads are opened."""
     text = VIEWS[name].replace("{epoch_s}", "unix_seconds(cast(ts as timestamp))")
+    text = text.replace("sha256(text)", "sha2(text, 256)")
     for other in NEEDS.get(name, []):
         text = re.sub(rf"\bfrom {other}\b", f"from {{{other}}}", text)
     found = {n: view(spark, sf_dir, n) if n in VIEWS else table(spark, sf_dir, n) for n in re.findall(r"\{(\w+)\}", text)}
