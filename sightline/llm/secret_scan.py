@@ -98,7 +98,7 @@ def verdicts(scanned: DataFrame, owned: int = 1, wide: int = 5) -> DataFrame:
     """
     uses = scanned.where(F.size("found") > 0).select("row", F.explode("found").alias("f")).withColumn("salt", F.pmod(F.hash("row"), F.lit(SPREAD)))
     known = materialize(ownership(scanned), "owners").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    judged = uses.withColumn("value", F.col("f.value")).join(known, ["value", "salt"])
+    judged = uses.withColumn("value", F.col("f.value")).join(known.hint("merge"), ["value", "salt"])  # many times its file's size
     span = F.struct(F.col("f.start").alias("start"), F.when(F.col("f.kind") == "assign", 0).when(F.col("f.kind") == "access", 1).when(F.col("f.kind") == "hex", 2).otherwise(3).alias("rank"), F.col("f.kind").alias("kind"), F.col("f.end").alias("end"), (F.col("n_owners") >= wide).alias("wide"), (F.col("n_owners") <= owned).alias("live"))
     kept = judged.where((F.col("f.kind") != "bare") | (F.col("n_owners") <= owned))
     return kept.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("kept"))
