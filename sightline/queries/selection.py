@@ -108,13 +108,13 @@ def p18_decode_heads(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "with f as (select event_id, event_id % 120 side, case when event_id % 4 = 0 then null else cast(event_id % 100 as double) / 100 end det, cast(event_id % 230 as double) blur, cast(event_id % 256 as double) bright, cast(event_id % 50 as double) / 100 ov, cast(event_id % 60 as double) / 100 under from events) "
     "select event_id, case when side <= 0 then 'face_crop_empty' when side < 40 then 'face_too_small' when det < 0.5 then 'low_detection_confidence' when blur < 20 then 'blurry' when bright > 215 or ov > 0.35 then 'overexposed' when bright < 40 or under > 0.5 then 'underexposed' end reason, "
-    "round(0.3 * least(1.0, side / 120.0) + 0.3 * least(1.0, blur / 200) + 0.2 * greatest(0.0, 1 - abs(bright - 128) / 128) + 0.2 * coalesce(least(1.0, greatest(0.0, det)), 1.0), 6) quality from f"
+    "round(0.3 * least(1.0, side / 120.0) + 0.3 * least(1.0, blur / 200) + 0.2 * greatest(0.0, 1 - abs(bright - 128) / 128) + 0.2 * coalesce(least(1.0, greatest(0.0, det)), 1.0), 9) quality from f"
 )
 def p11_crop_quality(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("event_id")
     c = lambda v: v.cast("double")
     side, det, blur, bright, over, under = i % 120, F.when(i % 4 != 0, c(i % 100) / 100), c(i % 230), c(i % 256), c(i % 50) / 100, c(i % 60) / 100
-    return table(spark, d, "events").select("event_id", checks.crop_reason(side, det, blur, bright, over, under).alias("reason"), R(checks.crop_quality(side, det, blur, bright), "quality"))
+    return table(spark, d, "events").select("event_id", checks.crop_reason(side, det, blur, bright, over, under).alias("reason"), F.round(checks.crop_quality(side, det, blur, bright), 9).alias("quality"))
 
 
 @query(
