@@ -43,10 +43,10 @@ def _missing(spark: SparkSession, d: str) -> DataFrame:
     return inv.missing(_types(spark, d), _inv(spark, d), rules.rule_classes(spark, rules.EXPECTED), rules.IMPORTANT_ABSENCES)
 
 
-@query("select image_id, class_id, quantity, round(m, 6) mean_confidence, lo min_confidence, hi max_confidence, makers, indices, row_number() over (partition by image_id order by countable desc, quantity desc, class_id) place from (select image_id, d.class_id, count(*) quantity, avg(score) m, min(score) lo, max(score) hi, string_agg(distinct source, ',' order by source) makers, string_agg(det_id, ',' order by det_id) indices, any_value(countable) countable from detections d join class_dim using (class_id) group by 1, 2)", "detections", "class_dim")
+@query("select image_id, class_id, quantity, round(m, 9) mean_confidence, lo min_confidence, hi max_confidence, makers, indices, row_number() over (partition by image_id order by countable desc, quantity desc, class_id) place from (select image_id, d.class_id, count(*) quantity, avg(score) m, min(score) lo, max(score) hi, string_agg(distinct source, ',' order by source) makers, string_agg(det_id, ',' order by det_id) indices, any_value(countable) countable from detections d join class_dim using (class_id) group by 1, 2)", "detections", "class_dim")
 def a8_bill_of_materials(spark: SparkSession, d: str) -> DataFrame:
     out = inv.bill_of_materials(view(spark, d, "detections").withColumn("maker", F.col("source")), view(spark, d, "class_dim"))
-    return out.select("image_id", "class_id", "quantity", R("mean_confidence"), "min_confidence", "max_confidence", F.array_join("makers", ",").alias("makers"), F.array_join(F.transform("indices", lambda x: x.cast("string")), ",").alias("indices"), F.col("place").cast("long").alias("place"))
+    return out.select("image_id", "class_id", "quantity", F.round("mean_confidence", 9).alias("mean_confidence"), "min_confidence", "max_confidence", F.array_join("makers", ",").alias("makers"), F.array_join(F.transform("indices", lambda x: x.cast("string")), ",").alias("indices"), F.col("place").cast("long").alias("place"))
 
 
 @query("select category, count(*) quantity from detections join class_dim using (class_id) group by 1", "detections", "class_dim")
