@@ -67,28 +67,45 @@ def sanitise(cands: DataFrame, cfg: GateConfig = GateConfig()) -> DataFrame:
     return cands.withColumns({"drop_reason": reason} | {k: F.when(all_finite, v).otherwise(F.col(k)) for k, v in new.items()} | {"score": F.least(score, F.lit(1.0))})
 
 
+def greedy_mark(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], clash: Callable[[Column, Column], Column], active: Column | None = None) -> DataFrame:
+    """Adds ``kept``: whether a row survives when rows are taken in ``order`` within ``keys``.
+
+    A row goes if it clashes with one kept before it. Rows where ``active`` doesn't hold take no part and aren't kept.
+    """
+    packed = F.struct(*[c.alias(f"__{i}") for i, c in enumerate(order)], F.coalesce(F.lit(True) if active is None else active, F.lit(False)).alias("__on"), *[F.col(c) for c in rows.columns if c not in keys])
+    sorted_rows = F.array_sort(F.collect_list(packed))
+    start = F.struct(F.filter(F.col("__all"), lambda _: F.lit(False)).alias("kept"), F.expr("cast(array() as array<boolean>)").alias("flags"))
+
+    def step(acc: Column, c: Column) -> Column:
+        ok = c["__on"] & ~F.exists(acc["kept"], lambda k: clash(k, c))
+        return F.struct(F.when(ok, F.concat(acc["kept"], F.array(c))).otherwise(acc["kept"]).alias("kept"), F.concat(acc["flags"], F.array(ok)).alias("flags"))
+
+    out = rows.groupBy(*keys).agg(sorted_rows.alias("__all")).withColumn("__flags", F.aggregate("__all", start, step)["flags"])
+    out = out.select(*keys, F.explode(F.arrays_zip("__all", "__flags")).alias("__z"))
+    return out.select(*[F.col(c) if c in keys else F.col(f"__z.__all.{c}").alias(c) for c in rows.columns], F.col("__z.__flags").alias("kept"))
+
+
 def greedy_keep(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], clash: Callable[[Column, Column], Column]) -> DataFrame:
     """Rows that survive when taken in ``order`` within ``keys``, each dropped if it clashes with one kept before it."""
-    packed = F.struct(*[c.alias(f"__{i}") for i, c in enumerate(order)], *[F.col(c) for c in rows.columns if c not in keys])
-    sorted_rows = F.array_sort(F.collect_list(packed))
-    none = F.filter(F.col("__all"), lambda _: F.lit(False))
-    kept = F.aggregate("__all", none, lambda acc, c: F.when(F.exists(acc, lambda k: clash(k, c)), acc).otherwise(F.concat(acc, F.array(c))))
-    out = rows.groupBy(*keys).agg(sorted_rows.alias("__all")).select(*keys, F.explode(kept).alias("__k"))
-    return out.select(*[F.col(c) if c in keys else F.col(f"__k.{c}").alias(c) for c in rows.columns])
+    return greedy_mark(rows, keys, order, clash).where("kept").drop("kept")
 
 
 def _by_score() -> list[Column]:
     return [-F.col("score"), F.col("det_id")]
 
 
+def _overlaps(iou: float) -> Callable[[Column, Column], Column]:
+    return lambda k, c: g.iou(g.fields(k), g.fields(c)) > iou
+
+
 def nms_per_class(cands: DataFrame, iou: float = 0.5) -> DataFrame:
     """Within a frame and class, a box goes if it overlaps one kept before it by more than ``iou``."""
-    return greedy_keep(cands, ["image_id", "class_id"], _by_score(), lambda k, c: g.iou(g.fields(k), g.fields(c)) > iou)
+    return greedy_keep(cands, ["image_id", "class_id"], _by_score(), _overlaps(iou))
 
 
 def nms_any_class(cands: DataFrame, iou: float = 0.45) -> DataFrame:
     """The same within a frame, whatever the class."""
-    return greedy_keep(cands, ["image_id"], _by_score(), lambda k, c: g.iou(g.fields(k), g.fields(c)) > iou)
+    return greedy_keep(cands, ["image_id"], _by_score(), _overlaps(iou))
 
 
 def nms_largest(cands: DataFrame, iou: float = 0.4) -> DataFrame:
@@ -104,14 +121,17 @@ def confusable(a: Column, b: Column, groups: Sequence[Sequence[str]] = CONFUSABL
     return out
 
 
-def resolve_claims(cands: DataFrame, cfg: GateConfig = GateConfig()) -> DataFrame:
-    """Look-alike classes that claim one device: the best score stays. Other classes may overlap."""
-
+def _one_device(cfg: GateConfig) -> Callable[[Column, Column], Column]:
     def clash(k: Column, c: Column) -> Column:
         a, b = g.fields(k), g.fields(c)
         return confusable(k["class_id"], c["class_id"], cfg.confusable) & ((g.iou(a, b) > cfg.cross_iou) | (g.containment(b, a) > cfg.contain))
 
-    return greedy_keep(cands, ["image_id"], _by_score(), clash)
+    return clash
+
+
+def resolve_claims(cands: DataFrame, cfg: GateConfig = GateConfig()) -> DataFrame:
+    """Look-alike classes that claim one device: the best score stays. Other classes may overlap."""
+    return greedy_keep(cands, ["image_id"], _by_score(), _one_device(cfg))
 
 
 def plausibility_reason(cfg: GateConfig = GateConfig()) -> Column:
@@ -153,54 +173,52 @@ def cap_per_image(cands: DataFrame, cap: int = 200) -> DataFrame:
     return cands.withColumn("rank", F.row_number().over(w)).withColumn("over_cap", F.col("rank") > cap)
 
 
-def group_rows(cands: DataFrame, tolerance: float = 0.6) -> DataFrame:
-    """Adds row_no (from the top) and pos_in_row (from the left), both from 1.
+def group_rows(cands: DataFrame, tolerance: float = 0.6, active: Column | None = None) -> DataFrame:
+    """Adds row_no (from the top) and pos_in_row (from the left), both from 1; null where ``active`` doesn't hold.
 
     Boxes are taken from the top down; one joins the row at hand if its centre is no further from the mean of that row's
     centres than the tolerance times the median height of the frame's boxes.
     """
     b = g.box()
-    one = F.struct(g.centre(b)[1].alias("cy"), (-F.col("score")).alias("s"), F.col("det_id").alias("d"))
-    frame = cands.groupBy("image_id").agg(F.array_sort(F.collect_list(one)).alias("all"), F.median(F.when(g.height(b) > 0, g.height(b))).alias("h"))
-    band = F.coalesce(F.col("h"), F.lit(20.0)) * max(0.1, tolerance)
-    start = F.struct(F.lit(0).alias("row"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.expr("cast(array() as array<struct<d:bigint,row:int>>)").alias("out"))
+    on = F.lit(True) if active is None else F.coalesce(active, F.lit(False))
+    one = F.struct(F.when(on, 0).otherwise(1).alias("o"), g.centre(b)[1].alias("cy"), (-F.col("score")).alias("s"), F.col("det_id").alias("d"), F.struct(*[c for c in cands.columns if c != "image_id"]).alias("r"))
+    frame = cands.groupBy("image_id").agg(F.array_sort(F.collect_list(one)).alias("all"), F.median(F.when(on & (g.height(b) > 0), g.height(b))).alias("h"))
+    frame = frame.withColumn("band", F.coalesce(F.col("h"), F.lit(20.0)) * max(0.1, tolerance))
+    start = F.struct(F.lit(0).alias("row"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.expr("cast(array() as array<int>)").alias("out"))
 
     def step(acc: Column, c: Column) -> Column:
         joins = (acc["n"] > 0) & (F.abs(c["cy"] - acc["sum"] / acc["n"]) <= F.col("band"))
         row = F.when(joins, acc["row"]).otherwise(acc["row"] + 1)
-        out = F.concat(acc["out"], F.array(F.struct(c["d"].alias("d"), row.alias("row"))))
-        return F.struct(row.alias("row"), (F.when(joins, acc["sum"]).otherwise(0.0) + c["cy"]).alias("sum"), (F.when(joins, acc["n"]).otherwise(0) + 1).alias("n"), out.alias("out"))
+        moved = F.struct(row.alias("row"), (F.when(joins, acc["sum"]).otherwise(0.0) + c["cy"]).alias("sum"), (F.when(joins, acc["n"]).otherwise(0) + 1).alias("n"), F.concat(acc["out"], F.array(row)).alias("out"))
+        none = F.struct(acc["row"].alias("row"), acc["sum"].alias("sum"), acc["n"].alias("n"), F.concat(acc["out"], F.array(F.lit(None).cast("int"))).alias("out"))
+        return F.when(c["o"] == 0, moved).otherwise(none)
 
-    rows = frame.withColumn("band", band).select("image_id", F.explode(F.aggregate("all", start, step)["out"]).alias("o"))
-    rows = rows.select("image_id", F.col("o.d").alias("det_id"), F.col("o.row").alias("row_no"))
+    rows = frame.withColumn("rows", F.aggregate("all", start, step)["out"]).select("image_id", F.explode(F.arrays_zip("all", "rows")).alias("z"))
+    rows = rows.select(*[F.col(c) if c == "image_id" else F.col(f"z.all.r.{c}").alias(c) for c in cands.columns], F.col("z.rows").alias("row_no"))
     w = Window.partitionBy("image_id", "row_no").orderBy(g.centre(b)[0], F.desc("score"), "det_id")
-    return cands.join(rows, ["image_id", "det_id"]).withColumn("pos_in_row", F.row_number().over(w))
+    return rows.withColumn("pos_in_row", F.when(F.col("row_no").isNotNull(), F.row_number().over(w)))
 
 
 def cascade(cands: DataFrame, classes: DataFrame, cfg: GateConfig = GateConfig()) -> DataFrame:
     """The whole gate: every candidate with ``drop_reason`` (null if accepted), what it ends as, and its place.
 
-    Columns: image_id, det_id, class_id, score, box, drop_reason, demoted_from, row_no, pos_in_row.
+    Columns: image_id, det_id, class_id, score, box, drop_reason, demoted_from, row_no, pos_in_row. One chain without a
+    join but for the class table: each step marks rows and passes all of them on, so nothing is computed twice.
     """
     base = ["image_id", "det_id", "class_id", "score", "x1", "y1", "x2", "y2"]
-    clean = sanitise(cands.select(*base), cfg)
-    bad = clean.where("drop_reason is not null")
-    good = clean.where("drop_reason is null").drop("drop_reason")
-    kept = nms_per_class(good, cfg.nms_iou)
-    claims = resolve_claims(kept, cfg)
-    marks = good.select("image_id", "det_id", "class_id").join(kept.select("image_id", "det_id", F.lit(True).alias("k1")), ["image_id", "det_id"], "left").join(claims.select("image_id", "det_id", F.lit(True).alias("k2")), ["image_id", "det_id"], "left")
-    lost = good.join(marks.where("k2 is null").select("image_id", "det_id", F.when(F.col("k1").isNull(), "nms_same_class").otherwise("duplicate_class_claim").alias("drop_reason")), ["image_id", "det_id"])
-    judged = judge(claims, classes, cfg)
-    capped = cap_per_image(judged.where("drop_reason is null"), cfg.cap)
-    placed = group_rows(capped.where("not over_cap").drop("over_cap", "rank"), cfg.row_tolerance)
-    nothing = {"demoted_from": F.lit(None).cast("string"), "row_no": F.lit(None).cast("int"), "pos_in_row": F.lit(None).cast("int")}
-    cols = [*base, "drop_reason", "demoted_from", "row_no", "pos_in_row"]
-    over = capped.where("over_cap").drop("over_cap", "rank").withColumn("drop_reason", F.lit("over_detection_cap"))
-    rejected = judged.where("drop_reason is not null").unionByName(over).withColumns({k: nothing[k] for k in ("row_no", "pos_in_row")})
-    out = placed.select(*cols).unionByName(rejected.select(*cols))
-    for part in (bad, lost):
-        out = out.unionByName(part.withColumns(nothing).select(*cols))
-    return out
+    alive = F.col("drop_reason").isNull()
+    rows = sanitise(cands.select(*base), cfg)
+    for keys, clash, name in ((["image_id", "class_id"], _overlaps(cfg.nms_iou), "nms_same_class"), (["image_id"], _one_device(cfg), "duplicate_class_claim")):
+        rows = greedy_mark(rows, keys, _by_score(), clash, alive)
+        rows = rows.withColumn("drop_reason", F.when(alive & ~F.col("kept"), name).otherwise(F.col("drop_reason"))).drop("kept")
+    rows = judge(rows.withColumnRenamed("drop_reason", "__before").withColumn("__class", F.col("class_id")), classes, cfg)
+    fresh = F.col("__before").isNull()
+    rows = rows.withColumns({"drop_reason": F.coalesce("__before", "drop_reason"), "demoted_from": F.when(fresh, F.col("demoted_from")), "class_id": F.when(fresh, F.col("class_id")).otherwise(F.col("__class"))}).drop("__before", "__class")
+    best = Window.partitionBy("image_id").orderBy(F.when(alive, 0).otherwise(1), F.desc("score"), "det_id")
+    rows = rows.withColumn("__rank", F.row_number().over(best))
+    rows = rows.withColumn("drop_reason", F.when(alive & (F.col("__rank") > cfg.cap), "over_detection_cap").otherwise(F.col("drop_reason"))).drop("__rank")
+    rows = rows.withColumn("demoted_from", F.when(alive, F.col("demoted_from")))
+    return group_rows(rows, cfg.row_tolerance, alive).select(*base, "drop_reason", "demoted_from", "row_no", "pos_in_row")
 
 
 def diagnostics(gated: DataFrame) -> DataFrame:
