@@ -137,24 +137,32 @@ def kth_largest(scored: DataFrame, column: str, k: int, bins: int = 4_096) -> fl
             return None
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, keep_target: float = 0.999, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _drawn(ids: DataFrame, most: int, seed: int) -> DataFrame:
+    """At most ``most`` of the ids, all if there are no more, else about those of the least hash."""
+    share = min(1.0, most / max(1, ids.count()))
+    draw = F.pmod(F.xxhash64("__good", F.lit(seed)), F.lit(1 << 20))
+    return ids.where(draw < int(share * (1 << 20))).limit(most)
+
+
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, keep_target: float = 0.999, target_rows: int = 50_000, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, key (xxhash64 of id and text), log_weight, gumbel_key, selected: Gumbel top-k of all rows by log weight.
 
-    Target text is that of rows whose label has quality 1. ``gumbel_key`` is the log weight plus a Gumbel draw that
-    depends on id and seed; the ``k`` largest are selected (ties with the k-th too). Without ``k``, k is as many rows as
-    reach the key that the share ``keep_target`` of labelled target rows reaches. If no label has quality 1, all rows
-    are selected. A null text counts as empty; a row without an id has no label; labels that repeat an id count as
-    target if one of them does.
+    Target text is that of rows whose label has quality 1: its model is fitted on at most ``target_rows`` of their ids,
+    a bound small enough to send to all executors, so that texts are not shuffled. The model of raw text counts all rows.
+    ``gumbel_key`` is the log weight plus a Gumbel draw that depends on id and seed; the ``k`` largest are selected (ties
+    with the k-th too). Without ``k``, k is as many rows as reach the key that the share ``keep_target`` of all labelled
+    target rows reaches. If no label has quality 1, all rows are selected. A null text counts as empty; a row without an
+    id has no label; labels that repeat an id count as target if one of them does.
     """
-    good = labels.where(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("__good")).distinct()
-    marked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ids = materialize(marked.select("doc_id").distinct().join(good, F.col("doc_id") == F.col("__good"), "left_semi"), "target")
-    marked = marked.join(ids.withColumnRenamed("doc_id", "__target"), F.col("doc_id") == F.col("__target"), "left").withColumn("target", F.col("__target").isNotNull())
-    ratio = fit(marked, F.col("target"))
-    scored = weights(marked, ratio, "doc_id", "text", F.xxhash64("doc_id", "text").alias("key"), F.col("target").alias("target"))
+    good = materialize(labels.where(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("__good")).where("__good is not null").distinct(), "good")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    drawn = materialize(_drawn(good, target_rows, seed), "target")
+    marked = own.join(F.broadcast(drawn), F.col("doc_id") == F.col("__good"), "left")
+    ratio = fit(marked, F.col("__good").isNotNull())
+    scored = weights(own, ratio, "doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
     scored = materialize(scored.withColumn("gumbel_key", F.col("log_weight") + gumbel(F.coalesce("doc_id", "key"), seed)), "weights")
     if k is None:
-        targets = scored.where("target")
+        targets = scored.join(good, F.col("doc_id") == F.col("__good"), "left_semi")
         least = kth_largest(targets, "gumbel_key", max(1, math.ceil(keep_target * targets.count())))
     else:
         least = kth_largest(scored, "gumbel_key", k) if k > 0 else math.inf
@@ -165,4 +173,4 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, keep_targ
 def keep_selected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the rows that resampling rejects."""
     gone = resample(docs, labels, id_col=id_col, text_col=text_col, **options).where("not selected").select(F.col("key").alias("__gone")).distinct()
-    return docs.join(gone, F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)) == F.col("__gone"), "left_anti")
+    return docs.join(gone.hint("merge"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)) == F.col("__gone"), "left_anti")
