@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions import geometry as g
+from sightline.plans.lineage import materialize
 
 COCO_IOUS = tuple(round(0.5 + 0.05 * k, 2) for k in range(10))
 BACKGROUND = "__background__"
@@ -120,7 +121,7 @@ def false_positive_causes(matched: DataFrame, gts: DataFrame, preds: DataFrame,
 
 def evaluate(gts: DataFrame, preds: DataFrame, iou: float = 0.5, ious: Sequence[float] = COCO_IOUS) -> DataFrame:
     """scope, class_id, metric values: one row for each class at ``iou``, and one overall with mAP at ``iou`` and over ``ious``."""
-    every = match(gts, preds, sorted({*ious, iou}))
+    every = materialize(match(gts, preds, sorted({*ious, iou})), "matches")  # counts and curves read it, each more than once
     at = every.where(F.col("thr") == iou)
     ap = average_precision(every, gts)
     counts = class_counts(at, gts)
