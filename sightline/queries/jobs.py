@@ -320,3 +320,11 @@ def s23_split_of_path(spark: SparkSession, d: str) -> DataFrame:
 def s24_detect_kind(spark: SparkSession, d: str) -> DataFrame:
     paths = table(spark, d, "pages").select(F.concat(F.lit("d/img"), "page_id", F.lit(".jpg")).alias("path")).unionByName(table(spark, d, "pages").limit(1).select(F.lit("d/annotations/instances.json").alias("path")))
     return files.detect_kind(paths)
+
+
+@query(None)
+def g7_merge_segments(spark: SparkSession, d: str) -> DataFrame:
+    from sightline.operators.wires import merge_segments
+
+    w = view(spark, d, "ground_truth").select(F.col("image_id").alias("panel_id"), F.col("gt_id").alias("wire_id"), F.col("x1").alias("sx"), F.col("y1").alias("sy"), (F.col("x1") + 165).alias("ex"), F.col("y1").alias("ey"), F.lit(165.0).alias("length"), F.when(F.col("gt_id") % 2 == 0, "red").otherwise("blue").alias("color"))
+    return merge_segments(w, 20.0).select("panel_id", "wire_id", "length", "parts")
