@@ -181,4 +181,4 @@ def drop_near_copies(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", t
     """``docs`` with one row of each group, that of the least id; rows without an id stay."""
     groups = near_groups(docs.where(F.col(id_col).isNotNull()), radius, id_col, text_col)
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    return docs.join(gone.hint("merge"), docs[id_col] == F.col("__gone"), "left_anti")  # as many ids as the corpus has copies
