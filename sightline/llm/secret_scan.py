@@ -7,6 +7,7 @@ import math
 import re
 from collections import Counter
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -139,17 +140,20 @@ def mask_secrets(docs: DataFrame, owner_col: str = "source", repo_col: str = "so
     cut = verdicts(scanned).select("row", F.filter("kept", lambda s: ~s["wide"]).alias("cut")).where(F.size("cut") > 0)
     cut = materialize(cut.join(scanned.select("row", F.col("key").alias("__key")), "row").groupBy("__key").agg(F.first("cut").alias("__cut")), "cuts")
 
+    @F.arrow_udf("boolean")
+    def may_have(text: pa.Array) -> pa.Array:
+        out = pa.array([False] * len(text))
+        for pattern in MAY_HAVE.values():
+            out = pc.or_(out, pc.match_substring_regex(pc.fill_null(text, ""), pattern))
+        return out
+
     @F.pandas_udf("string")
-    def masked(text, cut):  # noqa: ANN001
-        return text.combine(cut, lambda t, c: mask_spans(t, [(s["start"], s["end"]) for s in c]))
-
-    keyed = docs.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col)))
-    may = F.lit(False)
-    for pattern in MAY_HAVE.values():
-        may = may | F.col(text_col).rlike(pattern)
-    may = F.coalesce(may, F.lit(False))
-    joined = keyed.where(may).join(cut, "__key", "left")
-    hit = joined.where("__cut is not null").withColumn(text_col, masked(F.col(text_col), F.col("__cut")))
+    def masked(text: pd.Series, cut: pd.Series) -> pd.Series:
+        return text.combine(cut, lambda t, c: t if c is None else mask_spans(t, [(s["start"], s["end"]) for s in c]))
+
+    keyed = docs.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col))).withColumn("__may", may_have(F.col(text_col)))
+    joined = keyed.where("__may").join(cut, "__key", "left").withColumn(text_col, masked(F.col(text_col), F.col("__cut")))
     if length_col in docs.columns:
-        hit = hit.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
-    return keyed.where(~may).select(*docs.columns).unionByName(joined.where("__cut is null").select(*docs.columns)).unionByName(hit.select(*docs.columns))
+        size = F.length(text_col).cast(docs.schema[length_col].dataType)
+        joined = joined.withColumn(length_col, F.when(F.col("__cut").isNotNull(), size).otherwise(F.col(length_col)))
+    return keyed.where("not __may").select(*docs.columns).unionByName(joined.select(*docs.columns))
