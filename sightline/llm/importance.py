@@ -19,7 +19,7 @@ from sightline.plans.lineage import materialize
 #: Hash buckets of the two generative models: their size is fixed, whatever the corpus has.
 BUCKETS = 1 << 16
 WORD = re.compile(r"\w+|[^\w\s]+")
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -36,6 +36,11 @@ class _Words(dict):
 _words = _Words()
 
 
+def forget() -> None:
+    """Workers go on to other tasks, and other operators; they keep no words."""
+    _words.clear()
+
+
 def buckets(text: str) -> np.ndarray:
     """Bucket of each word and each pair of neighbouring words; words are runs of word or of other characters, lower-cased."""
     own = WORD.findall(text.lower())
@@ -70,6 +75,7 @@ def _counts(docs: DataFrame, flags: dict[str, F.Column], id_col: str, text_col:
                 for k, flag in enumerate(on):
                     if flag[i]:
                         total[k + 1] += own
+        forget()
         for k, name in enumerate(names):
             at = np.flatnonzero(total[k])
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(total[k][at])], names=["model", "bucket", "n"])
@@ -101,7 +107,7 @@ def weights(docs: DataFrame, ratio: Ratio, id_col: str = "doc_id", text_col: str
         weight = [float(shared.value[buckets(t.as_py())].sum()) for t in part.column("text")]
         return {"doc_id": part.column("doc_id"), "log_weight": weight, **{k: part.column(k) for k in kept}}
 
-    return arrow_map(rows, schema, run)
+    return arrow_map(rows, schema, run, forget)
 
 
 def gumbel(key: F.Column, seed: int) -> F.Column:

@@ -23,8 +23,8 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, SLICE)
 
 
-def arrow_map(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict]) -> DataFrame:
-    """mapInArrow where ``fn`` turns a slice of rows into a dict of column name to list or array."""
+def arrow_map(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict], done: Callable[[], None] | None = None) -> DataFrame:
+    """mapInArrow where ``fn`` turns a slice of rows into a dict of column name to list or array; ``done`` runs at a task's end."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -35,5 +35,7 @@ def arrow_map(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict])
             if part.num_rows:
                 cols = fn(part)
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for f, c in ((f, cols[f.name]) for f in arrow)], schema=arrow)
+        if done:
+            done()
 
     return df.mapInArrow(run, schema)
