@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.llm.rows import arrow_map, text_input
@@ -38,14 +38,15 @@ def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(votes * 2 > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long); a null text counts as empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, keyed: bool = False) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long), if asked for the row's key; a null text counts as empty."""
 
     def run(part: pa.RecordBatch) -> dict:
         values = np.array([fingerprint(t.as_py(), words) for t in part.column("text")], dtype=np.uint64)
-        return {"doc_id": part.column("doc_id"), "fp": pa.array(values.view(np.int64))}
+        return {"doc_id": part.column("doc_id"), "fp": pa.array(values.view(np.int64))} | ({"key": part.column("key")} if keyed else {})
 
-    return arrow_map(text_input(docs, id_col, text_col), "doc_id long, fp long", run)
+    rows = text_input(docs, id_col, text_col, *([row_key(id_col, text_col)] if keyed else []))
+    return arrow_map(rows, "doc_id long, fp long" + ", key long" * keyed, run)
 
 
 def tiled_links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -177,8 +178,31 @@ def near_groups(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", text_c
     return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def row_key(id_col: str, text_col: str) -> F.Column:
+    """A hash of a row's id and text."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("key")
+
+
+def first_of_groups(rows: DataFrame, linked: DataFrame) -> DataFrame:
+    """``rows`` (key, doc_id, node) with first (without, doc_id, key): the first row, by id, of all whose nodes ``linked`` (a, b) connects; null ids come last."""
+    nodes = materialize(rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key")).alias("own")), "nodes")
+    parts = connected_components(linked, "a", "b")
+    least = parts.join(nodes, "node").groupBy("component").agg(F.min("own").alias("least"))
+    moved = materialize(parts.join(least, "component").select("node", "least"), "moved")
+    of = materialize(nodes.join(moved, "node", "left").select("node", F.coalesce("least", "own").alias("first")), "of")
+    return rows.join(of, "node").select("key", "doc_id", "node", "first")
+
+
+def keep_first(docs: DataFrame, grouped: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with one row of each group of ``grouped`` (key, first): of equal rows, too, one stays."""
+    gone = materialize(grouped.where("key <> first.key").select(F.col("key").alias("__key")).distinct(), "gone")
+    kept = docs.withColumn("__key", row_key(id_col, text_col)).join(gone.hint("merge"), "__key", "left_anti")  # as many keys as the corpus has copies
+    nth = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
+    return kept.withColumn("__nth", nth).where("__nth = 1").select(*docs.columns)
+
+
 def drop_near_copies(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group, that of the least id; rows without an id stay."""
-    groups = near_groups(docs.where(F.col(id_col).isNotNull()), radius, id_col, text_col)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone.hint("merge"), docs[id_col] == F.col("__gone"), "left_anti")  # as many ids as the corpus has copies
+    """``docs`` with one row of each group, that of the least id, null ids last."""
+    fps = materialize(fingerprints(docs, id_col, text_col, keyed=True).withColumnRenamed("fp", "node"), "fps")
+    grouped = first_of_groups(fps, links(fps.select(F.col("node").alias("fp")).distinct(), radius))
+    return keep_first(docs, grouped, id_col, text_col)
