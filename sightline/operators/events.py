@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-#: Pieces that the history of one key is cut into for the greedy time rules, so that no key's history is one array.
-PIECE_DAYS = 31
+from pyspark.sql import types as T
 
 
 def filter_equal(df: DataFrame, wanted: Mapping[str, object]) -> DataFrame:
@@ -42,28 +41,38 @@ def replace_partition(df: DataFrame, path: str, by: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
-def _greedy(rows: DataFrame, keys: Sequence[str], time: str, row_id: str, fires: Column | None, step) -> DataFrame:
-    one = F.struct(F.col(time).alias("t"), F.col(row_id).alias("i"))
-    packed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("all"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.lit(None).cast("long").alias("day"), F.expr("cast(array() as array<bigint>)").alias("out"))
-    return packed.select(*keys, F.explode(F.aggregate("all", start, step)["out"]).alias(row_id))
+def _greedy(rows: DataFrame, keys: Sequence[str], time: str, row_id: str, seconds: float, by_day: bool) -> DataFrame:
+    """keys and row_id of the rows that fire. Each key is walked in order of time; a task holds one batch and the state."""
+    dealt = rows.select(*keys, row_id, F.col(time).alias("__t")).repartition(*keys).sortWithinPartitions(*keys, "__t", row_id)
+    n = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last, day = None, None, None
+        for part in batches:
+            fired = []
+            for at, (t, *own) in enumerate(zip(part.column(n + 1).to_pylist(), *(part.column(k).to_pylist() for k in range(n)), strict=True)):
+                if own != key:
+                    key, last, day = own, None, None
+                if last is not None and (t is None or t - last < seconds):
+                    continue
+                last = None if t is None else int(t)
+                if by_day and t is not None:
+                    if day == t // 86_400:
+                        continue
+                    day = t // 86_400
+                fired.append(at)
+            if fired:
+                yield part.select(range(n + 1)).take(pa.array(fired))
+
+    return dealt.mapInArrow(run, T.StructType([rows.schema[c] for c in (*keys, row_id)]))
 
 
 def rate_limit(rows: DataFrame, keys: Sequence[str], time: str, row_id: str, seconds: float) -> DataFrame:
     """keys and row_id of the rows that fire: the first of a key, then each at least ``seconds`` after the last that fired.
 
-    Time is in whole seconds. Rows that are within the interval of nothing before them fire for sure, whatever fired
-    earlier; they cut a key's history into stretches that are walked on their own, so a busy key is no single group.
+    Time is in whole seconds.
     """
-    w = Window.partitionBy(*keys).orderBy(time, row_id)
-    gap = F.col(time) - F.lag(time).over(w)
-    cut = rows.withColumn("__stretch", F.sum(F.when(gap.isNull() | (gap >= seconds), 1).otherwise(0)).over(w))
-
-    def step(acc: Column, r: Column) -> Column:
-        fire = acc["last"].isNull() | (r["t"] - acc["last"] >= seconds)
-        return F.struct(F.when(fire, r["t"]).otherwise(acc["last"]).cast("long").alias("last"), acc["day"].alias("day"), F.when(fire, F.concat(acc["out"], F.array(r["i"]))).otherwise(acc["out"]).alias("out"))
-
-    return _greedy(cut, [*keys, "__stretch"], time, row_id, None, step).select(*keys, row_id)
+    return _greedy(rows, keys, time, row_id, seconds, False)
 
 
 def attendance(rows: DataFrame, employee: str, time: str, row_id: str, timeout: int) -> DataFrame:
@@ -73,17 +82,7 @@ def attendance(rows: DataFrame, employee: str, time: str, row_id: str, timeout:
     """
     if not timeout:
         return rows.select(employee, row_id)
-    by_day = timeout >= 43_200
-    if not by_day:
-        return rate_limit(rows, [employee], time, row_id, timeout)
-
-    def step(acc: Column, r: Column) -> Column:
-        day = F.floor(r["t"] / 86_400).cast("long")
-        due = acc["last"].isNull() | (r["t"] - acc["last"] >= timeout)
-        record = due & (acc["day"].isNull() | (acc["day"] != day))
-        return F.struct(F.when(due, r["t"]).otherwise(acc["last"]).cast("long").alias("last"), F.when(record, day).otherwise(acc["day"]).alias("day"), F.when(record, F.concat(acc["out"], F.array(r["i"]))).otherwise(acc["out"]).alias("out"))
-
-    return _greedy(rows, [employee], time, row_id, None, step)
+    return _greedy(rows, [employee], time, row_id, timeout, timeout >= 43_200)
 
 
 def state_changes(rows: DataFrame, keys: Sequence[str], time: str, row_id: str, state: Column) -> DataFrame:

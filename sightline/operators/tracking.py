@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -81,11 +81,31 @@ class Tracker:
 
 
 def track(frames: DataFrame, keys: Sequence[str] = ("camera_id", "label"), **options) -> DataFrame:
-    """Confirmed tracks of each frame, keyed as given (batch twin of the stream). A key's frames must fit one task: days, not years."""
+    """Confirmed tracks of each frame, keyed as given (batch twin of the stream). A task holds one batch, one frame and the tracks."""
     schema = ", ".join([*(f"`{k}` {frames.schema[k].dataType.simpleString()}" for k in keys), TRACK_FIELDS])
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out = Tracker(**options).run(rows.sort_values(["frame_no", "det_id"]))
-        return out.assign(**dict(zip(keys, key, strict=True)))[[*keys, *out.columns]]
-
-    return frames.groupBy(*keys).applyInPandas(run, schema)
+    names = [*keys, "frame_no", "track_id", "x1", "y1", "x2", "y2", "score"]
+    dealt = frames.where("frame_no is not null").select(*keys, "frame_no", "x1", "y1", "x2", "y2", "score", "det_id").repartition(*keys).sortWithinPartitions(*keys, "frame_no", "det_id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, frame_no, boxes, scores, tracker = None, None, [], [], None
+
+        def close() -> list[tuple]:
+            found = tracker.frame(np.array(boxes, dtype=float), np.array(scores, dtype=float)) if boxes else []
+            return [(*key, int(frame_no), t["id"], *t["box"], t["score"]) for t in found]
+
+        for part in batches:
+            out = []
+            own_keys = zip(*(part[k].astype(object).where(part[k].notna(), None) for k in keys), strict=True) if keys else ((),) * len(part)
+            for own, no, box, score in zip(own_keys, part["frame_no"], part[["x1", "y1", "x2", "y2"]].to_numpy(dtype=float), part["score"], strict=True):
+                if own != key or no != frame_no:
+                    out += close()
+                    if own != key:
+                        key, tracker = own, Tracker(**options)
+                    frame_no, boxes, scores = no, [], []
+                boxes.append(box)
+                scores.append(score)
+            yield pd.DataFrame(out, columns=names)
+        if boxes:
+            yield pd.DataFrame(close(), columns=names)
+
+    return dealt.mapInPandas(run, schema)
