@@ -106,17 +106,17 @@ def train(docs: DataFrame, families: Mapping[str, str] = FAMILIES, per_language:
     chosen = F.lit(False)
     for lang, n in sorted(sizes.items()):  # about a tenth more than asked for is drawn, and cut below
         chosen = chosen | ((F.col(lang_col) == lang) & (draw < int(min(1.0, 1.1 * per_language / n + 50 / n) * (1 << 20))))
-    rows = text_input(some.where(chosen), id_col, text_col, F.col(lang_col).alias("lang"))
+    rows = text_input(some.where(chosen), id_col, text_col, F.col(lang_col).alias("lang"), draw.alias("draw"))
 
     def vectors(part: pa.RecordBatch) -> dict:
         texts = [t.as_py() for t in part.column("text")]
-        return {"doc_id": part.column("doc_id"), "lang": part.column("lang"), "x": [features(t).astype(np.float16).tobytes() for t in texts], "letter": [bool(LETTER.search(t)) for t in texts]}
+        return {"doc_id": part.column("doc_id"), "lang": part.column("lang"), "draw": part.column("draw"), "x": [features(t).astype(np.float16).tobytes() for t in texts], "letter": [bool(LETTER.search(t)) for t in texts]}
 
-    sample = arrow_map(rows, "doc_id long, lang string, x binary, letter boolean", vectors).where("letter").select("doc_id", "lang", "x").collect()
+    sample = arrow_map(rows, "doc_id long, lang string, draw long, x binary, letter boolean", vectors).where("letter").select("doc_id", "lang", "draw", "x").collect()
     by_lang: dict[str, list] = {}
-    for r in sorted(sample, key=lambda r: (r["doc_id"], r["x"])):
+    for r in sorted(sample, key=lambda r: (r["draw"], r["doc_id"], r["x"])):
         by_lang.setdefault(r["lang"], []).append(r["x"])
-    x_of = {k: np.frombuffer(b"".join(v[:: max(1, -(-len(v) // per_language))]), dtype=np.float16).astype(np.float32).reshape(-1, WIDTH) for k, v in by_lang.items()}
+    x_of = {k: np.frombuffer(b"".join(v[:per_language]), dtype=np.float16).astype(np.float32).reshape(-1, WIDTH) for k, v in by_lang.items()}
     by_family: dict[str, list[str]] = {}
     for lang in sorted(x_of):
         by_family.setdefault(families.get(lang, f"only {lang}"), []).append(lang)
