@@ -6,35 +6,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.plans.lineage import materialize
+from sightline.plans.skew import join_counted
 
 
-def _min_neighbour(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+def _with_least(edges: DataFrame, total: int) -> DataFrame:
+    """Edges with m, the least of u and its neighbours; a hub that most edges have is joined by broadcast."""
+    least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("rows"))
+    return join_counted(edges, least, "u", total)
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """Components of an undirected edge table: (node, component), component = least node of the component.
 
     Alternating large-star and small-star rounds: the number of rounds grows with the logarithm of the longest path.
-    Minima are aggregated before the shuffle, no neighbour list is ever built, and each round is written to shared
-    storage. Null end points are ignored; a self loop gives its node a component of its own.
+    Minima are aggregated before the shuffle, no neighbour list is ever built, hubs are joined by broadcast, and each
+    round is written to shared storage. Null end points are ignored; a self loop gives its node a component of its own.
     """
     raw = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
     nodes = raw.select(F.col("u").alias("node")).union(raw.select("v")).distinct()
     cur = raw.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     cur, before = materialize(cur, "cc"), None
+    total = cur.count()
     for _ in range(max_rounds):
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_min_neighbour(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _with_least(both, 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("rows"))
+        small = join_counted(large, least, "u", total)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         cur = materialize(small.where("u <> v").distinct(), "cc")
         now = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 998_244_353)).first()
         if now == before:
             break
-        before = now
+        before, total = now, now[0]
     else:
         raise RuntimeError("connected components did not settle")
     return nodes.join(cur.withColumnRenamed("u", "node"), "node", "left").select("node", F.coalesce("v", "node").alias("component"))
