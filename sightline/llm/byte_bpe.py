@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import codecs
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -17,7 +17,7 @@ from sightline.llm.rows import arrow_map, text_input
 from sightline.llm.token_counts import byte_characters
 
 #: Words whose ids a worker remembers; results don't depend on it.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -49,6 +49,9 @@ class ByteBpe:
         ranks, char = read_ranks(rank_file), byte_characters()
         self.to_chars = {b: c for b, c in enumerate(char)}
         self.bytes_of = {i: t for t, i in ranks.items()}
+        self.length = np.zeros(max(self.bytes_of, default=-1) + 1, dtype=np.int64)
+        for i, t in self.bytes_of.items():
+            self.length[i] = len(t)
         name = {t: "".join(map(char.__getitem__, t)) for t in ranks}
         merges = [(name[a], name[b]) for a, b in merges_of(ranks)]
         self.model = Tokenizer(models.BPE(vocab={name[t]: i for t, i in ranks.items()}, merges=merges)).model
@@ -76,6 +79,9 @@ class ByteBpe:
         find = {**young, **passing}.__getitem__ if passing else young.__getitem__
         return [b"".join(map(find, w)) for w in words]
 
+    def forget(self) -> None:
+        self.young, self.old = {}, {}
+
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
@@ -92,11 +98,15 @@ class ByteBpe:
 
     def offsets(self, text: str, ids: Iterable[int]) -> list[tuple[int, int]]:
         """(start, end) in characters for each id: from the character with its first byte to past that with its last."""
+        return list(zip(*(x.tolist() for x in self.spans(text, np.fromiter(ids, np.int64))), strict=True))
+
+    def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``offsets`` as an array of starts and one of ends."""
         raw = np.frombuffer(text.encode(), dtype=np.uint8)
         owner = np.cumsum((raw & 0xC0) != 0x80) - 1
-        ends = np.cumsum([len(self.bytes_of[i]) for i in ids], dtype=np.int64)
+        ends = np.cumsum(self.length[ids])
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
-        return [(int(owner[a]), int(owner[b - 1]) + 1) for a, b in zip(starts, ends, strict=True)]
+        return owner[starts], owner[ends - 1] + 1
 
 
 @lru_cache(maxsize=4)
@@ -104,11 +114,17 @@ def byte_bpe(rank_file: str, pattern: str) -> ByteBpe:
     return ByteBpe(rank_file, pattern)
 
 
+def forgetting(rank_file: str, pattern: str) -> Callable[[], None]:
+    """What a task does at its end: the coder stays in the worker, its words go."""
+    return lambda: byte_bpe(rank_file, pattern).forget()
+
+
 def encode_texts(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids (array of int), and with ``offsets`` also starts and ends in characters.
 
-    One row per input row; a null or empty text has no ids. Repeated rows give repeated results. There is no shuffle; a
-    worker remembers at most REMEMBERED words.
+    One row per input row; a null or empty text has no ids, an empty table gives no rows, ids may be null or repeat, and
+    repeated rows give repeated results. Texts of any length are encoded whole, and other columns, whatever their names,
+    are not read. There is no shuffle; a task remembers at most REMEMBERED words, and forgets them at its end.
     """
     more = ", starts array<int>, ends array<int>" if offsets else ""
 
@@ -117,11 +133,11 @@ def encode_texts(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "d
         packed = [np.frombuffer(p, dtype="<u4").astype(np.int32) for p in coder.encode(texts)]
         out = {"doc_id": part.column("doc_id"), "n_tokens": [len(p) for p in packed], "ids": _lists(packed)}
         if offsets:
-            spans = [np.array(coder.offsets(t, p.tolist()), dtype=np.int32).reshape(-1, 2) for t, p in zip(texts, packed, strict=True)]
-            out |= {"starts": _lists([s[:, 0] for s in spans]), "ends": _lists([s[:, 1] for s in spans])}
+            spans = [coder.spans(t, p) for t, p in zip(texts, packed, strict=True)]
+            out |= {"starts": _lists([s for s, _ in spans]), "ends": _lists([e for _, e in spans])}
         return out
 
-    return arrow_map(text_input(docs, id_col, text_col), f"doc_id long, n_tokens long, ids array<int>{more}", encode)
+    return arrow_map(text_input(docs, id_col, text_col), f"doc_id long, n_tokens long, ids array<int>{more}", encode, forgetting(rank_file, pattern))
 
 
 def _lists(rows: list[np.ndarray]) -> pa.Array:
@@ -130,7 +146,11 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 
 
 def decode_ids(encoded: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """doc_id, text: ids back to text, a null list to the empty text; incomplete characters become U+FFFD."""
+    """doc_id, text: ids back to text, incomplete characters become U+FFFD.
+
+    One row per input row: a null or empty list becomes the empty text, repeated rows repeat, an empty table gives no
+    rows, other columns are not read.
+    """
 
     def decode(part: pa.RecordBatch) -> dict:
         coder = byte_bpe(rank_file, pattern)
@@ -141,17 +161,25 @@ def decode_ids(encoded: DataFrame, rank_file: str, pattern: str, id_col: str = "
 
 
 def round_trip(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of little-endian unsigned 32-bit ids), decoded_sha256 (of the decoded bytes)."""
+    """doc_id, n_tokens, ids_sha256 (of little-endian unsigned 32-bit ids), decoded_sha256 (of the decoded bytes), n_split.
+
+    ``n_split``: tokens whose offsets overlap the token before, as a character's bytes are split between the two. One
+    row per input row: a null or empty text has no ids and the digests of nothing, repeated rows repeat, null ids stay,
+    an empty table gives no rows, texts of any length are encoded whole, other columns are not read.
+    """
 
     def digest(part: pa.RecordBatch) -> dict:
-        coder = byte_bpe(rank_file, pattern)
-        packed = coder.encode(part.column("text").to_pylist())
-        decoded = (coder.decode_bytes(np.frombuffer(p, dtype="<u4").tolist()) for p in packed)
+        coder, texts = byte_bpe(rank_file, pattern), part.column("text").to_pylist()
+        packed = coder.encode(texts)
+        ids = [np.frombuffer(p, dtype="<u4") for p in packed]
+        spans = (coder.spans(t, p) for t, p in zip(texts, ids, strict=True))
         return {
             "doc_id": part.column("doc_id"),
-            "n_tokens": [len(p) // 4 for p in packed],
+            "n_tokens": [len(p) for p in ids],
             "ids_sha256": [hashlib.sha256(p).hexdigest() for p in packed],
-            "decoded_sha256": [hashlib.sha256(d).hexdigest() for d in decoded],
+            "decoded_sha256": [hashlib.sha256(coder.decode_bytes(p.tolist())).hexdigest() for p in ids],
+            "n_split": [int((starts[1:] < ends[:-1]).sum()) for starts, ends in spans],
         }
 
-    return arrow_map(text_input(docs, id_col, text_col), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", digest)
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_split long"
+    return arrow_map(text_input(docs, id_col, text_col), schema, digest, forgetting(rank_file, pattern))

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.rows import arrow_map, slices, text_input
+from sightline.llm.rows import arrow_map, ending, fresh, row_key, slices, text_input
 from sightline.plans.lineage import materialize
 
 #: Hash buckets of the two generative models: their size is fixed, whatever the corpus has.
@@ -75,12 +75,11 @@ def _counts(docs: DataFrame, flags: dict[str, F.Column], id_col: str, text_col:
                 for k, flag in enumerate(on):
                     if flag[i]:
                         total[k + 1] += own
-        forget()
         for k, name in enumerate(names):
             at = np.flatnonzero(total[k])
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(total[k][at])], names=["model", "bucket", "n"])
 
-    summed = rows.mapInArrow(run, "model string, bucket long, n long").groupBy("model", "bucket").agg(F.sum("n").alias("n"))
+    summed = rows.mapInArrow(ending(run, forget), "model string, bucket long, n long").groupBy("model", "bucket").agg(F.sum("n").alias("n"))
     out = {k: np.zeros(BUCKETS, dtype=np.int64) for k in names}
     for r in summed.toLocalIterator():  # at most BUCKETS rows for each model
         out[r["model"]][r["bucket"]] = r["n"]
@@ -144,10 +143,10 @@ def kth_largest(scored: DataFrame, column: str, k: int, bins: int = 4_096) -> fl
 
 
 def _drawn(ids: DataFrame, most: int, seed: int) -> DataFrame:
-    """At most ``most`` of the ids, all if there are no more, else about those of the least hash."""
-    share = min(1.0, most / max(1, ids.count()))
-    draw = F.pmod(F.xxhash64("__good", F.lit(seed)), F.lit(1 << 20))
-    return ids.where(draw < int(share * (1 << 20))).limit(most)
+    """The ``most`` ids of the least hash (of equal hashes all), all if there are no more: a rerun draws the same."""
+    drawn = ids.withColumn("draw", -F.pmod(F.xxhash64("good", F.lit(seed)), F.lit(1 << 52)).cast("double"))
+    least = kth_largest(drawn, "draw", most)
+    return (drawn if least is None else drawn.where(F.col("draw") >= least)).select("good")
 
 
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, keep_target: float = 0.999, target_rows: int = 50_000, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,18 +156,19 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, keep_targ
     a bound small enough to send to all executors, so that texts are not shuffled. The model of raw text counts all rows.
     ``gumbel_key`` is the log weight plus a Gumbel draw that depends on id and seed; the ``k`` largest are selected (ties
     with the k-th too). Without ``k``, k is as many rows as reach the key that the share ``keep_target`` of all labelled
-    target rows reaches. If no label has quality 1, all rows are selected. A null text counts as empty; a row without an
-    id has no label; labels that repeat an id count as target if one of them does.
+    target rows reaches; so k is then a result, not a given number. If no label has quality 1, all rows are selected. A null text counts as empty; a row without an
+    id has no label; labels that repeat an id count as target if one of them does. Repeated rows share their key and are
+    selected together; an empty table gives no rows; other columns, whatever their names, are not read.
     """
-    good = materialize(labels.where(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("__good")).where("__good is not null").distinct(), "good")
+    good = materialize(labels.where(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("good")).where("good is not null").distinct(), "good")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     drawn = materialize(_drawn(good, target_rows, seed), "target")
-    marked = own.join(F.broadcast(drawn), F.col("doc_id") == F.col("__good"), "left")
-    ratio = fit(marked, F.col("__good").isNotNull())
-    scored = weights(own, ratio, "doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    marked = own.join(F.broadcast(drawn), F.col("doc_id") == F.col("good"), "left")
+    ratio = fit(marked, F.col("good").isNotNull())
+    scored = weights(own, ratio, "doc_id", "text", row_key("doc_id", "text").alias("key"))
     scored = materialize(scored.withColumn("gumbel_key", F.col("log_weight") + gumbel(F.coalesce("doc_id", "key"), seed)), "weights")
     if k is None:
-        targets = scored.join(good, F.col("doc_id") == F.col("__good"), "left_semi")
+        targets = scored.join(good, F.col("doc_id") == F.col("good"), "left_semi")
         least = kth_largest(targets, "gumbel_key", max(1, math.ceil(keep_target * targets.count())))
     else:
         least = kth_largest(scored, "gumbel_key", k) if k > 0 else math.inf
@@ -177,6 +177,11 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, keep_targ
 
 
 def keep_selected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows that resampling rejects."""
-    gone = resample(docs, labels, id_col=id_col, text_col=text_col, **options).where("not selected").select(F.col("key").alias("__gone")).distinct()
-    return docs.join(gone.hint("merge"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)) == F.col("__gone"), "left_anti")
+    """``docs``, with all columns, without the rows that resampling rejects.
+
+    Rows of equal id and text go or stay together, rows without an id are judged by their text, null texts as empty
+    ones; an empty table stays empty, and columns of any name are kept.
+    """
+    gone = resample(docs, labels, id_col=id_col, text_col=text_col, **options).where("not selected")
+    key = fresh(docs, "key")
+    return docs.join(gone.select(F.col("key").alias(key)).distinct().hint("merge"), row_key(id_col, text_col) == F.col(key), "left_anti")

@@ -8,15 +8,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.rows import arrow_map, text_input
+from sightline.llm.rows import arrow_map, ending, text_input
 
 BINS, BITS, SHINGLE = 256, 4, 5
+#: Ranges of ids: a bound on the two numbers for each that all executors get.
+MOST_RANGES = 65_536
 #: Word hashes that a worker remembers; results don't depend on it.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -101,12 +104,16 @@ def fingerprint(text: str) -> bytes:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (binary, BINS * BITS bits, empty without words); a null text counts as empty."""
+    """doc_id, fingerprint (binary, BINS * BITS bits, empty without words), one row per input row.
+
+    A null text counts as empty, null ids stay, repeated rows repeat, an empty table gives no rows, texts of any length
+    are hashed whole, other columns are not read.
+    """
 
     def run(part: pa.RecordBatch) -> dict:
         return {"doc_id": part.column("doc_id"), "fingerprint": [fingerprint(t.as_py()) for t in part.column("text")]}
 
-    return arrow_map(text_input(docs, id_col, text_col), "doc_id long, fingerprint binary", run)
+    return arrow_map(text_input(docs, id_col, text_col), "doc_id long, fingerprint binary", run, _words.clear)
 
 
 def edited(text: str, following: str) -> str:
@@ -115,10 +122,10 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def _ranges(ids: DataFrame, target_rows: int, most: int = 4_096) -> list[int]:
-    """Upper ids of consecutive ranges of about ``target_rows`` rows; at most ``most`` ranges, of more rows if need be."""
-    parts = min(most, max(1, -(-ids.count() // target_rows)))
-    return sorted({int(x) for x in ids.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
+def _ranges(ids: DataFrame, target_rows: int) -> np.ndarray:
+    """Upper ids of consecutive ranges of about ``target_rows`` rows, at most MOST_RANGES (beyond that they have more rows)."""
+    parts = min(MOST_RANGES, max(1, -(-ids.count() // target_rows)))
+    return np.unique(np.array(ids.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts), dtype=np.int64)) if parts > 1 else np.zeros(0, np.int64)
 
 
 def beside_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_rows: int = 8_192) -> DataFrame:
@@ -126,23 +133,42 @@ def beside_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The next document is that of the next smaller id, after the last the first. Ids are cut into ranges, each sorted in
     one task of about ``target_rows`` rows; the greatest row of each range also goes, as a copy, to the next range up,
-    so that nothing is sorted as a whole. Rows without an id come last, in the lowest range; rows of one id are ordered
-    by the hash of their text. A null text counts as empty.
+    so that nothing is sorted as a whole. Where a row goes is looked up in sorted arrays of the ranges' bounds. A sort
+    that outgrows memory spills, so a range that an id repeated without end has filled only takes longer.
+
+    Rows without an id come last, in the lowest range; rows of one id are ordered by the hash of their text, equal rows
+    come one after the other. A null text counts as empty, an empty table gives no rows, texts of any length are read
+    whole, other columns are not read.
     """
     rows = text_input(docs, id_col, text_col)
-    ids = rows.select("doc_id").where("doc_id is not null")
-    cuts = _ranges(ids, target_rows)
-    of = F.array_position(F.transform(F.array(*map(F.lit, cuts)), lambda c: F.coalesce(c >= F.col("doc_id"), F.lit(True))), True) if cuts else F.lit(1).cast("long")
-    of = F.when(of == 0, len(cuts) + 1).otherwise(of).cast("int")
-    tops = {r["part"]: r["top"] for r in rows.select(of.alias("part"), "doc_id").groupBy("part").agg(F.max("doc_id").alias("top")).collect()} or {1: None}
-    parts = sorted(tops)
-    above = {p: parts[(i + 1) % len(parts)] for i, p in enumerate(parts)}
-    keyed = rows.withColumn("part", of).withColumn("tie", F.xxhash64("text"))
-    table = lambda of_part: F.create_map(*(x for p in parts for x in (F.lit(p), of_part(p))))[F.col("part")]
-    is_top = F.col("doc_id").eqNullSafe(table(lambda p: F.lit(tops[p]).cast("long")))
-    sent = keyed.withColumn("to", F.explode(F.when(is_top, F.array(F.struct(F.col("part").alias("p"), F.lit(False).alias("copy")), F.struct(table(lambda p: F.lit(above[p])).alias("p"), F.lit(True).alias("copy")))).otherwise(F.array(F.struct(F.col("part").alias("p"), F.lit(False).alias("copy"))))))
-    sent = sent.select(F.col("to.p").alias("part"), F.col("to.copy").alias("copy"), "doc_id", "tie", "text")
-    dealt = sent.repartition(max(1, len(parts)), "part").sortWithinPartitions("part", "copy", F.desc_nulls_last("doc_id"), F.desc("tie"))
+    cuts = _ranges(rows.select("doc_id").where("doc_id is not null"), target_rows)
+
+    def part_of(ids: pa.Array) -> np.ndarray:
+        return np.where(pc.is_null(ids).to_numpy(zero_copy_only=False), 0, np.searchsorted(cuts, pc.fill_null(ids, 0).to_numpy()))
+
+    @F.arrow_udf("int")
+    def part(ids: pa.Array) -> pa.Array:
+        return pa.array(part_of(ids), pa.int32())
+
+    seen = sorted((r["part"], r["top"]) for r in rows.select(part("doc_id").alias("part"), "doc_id").groupBy("part").agg(F.max("doc_id").alias("top")).collect()) or [(0, None)]
+    used = np.array([p for p, _ in seen])
+    tops = np.array([-1 if t is None else t for _, t in seen])
+    bare = np.array([t is None for _, t in seen])
+
+    @F.arrow_udf("array<int>")
+    def places(ids: pa.Array) -> pa.Array:
+        """The row's range, numbered as used, and for the greatest id of a range the one above it, too, as -1 - range."""
+        at = np.searchsorted(used, part_of(ids))
+        null = pc.is_null(ids).to_numpy(zero_copy_only=False)
+        top = np.where(null, bare[at], ~bare[at] & (tops[at] == pc.fill_null(ids, 0).to_numpy()))
+        above = -1 - (at + 1) % len(used)
+        both = np.stack([at, above], axis=1)
+        keep = np.stack([np.ones(len(at), bool), top], axis=1)
+        return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(1 + top)]).astype(np.int32), pa.array(both[keep], pa.int32()))
+
+    sent = rows.withColumn("to", F.explode(places("doc_id"))).withColumn("copy", F.col("to") < 0)
+    sent = sent.select(F.when(F.col("copy"), -1 - F.col("to")).otherwise(F.col("to")).alias("part"), "copy", "doc_id", F.xxhash64("text").alias("tie"), "text")
+    dealt = sent.repartitionById(len(used), F.col("part")).sortWithinPartitions("part", "copy", F.desc_nulls_last("doc_id"), F.desc("tie"))
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
@@ -169,4 +195,4 @@ def beside_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
                     out = []
 
-    return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.mapInArrow(ending(run, _words.clear), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,18 +13,55 @@ from pyspark.sql import functions as F
 #: Rows handled at once inside a task; bounds a worker's memory whatever the Arrow batch size is.
 SLICE = 1024
 
+Batches = Iterator[pa.RecordBatch]
+
 
 def text_input(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     """(doc_id long, text string without nulls, more...): every other column is pruned, so clashing names do no harm."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def row_key(id_col: str, text_col: str) -> Column:
+    """A hash of a row's id and text."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def slices(batches: Batches) -> Batches:
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE):
             yield batch.slice(at, SLICE)
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers go on to tasks of other operators."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        return
+
+
+def ending(run: Callable[[Batches], Batches], done: Callable[[], None] | None = None) -> Callable[[Batches], Batches]:
+    """``run`` for mapInArrow; at a task's end ``done`` forgets what the task has remembered, and memory goes back."""
+
+    def whole(batches: Batches) -> Batches:
+        yield from run(batches)
+        if done:
+            done()
+        release()
+
+    return whole
+
+
 def arrow_map(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict], done: Callable[[], None] | None = None) -> DataFrame:
     """mapInArrow where ``fn`` turns a slice of rows into a dict of column name to list or array; ``done`` runs at a task's end."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -30,12 +69,10 @@ def arrow_map(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict],
 
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         for part in slices(batches):
             if part.num_rows:
                 cols = fn(part)
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for f, c in ((f, cols[f.name]) for f in arrow)], schema=arrow)
-        if done:
-            done()
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(ending(run, done), schema)

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.rows import arrow_map, text_input
+from sightline.llm.rows import arrow_map, fresh, row_key, text_input
 from sightline.plans.lineage import materialize
 
 KINDS = ("assign", "access", "hex", "bare")
@@ -80,7 +80,7 @@ def _scan(part: pa.RecordBatch) -> dict:
 
 def scan(docs: DataFrame, owner: Column, repo: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Candidates of each row, written once: they are small, and both the corpus table and the verdicts read them."""
-    rows = text_input(docs, id_col, text_col, F.coalesce(owner.cast("string"), F.lit("")).alias("owner"), F.coalesce(repo.cast("string"), F.lit("")).alias("repo"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"))
+    rows = text_input(docs, id_col, text_col, F.coalesce(owner.cast("string"), F.lit("")).alias("owner"), F.coalesce(repo.cast("string"), F.lit("")).alias("repo"), row_key(id_col, text_col).alias("key"))
     found = arrow_map(rows, "doc_id long, owner string, repo string, key long, n_assign long, n_access long, n_hex long, base string, found array<struct<start:long,kind:string,end:long,value:string>>", _scan)
     return materialize(found.withColumn("row", F.monotonically_increasing_id()), "secrets")
 
@@ -94,13 +94,14 @@ def ownership(scanned: DataFrame) -> DataFrame:
 def verdicts(scanned: DataFrame, owned: int = 1, wide: int = 5) -> DataFrame:
     """row, spans kept (array of struct start, kind, end, wide), for rows with candidates.
 
-    A value of at most ``owned`` owners looks live; one of ``wide`` or more is a copied example. Rows of one value are
+    A value of at most ``owned`` owners looks live; one that more owners have, in ``wide`` or more repositories, is a
+    copied example; one owner's many repositories don't make it one. Rows of one value are
     spread over SPREAD keys, as a copied value may sit in any share of all rows.
     """
     uses = scanned.where(F.size("found") > 0).select("row", F.explode("found").alias("f")).withColumn("salt", F.pmod(F.hash("row"), F.lit(SPREAD)))
     known = materialize(ownership(scanned), "owners").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
     judged = uses.withColumn("value", F.col("f.value")).join(known.hint("merge"), ["value", "salt"])  # many times its file's size
-    span = F.struct(F.col("f.start").alias("start"), F.when(F.col("f.kind") == "assign", 0).when(F.col("f.kind") == "access", 1).when(F.col("f.kind") == "hex", 2).otherwise(3).alias("rank"), F.col("f.kind").alias("kind"), F.col("f.end").alias("end"), (F.col("n_owners") >= wide).alias("wide"), (F.col("n_owners") <= owned).alias("live"))
+    span = F.struct(F.col("f.start").alias("start"), F.when(F.col("f.kind") == "assign", 0).when(F.col("f.kind") == "access", 1).when(F.col("f.kind") == "hex", 2).otherwise(3).alias("rank"), F.col("f.kind").alias("kind"), F.col("f.end").alias("end"), ((F.col("n_repos") >= wide) & (F.col("n_owners") > owned)).alias("wide"), (F.col("n_owners") <= owned).alias("live"))
     kept = judged.where((F.col("f.kind") != "bare") | (F.col("n_owners") <= owned))
     return kept.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("kept"))
 
@@ -110,7 +111,9 @@ def find_secrets(docs: DataFrame, owner_col: str = "source", repo_col: str = "so
 
     A null or empty text has no spans; a null owner or repository counts as one unnamed. Spans are kind:start:end in
     code points, end exclusive, by start and then kind as listed. ``n_live``: spans whose value has one owner;
-    ``n_copied``: spans whose value has many. Base spans always stay; ``bare`` ones only if owner-specific.
+    ``n_copied``: spans of copied examples. Base spans always stay; ``bare`` ones only if owner-specific. Null ids stay,
+    repeated rows repeat (and count as uses of one owner), an empty table gives no rows, texts of any length are scanned
+    whole, other columns are not read.
     """
     scanned = scan(docs, F.col(owner_col), F.col(repo_col), id_col, text_col)
     own = ["doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256")]
@@ -134,11 +137,13 @@ def mask_spans(text: str, spans: list[tuple[int, int]]) -> str:
 def mask_secrets(docs: DataFrame, owner_col: str = "source", repo_col: str = "source", id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """``docs`` with every secret in the text masked, but for widely copied examples.
 
-    All rows and other columns stay, but for a column ``length_col`` of the text's length, which follows the text.
+    All rows and other columns stay, but for a column ``length_col`` of the text's length, which follows the text. A null
+    text stays null; repeated rows, rows without an id and an empty table stay as they are but for the masks.
     """
+    key, may, own = fresh(docs, "key"), fresh(docs, "may"), fresh(docs, "cut")
     scanned = scan(docs, F.col(owner_col), F.col(repo_col), id_col, text_col)
-    cut = verdicts(scanned).select("row", F.filter("kept", lambda s: ~s["wide"]).alias("cut")).where(F.size("cut") > 0)
-    cut = materialize(cut.join(scanned.select("row", F.col("key").alias("__key")), "row").groupBy("__key").agg(F.first("cut").alias("__cut")), "cuts")
+    cut = verdicts(scanned).select("row", F.filter("kept", lambda s: ~s["wide"]).alias(own)).where(F.size(own) > 0)
+    cut = materialize(cut.join(scanned.select("row", F.col("key").alias(key)), "row").groupBy(key).agg(F.first(own).alias(own)), "cuts")
 
     @F.arrow_udf("boolean")
     def may_have(text: pa.Array) -> pa.Array:
@@ -151,9 +156,9 @@ def mask_secrets(docs: DataFrame, owner_col: str = "source", repo_col: str = "so
     def masked(text: pd.Series, cut: pd.Series) -> pd.Series:
         return text.combine(cut, lambda t, c: t if c is None else mask_spans(t, [(s["start"], s["end"]) for s in c]))
 
-    keyed = docs.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col))).withColumn("__may", may_have(F.col(text_col)))
-    joined = keyed.where("__may").join(cut, "__key", "left").withColumn(text_col, masked(F.col(text_col), F.col("__cut")))
+    keyed = docs.withColumn(key, row_key(id_col, text_col)).withColumn(may, may_have(F.col(text_col)))
+    joined = keyed.where(F.col(may)).join(cut, key, "left").withColumn(text_col, masked(F.col(text_col), F.col(own)))
     if length_col in docs.columns:
         size = F.length(text_col).cast(docs.schema[length_col].dataType)
-        joined = joined.withColumn(length_col, F.when(F.col("__cut").isNotNull(), size).otherwise(F.col(length_col)))
-    return keyed.where("not __may").select(*docs.columns).unionByName(joined.select(*docs.columns))
+        joined = joined.withColumn(length_col, F.when(F.col(own).isNotNull(), size).otherwise(F.col(length_col)))
+    return keyed.where(~F.col(may)).select(*docs.columns).unionByName(joined.select(*docs.columns))

@@ -10,9 +10,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.llm.rows import arrow_map, text_input
+from sightline.llm.rows import arrow_map, ending, fresh, row_key, text_input
 from sightline.operators.graph import connected_components
 from sightline.plans.lineage import materialize
+from sightline.plans.skew import join_counted
 
 #: Fingerprints of one bucket that a task compares at once; a larger bucket is dealt anew by more of its bits.
 BUCKET = 16_384
@@ -45,7 +46,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         values = np.array([fingerprint(t.as_py(), words) for t in part.column("text")], dtype=np.uint64)
         return {"doc_id": part.column("doc_id"), "fp": pa.array(values.view(np.int64))} | ({"key": part.column("key")} if keyed else {})
 
-    rows = text_input(docs, id_col, text_col, *([row_key(id_col, text_col)] if keyed else []))
+    rows = text_input(docs, id_col, text_col, *([row_key(id_col, text_col).alias("key")] if keyed else []))
     return arrow_map(rows, "doc_id long, fp long" + ", key long" * keyed, run)
 
 
@@ -137,7 +138,7 @@ def _compare(rows: DataFrame, key: list[str], radius: int, bound: int | None) ->
         yield from close()
 
     names = ", ".join(f"{k} long" for k in key)
-    return dealt.mapInArrow(run, f"a long, b long, again boolean, {names}")
+    return dealt.mapInArrow(ending(run), f"a long, b long, again boolean, {names}")
 
 
 def links(distinct_fps: DataFrame, radius: int = 2) -> DataFrame:
@@ -167,42 +168,43 @@ def near_groups(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", text_c
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable); one row per input row.
 
     Equal fingerprints are one node, so a group of copies of any size costs one comparison. Texts without words have
-    fingerprint 0 and link like others. Null ids never name a component unless all its ids are null.
+    fingerprint 0 and link like others. Null ids never name a component unless all its ids are null; repeated rows and ids
+    repeat in the result, texts of any length are hashed whole, other columns are not read, an empty table gives no rows.
     """
     fps = materialize(fingerprints(docs, id_col, text_col, words), "fps")
-    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")), "nodes")
     parts = connected_components(links(nodes.select("fp"), radius), "a", "b")
     least = parts.join(nodes, parts["node"] == nodes["fp"]).groupBy("component").agg(F.min("first").alias("least"))
     moved = materialize(parts.join(least, "component").select(F.col("node").alias("fp"), "least"), "moved")
-    of = materialize(nodes.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "of")
-    return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def row_key(id_col: str, text_col: str) -> F.Column:
-    """A hash of a row's id and text."""
-    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("key")
+    of = materialize(nodes.join(moved, "fp", "left").select("fp", "rows", F.coalesce("least", "first").alias("component_id")), "of")
+    return join_counted(fps, of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def first_of_groups(rows: DataFrame, linked: DataFrame) -> DataFrame:
     """``rows`` (key, doc_id, node) with first (without, doc_id, key): the first row, by id, of all whose nodes ``linked`` (a, b) connects; null ids come last."""
-    nodes = materialize(rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key")).alias("own")), "nodes")
+    nodes = materialize(rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key")).alias("own"), F.count("*").alias("rows")), "nodes")
     parts = connected_components(linked, "a", "b")
     least = parts.join(nodes, "node").groupBy("component").agg(F.min("own").alias("least"))
     moved = materialize(parts.join(least, "component").select("node", "least"), "moved")
-    of = materialize(nodes.join(moved, "node", "left").select("node", F.coalesce("least", "own").alias("first")), "of")
-    return rows.join(of, "node").select("key", "doc_id", "node", "first")
+    of = materialize(nodes.join(moved, "node", "left").select("node", "rows", F.coalesce("least", "own").alias("first")), "of")
+    return join_counted(rows, of, "node").select("key", "doc_id", "node", "first")
 
 
 def keep_first(docs: DataFrame, grouped: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``docs`` with one row of each group of ``grouped`` (key, first): of equal rows, too, one stays."""
-    gone = materialize(grouped.where("key <> first.key").select(F.col("key").alias("__key")).distinct(), "gone")
-    kept = docs.withColumn("__key", row_key(id_col, text_col)).join(gone.hint("merge"), "__key", "left_anti")  # as many keys as the corpus has copies
-    nth = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
-    return kept.withColumn("__nth", nth).where("__nth = 1").select(*docs.columns)
+    key, nth = fresh(docs, "key"), fresh(docs, "nth")
+    gone = materialize(grouped.where("key <> first.key").select(F.col("key").alias(key)).distinct(), "gone")
+    kept = docs.withColumn(key, row_key(id_col, text_col)).join(gone.hint("merge"), key, "left_anti")  # as many keys as the corpus has copies
+    kept = kept.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(key)))
+    return kept.where(F.col(nth) == 1).select(*docs.columns)
 
 
 def drop_near_copies(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group, that of the least id, null ids last."""
+    """``docs``, with all columns, with one row of each group, that of the least id, null ids last.
+
+    Rows are told apart by id and text: an id that repeats with another text loses only the text that is a copy, and of
+    equal rows one stays. Texts without words are one group; an empty table stays empty.
+    """
     fps = materialize(fingerprints(docs, id_col, text_col, keyed=True).withColumnRenamed("fp", "node"), "fps")
     grouped = first_of_groups(fps, links(fps.select(F.col("node").alias("fp")).distinct(), radius))
     return keep_first(docs, grouped, id_col, text_col)

@@ -8,6 +8,7 @@ are the running sum over words plus the table of the word that the prefix ends i
 
 from __future__ import annotations
 
+import bisect
 import re
 from functools import lru_cache
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from sightline.llm.rows import arrow_map, text_input
 
 #: Words, and pairs of tokens, that a worker remembers; beyond that it starts afresh. Results don't depend on it.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 
 
 def byte_characters() -> list[str]:
@@ -96,6 +97,11 @@ class PrefixCounter(dict):
             self[word.decode()] = count[-1]
             before = word
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+        self.fits.clear()
+
     def __missing__(self, word: str) -> int:
         return self.old.get(word) or self.row(word.encode())[-1]
 
@@ -104,6 +110,28 @@ class PrefixCounter(dict):
         self.learn({w for w in set().union(*words).difference(self) if len(w) <= 64})
         return [sum(map(self.__getitem__, w)) for w in words]
 
+    def longest_within(self, text: str, limit: int, total: int) -> int:
+        """Characters of the longest prefix of at most ``limit`` tokens; ``total`` is what the whole text has.
+
+        Sums over words lead to the word that exceeds the limit; only prefixes that end there are counted one by one.
+        """
+        if total <= limit:
+            return len(text)
+        ends, sums, n = [0], [0], 0
+        for m in self.find(text):
+            n += self[m[0]]
+            ends.append(m.end())
+            sums.append(n)
+            if len(sums) > 1 and sums[-2] > limit:  # the word after the one that exceeds the limit is needed too
+                break
+        over = bisect.bisect_right(sums, limit)  # words before it are within the limit
+        start = max(0, over - 2)
+        best = ends[over - 1]
+        for at in range(ends[over - 1] + 1, ends[min(over + 1, len(ends) - 1)] + 1):
+            if sums[start] + sum(self[w] for w in self.split(text[ends[start] : at])) <= limit:
+                best = at
+        return best
+
     def _by_character(self, word: str) -> np.ndarray:
         """Counts of the prefixes of one word, by characters, first (empty) prefix left out."""
         row = np.array(self.row(word.encode()), dtype=np.int32)
@@ -128,19 +156,22 @@ def prefix_counter(tokenizer_file: str, pattern: str) -> PrefixCounter:
 
 
 def token_counts(docs: DataFrame, tokenizer_file: str, pattern: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit), one row per input row.
+    """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit), n_chars_within, one row per input row.
 
-    A null text counts as empty: no bytes, no tokens. Special strings inside texts are ordinary text where the library
-    encodes them so, else their own token. Repeated rows give repeated results; an empty table gives none. There is no
-    shuffle; a worker keeps at most REMEMBERED words and token pairs.
+    ``n_chars_within``: characters of the longest prefix of at most ``limit`` tokens, from the same sums and tables of
+    prefixes; null where a text over the limit has special strings. A null text counts as empty: no bytes, no tokens.
+    Special strings inside texts are ordinary text where the library encodes them so, else their own token. Null ids
+    stay, repeated rows give repeated results, an empty table gives none; texts of any length are counted whole, other
+    columns are not read. There is no shuffle; a task keeps at most REMEMBERED words and token pairs.
     """
 
     def count(part: pa.RecordBatch) -> dict:
         counter, texts = prefix_counter(tokenizer_file, pattern), part.column("text").to_pylist()
         n = _with_special(counter, texts)
-        return {"doc_id": part.column("doc_id"), "n_bytes": [len(t.encode()) for t in texts], "n_tokens": n, "over_limit": [x > limit for x in n]}
+        within = [None if x > limit and any(k in t for k in counter.special) else counter.longest_within(t, limit, x) for t, x in zip(texts, n, strict=True)]
+        return {"doc_id": part.column("doc_id"), "n_bytes": [len(t.encode()) for t in texts], "n_tokens": n, "over_limit": [x > limit for x in n], "n_chars_within": within}
 
-    return arrow_map(text_input(docs, id_col, text_col), "doc_id long, n_bytes long, n_tokens long, over_limit boolean", count)
+    return arrow_map(text_input(docs, id_col, text_col), "doc_id long, n_bytes long, n_tokens long, over_limit boolean, n_chars_within long", count, lambda: prefix_counter(tokenizer_file, pattern).forget())
 
 
 def _with_special(counter: PrefixCounter, texts: list[str]) -> list[int]:
@@ -152,13 +183,17 @@ def _with_special(counter: PrefixCounter, texts: list[str]) -> list[int]:
 
 
 def prefix_tables(docs: DataFrame, tokenizer_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_chars, prefix_counts: the count of every prefix by code points, as little-endian int32 (entry 0 is 0)."""
+    """doc_id, n_chars, prefix_counts: the count of every prefix by code points, as little-endian int32 (entry 0 is 0).
+
+    One row per input row, 4 bytes a character. A null or empty text has a table of one entry; repeated rows repeat, null
+    ids stay, an empty table gives no rows, other columns are not read.
+    """
 
     def build(part: pa.RecordBatch) -> dict:
         counter, texts = prefix_counter(tokenizer_file, pattern), part.column("text").to_pylist()
         return {"doc_id": part.column("doc_id"), "n_chars": [len(t) for t in texts], "prefix_counts": [counter.prefixes(t).astype("<i4").tobytes() for t in texts]}
 
-    return arrow_map(text_input(docs, id_col, text_col), "doc_id long, n_chars long, prefix_counts binary", build)
+    return arrow_map(text_input(docs, id_col, text_col), "doc_id long, n_chars long, prefix_counts binary", build, lambda: prefix_counter(tokenizer_file, pattern).forget())
 
 
 def count_at(prefix_counts: bytes, n_chars: int) -> int:

@@ -6,7 +6,10 @@ import base64
 import gzip
 import hashlib
 import io
+import json
+import os
 import re
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from typing import BinaryIO
@@ -15,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sightline.llm.rows import ending
 from sightline.plans.lineage import materialize
 
 #: Uncompressed bytes after which a new archive begins; an archive exceeds it by one record at most.
@@ -77,11 +81,14 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
         if squeeze:
             yield close()
 
-    return dealt.mapInArrow(write, "archive string, data binary")
+    return dealt.mapInArrow(ending(write), "archive string, data binary")
 
 
 def inflate(stream: BinaryIO) -> Iterator[bytes]:
-    """The content of a gzip file of one or many members, chunk by chunk; plain content passes."""
+    """The content of a gzip file of one or many members, chunk by chunk; plain content passes, and zeros after a member.
+
+    What isn't gzip after a member, or a member without its end, raises an error: no record is lost in silence.
+    """
     raw = stream.read(CHUNK)
     if raw[:2] != b"\x1f\x8b":
         while raw:
@@ -94,9 +101,13 @@ def inflate(stream: BinaryIO) -> Iterator[bytes]:
         raw = member.unconsumed_tail
         if member.eof:
             raw = member.unused_data.lstrip(b"\0")
+            while not raw and (raw := stream.read(CHUNK)):
+                raw = raw.lstrip(b"\0")
+            if not raw:
+                return
             member = zlib.decompressobj(31)
         raw = raw or stream.read(CHUNK)
-    yield member.flush()
+    raise ValueError("the archive ends within its compressed stream")
 
 
 class _Reader:
@@ -136,12 +147,14 @@ def parse_head(head: bytes) -> dict[str, str]:
 
 
 def records(chunks: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields of the head, whole record with its end) of each record."""
+    """(fields of the head, whole record with its end) of each record; an archive cut within a record raises an error."""
     reader = _Reader(chunks)
     while True:
         reader.skip_line_ends()
         head = reader.until(b"\r\n\r\n")
         if head is None:
+            if reader.held:
+                raise ValueError("the archive ends within a record's head")
             return
         fields = parse_head(head)
         yield fields, head + reader.take(int(fields["content-length"])) + b"\r\n\r\n"
@@ -157,7 +170,11 @@ def normalise(stream: BinaryIO, level: int = 6) -> Iterator[tuple[dict, bytes]]:
 
 
 def normalise_archives(archives: DataFrame, name_col: str = "archive", data_col: str = "data", level: int = 6) -> DataFrame:
-    """archive, data (a member for each record), index (offsets of the members). For files: spark.read "binaryFile"."""
+    """archive, data (a member for each record), index (offsets of the members). For files: spark.read "binaryFile".
+
+    One row per input row. Null or empty data gives an archive without records, equal rows repeat, an empty table gives
+    no rows; a broken archive raises an error. A task holds one archive and one record at a time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,12 +185,38 @@ def normalise_archives(archives: DataFrame, name_col: str = "archive", data_col:
                     members.append(member)
                 yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()], pa.string()), pa.array([b"".join(members)], pa.binary()), pa.array([entries], INDEX_ARROW)], names=["archive", "data", "index"])
 
-    return archives.select(F.col(name_col).cast("string"), F.col(data_col)).mapInArrow(run, f"archive string, data binary, index {INDEX}")
+    return archives.select(F.col(name_col).cast("string"), F.col(data_col)).mapInArrow(ending(run), f"archive string, data binary, index {INDEX}")
 
 
 INDEX_ARROW = pa.list_(pa.struct([("record_id", pa.string()), ("uri", pa.string()), ("type", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))
 
 
+def sidecar(normalised: DataFrame) -> DataFrame:
+    """archive, record_id, uri, type, offset, length: the index as a table of its own, a row for each record."""
+    return normalised.select("archive", F.explode("index").alias("i")).select("archive", "i.*")
+
+
+def save(normalised: DataFrame, folder: str) -> DataFrame:
+    """Write <archive>.warc.gz and its sidecar <archive>.index.jsonl to a folder that all executors mount.
+
+    archive, records, bytes: a row for each archive written, once the frame is run. Files are written under another name
+    and then renamed, so a task that runs again, after an executor is lost, leaves whole files.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                lines = "".join(json.dumps(x, ensure_ascii=False) + "\n" for x in row["index"] or [])
+                for end, body in ((".warc.gz", row["data"]), (".index.jsonl", lines.encode())):
+                    path = os.path.join(folder, row["archive"] + end)
+                    with open(own := f"{path}.{uuid.uuid4().hex}", "wb") as f:
+                        f.write(body)
+                    os.replace(own, path)
+                yield pa.RecordBatch.from_pydict({"archive": [row["archive"]], "records": pa.array([len(row["index"] or [])], pa.int64()), "bytes": pa.array([len(row["data"])], pa.int64())})
+
+    return normalised.select("archive", "data", "index").mapInArrow(run, "archive string, records long, bytes long")
+
+
 def read_pages(normalised: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to: each record is read at its offset alone."""
 
@@ -186,7 +229,7 @@ def read_pages(normalised: DataFrame) -> DataFrame:
                 cols = list(zip(*rows, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return normalised.select("data", "index").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return normalised.select("data", "index").mapInArrow(ending(run), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def page_row(record: bytes) -> tuple[int | None, int, str, str, int | None]:
@@ -204,7 +247,12 @@ def page_row(record: bytes) -> tuple[int | None, int, str, str, int | None]:
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Write pages as one-stream archives, normalise these, read every record back by its offset."""
+    """Write pages as one-stream archives, normalise these, read every record back by its offset.
+
+    page_id, payload_bytes, payload_digest, record_type, refers_to; one row per input row. A null html is an empty
+    payload; rows without an id are responses; equal rows repeat; an empty table gives no rows; payloads of any length
+    are kept whole; other columns are not read.
+    """
     archives = write_archives(pages, id_col, url_col, html_col)
     archives = materialize(archives, "archives")
     normalised = materialize(normalise_archives(archives), "warc")

@@ -1,4 +1,6 @@
 import math
+import random
+import re
 import zlib
 from collections import Counter
 
@@ -68,6 +70,101 @@ def test_reparameterised_questions(spark, frame):
     assert got[2]["reparameterised"] and not got[1]["reparameterised"] and got[1]["item_id"] == 1
 
 
+def plain_template(text):
+    """Template words and slot values by a plain reading of the rules, word by word."""
+    out, begins = [], True
+    for raw in text.replace("\n", ". ").split():
+        bare = re.sub(r"^[\W_]+|[\W_]+$", "", raw)
+        ends = raw[-1] in ".!?:;"
+        if not bare:
+            if raw in ("%", "€", "$", "£"):
+                out.append(("unit", raw) if out and out[-1][0] == "number" else (raw, None))
+                begins = False
+            begins = begins or ends
+            continue
+        if bare[0].isdigit() and re.fullmatch(r"[-+(]?[$€£]?\d[\d.,:/-]*[%]?", bare):
+            out.append(("number", bare.lower()))
+        elif out and out[-1][0] == "number" and bare.lower() in decontaminate.UNITS:
+            out.append(("unit", bare.lower()))
+        elif bare[0].isupper() and (len(bare) == 1 or bare[1:].islower()) and not begins:
+            if out and out[-1][0] == "name":
+                out[-1] = ("name", f"{out[-1][1]} {bare.lower()}")
+            else:
+                out.append(("name", bare.lower()))
+        else:
+            out.append((bare.lower(), None))
+        begins = ends
+    return out
+
+
+def plain_leaks(rows, items, coverage=0.5):
+    """(doc_id, item_id, coverage, reparameterised) by comparing every window of every item with every place of every row."""
+    of, out = {}, set()
+    for item, text in sorted(items):
+        t = plain_template(text or "")
+        if len(t) >= decontaminate.LEAST_WORDS:
+            of.setdefault(tuple(w for w, _ in t), (item, t))
+    for doc_id, text in rows:
+        d = plain_template(text or "")
+        at = {}
+        for size in {min(8, len(t)) for _, t in of.values()}:
+            for p in range(len(d) - size + 1):
+                at.setdefault(tuple(x for x, _ in d[p : p + size]), []).append(p)
+        for item, t in of.values():
+            size = min(8, len(t))
+            met = sorted((p - w, w, p) for w in range(len(t) - size + 1) for p in at.get(tuple(x for x, _ in t[w : w + size]), ()))
+            stretches, last = [], None
+            for line, w, p in met:
+                if last is None or line - last > 32:
+                    stretches.append([])
+                stretches[-1].append((w, p))
+                last = line
+            best = (0, False)
+            for own in stretches:
+                pairs = {w: {(a[1], b[1]) for a, b in zip(t[w : w + size], d[p : p + size], strict=True) if a[1] is not None} for w, p in own}
+                each = [(w, {(a[1], b[1]) for a, b in zip(t[w : w + size], d[p : p + size], strict=True) if a[1] is not None}) for w, p in own]
+                every = set().union(*(x for _, x in each)) if pairs else set()
+                agree = len(every) == len({i for i, _ in every})
+                n = len({w for w, x in each if agree or all(i == v for i, v in x)})
+                best = max(best, (n, not (agree and any(i != v for i, v in every))))
+            if best[0] >= coverage * (len(t) - size + 1):
+                out.add((doc_id, item, round(best[0] / (len(t) - size + 1), 9), not best[1]))
+    return out
+
+
+def found_leaks(df, items):
+    return {(r["doc_id"], r["item_id"], round(r["coverage"], 9), r["reparameterised"]) for r in decontaminate.leaks(df, items).collect()}
+
+
+def test_leaks_equal_brute_force(spark, docs, edge, frame, sf_dir):
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert found_leaks(docs, bench) == plain_leaks(rows, [tuple(r) for r in bench.select("item_id", "text").collect()])
+    rng = random.Random(11)
+    words = "the train goes to a city of Paris Lyon Metz with 3 4 5 km hours and then back again from town".split()
+    items = [(k, " ".join(rng.choice(words) for _ in range(rng.choice([5, 9, 14, 30])))) for k in range(20)]
+    texts = []
+    for k in range(60):
+        own = []
+        for _ in range(3):
+            part = rng.choice(items)[1].split()
+            for _ in range(rng.randrange(3)):
+                at = rng.randrange(len(part))
+                part[at] = rng.choice(words)
+            own += part[rng.randrange(3) :] + ["so"] * rng.randrange(3)
+        texts.append((k, " ".join(own)))
+    assert found_leaks(frame(texts), benchmark(spark, items)) == plain_leaks(texts, items)
+    assert len(plain_leaks(texts, items)) > 20
+
+
+def test_repeated_window_and_contradicting_lines(spark, frame):
+    item = "we went by train to the city of Paris and there we saw that the town of Paris has many old bridges"
+    window = " ".join(item.split()[:7])
+    texts = [(1, " so ".join([window + " city"] * 9)), (2, item.replace("city of Paris and", "city of Lyon and so so").replace("town of Paris", "town of Metz")), (3, item.replace("Paris", "Lyon")), (4, item)]
+    got = {r["doc_id"]: r["reparameterised"] for r in decontaminate.leaks(frame(texts), benchmark(spark, [(1, item)])).collect()}
+    assert got == {3: True, 4: False}
+
+
 def test_leaks_edge_cases(spark, edge, none):
     items = benchmark(spark, [(1, passage(1)), (2, None), (3, "The quick brown fox jumps")])
     assert {r["doc_id"] for r in decontaminate.leaks(edge, items).collect()} == {4, 5}

@@ -63,6 +63,15 @@ def test_stored_tables_answer_budgets(frame):
         assert token_counts.count_at(rows[r["doc_id"]]["prefix_counts"], 10**6) == counter.prefixes(text)[-1]
 
 
+def test_longest_prefix_within_the_limit(frame, library):
+    texts = odd_texts(40, seed=5) + ["a  b   c    d\n\n  e", "it're  don't", "    x", "", "one two three four five"]
+    for limit in (0, 1, 3, 7):
+        got = token_counts.token_counts(frame(list(enumerate(texts))), JSON, P.PATTERN, limit=limit).collect()
+        for r in got:
+            text = texts[r["doc_id"]]
+            assert r["n_chars_within"] == max(i for i in range(len(text) + 1) if len(library.encode(text[:i], add_special_tokens=False).ids) <= limit), (text, limit)
+
+
 def test_round_trip_equals_reference(docs, edge, none, reference):
     for df in (docs, edge):
         want = []

@@ -2,6 +2,8 @@ import base64
 import gzip
 import hashlib
 import io
+import json
+import zlib
 
 import pytest
 from pyspark.sql import types as T
@@ -72,3 +74,28 @@ def test_input_forms():
         assert found == ([record, other] if raw else [])
     with pytest.raises(ValueError):
         list(warc.normalise(io.BytesIO(gzip.compress(record[:-10]))))
+
+
+def test_cut_archives_raise():
+    record = warc.page_record(1, "http://a/", b"hello", None, "2020-01-01T00:00:00Z")
+    other = warc.page_record(2, "http://b/", b"more", None, "2020-01-01T00:00:00Z")
+    whole = gzip.compress(record + other)
+    for raw in (record + other[:20], gzip.compress(record + other[:20]), whole[:-12], whole[: len(whole) // 2], whole + b"junk", gzip.compress(record) + whole[:30]):
+        with pytest.raises((ValueError, zlib.error)):
+            list(warc.normalise(io.BytesIO(raw)))
+    assert len(list(warc.normalise(io.BytesIO(whole + b"\0" * 100)))) == 2
+
+
+def test_files_and_sidecar(pages, tmp_path):
+    normalised = warc.normalise_archives(warc.write_archives(pages))
+    saved = {r["archive"]: r for r in warc.save(normalised, str(tmp_path)).collect()}
+    assert sum(r["records"] for r in saved.values()) == len(PAGES)
+    rows = 0
+    for name, r in saved.items():
+        data = (tmp_path / f"{name}.warc.gz").read_bytes()
+        assert len(data) == r["bytes"]
+        for line in (tmp_path / f"{name}.index.jsonl").read_text().splitlines():
+            entry = json.loads(line)
+            assert entry["record_id"].encode() in gzip.decompress(data[entry["offset"] : entry["offset"] + entry["length"]])
+            rows += 1
+    assert rows == warc.sidecar(normalised).count() == len(PAGES)
