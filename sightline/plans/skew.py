@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 HOT = 1_000
 
 
-def join_counted(rows: DataFrame, of: DataFrame, key: str, total: int | None = None) -> DataFrame:
+def join_counted(rows: DataFrame, of: DataFrame, key: str, total: int | None = None, hot: int = HOT) -> DataFrame:
     """``rows`` inner-joined to ``of`` (key, rows, ...), one row a key, where its column ``rows`` counts the key's rows.
 
-    Hot keys, at most HOT of them whatever the table's size, are broadcast; the others meet by a shuffle in which each
+    Hot keys, at most ``hot`` of them whatever the table's size, are broadcast; the others meet by a shuffle in which each
     has less than that share of all rows. ``total`` is the number of all rows, if it is known.
     """
     total = total if total is not None else of.agg(F.sum("rows")).first()[0] or 0
-    often = F.col("rows") * HOT >= total
+    often = F.col("rows") * hot >= total
     marked = rows.join(F.broadcast(of.where(often)), key, "left")
     others = marked.where("rows is null").select(*rows.columns).join(of.where(~often), key)
     return marked.where("rows is not null").select(*others.columns).union(others)
