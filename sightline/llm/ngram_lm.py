@@ -1,44 +1,38 @@
-"""Stupid-backoff scores: bigram counts partitioned by hash, joined to each document's bigrams, summed per document.
+"""Stupid-backoff scores, computed relationally: count tables of n-grams, joined to the exploded n-grams, summed by document.
 
-A text is cut into blocks of documents, and a block's bigrams are counted and dealt to partitions by the hash of their
-first word, so that one partition sees the count of a bigram, the number of documents it is in and the count of its
-first word. What backs off is dealt on by the hash of its second word, where the count of that is known; the parts of
-each document's sum then meet in a partition of its block. Rows between the steps are packed columns of numbers, one
-row for each pair of partitions, as rows of their own would take several times the space.
-
-A word that is very frequent is dealt by the hash of the bigram instead; which words are so is told from a bounded
-sample and has no bearing on results, their exact counts come from one pass over all texts.
+A document is exploded to one row for each distinct run of three words (u, v, w) that it has, with its own number of
+them. Dealt by the hash of (v, w), the rows are counted as trigrams and as bigrams in one pass. Values are worked out on
+the tables of the n-grams that enough documents hold, which are a small part of all, and joined to the exploded rows by
+the same hash; what backs off to single words is joined to the counts of words, and all is summed by document.
 """
 
 from __future__ import annotations
 
-import zlib
+import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sightline.llm.rows import slices, text_input
+from sightline.llm.rows import Batches, ending, slices, text_input
+from sightline.plans.lineage import materialize
 
-#: Words in a block, a bound on a task's memory (one document more may exceed it); documents in a block.
-BLOCK_WORDS, BLOCK_DOCS = 1_500_000, 60_000
-#: Words of this share of a sample are dealt by bigram: at most 1 / FREQUENT of them, from at most SAMPLE documents.
-FREQUENT, SAMPLE = 1 / 1_000, 2_000
+BACKOFF = 0.4
+#: Words remembered in a task; results don't depend on it.
 REMEMBERED = 300_000
-#: Words are known by 48 bits of their XXH64. Reserved: a document's first word, and its end.
-WORD_BITS, FIRST, END = 48, 1, 2
-BACKOFF, SCORE, PAIRS, COUNTS, DOCS = 0.4, 0, 1, 2, 3
-SCHEMA = "part int, kind int, src long, body binary"
-_NAMES = ["part", "kind", "src", "body"]
-_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+#: A pair of words of this share of a bounded sample is dealt over SALTS keys: at most 1 / FREQUENT pairs are.
+FREQUENT, SAMPLE, SALTS = 1 / 1_000, 2_000, 32
+#: Words whose counts are broadcast where what backs off meets the counts of words: those of this share of all words.
+WORDS = 65_536
 
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        h = max(xxhash.xxh64_intdigest(word, 42) >> (64 - WORD_BITS), 3)
+        h = xxhash.xxh64_intdigest(word, 42) or 1
         if len(self) >= REMEMBERED:
             self.clear()
         if len(word) <= 64:
@@ -50,289 +44,173 @@ _words = _Words()
 
 
 def word_hashes(text: str) -> np.ndarray:
-    """Words are lower-cased (A-Z) runs without ASCII white space."""
+    """Words are lower-cased (A-Z) runs without ASCII white space; each is known by its XXH64, never 0."""
     own = text.encode().lower().split()
     return np.fromiter(map(_words.__getitem__, own), np.uint64, len(own))
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _bigram(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return _mix(_mix(a) * np.uint64(0x9E3779B97F4A7C15) + b)
-
-
-def _pack(*columns: np.ndarray) -> bytes:
-    """Columns of whole or floating numbers; words in 6 bytes as they are, the rest compressed."""
-    out = []
-    for c in columns:
-        if c.dtype == np.uint64:
-            raw, kind = np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes(), b"w"
-        else:
-            raw, kind = zlib.compress(c.tobytes(), 1), c.dtype.str[1:].encode()[:1] + str(c.dtype.itemsize).encode()
-        out.append(kind.ljust(2) + len(raw).to_bytes(8, "little") + raw)
-    return b"".join(out)
-
-
-def _unpack(body: bytes) -> list[np.ndarray]:
-    out, at = [], 0
-    while at < len(body):
-        kind, n = body[at : at + 2].strip().decode(), int.from_bytes(body[at + 2 : at + 10], "little")
-        raw, at = body[at + 10 : at + 10 + n], at + 10 + n
-        if kind == "w":
-            wide = np.zeros((n // 6, 8), np.uint8)
-            wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-            out.append(wide.view("<u8").ravel())
-        else:
-            out.append(np.frombuffer(zlib.decompress(raw), kind))
-    return out
-
-
-def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_NAMES)
-
-
-def _cuts(sorted_parts: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(value, start, end) of each run of equal values."""
-    if len(sorted_parts):
-        starts = np.concatenate([[0], np.flatnonzero(np.diff(sorted_parts)) + 1, [len(sorted_parts)]])
-        for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            yield int(sorted_parts[s]), s, e
-
-
-class _Deal:
-    """Where words and bigrams go; counts of the frequent words."""
-
-    def __init__(self, parts: int, words: np.ndarray, counts: np.ndarray, total: int):
-        order = np.argsort(words)
-        self.parts, self.words, self.counts, self.total = parts, words[order], counts[order], total
-
-    def frequent(self, w: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.words, w), max(0, len(self.words) - 1))
-        return self.words[at] == w if len(self.words) else np.zeros(len(w), bool)
-
-    def count(self, w: np.ndarray) -> np.ndarray:
-        return self.counts[np.searchsorted(self.words, w)]
-
-    def of_word(self, w: np.ndarray) -> np.ndarray:
-        return (_mix(w) % np.uint64(self.parts)).astype(np.int32)
-
-    def of_bigram(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.where(self.frequent(a), (_bigram(a, b) % np.uint64(self.parts)).astype(np.int32), self.of_word(a))
-
-    def of_block(self, block: np.ndarray) -> np.ndarray:
-        return (_mix(block.astype(np.uint64)) % np.uint64(self.parts)).astype(np.int32)
-
-
-def _block_rows(deal: _Deal, block: int, ids: list, texts: list[np.ndarray]) -> pa.RecordBatch:
-    """Rows of one block: its bigrams by partition, and its documents."""
-    sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    valid = np.array([i is not None for i in ids])
-    rows = [(int(deal.of_block(np.array([block]))[0]), DOCS, block, _pack(np.array([i or 0 for i in ids], dtype=np.int64), valid, sizes))]
-    full = [t for t in texts if len(t)]
-    if full:
-        doc = np.repeat(np.flatnonzero(sizes), sizes[sizes > 0])
-        w = np.concatenate(full)
-        starts = np.concatenate([[0], np.cumsum(sizes[sizes > 0])[:-1]])
-        follows = np.concatenate([w[1:], [np.uint64(END)]])
-        follows[np.concatenate([starts[1:] - 1, [len(w) - 1]])] = END
-        first, second = np.concatenate([w, w[starts]]), np.concatenate([follows, np.full(len(starts), FIRST, np.uint64)])
-        doc = np.concatenate([doc, doc[starts]])
-        names = np.unique(np.concatenate([w, np.array([FIRST, END], np.uint64)]))
-        pair = np.searchsorted(names, first).astype(np.uint64) * np.uint64(len(names)) + np.searchsorted(names, second).astype(np.uint64)
-        key, own = np.unique(pair << np.uint64(16) | doc.astype(np.uint64), return_counts=True)
-        pair, at, docs_of = np.unique(key >> np.uint64(16), return_index=True, return_counts=True)
-        a, b = names[(pair // np.uint64(len(names))).astype(np.int64)], names[(pair % np.uint64(len(names))).astype(np.int64)]
-        part = deal.of_bigram(a, b)
-        order = np.argsort(part, kind="stable")
-        doc = (key & np.uint64(0xFFFF)).astype(np.uint16)
-        own = own.astype(np.uint32)
-        for p, s, e in _cuts(part[order]):
-            mine = order[s:e]
-            n = docs_of[mine]
-            entries = np.repeat(at[mine] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            runs = np.concatenate([[0], np.flatnonzero(np.diff(a[mine])) + 1])
-            lengths = np.diff(np.concatenate([runs, [len(mine)]])).astype(np.uint32)
-            rows.append((p, PAIRS, block, _pack(a[mine][runs], lengths, b[mine], n.astype(np.uint16), doc[entries], own[entries])))
-    return _rows(rows)
-
-
-def _map_blocks(deal) -> object:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        task, made, ids, texts, words = TaskContext.get().partitionId(), 0, [], [], 0
-        for part in slices(batches):
-            for i, t in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                own = word_hashes(t.as_py())
-                ids.append(i)
-                texts.append(own)
-                words += len(own)
-                if words >= BLOCK_WORDS or len(ids) >= BLOCK_DOCS:
-                    yield _block_rows(deal.value, task << 24 | made, ids, texts)
-                    made, ids, texts, words = made + 1, [], [], 0
-        if ids:
-            yield _block_rows(deal.value, task << 24 | made, ids, texts)
-        _words.clear()
-
-    return run
-
-
-def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, int, bytes]]]]:
-    """(part, its rows); rows come sorted by part."""
-    now, held = None, []
-    for batch in batches:
-        for part, kind, src, body in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            if part != now:
-                if held:
-                    yield now, held
-                now, held = part, []
-            held.append((kind, src, body))
-    if held:
-        yield now, held
-
-
-def _sums(deal: _Deal, src: int, block: np.ndarray, doc: np.ndarray, value: np.ndarray) -> Iterator[tuple[int, int, int, bytes]]:
-    """Rows with the summed value of each document, by the partition of its block."""
-    key, at = np.unique(block.astype(np.uint64) << np.uint64(16) | doc.astype(np.uint64), return_inverse=True)
-    total = np.bincount(at, weights=value, minlength=len(key))
-    block, doc = (key >> np.uint64(16)).astype(np.int64), (key & np.uint64(0xFFFF)).astype(np.uint16)
-    part = deal.of_block(block)
-    order = np.argsort(part, kind="stable")
-    for p, s, e in _cuts(part[order]):
-        mine = order[s:e]
-        yield p, SCORE, src, _pack(block[mine], doc[mine], total[mine])
-
-
-def _score_pairs(deal, min_docs: int) -> object:
-    """Join the counts of bigrams to the bigrams of each document; deal on what backs off, and counts of words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here = deal.value
-        for part, held in _by_part(batches):
-            docs = [(part, DOCS, src, body) for kind, src, body in held if kind == DOCS]
-            if docs:
-                yield _rows(docs)
-            cols = [(src, *_unpack(body)) for kind, src, body in held if kind == PAIRS]
-            if not cols:
-                continue
-            a = np.concatenate([np.repeat(c[1], c[2]) for c in cols])
-            b, n = np.concatenate([c[3] for c in cols]), np.concatenate([c[4] for c in cols]).astype(np.int64)
-            doc, own = np.concatenate([c[5] for c in cols]), np.concatenate([c[6] for c in cols]).astype(np.int64)
-            block = np.repeat(np.array([c[0] for c in cols]), [len(c[5]) for c in cols])
-            uses = np.add.reduceat(own, np.concatenate([[0], np.cumsum(n)[:-1]]))
-            _, at = np.unique(_bigram(a, b), return_inverse=True)
-            count, spread = np.bincount(at, weights=uses)[at], np.bincount(at, weights=n)[at]
-            names, at = np.unique(a, return_inverse=True)
-            word_count = np.bincount(at, weights=np.where(b == FIRST, 0, uses))
-            often = here.frequent(names)
-            word_count[often] = here.count(names[often])
-            first, end = b == FIRST, b == END
-            seen = (spread >= min_docs) & ~first & ~end
-            back = ~seen & ~first & ~end
-            value = np.zeros(len(a))
-            value[seen] = np.log(count[seen]) - np.log(word_count[at[seen]])
-            value[first] = np.log(word_count[at[first]]) - np.log(here.total)
-            value[back] = np.log(BACKOFF) - np.log(here.total)
-            easy = back & here.frequent(b)
-            value[easy] += np.log(here.count(b[easy]))
-            yield from map(_rows, ([row] for row in _sums(here, part, block, doc, np.repeat(value, n) * own)))
-            yield _rows([(part, COUNTS, part, _pack(names[~often], word_count[~often].astype(np.int64)))])
-            hard = np.repeat(back & ~easy, n)
-            word, block, doc, own = np.repeat(b, n)[hard], block[hard], doc[hard], own[hard]
-            to = here.of_word(word)
-            order = np.lexsort((doc, block, to))
-            for p, s, e in _cuts(to[order]):
-                mine = order[s:e]
-                yield _rows([(p, PAIRS, part, _pack(word[mine], block[mine], doc[mine], own[mine].astype(np.uint32)))])
-
-    return run
-
-
-def _score_words(deal) -> object:
-    """Join the counts of words to what backs off to them, and sum what has come for each document so far."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here = deal.value
-        for part, held in _by_part(batches):
-            docs = [(part, DOCS, src, body) for kind, src, body in held if kind == DOCS]
-            if docs:
-                yield _rows(docs)
-            of = {kind: [_unpack(body) for k, _, body in held if k == kind] for kind in (SCORE, PAIRS, COUNTS)}
-            block, doc, value = ([c[k] for c in of[SCORE]] for k in range(3))
-            if of[PAIRS]:
-                names, counts = (np.concatenate([c[k] for c in of[COUNTS]]) for k in range(2))
-                order = np.argsort(names)
-                word, more_block, more_doc, own = (np.concatenate([c[k] for c in of[PAIRS]]) for k in range(4))
-                block, doc = [*block, more_block], [*doc, more_doc]
-                value = [*value, np.log(counts[order][np.searchsorted(names[order], word)]) * own]
-            if block:
-                yield from map(_rows, ([row] for row in _sums(here, part, np.concatenate(block), np.concatenate(doc), np.concatenate(value))))
-
-    return run
-
-
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, held in _by_part(batches):
-        sums = [_unpack(body) for kind, _, body in held if kind == SCORE]
-        block, doc, value = (np.concatenate([c[k] for c in sums]) if sums else np.zeros(0, np.int64) for k in range(3))
-        order = np.argsort(block, kind="stable")
-        span = {b: (s, e) for b, s, e in _cuts(block[order])}
-        for kind, src, body in held:
-            if kind == DOCS:
-                ids, valid, sizes = _unpack(body)
-                s, e = span.get(src, (0, 0))
-                mine = order[s:e]
-                total = np.bincount(doc[mine].astype(np.int64), weights=value[mine], minlength=len(ids))
-                mean = np.divide(total, sizes, out=np.zeros(len(ids)), where=sizes > 0)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=~valid.astype(bool)), pa.array(sizes), pa.array(total), pa.array(mean)], names=["doc_id", "n_words", "log_score", "mean_log_score"])
-
-
-def _frequent(rows: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(frequent words, their exact counts, number of words of all texts). At most 1 / FREQUENT words."""
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            own, n = np.unique(np.concatenate([word_hashes(t.as_py()) for t in part.column(1)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), pa.array(n)], names=["word", "n"])
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = (a ^ (a >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + b
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def runs(words: np.ndarray, order: int) -> tuple[np.ndarray, ...]:
+    """u, v, w, n, first of a document: its distinct runs, how often it has each, and 1 at one run of each (v, w).
+
+    0 stands for no word: the run of the first word is (0, 0, w), that of the second (0, v, w). Of an ``order`` below 3, u
+    (and v) is 0 throughout.
+    """
+    none = np.zeros(1, np.uint64)
+    v = np.concatenate([none, words[:-1]]) if order > 1 else np.zeros(len(words), np.uint64)
+    u = np.concatenate([none, v[:-1]]) if order > 2 else np.zeros(len(words), np.uint64)
+    at = np.lexsort((u, v, words))
+    u, v, w = u[at], v[at], words[at]
+    new2 = np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])])
+    new3 = np.concatenate([[True], new2[1:] | (u[1:] != u[:-1])])
+    at = np.flatnonzero(new3)
+    return u[at], v[at], w[at], np.diff(np.concatenate([at, [len(w)]])), new2[at].astype(np.int64)
 
-    some = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003)) < int(min(1.0, SAMPLE / max(1, n_docs)) * 1_000_003))
-    tallied = some.mapInArrow(tally, "word long, n long")
-    words = tallied.groupBy("word").agg(F.sum("n").alias("n"))
+
+def _often(rows: DataFrame, n_docs: int, order: int) -> np.ndarray:
+    """Hashes of the pairs (v, w) that are frequent in a sample of about SAMPLE documents, sorted; at most 1 / FREQUENT."""
+
+    def tally(batches: Batches) -> Batches:
+        for part in slices(batches):
+            each = [runs(h, order)[1:4] for t in part.column("text") if len(h := word_hashes(t.as_py()))]
+            if each:
+                pairs, at = np.unique(np.concatenate([_mixed(v, w) for v, w, _ in each]), return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs.view(np.int64)), pa.array(np.bincount(at, minlength=len(pairs)).astype(np.int64))], names=["pair", "n"])
+
+    share = int(min(1.0, SAMPLE / max(1, n_docs)) * 1_000_003)
+    some = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003)) < share)
+    tallied = materialize(some.mapInArrow(ending(tally, _words.clear), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
     least = (tallied.agg(F.sum("n")).first()[0] or 0) * FREQUENT
-    often = np.sort(np.array([r["word"] for r in words.where(F.col("n") >= max(1.0, least)).orderBy(F.desc("n")).limit(int(1 / FREQUENT)).collect()], dtype=np.uint64))
+    found = tallied.where(F.col("n") >= max(2.0, least)).orderBy(F.desc("n"), "pair").limit(int(1 / FREQUENT)).collect()
+    return np.sort(np.array([r["pair"] for r in found], dtype=np.int64).view(np.uint64))
+
+
+def explode(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """u, v, w, salt, row, n, first: the runs of every document, and a row (doc_id, row, 0) with its number of words.
+
+    ``row`` numbers the input rows, so rows of equal id or text are told apart. ``salt`` is 0, but for frequent (v, w)
+    one of SALTS numbers, the same for all runs of a document.
+    """
+    rows = text_input(docs, id_col, text_col)
+    often = docs.sparkSession.sparkContext.broadcast(_often(rows, rows.count(), order))
+    names = ["u", "v", "w", "salt", "row", "n", "first"]
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, total = np.zeros(len(often) + 1, dtype=np.int64), 0
+    def run(batches: Batches) -> Batches:
+        hot = often.value
         for part in slices(batches):
-            for t in part.column(1):
-                own = word_hashes(t.as_py())
-                at = np.searchsorted(often, own)
-                at[at == len(often)] = 0
-                counts += np.bincount(np.where(often[at] == own, at, len(often)) if len(often) else np.zeros(len(own), np.int64), minlength=len(often) + 1)
-                total += len(own)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(often) + 1)), pa.array(counts), pa.array(np.full(len(often) + 1, total))], names=["at", "n", "total"])
+            ids, numbers = part.column("doc_id").to_pylist(), part.column("row").to_pylist()
+            cols: list[list] = [[] for _ in names]
+            for doc_id, row, text in zip(ids, numbers, part.column("text"), strict=True):
+                words = word_hashes(text.as_py())
+                own = [np.zeros(0, np.uint64)] * 3 + [np.zeros(0, np.int64)] * 2
+                if len(words):
+                    own = runs(words, order)
+                u, v, w, n, first = own
+                at = np.minimum(np.searchsorted(hot, pair := _mixed(v, w)), max(0, len(hot) - 1))
+                salt = np.where(hot[at] == pair, 1 + row % SALTS, 0) if len(hot) else np.zeros(len(w), np.int64)
+                for c, x in zip(cols, (u.view(np.int64), v.view(np.int64), w.view(np.int64), salt, np.full(len(w), row), n, first), strict=True):
+                    c.append(x)
+                for c, x in zip(cols, (doc_id or 0, row, 0, -(doc_id is None), row, len(words), 0), strict=True):
+                    c.append(np.array([x], np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=names)
+
+    numbered = rows.withColumn("row", F.monotonically_increasing_id())
+    return numbered.mapInArrow(ending(run, _words.clear), ", ".join(f"{n} long" for n in names))
+
+
+def _salted(values: DataFrame) -> DataFrame:
+    """A row for each salt that the rows of an n-gram may have."""
+    every = F.sequence(F.lit(1), F.lit(SALTS)).cast("array<bigint>")
+    return values.withColumn("salt", F.explode(F.when(F.col("hot"), every).otherwise(F.array(F.lit(0).cast("long"))))).drop("hot")
+
+
+def count_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """w, n: every word's hash and count, added up in each task first; a written table."""
+
+    def tally(batches: Batches) -> Batches:
+        for part in slices(batches):
+            own, n = np.unique(np.concatenate([word_hashes(t.as_py()) for t in part.column("text")]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n.astype(np.int64))], names=["w", "n"])
+
+    counted = text_input(docs, id_col, text_col).mapInArrow(ending(tally, _words.clear), "w long, n long")
+    return materialize(counted.groupBy("w").agg(F.sum("n").alias("n")), "words")
 
-    seen = {r["at"]: r for r in rows.mapInArrow(exact, "at long, n long, total long").groupBy("at").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()}
-    counts = np.array([seen[k]["n"] if k in seen else 0 for k in range(len(often))], dtype=np.int64)
-    return often, counts, max((r["total"] for r in seen.values()), default=0)
 
+def count_tables(grams: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
+    """Trigrams (u, v, w, n, hot) and bigrams (v, w, n, hot) that at least ``min_docs`` documents hold, from ``explode``.
+
+    One pass over rows dealt by (v, w, salt), where trigrams and bigrams can both be counted; what few documents hold
+    goes at once, the rest is written, and the counts of the salts are added up.
+    """
+    dealt = grams.where("w <> 0").repartition("v", "w", "salt")
+    tri = dealt.groupBy("u", "v", "w", "salt").agg(F.sum("n").alias("n"), F.count("*").alias("docs"), F.sum("first").alias("firsts"))
+    pair = Window.partitionBy("v", "w", "salt")
+    tri = tri.withColumn("n2", F.sum("n").over(pair)).withColumn("docs2", F.sum("firsts").over(pair)).withColumn("one", F.col("u") == F.min("u").over(pair))
+    tri = tri.withColumn("three", F.expr(f"u <> 0 and (docs >= {min_docs} or salt > 0)")).withColumn("two", F.expr(f"one and v <> 0 and (docs2 >= {min_docs} or salt > 0)"))
+    held = materialize(tri.where("three or two").select("u", "v", "w", "salt", "n", "docs", "n2", "docs2", "three", "two"), "grams")
+
+    def counted(table: DataFrame, n: str, docs: str, *keys: str) -> DataFrame:
+        out = table.groupBy(*keys).agg(F.sum(n).alias("n"), F.sum(docs).alias("docs"), (F.max("salt") > 0).alias("hot"))
+        return out.where(F.col("docs") >= min_docs).drop("docs")
 
-def score(docs: DataFrame, min_docs: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return counted(held.where("three"), "n", "docs", "u", "v", "w"), counted(held.where("two"), "n2", "docs2", "v", "w")
+
+
+@contextmanager
+def _joined_where_they_lie(spark: SparkSession) -> Iterator[None]:
+    """Rows dealt by (v, w, salt) are joined by (u, v, w, salt), too, without being dealt anew."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def score(docs: DataFrame, min_docs: int = 2, order: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, log_score (natural log, summed over words), mean_log_score; one row per input row.
 
-    Counts are those of all texts. A word after another scores count(pair) / count(first) if ``min_docs`` documents or
-    more hold the pair, else BACKOFF * count(word) / words in all; a text's first word count(word) / words in all. A
-    null or empty text has no words and scores 0, repeated rows count each time, an empty table gives no rows.
+    Counts are those of all texts, of runs of up to ``order`` (1 to 3) words. An n-gram that fewer than ``min_docs`` documents hold has count 0: with 2, what
+    only the document itself has tells nothing. A word w after u, v scores count(u, v, w) / count(u, v), else BACKOFF
+    times its score after v alone, which is count(v, w) / count(v), else BACKOFF times count(w) / words in all; a text's
+    second word has no u, and its first no v.
+
+    A null or empty text has no words and scores 0, rows without an id and repeated rows are scored like others and count
+    each, an empty table gives no rows; texts of any length are read whole, other columns are not read.
     """
-    spark = docs.sparkSession
-    rows = text_input(docs, id_col, text_col)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    words, counts, total = _frequent(rows, docs.count())
-    deal = spark.sparkContext.broadcast(_Deal(parts, words, counts, total))
-    for step in (_map_blocks(deal), _score_pairs(deal, min_docs), _score_words(deal)):
-        rows = rows.mapInArrow(step, SCHEMA).repartitionById(parts, F.col("part")).sortWithinPartitions("part")
-    return rows.mapInArrow(_finish, "doc_id long, n_words long, log_score double, mean_log_score double")
+    words = count_words(docs, id_col, text_col)
+    total = words.agg(F.sum("n")).first()[0] or 0
+    grams = explode(docs, order, id_col, text_col)
+    trigrams, bigrams = count_tables(grams, min_docs)
+    # values of bigrams: log(n / count of the first word); of trigrams: log(n / count of the first two)
+    of_first = words.select(F.col("w").alias("v"), F.col("n").alias("below"))
+    value2 = bigrams.join(of_first, "v").select("v", "w", "hot", F.log(F.col("n") / F.col("below")).alias("value2"))
+    of_two = bigrams.select(F.col("v").alias("u"), F.col("w").alias("v"), F.col("n").alias("below"))
+    value3 = trigrams.join(of_two, ["u", "v"]).select("u", "v", "w", "hot", F.log(F.col("n") / F.col("below")).alias("value3"))
+    key2, key3 = ["v", "w", "salt"], ["u", "v", "w", "salt"]
+    dealt = grams.repartition(*key2)  # all three by (v, w, salt), so that the rows of documents move once
+    met = dealt.join(_salted(value2).repartition(*key2), key2, "left").join(_salted(value3).repartition(*key2), key3, "left")
+    back = math.log(BACKOFF)
+    known = F.coalesce(F.col("value3"), F.when(F.col("u") != 0, F.lit(back)).otherwise(0.0) + F.col("value2"))
+    steps = F.when(F.col("u") != 0, 2 * back).when(F.col("v") != 0, back).otherwise(0.0)
+    doc, often = F.col("w") == 0, F.broadcast(words.where(F.col("n") * WORDS >= total).select("w", F.col("n").alias("count")))
+    single = lambda count: F.log(count / float(max(1, total))) + F.col("steps")
+    met = met.withColumn("steps", steps).join(often, "w", "left").withColumn("value", F.coalesce(known, single(F.col("count"))) * F.col("n"))
+    rest = F.when(~doc & F.col("value").isNull(), F.col("w"))
+    each = met.withColumn("rest", rest).groupBy("row", "rest").agg(
+        F.max(F.when(doc & (F.col("salt") == 0), F.col("u"))).alias("doc_id"), F.max(F.when(doc, F.col("n"))).alias("n_words"), F.sum(F.when(~doc, F.col("value"))).alias("value"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("steps")).alias("steps")
+    )
+    with _joined_where_they_lie(docs.sparkSession):
+        each = materialize(each, "sums")
+    done = each.where("rest is null").select("row", "doc_id", "n_words", "value")
+    rare = each.where("rest is not null").select("row", F.col("rest").alias("w"), "n", "steps").join(words.select("w", F.col("n").alias("count")), "w")
+    none = F.lit(None).cast("long")
+    rare = rare.select("row", none.alias("doc_id"), none.alias("n_words"), (F.col("n") * F.log(F.col("count") / float(max(1, total))) + F.col("steps")).alias("value"))
+    out = done.unionByName(rare).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.coalesce(F.sum("value"), F.lit(0.0)).alias("log_score"))
+    mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).otherwise(0.0)
+    return out.select("doc_id", "n_words", "log_score", mean.alias("mean_log_score"))

@@ -17,25 +17,51 @@ def benchmark(spark, items):
     return spark.createDataFrame(items, "item_id long, text string")
 
 
-def test_scores_equal_brute_force(docs, edge, none):
+def plain_scores(rows, order, min_docs=2):
+    """(doc_id, n_words, log_score) by counting runs of words in dictionaries."""
+    rows = [(i, (t or "").encode().lower().split()) for i, t in rows]
+    counts, spread = Counter(), Counter()
+    for _, w in rows:
+        grams = [tuple(w[k : k + n]) for n in range(1, order + 1) for k in range(len(w) - n + 1)]
+        counts.update(grams)
+        spread.update(set(grams))
+    total, out = sum(n for g, n in counts.items() if len(g) == 1), []
+    for doc_id, w in rows:
+        s = 0.0
+        for k in range(len(w)):
+            for n in range(min(order, k + 1), 0, -1):
+                gram = tuple(w[k - n + 1 : k + 1])
+                if n == 1 or spread[gram] >= min_docs:
+                    s += math.log(counts[gram] / (counts[gram[:-1]] if n > 1 else total))
+                    break
+                s += math.log(0.4)
+        out.append((str(doc_id), len(w), s))
+    return sorted(out)
+
+
+def scored(df, **options):
+    return sorted((str(r["doc_id"]), r["n_words"], r["log_score"]) for r in ngram_lm.score(df, **options).collect())
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_scores_equal_brute_force(docs, edge, order):
     for df in (docs, edge):
-        rows = [(r["doc_id"], (r["text"] or "").encode().lower().split()) for r in df.collect()]
-        words, pairs, spread = Counter(), Counter(), Counter()
-        for _, w in rows:
-            words.update(w)
-            pairs.update(zip(w, w[1:], strict=False))
-            spread.update(set(zip(w, w[1:], strict=False)))
-        total = sum(words.values())
-        want = []
-        for doc_id, w in rows:
-            s = math.log(words[w[0]] / total) if w else 0.0
-            for p in zip(w, w[1:], strict=False):
-                s += math.log(pairs[p] / words[p[0]]) if spread[p] >= 2 else math.log(0.4 * words[p[1]] / total)
-            want.append((str(doc_id), len(w), s))
-        got = sorted((str(r["doc_id"]), r["n_words"], r["log_score"]) for r in ngram_lm.score(df).collect())
-        for a, b in zip(got, sorted(want), strict=True):
+        want = plain_scores([(r["doc_id"], r["text"]) for r in df.collect()], order)
+        for a, b in zip(scored(df, order=order), want, strict=True):
             assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-9, abs=1e-7)
+
+
+def test_scores_of_hot_pairs_and_rare_words(frame, monkeypatch):
+    monkeypatch.setattr(ngram_lm, "WORDS", 30)
+    texts = [(k, f"same pair {passage(k, 6)} same pair {k} x") for k in range(200)] + [(None, "same pair"), (7, "same pair"), (7, "same pair")]
+    for options in ({}, {"min_docs": 1}, {"min_docs": 5}):
+        for a, b in zip(scored(frame(texts), **options), plain_scores(texts, 3, **options), strict=True):
+            assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-9, abs=1e-7)
+
+
+def test_scores_without_words(frame, none):
     assert ngram_lm.score(none).count() == 0
+    assert scored(frame([(1, None), (2, ""), (2, ""), (None, "  ")])) == [("1", 0, 0.0), ("2", 0, 0.0), ("2", 0, 0.0), ("None", 0, 0.0)]
 
 
 def test_leaks_equal_plain_search(spark, docs, sf_dir):
