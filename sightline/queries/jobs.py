@@ -92,12 +92,6 @@ def d15_derive_profile(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("ordinal").cast("long").alias("ordinal"), "class_id", "n")
 
 
-@query("with o as (select image_id, count(*) n, count(distinct class_id) k from detections group by 1) select k, count(*) panels, sum(n)::bigint boxes from o group by 1", "detections")
-def d24_dataset_report(spark: SparkSession, d: str) -> DataFrame:
-    o = view(spark, d, "detections").groupBy("image_id").agg(F.count("*").alias("n"), F.count_distinct("class_id").alias("k"))
-    return o.groupBy("k").agg(F.count("*").alias("panels"), F.sum("n").alias("boxes"))
-
-
 @query(f"with {qd.GOOD}, m as (select gt_id, {qd.CASE} class_id, image_id from good where cls < 4) select class_id, count(*) instances, count(distinct image_id) images, case when count(*) < 50 then 'untrainable' when count(*) < 300 then 'weak' else 'reliable' end status from m group by 1", "label_lines")
 def d11_remap_to_coverage(spark: SparkSession, d: str) -> DataFrame:
     kept = ds.remap(qd._labels(spark, d).drop("class_id"), qd._map(spark, 4))[0]
@@ -120,13 +114,6 @@ def d16_strategy_mix(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@query("with m as (select p_brand label, avg(p_retailprice) / 2500 map_50_95 from part group by 1) select label, row_number() over (order by map_50_95 desc, label) place from m qualify place <= 5")
-def d8_model_report(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "part").groupBy(F.col("p_brand").alias("label")).agg((F.avg("p_retailprice") / 2500).alias("m"))
-    top = m.orderBy(F.desc("m"), "label").limit(5)
-    return top.select("label", F.row_number().over(Window.orderBy(F.desc("m"), "label")).cast("long").alias("place"))
-
-
 CASES = (("p1", "contactor", 4), ("p1", "overload_relay", 4), ("p1", "mcb", 2), ("p2", "vfd", 2), ("p2", "line_reactor", 1), ("p2", "cooling_fan", 2), ("p3", "plc", 1), ("p3", "io_module", 4), ("p3", "power_supply", 1), ("p4", "mcb", 18), ("p4", "rccb", 2), ("p4", "busbar", 1), ("p5", "capacitor", 6), ("p5", "pf_controller", 1), ("p6", "terminal_block", 1))
 
 
@@ -141,29 +128,6 @@ def d26_panel_types(spark: SparkSession, d: str) -> DataFrame:
     return types.groupBy("panel_type", "reason").agg(F.count("*").alias("n"))
 
 
-@query(f"with t as (select doc_id, {qc.DEVICE_TEXT} text from documents) select doc_id, 3 n_components, 1 n_terminals, 1 n_edges from t")
-def d23_document_graph(spark: SparkSession, d: str) -> DataFrame:
-    t = qc._devices(spark, d)
-    tags = tx.document_tags(t, "doc_id")
-    n = tags.groupBy("doc_id").agg(F.count_if(F.col("kind") == "component").cast("int").alias("n_components"), F.count_if(F.col("kind") == "terminal").cast("int").alias("n_terminals"))
-    e = cp.expected_graph(tags, tx.document_links(t, "doc_id"), "doc_id")[1].groupBy("doc_id").agg(F.count("*").cast("int").alias("n_edges"))
-    return n.join(e, "doc_id")
-
-
-@query(None)
-def d22_image_pairs(spark: SparkSession, d: str) -> DataFrame:
-    diff = qc.j18_object_diff(spark, d)
-    return diff.groupBy("image_id").agg(F.count("*").alias("n"), F.count_if(F.col("type") == "moved_object").alias("moved"))
-
-
-@query("select gt_id, abs(hash_bits) >= 0 ok from (select gt_id, 1 hash_bits from ground_truth)", "ground_truth")
-def g2_connections(spark: SparkSession, d: str) -> DataFrame:
-    none = spark.createDataFrame([], "ref_id string, comp_type string, kind string")
-    wires = view(spark, d, "ground_truth").select(F.col("gt_id").cast("string").alias("wire_uid"), F.lit(None).cast("string").alias("from_terminal"), F.lit("a").alias("from_component"), F.lit("t").alias("to_terminal"), F.lit("b").alias("to_component"), F.lit("red").alias("color"))
-    edges = cp.wire_graph(none, none, wires)[1]
-    return edges.select(F.col("edge").cast("long").alias("gt_id"), ((F.col("src") == "a") & (F.col("dst") == "t")).alias("ok"))
-
-
 @query("select det_id, concat_ws(',', case when a <> c and d <> a then 'wrong_source' end, case when b <> d and c <> b then 'wrong_destination' end) issues from (select det_id, det_id % 3 a, det_id % 5 b, det_id % 4 c, det_id % 7 d from detections)", "detections")
 def g6_endpoint_issues(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("det_id")
@@ -177,44 +141,6 @@ def g8_drop_covered(spark: SparkSession, d: str) -> DataFrame:
     return cp.drop_covered(w, 30.0).select("panel_id", "wire_id")
 
 
-@query("select 'component' kind, class_id \"name\", count(*) n from detections group by 2 union all select 'wire', 's' || source, count(*) from detections group by 2", "detections")
-def g9_topology(spark: SparkSession, d: str) -> DataFrame:
-    rows = view(spark, d, "detections")
-    a = rows.groupBy(F.col("class_id").alias("name")).agg(F.count("*").alias("n")).select(F.lit("component").alias("kind"), "name", "n")
-    return a.unionByName(rows.groupBy(F.concat(F.lit("s"), "source").alias("name")).agg(F.count("*").alias("n")).select(F.lit("wire").alias("kind"), "name", "n"))
-
-
-@query("select case when n_k is null then 'priority' else 'other' end kind, sum(n)::bigint n from (select class_id, count(*) n, case when class_id in ('mcb', 'plc') then null else 1 end n_k from detections group by 1) group by 1", "detections")
-def a17_acquisition(spark: SparkSession, d: str) -> DataFrame:
-    n = inv.counts(view(spark, d, "detections")).groupBy("class_id").agg(F.sum("n").alias("n"))
-    return n.groupBy(F.when(F.col("class_id").isin("mcb", "plc"), "priority").otherwise("other").alias("kind")).agg(F.sum("n").alias("n"))
-
-
-@query(f"with {RULES} select rule, count(*) n_classes, round(sum(weight), 6)::double total from rules group by 1")
-def a48_rule_summary(spark: SparkSession, d: str) -> DataFrame:
-    seen = inv.counts(view(spark, d, "detections")).select("class_id").distinct()
-    r = rules.rule_weights(spark)
-    return r.join(F.broadcast(seen.withColumn("seen", F.lit(1))), "class_id", "left").groupBy("rule").agg(F.count("*").alias("n_classes"), R(F.sum("weight"), "total"))
-
-
-@query("select case when det_id % 3 = 0 then 'red' else 'blue' end color, count(*) n from detections group by 1", "detections")
-def a49_colour_counts(spark: SparkSession, d: str) -> DataFrame:
-    return view(spark, d, "detections").groupBy(F.when(F.col("det_id") % 3 == 0, "red").otherwise("blue").alias("color")).agg(F.count("*").alias("n"))
-
-
-@query("select count(*) filter (where n < 300) n_weak, case when sum(n) < 500 then 'few_images' end warning from (select class_id, count(*) n from detections group by 1)", "detections")
-def a50_health(spark: SparkSession, d: str) -> DataFrame:
-    n = view(spark, d, "detections").groupBy("class_id").agg(F.count("*").alias("n"))
-    return n.agg(F.count_if(F.col("n") < 300).alias("n_weak"), F.when(F.sum("n") < 500, "few_images").alias("warning"))
-
-
-@query(None)
-def p26_augment(spark: SparkSession, d: str) -> DataFrame:
-    v = view(spark, d, "vectors").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
-    noisy = v.withColumn("s", 0.9 + 0.2 * F.rand(7)).withColumn("x", F.transform("x", lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x * F.col("s"))))).drop("s")
-    return v.unionByName(noisy).select("vec_id", "label", F.size("x").alias("n"))
-
-
 @query("select image_id, det_id, row_number() over (partition by image_id order by (x2 - x1) desc, det_id) new_id from detections", "detections")
 def w11_renumber(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("image_id").orderBy(F.desc(F.col("x2") - F.col("x1")), "det_id")
@@ -316,12 +242,6 @@ def s23_split_of_path(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", files.split_of(p).alias("split"))
 
 
-@query("select 'coco' kind")
-def s24_detect_kind(spark: SparkSession, d: str) -> DataFrame:
-    paths = table(spark, d, "pages").select(F.concat(F.lit("d/img"), "page_id", F.lit(".jpg")).alias("path")).unionByName(table(spark, d, "pages").limit(1).select(F.lit("d/annotations/instances.json").alias("path")))
-    return files.detect_kind(paths)
-
-
 @query(None)
 def g7_merge_segments(spark: SparkSession, d: str) -> DataFrame:
     from sightline.operators.wires import merge_segments

@@ -81,13 +81,6 @@ def p15_alert_routing(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("a is not null").select("det_id", F.col("label").alias("alert"))
 
 
-@query("select det_id from detections where y2 > y1 and (x2 - x1) / (y2 - y1) >= 0.8", "detections")
-def p14_fall(spark: SparkSession, d: str) -> DataFrame:
-    from sightline.functions import geometry as g
-
-    return view(spark, d, "detections").where((g.height(g.box()) > 0) & (F.try_divide(g.width(g.box()), g.height(g.box())) >= 0.8)).select("det_id")
-
-
 @query("select user_id, cast(max(ts) as date) \"day\" from events group by 1")
 def f24_local_day(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").withColumn("t", F.unix_seconds(F.col("ts").cast("timestamp")))

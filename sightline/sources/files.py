@@ -124,8 +124,8 @@ def sidecar_boxes(labels: DataFrame, sidecar: DataFrame, image: str = "image_id"
     return sidecar.join(n, image, "left").select(image, F.coalesce("n", F.lit(0)).alias("n"), F.posexplode("boxes").alias("pos", "box")).select(image, (F.col("n") + F.col("pos")).cast("int").alias("box_index"), "box")
 
 
-def detect_kind(paths: DataFrame, path: str = "path") -> DataFrame:
-    """kind of a data set, from the paths of its files: yolo, coco, voc, classification, images or unknown."""
+def detect_kind(paths: DataFrame, path: str = "path", *by: str) -> DataFrame:
+    """kind of each data set, from the paths of its files: yolo, coco, voc, classification, images or unknown."""
     p = F.lower(path)
     image = p.rlike(rf"\.({'|'.join(IMAGE_SUFFIXES)})$")
     has = {
@@ -136,6 +136,6 @@ def detect_kind(paths: DataFrame, path: str = "path") -> DataFrame:
         "images": F.bool_or(image),
     }
     folders = F.count_distinct(F.when(image, F.regexp_extract(p, r"([^/]+)/[^/]+$", 1)))
-    flags = paths.agg(*[c.alias(k) for k, c in has.items()], folders.alias("folders"))
+    flags = paths.groupBy(*by).agg(*[c.alias(k) for k, c in has.items()], folders.alias("folders"))
     kind = F.when(F.col("labels") | (F.col("yaml") & F.col("images")), "yolo").when(F.col("coco"), "coco").when(F.col("voc"), "voc").when(F.col("images") & (F.col("folders") >= 2), "classification").when(F.col("images"), "images").otherwise("unknown")
-    return flags.select(kind.alias("kind"))
+    return flags.select(*by, kind.alias("kind"))
