@@ -27,12 +27,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     cur = raw.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     cur, before = materialize(cur, "cc"), None
     total = cur.count()
-    for _ in range(max_rounds):
+    for _ in range(max_rounds if total else 0):
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both, 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("rows"))
-        small = join_counted(large, least, "u", total)
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u")  # hubs have been relinked to their least neighbour: few edges have the same u here
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         cur = materialize(small.where("u <> v").distinct(), "cc")
         now = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 998_244_353)).first()
@@ -40,5 +40,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             break
         before, total = now, now[0]
     else:
-        raise RuntimeError("connected components did not settle")
+        if total:
+            raise RuntimeError("connected components did not settle")
     return nodes.join(cur.withColumnRenamed("u", "node"), "node", "left").select("node", F.coalesce("v", "node").alias("component"))
