@@ -180,10 +180,9 @@ def near_groups(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", text_c
     return join_counted(fps, of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def first_of_groups(rows: DataFrame, linked: DataFrame) -> DataFrame:
-    """``rows`` (key, doc_id, node) with first (without, doc_id, key): the first row, by id, of all whose nodes ``linked`` (a, b) connects; null ids come last."""
+def first_of_groups(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """``rows`` (key, doc_id, node) with first (without, doc_id, key): the first row, by id, of all whose nodes have the same component in ``parts`` (node, component); null ids come last."""
     nodes = materialize(rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key")).alias("own"), F.count("*").alias("rows")), "nodes")
-    parts = connected_components(linked, "a", "b")
     least = parts.join(nodes, "node").groupBy("component").agg(F.min("own").alias("least"))
     moved = materialize(parts.join(least, "component").select("node", "least"), "moved")
     of = materialize(nodes.join(moved, "node", "left").select("node", "rows", F.coalesce("least", "own").alias("first")), "of")
@@ -206,5 +205,5 @@ def drop_near_copies(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", t
     equal rows one stays. Texts without words are one group; an empty table stays empty.
     """
     fps = materialize(fingerprints(docs, id_col, text_col, keyed=True).withColumnRenamed("fp", "node"), "fps")
-    grouped = first_of_groups(fps, links(fps.select(F.col("node").alias("fp")).distinct(), radius))
+    grouped = first_of_groups(fps, connected_components(links(fps.select(F.col("node").alias("fp")).distinct(), radius), "a", "b"))
     return keep_first(docs, grouped, id_col, text_col)
