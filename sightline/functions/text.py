@@ -17,6 +17,9 @@ WIRE = r"(?i)\b(W\d{1,4}|wire\s*\d{1,4})\b"
 CONNECTION = r"(?i)([A-Z]{1,3}\d{1,3}(?::[0-9A-Z]{1,4})?)\s*(?:-|--|->|=>|→|to)\s*([A-Z]{1,3}\d{1,3}(?::[0-9A-Z]{1,4})?)"
 TAG_TYPES = {"Q": "circuit_breaker", "F": "fuse", "K": "relay", "KM": "contactor", "KA": "relay", "T": "transformer", "X": "terminal_block", "S": "switch", "H": "indicator_lamp", "P": "meter", "M": "motor", "G": "generator", "U": "converter", "A": "assembly", "PLC": "plc"}
 
+#: Patterns that each text is tested for.
+MOST_SIGNATURES = 10_000
+
 
 def normalise(label: Column) -> Column:
     """Lower case, runs of other than letters and digits as one underscore, none at the ends."""
@@ -43,22 +46,26 @@ def resolve(labels: DataFrame, aliases: DataFrame, label: str = "label") -> Data
 
     ``aliases``: alias (normalised), class_id, ordinal; a bounded table. Distinct labels are resolved once each.
     """
-    a = F.broadcast(aliases.select("alias", F.col("class_id").alias("__class"), "ordinal"))
+    a = aliases.select("alias", F.col("class_id").alias("__class"), "ordinal")
     names = labels.select(label).distinct().withColumn("__key", normalise(F.col(label)))
-    key = F.col("__key")
-    hit = (F.length(key) > 0) & ((key == F.col("alias")) | (F.concat("alias", F.lit("s")) == key) | ((F.length("alias") >= 4) & F.contains(key, F.col("alias"))))
-    stage = F.when(key == F.col("alias"), 0).when(F.concat("alias", F.lit("s")) == key, 1).otherwise(2)
-    best = names.join(a, hit).groupBy(label).agg(F.min_by("__class", F.struct(stage.alias("s"), (-F.length("alias")).alias("l"), F.col("ordinal").alias("o"))).alias("class_id"))
+    one = lambda stage: F.struct(F.lit(stage).alias("s"), (-F.length("alias")).alias("l"), F.col("ordinal").alias("o"))
+    equal = names.join(a, F.col("__key") == F.col("alias")).select(label, one(0).alias("rank"), "__class")
+    plural = names.join(a, F.col("__key") == F.concat("alias", F.lit("s"))).select(label, one(1).alias("rank"), "__class")
+    # every stretch of a label that may be an alias meets the aliases by hash, not each label each alias
+    spans = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("__key")), lambda i: F.transform(F.sequence(F.lit(4), F.greatest(F.lit(4), F.length("__key") - i + 1)), lambda n: F.substr("__key", i, n)))))
+    inside = names.where(F.length("__key") >= 4).select(label, F.explode(spans).alias("span")).join(a, F.col("span") == F.col("alias")).where(F.length("alias") >= 4).select(label, one(2).alias("rank"), "__class")
+    best = equal.unionByName(plural).unionByName(inside).groupBy(label).agg(F.min_by("__class", "rank").alias("class_id"))
     return labels.join(best, label, "left")
 
 
 def signature_match(texts: DataFrame, signatures: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, maker, family, specificity: the most specific signature that a text matches, the first of equals.
 
-    ``signatures``: pattern, maker, family, specificity, ordinal; a bounded table.
+    ``signatures``: pattern, maker, family, specificity, ordinal; at most MOST_SIGNATURES rows.
     """
-    s = F.broadcast(signatures)
-    found = texts.join(s, F.expr(f"{text} rlike pattern"))
+    if signatures.count() > MOST_SIGNATURES:
+        raise ValueError(f"every text is tested for every signature: at most {MOST_SIGNATURES}")
+    found = texts.join(F.broadcast(signatures), F.expr(f"{text} rlike pattern"))
     w = Window.partitionBy(key).orderBy(F.desc("specificity"), "ordinal")
     return found.withColumn("__r", F.row_number().over(w)).where("__r = 1").select(key, "maker", "family", "specificity")
 

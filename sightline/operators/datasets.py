@@ -75,7 +75,7 @@ def coverage(classes: DataFrame, per_class: DataFrame, target: int = RELIABLE) -
 
 def remap(labels: DataFrame, class_map: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(labels with the mapped class, dropped labels). ``class_map``: cls, class_id; a bounded label space."""
-    m = F.broadcast(class_map.select(F.col("cls").alias("__c"), F.col("class_id")))
+    m = class_map.select(F.col("cls").alias("__c"), F.col("class_id"))
     on = F.col("cls") == F.col("__c")
     return labels.join(m, on).drop("__c"), labels.join(m, on, "left_anti")
 

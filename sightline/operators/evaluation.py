@@ -34,21 +34,25 @@ def match(gts: DataFrame, preds: DataFrame, ious: Sequence[float] = (0.5,), same
     In a frame (and class, if ``same_class``) predictions are taken by score, each gets the free ground truth of the
     highest overlap, at least the threshold; of equal overlaps the last. The pairs are found once for all thresholds.
     """
-    keys = ["thr", "image_id", "class_id"] if same_class else ["thr", "image_id"]
+    keys = ["image_id", "class_id"] if same_class else ["image_id"]
     pairs = overlaps(gts, preds, min(ious), same_class)
     options = pairs.groupBy("image_id", "det_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("k"), (-F.col("gt_id")).alias("g"), F.col("gt_class").alias("c")))).alias("options"))
     rows = preds.select("image_id", "det_id", "class_id", "score").join(options, ["image_id", "det_id"], "left")
-    rows = rows.withColumn("thr", F.explode(F.array(*map(F.lit, ious))))
-    rows = rows.withColumn("options", F.filter("options", lambda o: -o["k"] >= F.col("thr")))
-    one = F.struct((-F.col("score")).alias("s"), F.col("det_id").alias("d"), F.col("class_id").alias("cls"), F.col("options").alias("o"))
+    none = F.expr("cast(array() as array<struct<k:double,g:bigint,c:string>>)")
+    one = F.struct((-F.col("score")).alias("s"), F.col("det_id").alias("d"), F.col("class_id").alias("cls"), F.coalesce("options", none).alias("o"))
     start = F.struct(F.expr("cast(array() as array<bigint>)").alias("used"), F.expr("cast(array() as array<struct<s:double,d:bigint,cls:string,g:bigint,c:string>>)").alias("out"))
 
-    def step(acc: Column, p: Column) -> Column:
-        free = F.get(F.filter(F.coalesce(p["o"], F.expr("cast(array() as array<struct<k:double,g:bigint,c:string>>)")), lambda o: ~F.array_contains(acc["used"], o["g"])), F.lit(0))
-        used = F.when(free.isNull(), acc["used"]).otherwise(F.concat(acc["used"], F.array(free["g"])))
-        return F.struct(used.alias("used"), F.concat(acc["out"], F.array(F.struct(p["s"].alias("s"), p["d"].alias("d"), p["cls"].alias("cls"), (-free["g"]).alias("g"), free["c"].alias("c")))).alias("out"))
+    def at(thr: Column) -> Column:
+        def step(acc: Column, p: Column) -> Column:
+            free = F.get(F.filter(p["o"], lambda o: (-o["k"] >= thr) & ~F.array_contains(acc["used"], o["g"])), F.lit(0))
+            used = F.when(free.isNull(), acc["used"]).otherwise(F.concat(acc["used"], F.array(free["g"])))
+            return F.struct(used.alias("used"), F.concat(acc["out"], F.array(F.struct(p["s"].alias("s"), p["d"].alias("d"), p["cls"].alias("cls"), (-free["g"]).alias("g"), free["c"].alias("c")))).alias("out"))
 
-    done = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(one), lambda a, b: _compare(a, b)).alias("all")).select("thr", "image_id", F.explode(F.aggregate("all", start, step)["out"]).alias("m"))
+        return F.struct(thr.alias("thr"), F.aggregate("all", start, step)["out"].alias("out"))
+
+    # one group for each frame (and class) serves all thresholds: rows are multiplied after the shuffle, not before
+    frames = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(one), lambda a, b: _compare(a, b)).alias("all"))
+    done = frames.select("image_id", F.explode(F.array(*[at(F.lit(t)) for t in ious])).alias("r")).select(F.col("r.thr").alias("thr"), "image_id", F.explode("r.out").alias("m"))
     return done.select("thr", "image_id", F.col("m.d").alias("det_id"), F.col("m.cls").alias("class_id"), (-F.col("m.s")).alias("score"), F.col("m.g").alias("gt_id"), F.col("m.c").alias("gt_class"))
 
 
@@ -68,7 +72,7 @@ def rates(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
 def class_counts(matched: DataFrame, gts: DataFrame) -> DataFrame:
     """thr, class_id, tp, fp, fn, support and the rates; classes of either side."""
     hit = matched.groupBy("thr", "class_id").agg(F.count("gt_id").alias("tp"), F.count("*").alias("n"))
-    truth = gts.groupBy("class_id").agg(F.count("*").alias("support")).join(F.broadcast(matched.select("thr").distinct()), how="inner")
+    truth = gts.groupBy("class_id").agg(F.count("*").alias("support")).join(matched.select("thr").distinct(), how="inner")
     both = hit.join(truth, ["thr", "class_id"], "full_outer").fillna(0, ["tp", "n", "support"])
     both = both.withColumn("fp", F.col("n") - F.col("tp")).withColumn("fn", F.greatest(F.lit(0), F.col("support") - F.col("tp"))).drop("n")
     return both.withColumns(rates(F.col("tp"), F.col("fp"), F.col("fn")))
@@ -98,7 +102,7 @@ def average_precision(matched: DataFrame, gts: DataFrame) -> DataFrame:
     """thr, class_id, ap: area under the precision envelope over recall, for each class with ground truth."""
     support = gts.groupBy("class_id").agg(F.count("*").alias("support"))
     gained = precision_curve(matched).where("tp = 1").groupBy("thr", "class_id").agg(F.sum("envelope").alias("area"))
-    every = support.join(F.broadcast(matched.select("thr").distinct()), how="inner")
+    every = support.join(matched.select("thr").distinct(), how="inner")
     return every.join(gained, ["thr", "class_id"], "left").select("thr", "class_id", F.coalesce(F.col("area") / F.col("support"), F.lit(0.0)).alias("ap"))
 
 
@@ -139,8 +143,10 @@ def best_thresholds(gts: DataFrame, preds: DataFrame, grid: Sequence[float] = tu
     matching serves the whole grid.
     """
     m = match(gts, preds, (iou,))
-    points = m.select("class_id", "score", F.col("gt_id").isNotNull().alias("hit")).withColumn("threshold", F.explode(F.filter(F.array(*map(F.lit, grid)), lambda t: t <= F.col("score"))))
-    sums = points.groupBy("class_id", "threshold").agg(F.sum(F.col("hit").cast("long")).alias("tp"), F.count("*").alias("n"))
+    steps = F.array(*map(F.lit, sorted(grid)))
+    reached = m.select("class_id", F.size(F.filter(steps, lambda t: t <= F.col("score"))).alias("k"), F.col("gt_id").isNotNull().cast("long").alias("hit"))
+    counts = reached.groupBy("class_id", "k").agg(F.sum("hit").alias("hit"), F.count("*").alias("n")).where("k > 0")  # a row for each class and step
+    sums = counts.withColumn("threshold", F.explode(F.slice(steps, F.lit(1), F.col("k")))).groupBy("class_id", "threshold").agg(F.sum("hit").alias("tp"), F.sum("n").alias("n"))
     classes = preds.select("class_id").distinct().join(gts.groupBy("class_id").agg(F.count("*").alias("support")), "class_id", "left").withColumn("threshold", F.explode(F.array(*map(F.lit, grid))))
     all_points = classes.join(sums, ["class_id", "threshold"], "left").fillna(0, ["tp", "n", "support"]).withColumn("fp", F.col("n") - F.col("tp")).withColumn("fn", F.col("support") - F.col("tp")).withColumns(rates(F.col("tp"), F.col("n") - F.col("tp"), F.col("support") - F.col("tp")))
     w = Window.partitionBy("class_id").orderBy(F.desc("f1"), "threshold")

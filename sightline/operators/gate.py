@@ -158,7 +158,7 @@ def judge(cands: DataFrame, classes: DataFrame, cfg: GateConfig = GateConfig())
 
     ``classes`` is the class table, one row for each class; a class that it lacks passes the geometry gate.
     """
-    dim = F.broadcast(classes.select("class_id", "ar_lo", "ar_hi", "area_lo", "area_hi", "min_conf"))
+    dim = classes.select("class_id", "ar_lo", "ar_hi", "area_lo", "area_hi", "min_conf")
     rows = cands.join(dim, "class_id", "left").withColumn("drop_reason", plausibility_reason(cfg)).withColumn("__thr", threshold(cfg))
     low = F.col("drop_reason").isNull() & (F.col("score") < F.col("__thr"))
     rows = rows.withColumn("demoted_from", F.when(low & (F.col("score") >= cfg.unknown_floor), F.col("class_id")))

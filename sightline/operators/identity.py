@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -81,10 +81,10 @@ def nearest(probes: DataFrame, gallery: DataFrame, probe_id: str, identity: str,
         held = probes.sparkSession.sparkContext.broadcast(g.toPandas())
         found = p.mapInPandas(lambda parts: best((own, held.value) for own in parts), schema)
     else:
-        blocks = -(-n // BLOCK)
-        dealt = g.withColumn("b", F.pmod(F.xxhash64("identity"), F.lit(blocks)))
-        asked = p.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("b", F.col("b").cast("long"))
-        found = asked.groupBy("b").cogroup(dealt.groupBy("b")).applyInPandas(lambda a, b: pd.concat([pd.DataFrame({"probe": [], "identity": [], "score": []}), *best((a.iloc[i : i + BLOCK], b) for i in range(0, len(a), BLOCK))]), schema)
+        blocks, asking = -(-n // BLOCK), max(1, -(-probes.count() // (8 * BLOCK)))
+        dealt = g.withColumn("b", F.pmod(F.xxhash64("identity"), F.lit(blocks))).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(asking - 1)))).withColumn("a", F.col("a").cast("long"))
+        asked = p.withColumn("a", F.pmod(F.xxhash64("probe"), F.lit(asking))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("b", F.col("b").cast("long"))
+        found = asked.groupBy("a", "b").cogroup(dealt.groupBy("a", "b")).applyInPandas(lambda a, b: pd.concat([pd.DataFrame({"probe": [], "identity": [], "score": []}), *best((a.iloc[i : i + BLOCK], b) for i in range(0, len(a), BLOCK))]), schema)
     w = Window.partitionBy("probe").orderBy(F.desc("score"), "identity")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("probe").cast(probes.schema[probe_id].dataType).alias(probe_id), "rank", F.col("identity").cast(gallery.schema[identity].dataType).alias(identity), "score")
 
@@ -115,31 +115,53 @@ def open_set(decided: DataFrame, truth: DataFrame, enrolled: DataFrame, probe_id
     return rates.join(macro)
 
 
-def pair_scores(df: DataFrame, row_id: str, identity: str, vec: str) -> DataFrame:
-    """kind (genuine or impostor), a, b, s: cosine of every unordered pair, block by block.
-
-    All pairs are the result that is asked for, as when thresholds are set on a bounded evaluation set. Rows are dealt
-    to blocks by hash and pairs of blocks meet as groups, each compared as a matrix.
-    """
+def _by_blocks(df: DataFrame, row_id: str, identity: str, vec: str, compare: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """Rows are dealt to blocks by hash, and pairs of blocks meet as groups; ``compare`` gets (genuine, a, b, cosine) of each pair."""
     n = df.count()
     blocks = max(1, -(-n // BLOCK))
     rows = df.select(F.col(row_id).cast("long").alias("id"), F.col(identity).cast("string").alias("who"), F.col(vec).alias("v")).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     sent = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "id", "who", "v")
 
-    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf["b"] == key[0]], pdf[pdf["b"] == key[1]]
         sims = _matrix(left["v"]) @ _matrix(right["v"]).T if len(left) and len(right) else np.zeros((len(left), len(right)))
         a, b = np.meshgrid(left["id"].to_numpy(), right["id"].to_numpy(), indexing="ij")
         same = left["who"].to_numpy(dtype=str)[:, None] == right["who"].to_numpy(dtype=str)[None, :]
         own = a < b if key[0] == key[1] else a != b
-        return pd.DataFrame({"kind": np.where(same[own], "genuine", "impostor"), "a": np.minimum(a, b)[own], "b": np.maximum(a, b)[own], "s": sims[own]})
+        return compare(same[own], np.minimum(a, b)[own], np.maximum(a, b)[own], sims[own])
+
+    return sent.groupBy("i", "j").applyInPandas(meet, schema)
+
+
+def pair_scores(df: DataFrame, row_id: str, identity: str, vec: str) -> DataFrame:
+    """kind (genuine or impostor), a, b, s: cosine of every unordered pair, for a bounded evaluation set.
+
+    ``pair_counts`` gives what rates and curves need without a row for each pair.
+    """
+    rows = lambda same, a, b, s: pd.DataFrame({"kind": np.where(same, "genuine", "impostor"), "a": a, "b": b, "s": s})
+    return _by_blocks(df, row_id, identity, vec, rows, "kind string, a long, b long, s double")
+
+
+def pair_counts(df: DataFrame, row_id: str, identity: str, vec: str, digits: int = 5) -> DataFrame:
+    """kind, s (cosine to ``digits`` digits), n: how many unordered pairs have it; each block is counted in its task."""
+
+    def count(same: np.ndarray, a: np.ndarray, b: np.ndarray, s: np.ndarray) -> pd.DataFrame:
+        own = pd.DataFrame({"kind": np.where(same, "genuine", "impostor"), "s": np.round(s, digits) + 0.0})
+        return own.groupby(["kind", "s"], as_index=False).size().rename(columns={"size": "n"})
+
+    return _by_blocks(df, row_id, identity, vec, count, "kind string, s double, n long").groupBy("kind", "s").agg(F.sum("n").alias("n"))
+
 
-    return sent.groupBy("i", "j").applyInPandas(compare, "kind string, a long, b long, s double")
+def _by_score(scores: DataFrame, kind: str, s: str) -> DataFrame:
+    """s, g, i: genuine and impostor pairs of each score; rows count once, or as often as their column n says."""
+    n = F.col("n") if "n" in scores.columns else F.lit(1)
+    of = lambda name: F.sum(F.when(F.col(kind) == name, n).otherwise(0))
+    return scores.groupBy(F.col(s).alias("s")).agg(of("genuine").alias("g"), of("impostor").alias("i"))
 
 
 def roc(scores: DataFrame, kind: str = "kind", s: str = "s") -> DataFrame:
     """s, tpr, fpr at each distinct score from the top. Counts by score are summed first; ranges of score keep windows small."""
-    by = scores.groupBy(F.col(s).alias("s")).agg(F.count_if(F.col(kind) == "genuine").alias("g"), F.count_if(F.col(kind) == "impostor").alias("i")).withColumn("__b", F.floor(F.col("s") * 512).cast("long"))
+    by = _by_score(scores, kind, s).withColumn("__b", F.floor(F.col("s") * 512).cast("long"))
     inside = Window.partitionBy("__b").orderBy(F.desc("s"))
     before = Window.partitionBy(F.lit(0)).orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
     sums = by.groupBy("__b").agg(F.sum("g").alias("g"), F.sum("i").alias("i"))
@@ -152,7 +174,7 @@ def roc(scores: DataFrame, kind: str = "kind", s: str = "s") -> DataFrame:
 def auc_eer(scores: DataFrame, kind: str = "kind", s: str = "s") -> DataFrame:
     """auc, eer, eer_threshold. AUC counts pairs in the right order, ties by half, which is the area by trapezoids."""
     points = materialize(roc(scores, kind, s), "roc")
-    by = scores.groupBy(F.col(s).alias("s")).agg(F.count_if(F.col(kind) == "genuine").alias("g"), F.count_if(F.col(kind) == "impostor").alias("i"))
+    by = _by_score(scores, kind, s)
     total = by.agg(F.sum("g").alias("tg"), F.sum("i").alias("ti"))
     area = by.join(points, "s").join(F.broadcast(total)).agg(F.sum((F.col("g") / F.col("tg")) * (1 - F.col("fpr") + F.col("i") / F.col("ti") / 2)).alias("auc"))
     gap = F.struct(F.abs(F.col("fpr") - (1 - F.col("tpr"))).alias("d"), (-F.col("s")).alias("s"))
@@ -161,9 +183,10 @@ def auc_eer(scores: DataFrame, kind: str = "kind", s: str = "s") -> DataFrame:
 
 
 def far_frr(scores: DataFrame, threshold: float, kind: str = "kind", s: str = "s") -> DataFrame:
-    far = F.avg(F.when(F.col(kind) == "impostor", (F.col(s) >= threshold).cast("double")))
-    frr = F.avg(F.when(F.col(kind) == "genuine", (F.col(s) < threshold).cast("double")))
-    return scores.agg(far.alias("far"), frr.alias("frr"))
+    """far: share of impostor pairs at the threshold or above; frr: of genuine pairs below it."""
+    by = _by_score(scores, kind, s)
+    share = lambda n, hit: F.try_divide(F.sum(F.when(hit, F.col(n)).otherwise(0)), F.sum(n))
+    return by.agg(share("i", F.col("s") >= threshold).alias("far"), share("g", F.col("s") < threshold).alias("frr"))
 
 
 def split_gallery(df: DataFrame, identity: str, row_id: str, n: int) -> DataFrame:

@@ -27,7 +27,7 @@ def bill_of_materials(findings: DataFrame, classes: DataFrame, panel: str = "ima
         F.count("*").alias("quantity"), F.avg("score").alias("mean_confidence"), F.min("score").alias("min_confidence"), F.max("score").alias("max_confidence"),
         F.array_sort(F.collect_set("maker")).alias("makers"), F.array_sort(F.collect_list("det_id")).alias("indices"),
     )
-    rows = rows.join(F.broadcast(classes.select("class_id", "category", "countable")), "class_id", "left")
+    rows = rows.join(classes.select("class_id", "category", "countable"), "class_id", "left")
     w = Window.partitionBy(panel).orderBy(F.coalesce("countable", F.lit(False)).desc(), F.desc("quantity"), "class_id")
     return rows.withColumn("place", F.row_number().over(w))
 
@@ -40,9 +40,9 @@ def confidence_stats(dets: DataFrame, panel: str = "image_id") -> DataFrame:
 def rule_scores(inventory: DataFrame, rules: DataFrame, keystones: DataFrame, panel: str = "image_id") -> DataFrame:
     """panel, rule, ordinal, score: weighted evidence with the square root of capped counts; x .3 without a key device; floor 0."""
     rows = inventory.where((F.col("n") > 0) & (F.col("class_id") != UNKNOWN))
-    part = rows.join(F.broadcast(rules), "class_id").groupBy(panel, "rule").agg(F.sum(F.col("weight") * F.sqrt(F.least("n", "cap"))).alias("raw"))
-    key = rows.join(F.broadcast(keystones), "class_id").select(panel, "rule", F.lit(True).alias("key")).distinct()
-    every = inventory.select(panel).distinct().join(F.broadcast(rules.select("rule", "ordinal").distinct()))
+    part = rows.join(rules, "class_id").groupBy(panel, "rule").agg(F.sum(F.col("weight") * F.sqrt(F.least("n", "cap"))).alias("raw"))
+    key = rows.join(keystones, "class_id").select(panel, "rule", F.lit(True).alias("key")).distinct()
+    every = inventory.select(panel).distinct().join(rules.select("rule", "ordinal").distinct())
     out = every.join(part, [panel, "rule"], "left").join(key, [panel, "rule"], "left")
     score = F.coalesce("raw", F.lit(0.0)) * F.when(F.col("key"), 1.0).otherwise(0.30)
     return out.select(panel, "rule", "ordinal", F.greatest(F.lit(0.0), score).alias("score"))
@@ -66,7 +66,7 @@ def top_types(scores: DataFrame, k: int = 3, panel: str = "image_id") -> DataFra
 
 def missing(types: DataFrame, inventory: DataFrame, expected: DataFrame, important: Sequence[str], panel: str = "image_id") -> DataFrame:
     """panel, class_id, severity: what a panel of its type normally has and shows none of."""
-    want = types.select(panel, F.col("panel_type").alias("rule")).join(F.broadcast(expected), "rule").select(panel, "class_id")
+    want = types.select(panel, F.col("panel_type").alias("rule")).join(expected, "rule").select(panel, "class_id")
     gone = want.join(inventory.where("n > 0").select(panel, "class_id"), [panel, "class_id"], "left_anti")
     return gone.withColumn("severity", F.when(F.col("class_id").isin(*important), "important").otherwise("advisory"))
 

@@ -57,7 +57,7 @@ def sweep(gts: DataFrame, cands: DataFrame, classes: DataFrame, decode_floors: S
         parts = own if parts is None else parts.unionByName(own)
     kept = materialize(parts, "sweep")
     grid = F.explode(F.array(*[F.struct(F.lit(float(u)).alias("u"), F.lit(float(s)).alias("s")) for u in unknown_floors for s in strictness]))
-    dim = F.broadcast(classes.select("class_id", "ar_lo", "ar_hi", "area_lo", "area_hi", "min_conf"))
+    dim = classes.select("class_id", "ar_lo", "ar_hi", "area_lo", "area_hi", "min_conf")
     rows = kept.join(dim, "class_id", "left").where(gate.plausibility_reason(cfg).isNull()).withColumn("g", grid)
     thr = F.least(F.lit(0.99), F.greatest(F.lit(0.01), F.coalesce("min_conf", F.lit(cfg.default_threshold)) * F.col("g.s")))
     rows = rows.withColumn("sure", F.col("score") >= thr).where("sure or score >= g.u")
@@ -68,11 +68,11 @@ def sweep(gts: DataFrame, cands: DataFrame, classes: DataFrame, decode_floors: S
     points = rows.select("point").distinct()
     # each grid point is a data set of its own: its name goes into the image's
     keyed = lambda df: df.withColumn("image_id", F.concat_ws("@", "image_id", "point"))
-    preds, gt = keyed(rows.where("sure")), keyed(truth.join(F.broadcast(points)))
+    preds, gt = keyed(rows.where("sure")), keyed(truth.join(points))
     m = materialize(ev.match(gt, preds.select("image_id", "det_id", "class_id", "score", "x1", "y1", "x2", "y2")).withColumn("point", F.split_part("image_id", F.lit("@"), F.lit(2))), "sweep")
     hits = m.groupBy("point").agg(F.count("gt_id").alias("tp"), F.count("*").alias("n"))
     as_class = lambda df: df.withColumn("class_id", F.concat_ws("@", "class_id", "point"))
-    ap = ev.average_precision(as_class(m).drop("point"), as_class(truth.join(F.broadcast(points)))).withColumn("point", F.split_part("class_id", F.lit("@"), F.lit(2))).groupBy("point").agg(F.avg("ap").alias("map_50"))
+    ap = ev.average_precision(as_class(m).drop("point"), as_class(truth.join(points))).withColumn("point", F.split_part("class_id", F.lit("@"), F.lit(2))).groupBy("point").agg(F.avg("ap").alias("map_50"))
     unknown = rows.groupBy("point").agg(F.avg((~F.col("sure")).cast("double")).alias("unknown_rate"))
     n_gt, n_images = truth.count(), max(1, images.count())
     out = points.join(hits, "point", "left").fillna(0, ["tp", "n"]).join(ap, "point", "left").join(unknown, "point", "left")

@@ -213,14 +213,19 @@ def a31_review_progress(spark: SparkSession, d: str) -> DataFrame:
     return n.join(F.broadcast(n.agg(F.sum("n").alias("t")))).select("state", "n", F.round(F.col("n") / F.col("t"), 6).alias("share"))
 
 
-@query("with a as (select row_number() over (order by p_partkey) o, p_brand c from part where p_partkey <= 30), b as (select o, case when o = 20 then 'other' else c end c from a where o <= 25) select (select count(*) from b left join a using (o) where a.c is distinct from b.c) = 0 is_prefix, (select min(o) from b left join a using (o) where a.c is distinct from b.c) first_divergence")
+SPACES = "n as (select p_type c, count(*) n, min(p_partkey) k from part group by 1), a as (select row_number() over (order by k) o, c from n), b as (select o, case when o = (select max(o) from a) // 2 then 'other' else c end c from a where o <= (select max(o) from a) * 4 // 5)"
+
+
+@query(f"with {SPACES}, j as (select coalesce(a.o, b.o) o, a.c y, b.c x from a full join b on a.o = b.o) select count(*) filter (where x is not null and x is distinct from y) = 0 is_prefix, min(case when x is not null and x is distinct from y then o end) first_divergence, (select count(*) from (select c from a except select c from b)) n_added, (select count(*) from (select c from b except select c from a)) n_removed from j")
 def u4_label_space(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "part").where("p_partkey <= 30").select(F.col("p_partkey"), F.col("p_brand").alias("class_id"))
+    """The types of all parts, in order of their first part, and an older space of four fifths of them with one renamed."""
     from pyspark.sql import Window
 
-    a = a.withColumn("ordinal", F.row_number().over(Window.orderBy("p_partkey")).cast("long")).drop("p_partkey")
-    b = a.where("ordinal <= 25").withColumn("class_id", F.when(F.col("ordinal") == 20, "other").otherwise(F.col("class_id")))
-    return ds.label_space(b, a).select("is_prefix", "first_divergence")
+    n = table(spark, d, "part").groupBy(F.col("p_type").alias("class_id")).agg(F.min("p_partkey").alias("k"))
+    a = n.select("class_id", F.row_number().over(Window.orderBy("k")).cast("long").alias("ordinal"))
+    size = a.count()
+    b = a.where(F.col("ordinal") <= size * 4 // 5).withColumn("class_id", F.when(F.col("ordinal") == size // 2, "other").otherwise(F.col("class_id")))
+    return ds.label_space(b, a).select("is_prefix", "first_divergence", F.size("added").cast("long").alias("n_added"), F.size("removed").cast("long").alias("n_removed"))
 
 
 @query("select image_id, sha from images", "images")

@@ -11,7 +11,7 @@ from sightline.views import table, view
 R = lambda c, n=None: F.round(c, 6).alias(n or c)
 values = lambda rows: ", ".join("(" + ", ".join(repr(v) for v in r) + ")" for r in rows)
 RULES = f"rules(rule, ordinal, class_id, weight, cap) as (values {values(rules.rule_rows())}), keys(rule, class_id) as (values {values([(r, c) for r, x in rules.KEYSTONES.items() for c in x])}), expected(rule, class_id) as (values {values([(r, c) for r, x in rules.EXPECTED.items() for c in x])})"
-INV = "inv as (select image_id, class_id, count(*) n from detections where det_id % 20 < 4 + image_id % 16 group by 1, 2)"
+INV = "inv as (select image_id, class_id, count(*) n from panel_boxes group by 1, 2)"
 SCORES = """raw as (select i.image_id, r.rule, sum(weight * sqrt(least(n, cap))) raw from inv i join rules r using (class_id) group by 1, 2),
 sc as (select p.image_id, r.rule, r.ordinal, greatest(0.0, coalesce(raw, 0.0) * case when exists (select 1 from inv i join keys k using (class_id) where i.image_id = p.image_id and k.rule = r.rule) then 1.0 else 0.3 end) score
   from (select distinct image_id from inv) p cross join (select distinct rule, ordinal from rules) r left join raw on raw.image_id = p.image_id and raw.rule = r.rule)"""
@@ -23,7 +23,7 @@ MISSING = f"gone as (select t.image_id, e.class_id, case when e.class_id in ({IM
 
 
 def _dets(spark: SparkSession, d: str) -> DataFrame:
-    return view(spark, d, "detections").where("det_id % 20 < 4 + image_id % 16")
+    return view(spark, d, "panel_boxes")
 
 
 def _inv(spark: SparkSession, d: str) -> DataFrame:
@@ -112,7 +112,7 @@ SAFETY = ", ".join(map(repr, rules.SAFETY_CRITICAL))
 
 @query(
     f"""with {RULES}, {INV}, {SCORES}, {TYPES}, {MISSING},
-    st as (select image_id, count(*) n, avg(score) mean, count(*) filter (where class_id = 'plc' and det_id % 2 = 0) unk from detections where det_id % 20 < 4 + image_id % 16 group by 1),
+    st as (select image_id, count(*) n, avg(score) mean, count(*) filter (where class_id = 'plc' and det_id % 2 = 0) unk from panel_boxes group by 1),
     wm as (select image_id, sum(case severity when 'important' then 3.0 else 1.0 end + case when class_id in ({SAFETY}) then 1.5 else 0 end) w from gone group by 1),
     wn as (select image_id, sum(case when det_id % 11 = 0 then 2.5 when det_id % 7 = 0 then 1.0 else 0.25 end) w from detections where det_id % 13 = 0 group by 1),
     s as (select st.image_id, n > 0 and unk / n < 0.5 ok, case when unk / n >= 0.2 then 1 + 2 * unk / n else 0 end + case when mean < 0.55 then 1 else 0 end + case when n >= 4 then coalesce(wm.w, 0) else 0 end + coalesce(wn.w, 0) score from st left join wm using (image_id) left join wn using (image_id))

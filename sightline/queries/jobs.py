@@ -24,7 +24,7 @@ from sightline.sources import files
 from sightline.views import table, view
 
 R = lambda c, n=None: F.round(c, 6).alias(n or c)
-NOTES = "nt as (select image_id, count(*) filter (where class_id = 'contactor') k, count(*) filter (where class_id = 'overload_relay') o, count(*) filter (where class_id = 'plc') p, count(*) filter (where class_id = 'terminal_block') t, count(*) total, avg(score) mean from detections where det_id % 20 < 4 + image_id % 16 group by 1)"
+NOTES = "nt as (select image_id, count(*) filter (where class_id = 'contactor') k, count(*) filter (where class_id = 'overload_relay') o, count(*) filter (where class_id = 'plc') p, count(*) filter (where class_id = 'terminal_block') t, count(*) total, avg(score) mean from panel_boxes group by 1)"
 
 
 @query(f"with {RULES}, {INV}, {SCORES}, {TYPES}, {MISSING}, {NOTES} select image_id, total n, round(mean, 6) mean, panel_type, round(confidence, 6) confidence, reason, concat_ws(',', case when k > 0 and o > 0 and o < k then 'overload_mismatch' end, case when p > 0 then 'controller_without_supply' end, case when total >= 5 then 'no_earth_bar' end, case when t > 0 and total >= 8 then 'no_wire_duct' end) notes, coalesce((select string_agg(class_id, ',' order by class_id) from gone g where g.image_id = nt.image_id), '') missing from nt join types using (image_id)", "detections")
@@ -84,9 +84,9 @@ def d28_reembed(spark: SparkSession, d: str) -> DataFrame:
     return jobs.reembed(v, v.where("label % 4 = 1 and vec_id % 2 = 0").withColumn("vec_id", F.col("vec_id") + 100_000), "label")
 
 
-@query("with n as (select class_id, count(*) n from detections where det_id % 3 = 0 or class_id = 'plc' group by 1), k as (select class_id, n, ordinal from n join class_dim using (class_id) where n > (select avg(n) from n)) select row_number() over (order by ordinal) - 1 ordinal, class_id, n from k", "detections", "class_dim")
+@query("with n as (select class_id, count(*) n from (select case when det_id % 3 = 0 or class_id = 'plc' then class_id else 'mcb' end class_id from detections) group by 1), k as (select class_id, n, ordinal from n join class_dim using (class_id) where n > (select avg(n) from n)) select row_number() over (order by ordinal) - 1 ordinal, class_id, n from k", "detections", "class_dim")
 def d15_derive_profile(spark: SparkSession, d: str) -> DataFrame:
-    rows = view(spark, d, "detections").where("det_id % 3 = 0 or class_id = 'plc'")
+    rows = view(spark, d, "detections").withColumn("class_id", F.when((F.col("det_id") % 3 == 0) | (F.col("class_id") == "plc"), F.col("class_id")).otherwise("mcb"))
     mean = rows.groupBy("class_id").agg(F.count("*").alias("n")).agg(F.avg("n")).first()[0]
     out = jobs.derive_profile(rows, view(spark, d, "class_dim").select("ordinal", "class_id"), int(mean) + 1)
     return out.select(F.col("ordinal").cast("long").alias("ordinal"), "class_id", "n")
@@ -99,9 +99,9 @@ def d11_remap_to_coverage(spark: SparkSession, d: str) -> DataFrame:
     return ds.coverage(qd._map(spark, 4), per).join(per.select("class_id", "images"), "class_id").select("class_id", "instances", "images", "status")
 
 
-@query("select verdict, count(*) n from (select case when n = 0 then 'empty' when r > 0 then 'review' else 'auto' end verdict from (select image_id, count(*) filter (where score >= 0.15) n, count(*) filter (where score >= 0.15 and score < 0.35) r from detections where det_id % 6 = 0 group by 1)) group by 1", "detections")
+@query("select verdict, count(*) n from (select case when n = 0 then 'empty' when r > 0 then 'review' else 'auto' end verdict from (select image_id, count(*) filter (where score >= 0.15) n, count(*) filter (where score >= 0.15 and score < 0.35) r from detections group by 1)) group by 1", "detections")
 def d17_auto_label(spark: SparkSession, d: str) -> DataFrame:
-    return ds.triage(view(spark, d, "detections").where("det_id % 6 = 0"))[1].groupBy("verdict").agg(F.count("*").alias("n"))
+    return ds.triage(view(spark, d, "detections"))[1].groupBy("verdict").agg(F.count("*").alias("n"))
 
 
 @query(None)
@@ -219,9 +219,9 @@ def r12_recognition(spark: SparkSession, d: str) -> DataFrame:
     return d27_recognise(spark, d).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("select image_id, det_id, class_id, score from detections where image_id % 2 = 0", "detections")
+@query("select image_id, det_id, class_id, score from detections", "detections")
 def s17_component_table(spark: SparkSession, d: str) -> DataFrame:
-    return view(spark, d, "detections").where("image_id % 2 = 0").select("image_id", "det_id", "class_id", "score")
+    return view(spark, d, "detections").select("image_id", "det_id", "class_id", "score")
 
 
 @query("select image_id, '[' || string_agg('{\"det_id\":' || det_id || ',\"class_id\":\"' || class_id || '\"}', ',' order by det_id) || ']' manifest from detections group by 1", "detections")

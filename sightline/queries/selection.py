@@ -118,12 +118,12 @@ def p11_crop_quality(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "with c as (select image_id, count(*) filter (where class_id = 'contactor') k, count(*) filter (where class_id = 'overload_relay') o, count(*) filter (where class_id = 'plc') p, count(*) filter (where class_id = 'terminal_block') t, count(*) total, count(*) filter (where det_id % 6 = 0) u from detections where det_id % 20 < 4 + image_id % 16 group by 1) "
+    "with c as (select image_id, count(*) filter (where class_id = 'contactor') k, count(*) filter (where class_id = 'overload_relay') o, count(*) filter (where class_id = 'plc') p, count(*) filter (where class_id = 'terminal_block') t, count(*) total, count(*) filter (where det_id % 6 = 0) u from panel_boxes group by 1) "
     "select image_id, concat_ws(',', case when k > 0 and o > 0 and o < k then 'overload_mismatch' end, case when p > 0 then 'controller_without_supply' end, case when total >= 5 then 'no_earth_bar' end, case when t > 0 and total >= 8 then 'no_wire_duct' end, case when u / total >= 0.3 then 'many_unknown' end, case when u > 0 and u / total < 0.3 then 'some_unknown' end) notes from c",
     "detections",
 )
 def p21_engineering_notes(spark: SparkSession, d: str) -> DataFrame:
-    rows = view(spark, d, "detections").where("det_id % 20 < 4 + image_id % 16")
+    rows = view(spark, d, "panel_boxes")
     names = ("contactor", "overload_relay", "plc", "terminal_block")
     n = rows.groupBy("image_id").agg(*[F.count_if(F.col("class_id") == c).alias(c) for c in names], F.count("*").alias("total"), F.count_if(F.col("det_id") % 6 == 0).alias("u"))
     return n.select("image_id", F.array_join(checks.engineering_notes({c: F.col(c) for c in names}, F.col("u"), F.col("total")), ",").alias("notes"))
@@ -232,10 +232,10 @@ def t5_review_queue(spark: SparkSession, d: str) -> DataFrame:
     return top.select("image_id", "least", F.row_number().over(Window.orderBy(F.desc("u"), "least", "image_id")).cast("long").alias("place"))
 
 
-@query("select image_id, class_id, case severity when 'important' then 0 when 'advisory' then 1 else 2 end rank from (select image_id, class_id, case when score >= 0.7 then 'important' when score >= 0.4 then 'advisory' else 'info' end severity from detections where det_id % 20 = 0)", "detections")
+@query("select image_id, class_id, case severity when 'important' then 0 when 'advisory' then 1 else 2 end rank from (select image_id, class_id, case when score >= 0.7 then 'important' when score >= 0.4 then 'advisory' else 'info' end severity from detections)", "detections")
 def t6_severity_order(spark: SparkSession, d: str) -> DataFrame:
     s = F.when(F.col("score") >= 0.7, 0).when(F.col("score") >= 0.4, 1).otherwise(2)
-    return view(spark, d, "detections").where("det_id % 20 = 0").select("image_id", "class_id", s.alias("rank")).orderBy("rank", "image_id")
+    return view(spark, d, "detections").select("image_id", "class_id", s.alias("rank")).orderBy("rank", "image_id")
 
 
 @query("select class_id, n from (select class_id, count(*) n from detections group by 1) order by n desc, class_id limit 3", "detections")

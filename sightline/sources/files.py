@@ -69,7 +69,7 @@ def read_coco(spark: SparkSession, path: str) -> DataFrame:
     notes = doc.select(F.explode("annotations").alias("a")).select("a.*")
     names = doc.select(F.explode("categories").alias("c")).select(F.col("c.id").alias("category_id"), F.col("c.name").alias("class_id")).distinct()
     b = F.col("bbox")
-    return notes.join(F.broadcast(names), "category_id", "left").select("image_id", F.col("id").alias("annotation_id"), "class_id", b[0].cast("double").alias("x1"), b[1].cast("double").alias("y1"), (b[0] + b[2]).cast("double").alias("x2"), (b[1] + b[3]).cast("double").alias("y2"))
+    return notes.join(names, "category_id", "left").select("image_id", F.col("id").alias("annotation_id"), "class_id", b[0].cast("double").alias("x1"), b[1].cast("double").alias("y1"), (b[0] + b[2]).cast("double").alias("x2"), (b[1] + b[3]).cast("double").alias("y2"))
 
 
 def read_voc(spark: SparkSession, path: str) -> DataFrame:

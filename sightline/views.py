@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,21 +41,30 @@ VIEWS = {
           ('mcb', 'protection', 0.12, 1.6, 0.0004, 0.015, 0.40, true, 3), ('terminal_block', 'wiring', 0.8, 40.0, 0.0005, 0.3, 0.30, false, 4),
           ('plc', 'automation', 0.3, 4.0, 0.005, 0.35, 0.40, true, 5))
           as t(class_id, category, ar_lo, ar_hi, area_lo, area_hi, min_conf, countable, ordinal)""",
+    # panels of different sizes: some boxes of a frame belong to a second panel
+    "panel_boxes": """
+        select case when det_id % 20 < 4 + image_id % 16 then image_id else image_id + 1000000000 end image_id, det_id, class_id, source, x1, y1, x2, y2, score
+        from detections""",
     "sightings": """
         select user_id, event_id, event_type, value, cast(epoch_s as bigint) t
         from (select *, {epoch_s} epoch_s from {events}) e""",
     "vectors": "select vec_id, embedding, cast(label as bigint) label from {embeddings}",
 }
-_BITS = " + ".join(f"case when ascii(substr(text, {k + 1}, 1)) > ascii(substr(text, {k + 2}, 1)) then {1 << k} else 0 end" for k in range(60))
-_LEVELS = " + ".join(f"case when ascii(substr(text, {k + 1}, 1)) > 108 then {1 << k} else 0 end" for k in range(60))
+#: Brightness of a stretch of text: its letters weighed; a text is 61 stretches of equal length, whole.
+_LETTERS = {"a": 5, "d": 11, "e": 3, "i": 7, "l": 13, "n": 6, "o": 9, "r": 4, "s": 10, "t": 8, "u": 12}
+_LUMA = " + ".join(f"{w} * (length(x) - length(replace(x, '{c}', '')))" for c, w in _LETTERS.items())
+_BITS = " + ".join(f"case when {{at}}(luma, {k + 1}) > {{at}}(luma, {k + 2}) then {1 << k} else 0 end" for k in range(60))
+_LEVELS = " + ".join(f"case when 61 * {{at}}(luma, {k + 1}) > total then {1 << k} else 0 end" for k in range(60))
 VIEWS |= {
-    # documents as images: gradient and level hashes of the first characters stand for those of pixels
+    # documents as images: gradient and level hashes of the text's stretches stand for those of pixels
     "images": f"""
         select doc_id image_id, source, case when doc_id % 10 < 7 then 'train' when doc_id % 10 < 9 then 'val' else 'test' end split,
           concat('Panel', cast(doc_id % 89 as varchar(20)), case when doc_id % 3 = 0 then '_rot90' when doc_id % 3 = 1 then '' else '-flip' end, '_', cast(doc_id % 7 as varchar(20)),
             case when doc_id % 5 = 0 then '_jpg.rf.0123456789abcdef' else '' end, '.jpg') filename,
-          cast({_BITS} as bigint) dhash, cast({_LEVELS} as bigint) ahash, sha256(text) sha
-        from {{documents}}""",
+          cast({_BITS} as bigint) dhash, cast({_LEVELS} as bigint) ahash, sha
+        from (select doc_id, source, luma, {{sum}} total, sha
+          from (select doc_id, source, sha, {{map_open}}parts{{map_arrow}} {_LUMA}) luma
+            from (select doc_id, source, sha256(text) sha, {{range_open}} substr(text, 1 + cast(floor(k * length(text) / 61) as int), cast(floor((k + 1) * length(text) / 61) - floor(k * length(text) / 61) as int))) parts from {{documents}}) d) e) f""",
     # annotation lines of the ground truth, some of them broken
     "label_lines": """
         select image_id, gt_id, class_no, case when gt_id % 97 = 1 then concat(cast(class_no as varchar(20)), ' 0.5 0.5') when gt_id % 97 = 2 then concat(cast(class_no as varchar(20)), ' a 0.5 0.1 0.1')
@@ -69,7 +79,10 @@ VIEWS |= {
         from {events}""",
 }
 #: Views that others read.
-NEEDS = {"candidates": ["detections"], "label_lines": ["ground_truth"]}
+NEEDS = {"panel_boxes": ["detections"], "candidates": ["detections"], "label_lines": ["ground_truth"]}
+#: What the two engines write differently.
+SPARK_WORDS = {"at": "element_at", "sum": "aggregate(luma, 0L, (a, v) -> a + v)", "map_open": "transform(", "map_arrow": ", x ->", "range_open": "transform(sequence(0, 60), k ->"}
+DUCK_WORDS = {"at": "list_extract", "sum": "list_sum(luma)", "map_open": "list_transform(", "map_arrow": ", lambda x:", "range_open": "list_transform(range(0, 61), lambda k:"}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -81,6 +94,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The view as a DataFrame; only the tables that it reads are opened."""
     text = VIEWS[name].replace("{epoch_s}", "unix_seconds(cast(ts as timestamp))")
     text = text.replace("sha256(text)", "sha2(text, 256)")
+    for word, own in SPARK_WORDS.items():
+        text = text.replace(f"{{{word}}}", own)
     for other in NEEDS.get(name, []):
         text = re.sub(rf"\bfrom {other}\b", f"from {{{other}}}", text)
     found = {n: view(spark, sf_dir, n) if n in VIEWS else table(spark, sf_dir, n) for n in re.findall(r"\{(\w+)\}", text)}
@@ -88,11 +103,12 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def oracle(sql: str, *views: str) -> str:
-    """DuckDB statement: ``sql`` with the named views, and those they need, in front."""
+    """DuckDB statement: ``sql`` with the named views, those it names itself, and those they need, in front."""
     names: list[str] = []
-    for v in views:
+    plain = lambda t: re.sub(r"[{}]", "", reduce(lambda x, w: x.replace(f"{{{w[0]}}}", w[1]), DUCK_WORDS.items(), t.replace("{epoch_s}", "floor(epoch(ts))")))
+    for v in [*views, *(v for v in VIEWS if re.search(rf"\b{v}\b", sql))]:
         names += [n for n in [*NEEDS.get(v, []), v] if n not in names]
-    text = [f"{n} as ({re.sub(r'[{}]', '', VIEWS[n].replace('{epoch_s}', 'floor(epoch(ts))'))})" for n in names]
+    text = [f"{n} as ({plain(VIEWS[n])})" for n in names]
     body = sql.strip()
     rest = re.sub(r"^with\s+(recursive\s+)?", "", body, flags=re.I)
     if rest != body:
