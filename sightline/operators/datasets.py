@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions.geometry import hamming
 from sightline.operators.graph import connected_components
+from sightline.plans.skew import running
 
 KEEP_ORDER = ("train", "val", "test")
 TRAINABLE, RELIABLE, PER_IMAGE = 50, 300, 12.0
@@ -129,40 +129,22 @@ def duplicate_report(images: DataFrame, groups: DataFrame, row_id: str = "image_
     return per.agg(F.count("*").alias("groups"), F.sum(F.col("n") - 1).alias("redundant"), F.count_if(F.col("kind") == "exact").alias("exact"), F.count_if(F.col("kind") == "near").alias("near"), F.count_if(F.col("k") > 1).alias("cross_split"))
 
 
-def assign_groups(group_classes: DataFrame, ratios: Sequence[float] = (0.7, 0.2, 0.1), group: str = "group_key") -> DataFrame:
-    """group, split: whole groups to train, val or test, rare classes first, each where its classes are furthest below target.
+def assign_groups(group_classes: DataFrame, ratios: Sequence[float] = (0.7, 0.2, 0.1), group: str = "group_key", seed: int = 0) -> DataFrame:
+    """group, split: whole groups to train, val or test, so that each split has its share of every rare class.
 
-    ``group_classes``: group, class_id, n (n null for a group without labels). The choice for a group depends on all
-    before it, so the table of groups (one row for each group and class, not the images) is walked in one task.
+    ``group_classes``: group, class_id, n (n null for a group without labels). A group counts for the rarest class it
+    has; the groups of a class are put in an order by chance and cut where their instances reach the shares. Groups
+    without labels are cut by their number. No choice waits for another, so nothing runs in one task.
     """
-    total = group_classes.where("n is not null").groupBy("class_id").agg(F.sum("n").alias("total"))
-    rows = group_classes.join(F.broadcast(total), "class_id", "left")
-    names = KEEP_ORDER
-    share = [r / sum(ratios) for r in ratios]
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        overall = {c: float(t) for c, t in zip(pdf["class_id"], pdf["total"], strict=True) if t == t and t is not None}
-        groups: dict[str, dict[str, float]] = {}
-        for key, c, n in zip(pdf[group], pdf["class_id"], pdf["n"], strict=True):
-            own = groups.setdefault(key, {})
-            if n == n and n is not None and c is not None:
-                own[c] = own.get(c, 0.0) + float(n)
-        order = sorted(groups, key=lambda k: (min((overall[c] for c in groups[k]), default=1e9), k))
-        got, size, out = [dict() for _ in names], [0, 0, 0], []
-        for key in order:
-            own = groups[key]
-            if own:
-                lack = [sum((overall[c] * share[s] - got[s].get(c, 0.0)) / max(overall[c], 1.0) ** 0.5 for c in own) for s in range(3)]
-                best = max(range(3), key=lambda s: (lack[s], -size[s]))
-                for c, n in own.items():
-                    got[best][c] = got[best].get(c, 0.0) + n
-            else:
-                best = min(range(3), key=lambda s: size[s] / max(share[s], 1e-9))
-            size[best] += 1
-            out.append((key, names[best]))
-        return pd.DataFrame(out, columns=[group, "split"])
-
-    return rows.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(walk, f"{group} string, split string")
+    total = group_classes.where("n is not null").groupBy("class_id").agg(F.sum("n").alias("t"))
+    rows = group_classes.join(total, "class_id", "left")
+    rank = F.when(F.col("n").isNotNull(), F.struct("t", "class_id"))
+    rarest = rows.groupBy(group).agg(F.min(rank).alias("r"), F.min_by("n", rank).alias("n"))
+    rarest = rarest.select(group, F.col("r.class_id").alias("class_id"), F.coalesce("n", F.lit(1)).alias("n"))
+    cut = [sum(ratios[: k + 1]) / sum(ratios) for k in range(2)]
+    out = running(rarest, ["class_id"], seed, group, "n")
+    at = F.col("before") / F.col("total")
+    return out.select(group, F.when(at < cut[0], KEEP_ORDER[0]).when(at < cut[1], KEEP_ORDER[1]).otherwise(KEEP_ORDER[2]).alias("split"))
 
 
 def group_report(images: DataFrame, group: str = "group_key", split: str = "split") -> DataFrame:
@@ -172,18 +154,18 @@ def group_report(images: DataFrame, group: str = "group_key", split: str = "spli
 
 
 def mix_synthetic(real: DataFrame, synthetic: DataFrame, fraction: float, name: str = "filename", split: str = "split", seed: int = 0) -> DataFrame:
-    """Real rows and as many synthetic training rows as make ``fraction`` of the training set, the least by hash of name and seed."""
+    """Real rows and as many synthetic training rows as make ``fraction`` of the training set, the first by chance of name and seed."""
     n = real.where(F.col(split) == "train").count()
     want = round(fraction / (1 - fraction) * n) if fraction < 1 else synthetic.count()
-    chosen = synthetic.where(F.col(split) == "train").orderBy(F.xxhash64(F.lit(seed), name), name).limit(want)
+    chosen = running(synthetic.where(F.col(split) == "train"), [split], seed, name).where(F.col("before") < want).drop("before", "total")
     return real.withColumn("synthetic", F.lit(False)).unionByName(chosen.withColumn("synthetic", F.lit(True)), allowMissingColumns=True)
 
 
 def stratified_split(df: DataFrame, stratum: str, row_id: str, train: float = 0.64, val: float = 0.16, seed: int = 0) -> DataFrame:
-    """Adds split: within each stratum rows are ordered by a hash of id and seed and cut at the shares."""
-    w = Window.partitionBy(stratum).orderBy(F.xxhash64(F.lit(seed), row_id), row_id)
-    at = F.percent_rank().over(w)
-    return df.withColumn("split", F.when(at < train, "train").when(at < train + val, "val").otherwise("test"))
+    """Adds split: within each stratum rows are ordered by chance of id and seed and cut at the shares."""
+    at = F.col("before") / F.col("total")
+    out = running(df, [stratum], seed, row_id)
+    return out.withColumn("split", F.when(at < train, "train").when(at < train + val, "val").otherwise("test")).drop("before", "total")
 
 
 def unique_names(df: DataFrame, name: str, order: str) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions import text as tx
 from sightline.operators import datasets as ds
+from sightline.operators import reports as rp
 from sightline.registry import query
 from sightline.views import table, view
 
@@ -140,7 +141,11 @@ def a33_group_report(spark: SparkSession, d: str) -> DataFrame:
     return ds.group_report(keyed).select("groups", R("mean_size"), "leaking")
 
 
-@query(None)
+@query(
+    f"with gc as (select {KEY} group_key, source c, count(*) n from images group by 1, 2), t as (select c, sum(n) t from gc group by 1), r as (select group_key, c, n from (select *, row_number() over (partition by group_key order by t, c) k from gc join t using (c)) where k = 1), "
+    "m as (select group_key, coalesce(sum(n) over (partition by c order by md5('0:' || group_key), group_key rows between unbounded preceding and 1 preceding), 0) / sum(n) over (partition by c) a from r) select group_key, case when a < 0.7 then 'train' when a < 0.9 then 'val' else 'test' end split from m",
+    "images",
+)
 def d14_group_split(spark: SparkSession, d: str) -> DataFrame:
     keyed = view(spark, d, "images").withColumn("group_key", tx.group_key(F.col("filename")))
     return ds.assign_groups(keyed.groupBy("group_key", F.col("source").alias("class_id")).agg(F.count("*").alias("n")))
@@ -171,7 +176,7 @@ def u5_mix(spark: SparkSession, d: str) -> DataFrame:
     return out.agg(F.count("*").alias("total"), F.count_if((F.col("split") == "train") & ~F.col("synthetic")).alias("n"))
 
 
-@query(None)
+@query("select image_id, case when a < 0.64 then 'train' when a < 0.8 then 'val' else 'test' end split from (select image_id, (row_number() over (partition by source order by md5('0:' || image_id), image_id) - 1) / count(*) over (partition by source) a from images)", "images")
 def u9_stratified_split(spark: SparkSession, d: str) -> DataFrame:
     return ds.stratified_split(view(spark, d, "images"), "source", "image_id").select("image_id", "split")
 
@@ -209,8 +214,7 @@ def d18_export_reviewed(spark: SparkSession, d: str) -> DataFrame:
 def a31_review_progress(spark: SparkSession, d: str) -> DataFrame:
     i = view(spark, d, "detections").select("image_id").distinct()
     s = i.select(F.when(F.col("image_id") % 5 == 0, "pending").when(F.col("image_id") % 7 == 2, "needs_redraw").otherwise("reviewed").alias("state"))
-    n = s.groupBy("state").agg(F.count("*").alias("n"))
-    return n.join(F.broadcast(n.agg(F.sum("n").alias("t")))).select("state", "n", F.round(F.col("n") / F.col("t"), 6).alias("share"))
+    return rp.review_progress(s).select("state", "n", R("share"))
 
 
 SPACES = "n as (select p_type c, count(*) n, min(p_partkey) k from part group by 1), a as (select row_number() over (order by k) o, c from n), b as (select o, case when o = (select max(o) from a) // 2 then 'other' else c end c from a where o <= (select max(o) from a) * 4 // 5)"

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sightline.operators import events as ev
+from sightline.operators import reports as rp
 from sightline.registry import query
 from sightline.views import table, view
 
@@ -178,9 +179,9 @@ def a43_frame_rates(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select count(*) cameras, count(*) filter (where up) connected, round(sum(fps), 6) fps, round(avg(lat), 6) mean_latency from (select user_id, max_by(value, event_id) >= 10 up, count(*) / 3600 fps, case when user_id % 3 = 0 then null else avg(value) end lat from events group by 1)")
 def a42_fleet(spark: SparkSession, d: str) -> DataFrame:
-    cams = table(spark, d, "events").groupBy("user_id").agg((F.max_by("value", "event_id") >= 10).alias("up"), (F.count("*") / 3600).alias("fps"), F.avg("value").alias("lat"))
-    cams = cams.withColumn("lat", F.when(F.col("user_id") % 3 != 0, F.col("lat")))
-    return cams.agg(F.count("*").alias("cameras"), F.count_if("up").alias("connected"), R(F.sum(F.coalesce("fps", F.lit(0.0))), "fps"), R(F.avg("lat"), "mean_latency"))
+    cams = table(spark, d, "events").groupBy("user_id").agg((F.max_by("value", "event_id") >= 10).alias("up"), (F.count("*") / 3600).alias("fps"), F.avg("value").alias("latency"))
+    out = rp.fleet(cams.withColumn("latency", F.when(F.col("user_id") % 3 != 0, F.col("latency"))))
+    return out.select("cameras", "connected", R("fps", "fps"), R("mean_latency", "mean_latency"))
 
 
 @query("select 'camera' kind, user_id::varchar name, count(*) n, round(avg(value), 6) mean from events group by 2 union all select 'task', event_type, count(*), round(avg(value), 6) from events group by 2")
@@ -192,9 +193,8 @@ def a51_consolidated(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select event_type, quantile_disc(value, 0.5) p50, quantile_disc(value, 0.95) p95, quantile_disc(value, 0.99) p99, round(avg(value), 6) mean, min(value) least, max(value) most, round(stddev_samp(value), 6) sd, round(1000 / avg(value), 6) fps from events group by 1")
 def a29_latency_profile(spark: SparkSession, d: str) -> DataFrame:
-    disc = lambda q: F.expr(f"percentile_disc({q}) within group (order by value)")
-    e = table(spark, d, "events").groupBy("event_type").agg(disc(0.5).alias("p50"), disc(0.95).alias("p95"), disc(0.99).alias("p99"), F.avg("value").alias("m"), F.min("value").alias("least"), F.max("value").alias("most"), R(F.stddev_samp("value"), "sd"))
-    return e.withColumn("mean", F.round("m", 6)).withColumn("fps", F.round(1000 / F.col("m"), 6)).drop("m")
+    out = rp.latency_profile(table(spark, d, "events"), ["event_type"], "value")
+    return out.select("event_type", "p50", "p95", "p99", R("mean", "mean"), "least", "most", R("sd", "sd"), R("fps", "fps"))
 
 
 @query("select image_id, count(*) n from detections where class_id = 'plc' group by 1", "detections")
@@ -210,15 +210,14 @@ def w4_latest_per_key(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select e.event_id, (select p.event_id from sightings p where p.user_id = e.user_id and p.event_type = 'signup' and (p.t < e.t or (p.t = e.t and p.event_id < e.event_id)) order by p.t desc, p.event_id desc limit 1) last_signup from sightings e", "sightings")
 def j24_as_of(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("t", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), ignorenulls=True).over(w)
-    return view(spark, d, "sightings").select("event_id", last.alias("last_signup"))
+    rows = view(spark, d, "sightings")
+    return rp.as_of(rows, "user_id", "t", "event_id", F.col("event_type") == "signup", "event_id").select("event_id", F.col("as_of").alias("last_signup"))
 
 
 @query("select event_id, user_id % 4 = 0 or value < 3 unhealthy from events")
 def p16_camera_health(spark: SparkSession, d: str) -> DataFrame:
-    connected, age_ms = F.col("user_id") % 4 != 0, F.when(F.col("value") < 3, 9_000).otherwise(100)
-    return table(spark, d, "events").select("event_id", (~(connected & (age_ms < 5_000))).alias("unhealthy"))
+    healthy = rp.camera_healthy(F.col("user_id") % 4 != 0, F.when(F.col("value") < 3, 9_000).otherwise(100))
+    return table(spark, d, "events").select("event_id", (~healthy).alias("unhealthy"))
 
 
 @query("select c_custkey, c_name, n_orders, n_lines from customer left join (select o_custkey, count(*) n_orders from orders group by 1) o on o_custkey = c_custkey left join (select o_custkey k, count(*) n_lines from orders join lineitem on l_orderkey = o_orderkey group by 1) l on k = c_custkey".replace("n_orders, n_lines from", "coalesce(n_orders, 0) n_orders, coalesce(n_lines, 0) n_lines from"))

@@ -13,6 +13,7 @@ from sightline.operators import gate
 from sightline.operators import identity as idn
 from sightline.operators import inventory as inv
 from sightline.operators import jobs
+from sightline.operators import reports as rp
 from sightline.operators import selection as sel
 from sightline.queries import compare as qc
 from sightline.queries import datasets as qd
@@ -104,7 +105,7 @@ def d17_auto_label(spark: SparkSession, d: str) -> DataFrame:
     return ds.triage(view(spark, d, "detections"))[1].groupBy("verdict").agg(F.count("*").alias("n"))
 
 
-@query(None)
+@query("with n as (select count(*) filter (where split = 'train') n, count(*) filter (where split = 'train' and image_id % 2 = 0) m from images), f(share) as (values (0.1), (0.3), (0.5)) select split, false synthetic, count(*) n, share::double share from images, f group by 1, 4 union all select 'train', true, least(m, round_even(share / (1 - share) * n, 0))::bigint, share::double from n, f", "images")
 def d16_strategy_mix(spark: SparkSession, d: str) -> DataFrame:
     i = view(spark, d, "images").select("image_id", "filename", "split")
     out = None
@@ -117,7 +118,10 @@ def d16_strategy_mix(spark: SparkSession, d: str) -> DataFrame:
 CASES = (("p1", "contactor", 4), ("p1", "overload_relay", 4), ("p1", "mcb", 2), ("p2", "vfd", 2), ("p2", "line_reactor", 1), ("p2", "cooling_fan", 2), ("p3", "plc", 1), ("p3", "io_module", 4), ("p3", "power_supply", 1), ("p4", "mcb", 18), ("p4", "rccb", 2), ("p4", "busbar", 1), ("p5", "capacitor", 6), ("p5", "pf_controller", 1), ("p6", "terminal_block", 1))
 
 
-@query(None)
+@query(
+    f"with {RULES}, {INV}, cases(image_id, class_id, n) as (values {', '.join(f'({p!r}, {c!r}, {n})' for p, c, n in CASES)}), bx as (select image_id::varchar image_id, class_id, n from inv union all select * from cases), {SCORES}, {TYPES} select panel_type, reason, count(*) n from types group by 1, 2".replace("inv i", "bx i").replace("from inv)", "from bx)").replace("from inv group by 1)", "from bx group by 1)"),
+    "detections",
+)
 def d26_panel_types(spark: SparkSession, d: str) -> DataFrame:
     """Share of each panel type over all frames, with labelled inventories beside them."""
     fixed = spark.createDataFrame(list(CASES), "image_id string, class_id string, n int").withColumn("n", F.col("n").cast("long"))
@@ -143,8 +147,7 @@ def g8_drop_covered(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select image_id, det_id, row_number() over (partition by image_id order by (x2 - x1) desc, det_id) new_id from detections", "detections")
 def w11_renumber(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("image_id").orderBy(F.desc(F.col("x2") - F.col("x1")), "det_id")
-    return view(spark, d, "detections").select("image_id", "det_id", F.row_number().over(w).cast("long").alias("new_id"))
+    return rp.renumber(view(spark, d, "detections"), F.desc(F.col("x2") - F.col("x1")), F.col("det_id")).select("image_id", "det_id", "new_id")
 
 
 @query("select class_id, row_number() over (order by countable desc, n desc, class_id) place from (select class_id, any_value(countable) countable, count(*) n from detections join class_dim using (class_id) group by 1)", "detections", "class_dim")
@@ -163,13 +166,13 @@ def t14_drivers(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select event_id, value from events where event_type = 'purchase' order by value desc, event_id limit 10")
 def t15_best_trials(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").where("event_type = 'purchase'").orderBy(F.desc("value"), "event_id").limit(10).select("event_id", "value")
+    return rp.best_trials(table(spark, d, "events").where("event_type = 'purchase'"), "value", "event_id", 10).select("event_id", "value")
 
 
 @query("select event_id, s from (select event_id, case when event_id % 3 = 0 then null else value end s from events) order by s is null, s desc, event_id limit 20")
 def t16_sweep_table(spark: SparkSession, d: str) -> DataFrame:
     s = F.when(F.col("event_id") % 3 != 0, F.col("value"))
-    return table(spark, d, "events").select("event_id", s.alias("s")).orderBy(F.col("s").isNull(), F.desc("s"), "event_id").limit(20)
+    return rp.best_trials(table(spark, d, "events").select("event_id", s.alias("s")), "s", "event_id", 20)
 
 
 @query("select event_type, event_id best from (select *, row_number() over (partition by event_type order by value desc, event_id) r from events) where r = 1")
@@ -191,21 +194,19 @@ def f7_axis_difference(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select class_id, split_part(class_id, '_', 1) short, n from (select class_id, count(*) n from detections group by 1)", "detections")
 def f14_short_name(spark: SparkSession, d: str) -> DataFrame:
-    return view(spark, d, "detections").groupBy("class_id").agg(F.count("*").alias("n")).select("class_id", F.split_part("class_id", F.lit("_"), F.lit(1)).alias("short"), "n")
+    return view(spark, d, "detections").groupBy("class_id").agg(F.count("*").alias("n")).select("class_id", rp.short_name(F.col("class_id")).alias("short"), "n")
 
 
 @query("select image_id, 'Panel ' || image_id || ': ' || n || ' devices, ' || k || ' classes' line from (select image_id, count(*) n, count(distinct class_id) k from detections group by 1)", "detections")
 def f25_sentences(spark: SparkSession, d: str) -> DataFrame:
     n = view(spark, d, "detections").groupBy("image_id").agg(F.count("*").alias("n"), F.count_distinct("class_id").alias("k"))
-    return n.select("image_id", F.format_string("Panel %d: %d devices, %d classes", "image_id", "n", "k").alias("line"))
+    return n.select("image_id", rp.panel_sentence("image_id", "n", "k").alias("line"))
 
 
 @query("with b(target, per_class) as (values (0.3, 50), (0.5, 150), (0.7, 300), (0.85, 800)) select p_brand, per_class from (select p_brand, per_class, row_number() over (partition by p_brand order by abs(target - s), target) r from (select p_brand, avg(p_size) / 50 s from part group by 1) cross join b) where r = 1")
 def f27_requirement_band(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "part").groupBy("p_brand").agg((F.avg("p_size") / 50).alias("s"))
-    bands = ((0.3, 50), (0.5, 150), (0.7, 300), (0.85, 800))
-    near = F.array_min(F.array(*[F.struct(F.abs(F.lit(t) - F.col("s")).alias("d"), F.lit(t).alias("t"), F.lit(n).alias("n")) for t, n in bands]))
-    return s.select("p_brand", near["n"].alias("per_class"))
+    return s.select("p_brand", rp.requirement_band(F.col("s")).alias("per_class"))
 
 
 @query("select det_id, case when gap <= 0.05 then 'small' when gap >= 0.5 then 'meaningless' else 'substantial' end verdict from (select det_id, score - 0.3 gap from detections)", "detections")
@@ -219,11 +220,6 @@ def r12_recognition(spark: SparkSession, d: str) -> DataFrame:
     return d27_recognise(spark, d).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("select image_id, det_id, class_id, score from detections", "detections")
-def s17_component_table(spark: SparkSession, d: str) -> DataFrame:
-    return view(spark, d, "detections").select("image_id", "det_id", "class_id", "score")
-
-
 @query("select image_id, '[' || string_agg('{\"det_id\":' || det_id || ',\"class_id\":\"' || class_id || '\"}', ',' order by det_id) || ']' manifest from detections group by 1", "detections")
 def s21_manifest(spark: SparkSession, d: str) -> DataFrame:
     return files.manifest(view(spark, d, "detections").select("image_id", "det_id", "class_id"))

@@ -7,6 +7,7 @@ from sightline.functions import checks
 from sightline.functions import geometry as g
 from sightline.operators import gate
 from sightline.operators import inventory as inv
+from sightline.operators import reports as rp
 from sightline.operators import selection as sel
 from sightline.queries.gate import CFG, GATED, iou_sql
 from sightline.registry import query
@@ -171,9 +172,7 @@ def f11_gradient_hash(spark: SparkSession, d: str) -> DataFrame:
 @query(f"select l.label, a, p, round(case when p > 0 then a / p else 0 end, 6) \"precision\", round(ll, 6) log_loss from (select label, count(*) filter (where label = pred) a, (select count(*) from v v2 where v2.pred = v.label) p, avg(-ln(greatest(1e-15, pr))) ll from v group by label) l".replace("from (select label, count", "from (with v as (select label, vec_id % 10 pred, (vec_id % 97 + 1) / 100.0 pr from vectors) select label, count"), "vectors")
 def a45_classifier_metrics(spark: SparkSession, d: str) -> DataFrame:
     v = view(spark, d, "vectors").select("label", (F.col("vec_id") % 10).alias("pred"), ((F.col("vec_id") % 97 + 1) / 100).alias("pr"))
-    own = v.groupBy("label").agg(F.count_if(F.col("label") == F.col("pred")).alias("a"), F.avg(-F.log(F.greatest("pr", F.lit(1e-15)))).alias("ll"))
-    n = v.groupBy(F.col("pred").alias("label")).agg(F.count("*").alias("p"))
-    return own.join(n, "label", "left").fillna(0, ["p"]).select("label", "a", "p", F.round(F.coalesce(F.try_divide("a", "p"), F.lit(0.0)), 6).alias("precision"), R("ll", "log_loss"))
+    return rp.classifier_metrics(v).select(F.col("class").alias("label"), F.col("right").alias("a"), F.col("predicted").alias("p"), R("precision"), R("log_loss"))
 
 
 @query("select det_id, 'any' class_id, score from detections", "detections")
@@ -184,7 +183,7 @@ def p24_class_agnostic(spark: SparkSession, d: str) -> DataFrame:
 @query("select det_id, verdict in ('accept', 'reject', 'relabel') ok from (select det_id, case det_id % 5 when 0 then 'accept' when 1 then 'reject' when 2 then 'relabel' when 3 then 'maybe' else 'ACCEPT' end verdict from detections)", "detections")
 def p25_verdict_domain(spark: SparkSession, d: str) -> DataFrame:
     v = F.element_at(F.array(*map(F.lit, ("accept", "reject", "relabel", "maybe", "ACCEPT"))), (F.col("det_id") % 5 + 1).cast("int"))
-    return view(spark, d, "detections").select("det_id", v.isin("accept", "reject", "relabel").alias("ok"))
+    return view(spark, d, "detections").select("det_id", rp.valid_verdict(v).alias("ok"))
 
 
 @query("select image_id, det_id, class_id, score from (select *, row_number() over (partition by image_id order by score desc, det_id) r from detections) where r <= 5", "detections")
@@ -195,7 +194,7 @@ def p17_capped_payload(spark: SparkSession, d: str) -> DataFrame:
 @query("select det_id, case when class_id in ('mcb', 'plc') then case class_id when 'mcb' then 0 else 1 end end new_index from detections where class_id in ('mcb', 'plc')", "detections")
 def p19_profile_scope(spark: SparkSession, d: str) -> DataFrame:
     m = spark.createDataFrame([("mcb", 0), ("plc", 1)], "class_id string, new_index int")
-    return view(spark, d, "detections").join(F.broadcast(m), "class_id").select("det_id", "new_index")
+    return rp.scope(view(spark, d, "detections"), m).select("det_id", "new_index")
 
 
 @query("select gt_id from ground_truth where image_id in (select image_id from detections where image_id % 3 <> 0)", "ground_truth", "detections")
@@ -221,21 +220,19 @@ def j30_element_status(spark: SparkSession, d: str) -> DataFrame:
 @query("select doc_id, coalesce(case when doc_id % 4 = 0 then 'ref' || doc_id end, 'computed' || n_chars) spec from documents")
 def j33_spec_fallback(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents").select("doc_id", "n_chars")
-    ref = t.where("doc_id % 4 = 0").select("doc_id", F.concat(F.lit("ref"), "doc_id").alias("s"))
-    return t.join(ref, "doc_id", "left").select("doc_id", F.coalesce("s", F.concat(F.lit("computed"), "n_chars")).alias("spec"))
+    ref = t.where("doc_id % 4 = 0").select("doc_id", F.concat(F.lit("ref"), "doc_id").alias("spec"))
+    return rp.with_fallback(t, ref, "doc_id", "spec", F.concat(F.lit("computed"), "n_chars")).select("doc_id", "spec")
 
 
 @query("select image_id, least, row_number() over (order by n_unknown desc, least, image_id) place from (select image_id, min(score) least, count(*) filter (where score < 0.1) n_unknown from detections group by 1) order by 3 limit 50".replace("order by 3 limit 50", "qualify place <= 50"), "detections")
 def t5_review_queue(spark: SparkSession, d: str) -> DataFrame:
-    i = view(spark, d, "detections").groupBy("image_id").agg(F.min("score").alias("least"), F.count_if(F.col("score") < 0.1).alias("u"))
-    top = i.orderBy(F.desc("u"), "least", "image_id").limit(50)
-    return top.select("image_id", "least", F.row_number().over(Window.orderBy(F.desc("u"), "least", "image_id")).cast("long").alias("place"))
+    return rp.review_queue(view(spark, d, "detections"), 50)
 
 
 @query("select image_id, class_id, case severity when 'important' then 0 when 'advisory' then 1 else 2 end rank from (select image_id, class_id, case when score >= 0.7 then 'important' when score >= 0.4 then 'advisory' else 'info' end severity from detections)", "detections")
 def t6_severity_order(spark: SparkSession, d: str) -> DataFrame:
-    s = F.when(F.col("score") >= 0.7, 0).when(F.col("score") >= 0.4, 1).otherwise(2)
-    return view(spark, d, "detections").select("image_id", "class_id", s.alias("rank")).orderBy("rank", "image_id")
+    s = F.when(F.col("score") >= 0.7, "important").when(F.col("score") >= 0.4, "advisory").otherwise("info")
+    return view(spark, d, "detections").select("image_id", "class_id", rp.severity_rank(s).alias("rank")).orderBy("rank", "image_id")
 
 
 @query("select class_id, n from (select class_id, count(*) n from detections group by 1) order by n desc, class_id limit 3", "detections")
@@ -253,7 +250,7 @@ def t4_largest_groups(spark: SparkSession, d: str) -> DataFrame:
 @query("select reason, n, round(mean_iou, 6) mean_iou from (select coalesce(reason, 'accepted') reason, count(*) n, avg(v) mean_iou from (select d.det_id, case when det_id % 4 = 0 then 'grew_too_much' when det_id % 4 = 1 then 'moved_too_far' end reason, d.score v from detections d) group by 1)", "detections")
 def a28_refinement_summary(spark: SparkSession, d: str) -> DataFrame:
     r = F.when(F.col("det_id") % 4 == 0, "grew_too_much").when(F.col("det_id") % 4 == 1, "moved_too_far")
-    return view(spark, d, "detections").groupBy(F.coalesce(r, F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"), R(F.avg("score"), "mean_iou"))
+    return rp.refinement_summary(view(spark, d, "detections").select(r.alias("reason"), F.col("score").alias("iou"))).select("reason", "n", R("mean_iou"))
 
 
 @query(f"with o as (select a.image_id, count(*) n from detections a join detections b on a.image_id = b.image_id and a.det_id < b.det_id and {iou_sql('a', 'b')} > 0.5 group by 1) select image_id, n from o", "detections")
@@ -276,14 +273,13 @@ def f3_box_measures(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select image_id, string_agg(class_id || ':' || sig, ',' order by class_id || ':' || sig) signature from (select image_id, class_id, round((x1 + x2) / 2048, 2)::varchar sig from ground_truth) group by 1".replace("round((x1 + x2) / 2048, 2)::varchar", "floor((x1 + x2) / 2048 * 100)::int::varchar"), "ground_truth")
 def f26_label_signature(spark: SparkSession, d: str) -> DataFrame:
-    one = F.concat_ws(":", "class_id", F.floor((F.col("x1") + F.col("x2")) / 2048 * 100).cast("string"))
-    return view(spark, d, "ground_truth").groupBy("image_id").agg(F.array_join(F.array_sort(F.collect_list(one)), ",").alias("signature"))
+    return rp.label_signature(view(spark, d, "ground_truth"))
 
 
 @query("select event_id, try_cast(case when event_id % 3 = 0 then value::varchar when event_id % 3 = 1 then 'x' else null end as double) v from events")
 def f29_safe_coercion(spark: SparkSession, d: str) -> DataFrame:
     t = F.when(F.col("event_id") % 3 == 0, F.col("value").cast("string")).when(F.col("event_id") % 3 == 1, "x")
-    return table(spark, d, "events").select("event_id", t.try_cast("double").alias("v"))
+    return table(spark, d, "events").select("event_id", rp.number(t).alias("v"))
 
 
 @query("select image_id, 'inventory' section, class_id \"key\", count(*)::varchar \"value\" from detections group by 1, 3 union all select image_id, 'confidence', 'n', count(*)::varchar from detections group by 1", "detections")

@@ -48,7 +48,11 @@ def write_label_table(labels: DataFrame, images: DataFrame, path: str) -> None:
 
 def list_images(spark: SparkSession, path: str) -> DataFrame:
     """path, split, stem, folder, bytes, modified of image files; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return image_rows(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+
+
+def image_rows(files: DataFrame) -> DataFrame:
+    """The rows of image files among ``files`` (path, length, modificationTime), with their split, stem and folder."""
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     return files.where(suffix.isin(*IMAGE_SUFFIXES)).select("path", split_of(F.col("path")).alias("split"), stem(F.col("path")).alias("stem"), F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("folder"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
 
@@ -85,9 +89,28 @@ def class_map(spark: SparkSession, names: Mapping[int, str] | Sequence[str]) ->
     return spark.createDataFrame([(k, str(v)) for k, v in pairs], "cls int, class_id string")
 
 
-def read_curves(spark: SparkSession, path: str, names: Mapping[str, Sequence[str]]) -> DataFrame:
-    """A training log in CSV, its columns under the names given, each from the first alias that it has; ragged rows go."""
-    raw = spark.read.option("header", "true").option("ignoreLeadingWhiteSpace", "true").option("ignoreTrailingWhiteSpace", "true").option("mode", "DROPMALFORMED").csv(path)
+#: Classes of a label space.
+MOST_CLASSES = 100_000
+
+
+def read_class_map(spark: SparkSession, path: str) -> DataFrame:
+    """cls, class_id of the ``names`` in a data set's YAML side file, a list or a mapping by index; a bounded file."""
+    import yaml
+
+    text = spark.read.text(path, wholetext=True).where("length(value) > 0").first()[0]
+    names = yaml.safe_load(text)["names"]
+    if len(names) > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} classes")
+    return class_map(spark, names)
+
+
+def read_curves(spark: SparkSession, path: str, names: Mapping[str, Sequence[str]], columns: Sequence[str] | None = None) -> DataFrame:
+    """A training log in CSV, its columns under the names given, each from the first alias that it has; ragged rows go.
+
+    ``columns``: the names of the columns where the files have no head.
+    """
+    reader = spark.read.schema(", ".join(f"`{c}` string" for c in columns)) if columns else spark.read.option("header", "true")
+    raw = reader.option("ignoreLeadingWhiteSpace", "true").option("ignoreTrailingWhiteSpace", "true").option("mode", "DROPMALFORMED").csv(path)
     have = {c.strip(): c for c in raw.columns}
     found = lambda aliases: next((F.col(f"`{have[a]}`") for a in aliases if a in have), F.lit(None))
     return raw.select(*[found([k, *aliases]).try_cast("double").alias(k) for k, aliases in names.items()])
