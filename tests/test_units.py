@@ -111,3 +111,21 @@ def test_segments(spark):
     out = wires.merge_lines(straight, 5.0, 25.0)
     assert sorted((x["n"], x["color"], x["length"]) for x in out) == [(1, "red", 20.0), (2, "blue", 30.0)]
     assert len(wires.merge_lines([line(1, (0.0, 0.0), (10.0, 0.0)), line(2, (10.0, 1.0), (0.0, 1.0))], 5.0, 25.0)) == 2
+
+
+def test_exact_hash_links_miss_none(spark):
+    """Brute force over hashes that differ in up to 7 bits, spread over all of them."""
+    import random
+
+    from sightline.operators.datasets import hash_links
+
+    rng, hashes = random.Random(4), []
+    for _ in range(40):
+        own = rng.getrandbits(60)
+        for n in (0, 2, 4, 5, 6):
+            hashes.append(own ^ sum(1 << k for k in rng.sample(range(60), n)))
+    rows = [(k, h, 0, str(k)) for k, h in enumerate(dict.fromkeys(hashes))]
+    df = spark.createDataFrame(rows, "image_id long, dhash long, ahash long, sha string")
+    want = {(a, b) for a, x, _, _ in rows for b, y, _, _ in rows if a < b and (x ^ y).bit_count() <= 5}
+    assert {tuple(r) for r in hash_links(df, exact=True).collect()} == want
+    assert {tuple(r) for r in hash_links(df).collect()} <= want
