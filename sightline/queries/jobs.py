@@ -18,7 +18,8 @@ from sightline.operators import selection as sel
 from sightline.queries import compare as qc
 from sightline.queries import datasets as qd
 from sightline.queries.evaluation import COUNTS, F1, match_sql
-from sightline.queries.gate import CFG, contain_sql
+from sightline.queries.gate import CFG, GATED, contain_sql, greedy_sql, iou_sql
+from sightline.queries.identity import CENT, UNITS
 from sightline.queries.inventory import INV, MISSING, RULES, SCORES, TYPES, _dets
 from sightline.registry import query
 from sightline.sources import files
@@ -45,22 +46,61 @@ def d4_report(spark: SparkSession, d: str) -> DataFrame:
     return jobs.report(jobs.inspect(_dets(spark, d))).select("image_id", "n", "panel_type", F.col("n_missing").cast("long").alias("n_missing"), F.col("n_notes").cast("long").alias("n_notes"), R("score"), "level")
 
 
-@query(None)
+KEPT = f"kd as (select d.* from detections d join class_dim using (class_id) where score >= min_conf), {match_sql(0.5, True, 'kept').replace('detections', 'kd')}"
+BEST = f"""{match_sql(0.5)}, grid as (select round(0.05 * k, 2)::double t from range(1, 20) r(k)), ng as (select class_id, count(*) n_gt from ground_truth group by 1),
+pts as (select c.class_id, t, count(m.gt_id) tp, count(m.det_id) n, any_value(c.n_gt) n_gt from (select distinct d.class_id, coalesce(n_gt, 0) n_gt from detections d left join ng using (class_id)) c cross join grid left join matched m on m.class_id = c.class_id and m.score >= t group by 1, 2),
+rt as (select *, case when n > 0 then tp / n else 0.0 end p, case when n_gt > 0 then tp / n_gt else 0.0 end r from pts), best as (select class_id, t, {F1} f from rt qualify row_number() over (partition by class_id order by {F1} desc, t) = 1)"""
+
+
+@query(
+    f"with {KEPT}, {BEST}, {COUNTS.format(m='kept')}, old as (select class_id, {F1} f from rated) select c.class_id, case when coalesce(b.f > coalesce(old.f, 0), false) then t else min_conf end min_conf, coalesce(b.f > coalesce(old.f, 0), false) adopted from class_dim c left join best b using (class_id) left join old using (class_id)",
+    "detections",
+    "ground_truth",
+    "class_dim",
+)
 def d7_refine_thresholds(spark: SparkSession, d: str) -> DataFrame:
     t, p, c = view(spark, d, "ground_truth"), view(spark, d, "detections"), view(spark, d, "class_dim")
     kept = p.join(F.broadcast(c.select("class_id", "min_conf")), "class_id").where("score >= min_conf").drop("min_conf")
     return sel.refine_thresholds(ev.class_counts(ev.match(t, kept), t), t, p, c)
 
 
-@query(None)
+OLD_GATE = greedy_sql("loose", "image_id", "score desc, det_id", iou_sql("k", "o") + " > 0.45", "oldp")
+NEW_GATE = "newp as (select * from placed where class_id <> 'unknown_industrial_component')"
+
+
+def _outcome(gate: str) -> str:
+    counts = COUNTS.format(m=f"m{gate}").replace("counts as", f"c{gate} as").replace("from counts", f"from c{gate}").replace("rated as", f"r{gate} as")
+    return f"{match_sql(0.5, True, f'm{gate}').replace('detections', f'{gate}p')}, {counts}, t{gate} as (select '{gate}' gate, sum(tp)::bigint tp, sum(fp)::bigint fp, sum(fn)::bigint fn from c{gate})"
+
+
+@query(
+    f"with {GATED}, loose as (select * from good where score >= 0.25), {OLD_GATE}, {NEW_GATE}, {_outcome('old')}, {_outcome('new')}, o as (select *, case when tp + fp > 0 then tp / (tp + fp) else 0.0 end p, case when tp + fn > 0 then tp / (tp + fn) else 0.0 end r from (select * from told union all select * from tnew)) "
+    f"select gate, tp, fp, fn, round(p, 6) \"precision\", round(r, 6) recall, round({F1}, 6) f1 from o",
+    "candidates",
+    "class_dim",
+    "ground_truth",
+)
 def d25_gate_experiment(spark: SparkSession, d: str) -> DataFrame:
-    return jobs.gate_experiment(view(spark, d, "ground_truth"), view(spark, d, "candidates"), view(spark, d, "class_dim"), CFG)
+    out = jobs.gate_experiment(view(spark, d, "ground_truth"), view(spark, d, "candidates"), view(spark, d, "class_dim"), CFG)
+    return out.select("gate", "tp", "fp", "fn", R("precision"), R("recall"), R("f1"))
 
 
-@query(None)
+WIRE_ROWS = "refs as (select image_id panel_id, gt_id ref_id, x1 sx, y1 sy, x2 ex, y2 ey, sqrt(power(x2 - x1, 2) + power(y2 - y1, 2)) length from ground_truth), obs as (select image_id panel_id, det_id obs_id, x1 sx, y1 sy, x2 ex, y2 ey, sqrt(power(x2 - x1, 2) + power(y2 - y1, 2)) length from detections)"
+WIRE_PAIRS = qc.assign_sql(f"select * from (select r.panel_id, r.ref_id, o.obs_id, round({qc.COST}, 9) c from refs r join obs o using (panel_id)) where c < 90")
+
+
+@query(
+    f"with c as (with recursive {qc.COMPONENTS} select panel_id, severity from err), w as (with recursive {WIRE_ROWS}, {WIRE_PAIRS}, j as (select m.*, r.length l, o.length ol from m join refs r using (panel_id, ref_id) left join obs o on o.panel_id = m.panel_id and o.obs_id = m.obs_id) "
+    "select panel_id, 'error' severity from j where obs_id is null or ol / l < 0.6 union all select panel_id, 'warning' from obs where (panel_id, obs_id) not in (select (panel_id, obs_id) from m where obs_id is not null)), "
+    "e as (select * from c union all select * from w), n as (select image_id panel_id, 2 * count(*) n from ground_truth group by 1), k as (select panel_id, n, count(*) filter (where severity = 'error') n_err, count(*) filter (where severity = 'warning') n_warn from n left join e using (panel_id) group by 1, 2) "
+    "select panel_id, n_err, n_warn, round(greatest(0.0, 1 - (n_err + 0.4 * n_warn) / n), 6)::double score, case when n_err > 0 then 'fail' when n_warn > 0 then 'warning' else 'pass' end status from k",
+    "detections",
+    "ground_truth",
+)
 def d20_compare_panels(spark: SparkSession, d: str) -> DataFrame:
     wire = lambda df, i: df.select(F.col("image_id").alias("panel_id"), F.col(i).alias("ref_id" if i == "gt_id" else "obs_id"), F.col("x1").alias("sx"), F.col("y1").alias("sy"), F.col("x2").alias("ex"), F.col("y2").alias("ey"), g.distance(*g.box()).alias("length"), F.lit("red").alias("color"))
-    return jobs.compare_panels(qc._refs(spark, d), qc._obs(spark, d), wire(view(spark, d, "ground_truth"), "gt_id"), wire(view(spark, d, "detections"), "det_id"))
+    out = jobs.compare_panels(qc._refs(spark, d), qc._obs(spark, d), wire(view(spark, d, "ground_truth"), "gt_id"), wire(view(spark, d, "detections"), "det_id"))
+    return out.select("panel_id", "n_err", "n_warn", R("score"), "status")
 
 
 @query("with n as (select image_id, class_id comp_type, count(*) n from detections group by 1, 2) select comp_type, max(n) expected, count(*) seen_in from n group by 1", "detections")
@@ -68,7 +108,15 @@ def d19_template(spark: SparkSession, d: str) -> DataFrame:
     return jobs.learn_template(view(spark, d, "detections").withColumnRenamed("class_id", "comp_type"))
 
 
-@query(None)
+FACES = f"""fd as (select d.* from detections d join vectors v on v.vec_id = d.det_id % (select count(*) from vectors)), {greedy_sql('fd', 'image_id', '(x2 - x1) * (y2 - y1) desc, det_id', iou_sql('k', 'o') + ' >= 0.4', 'big')}, {UNITS}, {CENT},
+fa as (select *, least(x2 - x1, y2 - y1) side, det_id % 90 blur, det_id % 256 bright, det_id % 50 ov, det_id % 60 un from big where least(x2 - x1, y2 - y1) >= 20),
+q as (select *, case when side < 40 then 'small' when score < 0.5 then 'unsure' when blur < 20 then 'blurry' when bright > 215 or ov > 35 then 'over' when bright < 40 or un > 50 then 'under' end reason from fa),
+rk as (select q.det_id, cn.label, list_dot_product(u.v, cn.v) s, row_number() over (partition by q.det_id order by list_dot_product(u.v, cn.v) desc, cn.label) k from q join u on u.vec_id = q.det_id % (select count(*) from vectors) cross join cn where reason is null),
+de as (select a.det_id, a.label, a.s, a.s >= 0.15 and a.s - coalesce(b.s, -1) >= 0.02 ok from rk a left join rk b on b.det_id = a.det_id and b.k = 2 where a.k = 1),
+rec as (select image_id, q.det_id, case when reason is not null then 'low_quality' when ok then 'known' else 'unknown' end status, case when ok then label end \"identity\", case when ok then round(greatest(0.0, least(1.0, (s - 0.15) / 0.85)), 6) end confidence from q left join de using (det_id))"""
+
+
+@query(f"with {FACES} select * from rec", "detections", "vectors")
 def d27_recognise(spark: SparkSession, d: str) -> DataFrame:
     v = view(spark, d, "vectors")
     gallery = idn.centroids(v.where("vec_id % 5 <> 0 and label < 8"), "label", "embedding").select(F.col("label").alias("identity"), F.col("embedding").alias("vec"))
@@ -76,7 +124,7 @@ def d27_recognise(spark: SparkSession, d: str) -> DataFrame:
     faces = view(spark, d, "detections").withColumn("vec_id", F.col("det_id") % n).join(v.select("vec_id", F.col("embedding").alias("vec")), "vec_id").drop("vec_id")
     i = F.col("det_id")
     faces = faces.withColumns({"blur": (i % 90).cast("double"), "brightness": (i % 256).cast("double"), "over": (i % 50) / 100, "under": (i % 60) / 100})
-    return jobs.recognise(faces, gallery, 0.15, 0.02)
+    return jobs.recognise(faces, gallery, 0.15, 0.02).withColumn("confidence", F.round("confidence", 6))
 
 
 @query("select vec_id, label from vectors where label % 4 <> 1 union all select vec_id + 100000, label from vectors where label % 4 = 1 and vec_id % 2 = 0", "vectors")
@@ -139,7 +187,16 @@ def g6_endpoint_issues(spark: SparkSession, d: str) -> DataFrame:
     return cp.endpoint_issues(rows).select("det_id", F.array_join("issues", ",").alias("issues"))
 
 
-@query(None)
+def _off(p: str, q: str) -> str:
+    """Distance of a point from the wire k."""
+    t = f"greatest(0.0, least(1.0, coalesce((({p} - k.x1) * (k.x2 - k.x1) + ({q} - k.y1) * (k.y2 - k.y1)) / nullif(power(k.x2 - k.x1, 2) + power(k.y2 - k.y1, 2), 0), 0.0)))"
+    return f"sqrt(power({p} - k.x1 - {t} * (k.x2 - k.x1), 2) + power({q} - k.y1 - {t} * (k.y2 - k.y1), 2)) < case when k.class_id = o.class_id then 30 else 15 end"
+
+
+COVERED = greedy_sql("ws", "image_id", "sqrt(power(x2 - x1, 2) + power(y2 - y1, 2)) desc, det_id", f"{_off('o.x1', 'o.y1')} and {_off('o.x2', 'o.y2')} and {_off('(o.x1 + o.x2) / 2', '(o.y1 + o.y2) / 2')}", "kw")
+
+
+@query(f"with ws as (select image_id, det_id, case when det_id % 2 = 0 then 'red' else 'blue' end class_id, x1, y1, x2, y2 from detections), {COVERED} select image_id panel_id, det_id wire_id from kw", "detections")
 def g8_drop_covered(spark: SparkSession, d: str) -> DataFrame:
     w = view(spark, d, "detections").select(F.col("image_id").alias("panel_id"), F.col("det_id").alias("wire_id"), F.col("x1").alias("sx"), F.col("y1").alias("sy"), F.col("x2").alias("ex"), F.col("y2").alias("ey"), g.distance(*g.box()).alias("length"), F.when(F.col("det_id") % 2 == 0, "red").otherwise("blue").alias("color"))
     return cp.drop_covered(w, 30.0).select("panel_id", "wire_id")
@@ -215,7 +272,7 @@ def f28_gap_verdict(spark: SparkSession, d: str) -> DataFrame:
     return sel.domain_gap(rows, rows.withColumn("map_50", F.lit(0.3))).select(F.col("label").alias("det_id"), "verdict")
 
 
-@query(None)
+@query(f"with {FACES} select status, count(*) n from rec group by 1", "detections", "vectors")
 def r12_recognition(spark: SparkSession, d: str) -> DataFrame:
     return d27_recognise(spark, d).groupBy("status").agg(F.count("*").alias("n"))
 
