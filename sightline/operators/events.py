@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sightline.plans.lineage import materialize
+
 
 def filter_equal(df: DataFrame, wanted: Mapping[str, object]) -> DataFrame:
     """Rows that equal every value given; a null value sets no condition. Pushed down to the scan."""
@@ -41,37 +44,120 @@ def replace_partition(df: DataFrame, path: str, by: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
+#: Seconds in a piece of a key's history, at least so many times the interval.
+PIECE, INTERVALS = 86_400, 16
+
+
+def _chain(times: np.ndarray, seconds: int, at: int) -> list[int]:
+    """Positions that count, from ``at`` on: each the first that is ``seconds`` or more after the one before."""
+    out = []
+    while at < len(times):
+        out.append(at)
+        at = int(np.searchsorted(times, times[at] + seconds))
+    return out
+
+
+def _ends(times: np.ndarray, seconds: int) -> np.ndarray:
+    """Time of the last that counts if each time in turn is the first that does."""
+    after, out = np.searchsorted(times, times + seconds), times.copy()
+    for k in range(len(times) - 1, -1, -1):
+        if after[k] < len(times):
+            out[k] = out[after[k]]
+    return out
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[list, list[pa.RecordBatch]]]:
+    """(values of the first ``n`` columns, slices of rows) of each run of rows with equal values there."""
+    key, held = None, []
+    for part in batches:
+        cols = [part.column(k).to_pylist() for k in range(n)]
+        start = 0
+        for at, own in enumerate(map(list, zip(*cols, strict=True))):
+            if own != key:
+                if held or at > start:
+                    yield key, [*held, part.slice(start, at - start)]
+                key, held, start = own, [], at
+        held.append(part.slice(start))
+    if held:
+        yield key, held
+
+
+def _counted(rows: DataFrame, keys: Sequence[str], time: str, row_id: str, seconds: int) -> DataFrame:
+    """keys, __t, row_id: first row of every second of a key that counts under the interval.
+
+    A key's history is cut into pieces, so that a busy key is many tasks. Only distinct seconds matter, which bounds a
+    piece. First each piece tells, for every second that may be its first to count, which is then its last; so the pieces
+    of a key are chained with a row for each; then each piece is walked from where it is entered.
+    """
+    length, n = max(PIECE, INTERVALS * seconds), len(keys)
+    own = rows.where(F.col(time).isNotNull()).groupBy(*keys, F.floor(F.col(time)).cast("long").alias("__t")).agg(F.min(row_id).alias(row_id))
+    piece = F.floor(F.col("__t") / length).cast("long").alias("__p")
+    times = materialize(own.select(*keys, piece, "__t", row_id), "times")
+    by_piece = times.repartition(*keys, "__p").sortWithinPartitions(*keys, "__p", "__t")
+    fields = [rows.schema[c] for c in keys]
+    entries = T.StructType([*fields, T.StructField("__p", T.LongType()), T.StructField("__from", T.LongType()), T.StructField("__to", T.LongType())])
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, parts in _grouped(batches, n + 1):
+            at = np.concatenate([p.column(n + 1).to_numpy() for p in parts])
+            may = int(np.searchsorted(at, key[n] * length + seconds)) + 1  # the piece before holds it up no longer
+            last = _ends(at, seconds)[:may]
+            new = np.flatnonzero(np.concatenate([[True], last[1:] != last[:-1]]))  # of those that end alike, the first and last
+            keep = np.unique(np.concatenate([new, new[1:] - 1, [len(last) - 1]]))
+            first = parts[0].slice(0, 1)
+            same = [pa.concat_arrays([first.column(k)] * len(keep)) for k in range(n + 1)]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(at[keep]), pa.array(last[keep])], names=entries.names)
+
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, None
+        for key, parts in _grouped(batches, n + 1):
+            if key[:n] != now:
+                now, last = key[:n], None
+            start = np.concatenate([p.column(n + 1).to_numpy() for p in parts])
+            end = np.concatenate([p.column(n + 2).to_numpy() for p in parts])
+            first = parts[0].slice(0, 1)
+            least = None if last is None else last + seconds
+            yield pa.RecordBatch.from_arrays([*(first.column(k) for k in range(n + 1)), pa.array([least], pa.int64())], names=[*entries.names[: n + 1], "__least"])
+            at = 0 if least is None else int(np.searchsorted(start, least))
+            if at < len(start):
+                last = int(end[at])
+
+    found = by_piece.mapInArrow(ends, entries)
+    chained = found.repartition(*keys).sortWithinPartitions(*keys, "__p", "__from")
+    entered = chained.mapInArrow(enter, T.StructType([*entries.fields[: n + 1], T.StructField("__least", T.LongType())]))
+    entered = entered.select(*[F.col(c).alias(f"__e{k}") for k, c in enumerate(entries.names[: n + 1])], "__least")
+    on = [times[c].eqNullSafe(entered[f"__e{k}"]) for k, c in enumerate([*keys, "__p"])]
+    known = times.join(entered, on).select(*keys, "__p", "__t", row_id, "__least")
+    walked = known.repartition(*keys, "__p").sortWithinPartitions(*keys, "__p", "__t")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, parts in _grouped(batches, n + 1):
+            whole = pa.concat_batches(parts)
+            at, least = whole.column(n + 1).to_numpy(), whole.column(n + 3)[0].as_py()
+            kept = _chain(at, seconds, 0 if least is None else int(np.searchsorted(at, least)))
+            if kept:
+                yield whole.select([*range(n), n + 1, n + 2]).take(pa.array(kept))
+
+    return walked.mapInArrow(walk, T.StructType([*fields, T.StructField("__t", T.LongType()), rows.schema[row_id]]))
+
+
 def _greedy(rows: DataFrame, keys: Sequence[str], time: str, row_id: str, seconds: float, by_day: bool) -> DataFrame:
-    """keys and row_id of the rows that fire. Each key is walked in order of time; a task holds one batch and the state."""
-    dealt = rows.select(*keys, row_id, F.col(time).alias("__t")).repartition(*keys).sortWithinPartitions(*keys, "__t", row_id)
-    n = len(keys)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, last, day = None, None, None
-        for part in batches:
-            fired = []
-            for at, (t, *own) in enumerate(zip(part.column(n + 1).to_pylist(), *(part.column(k).to_pylist() for k in range(n)), strict=True)):
-                if own != key:
-                    key, last, day = own, None, None
-                if last is not None and (t is None or t - last < seconds):
-                    continue
-                last = None if t is None else int(t)
-                if by_day and t is not None:
-                    if day == t // 86_400:
-                        continue
-                    day = t // 86_400
-                fired.append(at)
-            if fired:
-                yield part.select(range(n + 1)).take(pa.array(fired))
-
-    return dealt.mapInArrow(run, T.StructType([rows.schema[c] for c in (*keys, row_id)]))
+    """keys and row_id of the rows that fire; rows without a time all do."""
+    keys = list(keys)
+    counted = _counted(rows, keys, time, row_id, int(seconds))
+    if by_day:  # of what counts, the first of a day
+        day = F.floor(F.col("__t") / 86_400).alias("__d")
+        counted = counted.groupBy(*keys, day).agg(F.min_by(row_id, "__t").alias(row_id))
+    return counted.select(*keys, row_id).unionByName(rows.where(F.col(time).isNull()).select(*keys, row_id))
 
 
 def rate_limit(rows: DataFrame, keys: Sequence[str], time: str, row_id: str, seconds: float) -> DataFrame:
     """keys and row_id of the rows that fire: the first of a key, then each at least ``seconds`` after the last that fired.
 
-    Time is in whole seconds.
+    Time is in whole seconds; an interval of 0 lets every row fire.
     """
+    if seconds <= 0:
+        return rows.select(*keys, row_id)
     return _greedy(rows, keys, time, row_id, seconds, False)
 
 
