@@ -35,13 +35,13 @@ def running(rows: DataFrame, by: Sequence[str], seed: int, row_id: str, weight:
     Sums are taken within 4,096 ranges of the hash, and over the ranges, so no task orders all rows of a key. Rows
     whose ``by`` is null are one key.
     """
-    keys = [f"__{c}" for c in by]
+    keys = [f"__k{n}" for n in range(len(by))]
     own = rows.withColumns({k: F.coalesce(F.col(c).cast("string"), F.lit("")) for k, c in zip(keys, by, strict=True)})
     own = own.withColumn("__h", draw(seed, row_id)).withColumn("__r", F.substring("__h", 1, 3)).withColumn("__w", F.col(weight).cast("long") if weight else F.lit(1).cast("long"))
-    sums = own.groupBy(*keys, "__r").agg(F.sum("__w").alias("__s"))
+    sums = own.groupBy(*keys, "__r").agg(F.sum("__w").alias("__sum"))
     ranges = Window.partitionBy(*keys)
     upto = ranges.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*keys, "__r", F.coalesce(F.sum("__s").over(upto), F.lit(0)).alias("__o"), F.sum("__s").over(ranges).alias("total"))
+    sums = sums.select(*keys, "__r", F.coalesce(F.sum("__sum").over(upto), F.lit(0)).alias("__o"), F.sum("__sum").over(ranges).alias("total"))
     inside = Window.partitionBy(*keys, "__r").orderBy("__h", row_id).rowsBetween(Window.unboundedPreceding, -1)
     out = own.withColumn("__i", F.coalesce(F.sum("__w").over(inside), F.lit(0))).join(sums, [*keys, "__r"])
     return out.select(*rows.columns, (F.col("__o") + F.col("__i")).alias("before"), "total")
