@@ -123,3 +123,56 @@ def test_minhash_estimates_jaccard():
     assert minhash.likeness(b"", b"") == 1.0 and minhash.likeness(b"", b"\x01") == 0.0
     short = minhash.fingerprint("one two")
     assert minhash.likeness(short, minhash.fingerprint("ONE  two")) == 1.0
+
+
+M64 = (1 << 64) - 1
+
+
+def mixed(x):
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & M64
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & M64
+    return x ^ (x >> 31)
+
+
+def plain_fingerprint(text):
+    """256 hex digits: least shingle hash of each bin, empty bins from the first filled one they ask, 4 bits of each; by plain numbers."""
+    words = text.encode().lower().split()
+    if not words:
+        return ""
+    spread, size, bins = 0x9E3779B97F4A7C15, min(5, len(words)), {}
+    for k in range(len(words) - size + 1):
+        h = size
+        for w in words[k : k + size]:
+            h = mixed((h * spread + xxhash.xxh64_intdigest(w)) & M64)
+        bins[h >> 56] = min(h, bins.get(h >> 56, M64))
+    out = []
+    for k in range(256):
+        donor = k if k in bins else next((d for t in range(1, 513) if (d := mixed((((k << 32) + t) * spread) & M64) % 256) in bins), None)
+        donor = sorted(bins)[k % len(bins)] if donor is None else donor
+        out.append(f"{mixed(bins[donor]) & 15:x}")
+    return "".join(out)
+
+
+def plain_likeness(x, y):
+    if not x or not y:
+        return float(x == y)
+    same = sum(a == b for a, b in zip(x, y, strict=True)) / 256
+    return min(1.0, max(0.0, (same - 1 / 16) / (15 / 16)))
+
+
+def test_minhash_equals_plain_numbers(docs, edge, frame):
+    """Every column by brute force, with ties, nulls and rows without an id in the order that is documented."""
+    ties = frame([(3, "a b c d e f g"), (3, "a b c d e f g"), (3, None), (None, "x y z"), (None, None), (1, "word " * 9), (2, "")])
+    for df in (docs, edge, ties):
+        rows = [(r["doc_id"], r["text"] or "") for r in df.collect()]
+        tie = lambda t: -(h - (1 << 64) if (h := xxhash.xxh64_intdigest(t.encode(), 42)) >> 63 else h)
+        rows.sort(key=lambda r: (r[0] is None, -(r[0] or 0), tie(r[1])))
+        want = []
+        for k, (doc_id, text) in enumerate(rows):
+            after = rows[(k + 1) % len(rows)][1]
+            n = len(text) // 3
+            new = text[: len(text) - n] + after[:n]
+            own, other, of_next = plain_fingerprint(text), plain_fingerprint(new), plain_fingerprint(after)
+            want.append((str(doc_id), len(text), hashlib.sha256(new.encode()).hexdigest(), own, other, round(plain_likeness(own, other), 9), round(plain_likeness(own, of_next), 9)))
+        got = [(str(r["doc_id"]), *tuple(r)[1:5], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in minhash.beside_next(df, target_rows=3 if df is not docs else 40).collect()]
+        assert sorted(got) == sorted(want)
