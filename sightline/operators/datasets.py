@@ -101,7 +101,7 @@ def hash_links(images: DataFrame, row_id: str = "image_id", h: str = "dhash", ot
     """
     rows = images.select(F.col(row_id).alias("i"), F.col(h).alias("h"), (F.col(other) if other else F.lit(0).cast("long")).alias("o"), F.col(sha).alias("s"))
     first = rows.groupBy("s").agg(F.min("i").alias("a"))
-    exact = rows.join(first, "s").where("i <> a").select("a", F.col("i").alias("b"))
+    copies = rows.join(first, "s").where("i <> a").select("a", F.col("i").alias("b"))
     nodes = rows.groupBy("h", "o").agg(F.min("i").alias("i"))
     same = rows.join(nodes.withColumnRenamed("i", "a"), ["h", "o"]).where("i <> a").select("a", F.col("i").alias("b"))
     if exact:
@@ -113,7 +113,7 @@ def hash_links(images: DataFrame, row_id: str = "image_id", h: str = "dhash", ot
     bands = nodes.withColumn("band", F.explode(F.array(*keys)))
     x, y = bands.select("band", F.col("i").alias("a"), F.col("h").alias("ha"), F.col("o").alias("oa")), bands.select("band", F.col("i").alias("b"), F.col("h").alias("hb"), F.col("o").alias("ob"))
     near = x.join(y, "band").where("a < b").where((hamming(F.col("ha"), F.col("hb")) <= threshold) & (hamming(F.col("oa"), F.col("ob")) <= 2 * threshold)).select("a", "b")
-    return exact.union(same).union(near).distinct()
+    return copies.union(same).union(near).distinct()
 
 
 def duplicate_groups(images: DataFrame, row_id: str = "image_id", sha: str = "sha", **options) -> DataFrame:
