@@ -112,7 +112,7 @@ with t as (select row_number() over () doc_id, doc_id id, source, coalesce(text,
   {_spans("hex", "[0-9a-f]+", 32, "found")},
   {_spans("bare", "[A-Za-z0-9+/_=-]{{20,}}".replace("{{", "{").replace("}}", "}"), 20, "found")},
   base as (select *, 0 o from assign_f union all select *, 1 from access_f union all select *, 2 from hex_f),
-  mixed as (select c.*, list_sum(list_transform(map_values(h), lambda n: -n / length(v) * log2(n / length(v)))) bits
+  mixed as (select c.*, list_sum(list_transform(map_values(h), lambda n: -(n::double) / length(v) * log2(n / length(v)))) bits
     from (select *, list_histogram(string_split(v, '')) h from bare_f where regexp_matches(v, '[0-9]') and regexp_matches(v, '[A-Za-z]')) c),
   extra as (select doc_id, kind, b, e, v, 3 o from mixed where bits >= 3.5
       and not exists (select 1 from base where base.doc_id = mixed.doc_id and base.b < mixed.e and mixed.b < base.e)),
