@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import byte_bpe, decontaminate, importance, language_id, minhash, ngram_lm, secret_scan, simhash, warc
+from sightline.llm import byte_bpe, decontaminate, importance, language_id, line_dedup, minhash, ngram_lm, secret_scan, simhash, warc
 from sightline.llm.token_counts import token_counts
 
 JSON_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -60,7 +60,12 @@ def op10_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "log_weight", "gumbel_key", "selected")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_decontamination, op4_secret_scan, op5_simhash, op6_ngram_lm, op7_warc, op8_minhash, op9_language_id, op10_importance)}
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_repeated(_read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_decontamination, op4_secret_scan, op5_simhash, op6_ngram_lm, op7_warc, op8_minhash, op9_language_id, op10_importance, op13_line_dedup)}
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Python's words of a text: A-Z lower-cased, split at ASCII white space.
@@ -126,5 +131,15 @@ select id doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access
 from t left join each using (doc_id)
 """
 
+_LINE_DEDUP = f"""
+with d as (select row_number() over () r, doc_id, string_split(coalesce(text, ''), chr(10)) l from documents),
+  t as (select r, unnest(l) x, generate_subscripts(l, 1) i from d),
+  k as (select *, translate(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_UPPER}', '{_UPPER.lower()}') k from t),
+  f as (select k from k where length(k) >= 1 group by k having count(distinct r) >= 10),
+  m as (select k.*, f.k is not null gone from k left join f using (k))
+select doc_id, count(*) n_lines, count(*) filter (gone) n_dropped, sha256(coalesce(string_agg(x, chr(10) order by i) filter (not gone), '')) kept_sha256
+from m join d using (r) group by r, doc_id
+"""
+
 #: The other queries hold hashes, models or encodings that DuckDB doesn't have; tests hold them against brute force.
-SQL: dict[str, str] = {"op4_secret_scan": _SECRETS, "op6_ngram_lm": _NGRAM_LM, "op7_warc": _WARC}
+SQL: dict[str, str] = {"op4_secret_scan": _SECRETS, "op6_ngram_lm": _NGRAM_LM, "op7_warc": _WARC, "op13_line_dedup": _LINE_DEDUP}
