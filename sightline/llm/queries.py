@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import byte_bpe, decontaminate, importance, language_id, line_dedup, minhash, ngram_lm, secret_scan, simhash, warc
+from sightline.llm import byte_bpe, conversation_trie, decontaminate, hard_negatives, importance, language_id, line_dedup, minhash, ngram_lm, secret_scan, simhash, warc
 from sightline.llm.token_counts import token_counts
 
 JSON_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -60,12 +60,22 @@ def op10_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "log_weight", "gumbel_key", "selected")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.select("vec_id", label.alias("label"), "embedding"), F.col("vec_id") % 100 == 0)
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(_read(spark, sf_dir, "conversations"))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_repeated(_read(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_decontamination, op4_secret_scan, op5_simhash, op6_ngram_lm, op7_warc, op8_minhash, op9_language_id, op10_importance, op13_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_decontamination, op4_secret_scan, op5_simhash, op6_ngram_lm, op7_warc, op8_minhash, op9_language_id, op10_importance, op11_hard_negatives, op12_conversation_trie, op13_line_dedup)}
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Python's words of a text: A-Z lower-cased, split at ASCII white space.
@@ -131,6 +141,36 @@ select id doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access
 from t left join each using (doc_id)
 """
 
+_HARD_NEGATIVES = """
+with e as (select row_number() over () r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end label, list_transform(embedding, lambda x: floor(256 * x::double)) v
+    from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+  s as (select a.r ar, a.vec_id anchor_id, b.r br, b.vec_id id, a.label = b.label same, cast(list_dot_product(a.v, b.v) as bigint) score from e a join e b on a.r <> b.r and len(a.v) = len(b.v) where a.vec_id % 100 = 0),
+  p as (select *, row_number() over (partition by ar order by score desc, id) k from s where same qualify k <= 5),
+  n as (select p.ar, p.anchor_id, p.br, p.id positive_id, p.score positive_score, s.id negative_id, s.score negative_score, row_number() over (partition by p.ar, p.br order by s.score desc, s.id) rank
+    from p join s on s.ar = p.ar and not s.same and 80 * p.score <= 100 * s.score and 100 * s.score <= 100 * p.score)
+select anchor_id, positive_id, cast(rank as int) rank, negative_id, positive_score, negative_score from n where rank <= 5
+"""
+
+#: CRC-32 of a decimal number, bit by bit.
+_CRC32 = """xor(list_reduce(list_transform(string_split(cast(conv_id as varchar), ''), lambda ch: cast(ord(ch) as bigint)),
+      lambda c, b: list_reduce(range(8), lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end, xor(c, b)), 4294967295), 4294967295)"""
+#: A node is known by the digests of its turns, one after the other.
+_TRIE = f"""
+with c as (select conv_id, coalesce(role, '') role, coalesce(text, '') text, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), md5(coalesce(text, ''))) pos from conversations where conv_id is not null),
+  o as (select conv_id, {_CRC32} % 9 h, conv_id - conv_id % 5 base from (select distinct conv_id from c)),
+  b as (select o.*, least(h, (select count(*) from c where c.conv_id = base)) lent from o),
+  r as (select b.conv_id, pos d, role, text from b join c on c.conv_id = base and pos <= h union all select conv_id, pos - h + lent, role, text from b join c using (conv_id) where pos > h),
+  p as (select conv_id, d, octet_length(encode(text)) bytes, string_agg(md5(length(role) || ':' || role || text), '') over (partition by conv_id order by d) path from r),
+  e as (select o.conv_id, coalesce(max_by(path, d), '') path from o left join p using (conv_id) group by 1),
+  n as (select path, any_value(d) d, any_value(bytes) bytes, min(conv_id) conv_id, count(*) n from p group by path union all select '', 0, 0, min(conv_id), count(*) from o having count(*) > 0),
+  k as (select substr(path, 1, length(path) - 32) path, count(*) kids from n where d > 0 group by 1),
+  v as (select n.*, coalesce(kids, 0) kids, (n - 1) * bytes saved from n left join k using (path)),
+  s as (select substr(path, 1, 32 * i) path, count(*) filter (kids = 0) leaves, sum(saved) saved from (select *, unnest(range(d + 1)) i from v) group by 1),
+  x as (select path, string_agg(cast(conv_id as varchar), ',' order by conv_id) ids from e group by path)
+select v.conv_id, cast(v.d as bigint) depth, up.conv_id parent_conv_id, v.n n_convs, kids n_children, leaves n_leaves, cast(s.saved as bigint) saved_tokens, sha256(coalesce(ids, '')) ends_sha256
+from v join s using (path) left join n up on v.d > 0 and up.path = substr(v.path, 1, length(v.path) - 32) left join x on x.path = v.path
+"""
+
 _LINE_DEDUP = f"""
 with d as (select row_number() over () r, doc_id, string_split(coalesce(text, ''), chr(10)) l from documents),
   t as (select r, unnest(l) x, generate_subscripts(l, 1) i from d),
@@ -142,4 +182,4 @@ from m join d using (r) group by r, doc_id
 """
 
 #: The other queries hold hashes, models or encodings that DuckDB doesn't have; tests hold them against brute force.
-SQL: dict[str, str] = {"op4_secret_scan": _SECRETS, "op6_ngram_lm": _NGRAM_LM, "op7_warc": _WARC, "op13_line_dedup": _LINE_DEDUP}
+SQL: dict[str, str] = {"op4_secret_scan": _SECRETS, "op6_ngram_lm": _NGRAM_LM, "op7_warc": _WARC, "op11_hard_negatives": _HARD_NEGATIVES, "op12_conversation_trie": _TRIE, "op13_line_dedup": _LINE_DEDUP}
