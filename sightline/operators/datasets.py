@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.functions.geometry import hamming
 from sightline.operators.graph import connected_components
+from sightline.plans.lineage import materialize, scratch_path
+from sightline.plans.near_hashes import diameters, near_pairs
 from sightline.plans.skew import running
 
 KEEP_ORDER = ("train", "val", "test")
@@ -89,72 +91,183 @@ def merge(datasets: Sequence[DataFrame], name: str = "filename") -> DataFrame:
     return out
 
 
+def _hashes(images: DataFrame, row_id: str, h: str, other: str | None, sha: str) -> DataFrame:
+    """i, h, o, s of the images, as a written table: several steps read it."""
+    return materialize(images.select(F.col(row_id).alias("i"), F.col(h).cast("long").alias("h"), (F.col(other) if other else F.lit(0)).cast("long").alias("o"), F.col(sha).alias("s")), "hashes")
+
+
+def _linked(rows: DataFrame, threshold: int, exact: bool, forest: bool) -> DataFrame:
+    first = rows.groupBy("s").agg(F.min("i").alias("a"))
+    copies = rows.join(first, "s").where("i <> a").select("a", F.col("i").alias("b"))
+    nodes = rows.where("h is not null and o is not null").groupBy("h", "o").agg(F.min("i").alias("i"))
+    same = rows.join(nodes.withColumnRenamed("i", "a"), ["h", "o"]).where("i <> a").select("a", F.col("i").alias("b"))
+    near = near_pairs(nodes, threshold, 2 * threshold, exact, forest).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return copies.union(same).union(near)
+
+
 def hash_links(images: DataFrame, row_id: str = "image_id", h: str = "dhash", other: str | None = "ahash", sha: str = "sha", threshold: int = 5, exact: bool = False) -> DataFrame:
     """a, b (a < b): rows that share a 16-bit slice of the hash and differ in at most ``threshold`` bits, or have equal content.
 
     Four slices find every pair of up to 3 differing bits; of pairs with 4 or 5 they miss those that differ in each
     slice (10 and 25 % of random ones). With ``exact`` none is missed: the hash is cut into threshold + 2 lanes, of which
-    two at least are equal, and rows meet by pairs of lanes.
+    two at least are equal, and rows meet by pairs of lanes. Slices that many rows share are dealt anew by their other bits.
 
     Equal content is linked to its least row only. Near links are sought between distinct hashes, so that many copies of
-    one hash are one node: of rows with one hash the least stands for all.
+    one hash are one node: of rows with one hash the least stands for all. Rows without a hash have links by content only.
     """
-    rows = images.select(F.col(row_id).alias("i"), F.col(h).alias("h"), (F.col(other) if other else F.lit(0).cast("long")).alias("o"), F.col(sha).alias("s"))
-    first = rows.groupBy("s").agg(F.min("i").alias("a"))
-    copies = rows.join(first, "s").where("i <> a").select("a", F.col("i").alias("b"))
-    nodes = rows.groupBy("h", "o").agg(F.min("i").alias("i"))
-    same = rows.join(nodes.withColumnRenamed("i", "a"), ["h", "o"]).where("i <> a").select("a", F.col("i").alias("b"))
-    if exact:
-        width = -(-64 // (threshold + 2))
-        lane = [F.shiftrightunsigned("h", k * width).bitwiseAND(F.lit((1 << width) - 1)) for k in range(threshold + 2)]
-        keys = [F.struct(F.lit(i * 64 + j).alias("k"), (lane[i] * (1 << width) + lane[j]).alias("v")) for i in range(len(lane)) for j in range(i + 1, len(lane))]
-    else:
-        keys = [F.struct(F.lit(k).alias("k"), F.shiftright("h", 16 * k).bitwiseAND(F.lit(65535)).alias("v")) for k in range(4)]
-    bands = nodes.withColumn("band", F.explode(F.array(*keys)))
-    x, y = bands.select("band", F.col("i").alias("a"), F.col("h").alias("ha"), F.col("o").alias("oa")), bands.select("band", F.col("i").alias("b"), F.col("h").alias("hb"), F.col("o").alias("ob"))
-    near = x.join(y, "band").where("a < b").where((hamming(F.col("ha"), F.col("hb")) <= threshold) & (hamming(F.col("oa"), F.col("ob")) <= 2 * threshold)).select("a", "b")
-    return copies.union(same).union(near).distinct()
-
-
-def duplicate_groups(images: DataFrame, row_id: str = "image_id", sha: str = "sha", **options) -> DataFrame:
-    """row_id, group_id (least row), kind: *exact* if all content of the group is equal, else *near*; rows in groups only."""
-    parts = connected_components(hash_links(images, row_id, sha=sha, **options), "a", "b")
-    own = images.select(F.col(row_id).alias("node"), F.col(sha).alias("s")).join(parts, "node")
-    kind = own.groupBy("component").agg(F.when(F.count_distinct("s") == 1, "exact").otherwise("near").alias("kind"))
-    return own.join(kind, "component").select(F.col("node").alias(row_id), F.col("component").alias("group_id"), "kind")
-
-
-def keep_one(images: DataFrame, groups: DataFrame, row_id: str = "image_id", split: str = "split", name: str = "filename") -> DataFrame:
-    """``images`` without the redundant rows of each group: training copies stay before others, so that no test image is seen."""
-    rank = F.coalesce(F.array_position(F.array(*map(F.lit, KEEP_ORDER)), F.col(split)), F.lit(0))
-    order = F.struct(F.when(rank == 0, 9).otherwise(rank).alias("r"), F.col(name).alias("n"), F.col(row_id).alias("i"))
-    best = images.join(groups.select(row_id, "group_id"), row_id).groupBy("group_id").agg(F.min_by(row_id, order).alias("__best"))
-    gone = groups.join(best, "group_id").where(F.col(row_id) != F.col("__best")).select(row_id)
+    return _linked(_hashes(images, row_id, h, other, sha), threshold, exact, forest=False).distinct()
+
+
+def duplicate_groups(images: DataFrame, row_id: str = "image_id", h: str = "dhash", other: str | None = "ahash", sha: str = "sha", threshold: int = 5, exact: bool = False) -> DataFrame:
+    """row_id, group_id (least row), kind, max_distance; rows in groups only.
+
+    Groups are what ``hash_links`` connect, of which only as many are made as that takes. kind is *exact* if every pair
+    of the group has equal content, else *near*; max_distance is the most bits in which two hashes of the group differ.
+    """
+    rows = _hashes(images, row_id, h, other, sha)
+    parts = connected_components(_linked(rows, threshold, exact, forest=True), "a", "b")
+    own = materialize(rows.select(F.col("i").alias("node"), "s", "h").join(parts, "node"), "grouped")
+    kind = own.groupBy("component").agg(F.when((F.min("s") == F.max("s")) & (F.count("s") == F.count("*")), "exact").otherwise("near").alias("kind"))
+    far = diameters(own.where("h is not null"), "component", "h")
+    out = own.join(kind, "component").join(far, "component", "left")
+    return out.select(F.col("node").alias(row_id), F.col("component").alias("group_id"), "kind", F.coalesce("max_distance", F.lit(0)).alias("max_distance"))
+
+
+def _scan_order(row_id: str, split: str, name: str) -> Column:
+    rank = F.array_position(F.array(*map(F.lit, KEEP_ORDER)), F.col(split))
+    return F.struct(F.when(F.coalesce(rank, F.lit(0)) == 0, 9).otherwise(rank).alias("r"), F.col(name).alias("n"), F.col(row_id).alias("i"))
+
+
+def label_conflicts(images: DataFrame, groups: DataFrame, signatures: DataFrame, row_id: str = "image_id") -> DataFrame:
+    """group_id of the groups whose members' labels disagree. ``signatures``: row_id, signature; a row without one has no labels."""
+    own = groups.select(row_id, "group_id").join(images.select(row_id), row_id).join(signatures.select(row_id, "signature"), row_id, "left")
+    text = F.coalesce("signature", F.lit(""))
+    return own.groupBy("group_id").agg(F.min(text).alias("x"), F.max(text).alias("y")).where("x <> y").select("group_id")
+
+
+def keep_one(images: DataFrame, groups: DataFrame, row_id: str = "image_id", split: str = "split", name: str = "filename", keep: str = "train_first", whole: DataFrame | None = None) -> DataFrame:
+    """``images`` without the redundant rows of each group.
+
+    ``keep``: with *train_first* training copies stay before others, so that no test image is seen; with *first* the least
+    row stays. Groups of ``whole`` (group_id), as those of ``label_conflicts``, stay in full: to choose one of two labels
+    is not for a program.
+    """
+    if keep not in ("train_first", "first"):
+        raise ValueError(f"keep must be train_first or first, not {keep!r}")
+    cut = groups.select(row_id, "group_id") if whole is None else groups.select(row_id, "group_id").join(whole.select("group_id"), "group_id", "left_anti")
+    order = _scan_order(row_id, split, name) if keep == "train_first" else F.col(row_id)
+    best = images.join(cut, row_id).groupBy("group_id").agg(F.min_by(row_id, order).alias("__best"))
+    gone = cut.join(best, "group_id").where(F.col(row_id) != F.col("__best")).select(row_id)
     return images.join(gone, row_id, "left_anti")
 
 
-def duplicate_report(images: DataFrame, groups: DataFrame, row_id: str = "image_id", split: str = "split") -> DataFrame:
-    """Groups, redundant rows, exact and near groups, and groups over several splits."""
-    per = images.join(groups, row_id).groupBy("group_id", "kind").agg(F.count("*").alias("n"), F.count_distinct(split).alias("k"))
-    return per.agg(F.count("*").alias("groups"), F.sum(F.col("n") - 1).alias("redundant"), F.count_if(F.col("kind") == "exact").alias("exact"), F.count_if(F.col("kind") == "near").alias("near"), F.count_if(F.col("k") > 1).alias("cross_split"))
+def duplicate_report(images: DataFrame, groups: DataFrame, signatures: DataFrame | None = None, row_id: str = "image_id", split: str = "split") -> DataFrame:
+    """One row: images, groups, exact and near ones, redundant rows and their share, groups and images over several splits, groups whose labels disagree, largest distance."""
+    per = images.join(groups, row_id).groupBy("group_id", "kind", "max_distance").agg(F.count("*").alias("n"), (F.min(split) != F.max(split)).alias("across"))
+    clash = label_conflicts(images, groups, signatures, row_id) if signatures is not None else per.where("false").select("group_id")
+    per = per.join(clash.withColumn("clash", F.lit(True)), "group_id", "left")
+    sums = per.agg(
+        F.count("*").alias("groups"), F.count_if(F.col("kind") == "exact").alias("exact"), F.count_if(F.col("kind") == "near").alias("near"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("redundant"),
+        F.count_if("across").alias("cross_split"), F.coalesce(F.sum(F.when(F.col("across"), F.col("n"))), F.lit(0)).alias("cross_images"), F.count_if("clash").alias("label_conflicts"), F.coalesce(F.max("max_distance"), F.lit(0)).alias("max_distance"),
+    )
+    n = images.count()
+    return sums.select(F.lit(n).alias("images"), "*", (F.col("redundant") / max(1, n)).alias("redundancy"))
+
+
+def redundant_by_split(images: DataFrame, groups: DataFrame, row_id: str = "image_id", split: str = "split", name: str = "filename") -> DataFrame:
+    """split, redundant: the rows of groups but for the first of each, in the order of splits and names."""
+    own = images.join(groups.select(row_id, "group_id"), row_id)
+    first = own.groupBy("group_id").agg(F.min(_scan_order(row_id, split, name)).alias("f"))
+    return own.join(first, "group_id").where(F.col(row_id) != F.col("f.i")).groupBy(split).agg(F.count("*").alias("redundant"))
+
+
+class Quotas:
+    """What the splits have so far, and which of them the next group goes to: that which is furthest below its share.
+
+    The shortfall of a split sums, over the classes that a group has, what is missing to the split's share, weighed by one
+    over the root of the class's total, so rare classes decide. Of equal shortfalls the split with fewer groups is next.
+    """
+
+    def __init__(self, overall: dict[object, int], ratios: Sequence[float]):
+        self.overall, self.share = overall, [r / sum(ratios) for r in ratios]
+        self.have: list[dict[object, int]] = [{} for _ in ratios]
+        self.groups = [0] * len(ratios)
+
+    def _place(self, classes: Sequence[tuple[object, int]], split: int) -> tuple[float, int]:
+        """The greatest is next."""
+        if not classes:
+            return -self.groups[split] / max(self.share[split], 1e-9), 0
+        short = 0.0
+        for c, _ in classes:
+            short += (self.overall[c] * self.share[split] - self.have[split].get(c, 0)) * (1.0 / math.sqrt(self.overall[c]))
+        return short, -self.groups[split]
+
+    def _take(self, classes: Sequence[tuple[object, int]], split: int, n: int) -> None:
+        self.groups[split] += n
+        for c, k in classes:
+            self.have[split][c] = self.have[split].get(c, 0) + k * n
+
+    def _sure(self, classes: Sequence[tuple[object, int]], m: int) -> list[int]:
+        """Groups that each split gets for sure of ``m`` alike: a group lowers a split's place by a fixed step, so the ``m`` highest places are taken."""
+        at = [self._place(classes, s)[0] for s in range(len(self.share))]
+        step = [sum(k / math.sqrt(self.overall[c]) for c, k in classes) if classes else 1 / max(x, 1e-9) for x in self.share]
+        low, high = min(at) - m * max(step), max(at)
+        for _ in range(80):
+            mid = (low + high) / 2
+            low, high = (low, mid) if sum(max(0.0, (a - mid) / d) for a, d in zip(at, step, strict=True)) > m else (mid, high)
+        return [max(0, math.floor((a - high) / d) - 2) for a, d in zip(at, step, strict=True)]
+
+    def deal(self, classes: Sequence[tuple[object, int]], m: int) -> list[int]:
+        """How many of ``m`` groups with the same ``classes`` (class, instances) go to each split, as if they came one by one."""
+        out = self._sure(classes, m) if m > 16 else [0] * len(self.share)
+        if sum(out) > m:
+            out = [0] * len(self.share)
+        for split, n in enumerate(out):
+            self._take(classes, split, n)
+        for _ in range(m - sum(out)):
+            split = max(range(len(self.share)), key=lambda s: self._place(classes, s))
+            self._take(classes, split, 1)
+            out[split] += 1
+        return out
+
+
+#: Signatures that the driver deals before it writes them.
+ROUND = 50_000
 
 
 def assign_groups(group_classes: DataFrame, ratios: Sequence[float] = (0.7, 0.2, 0.1), group: str = "group_key", seed: int = 0) -> DataFrame:
-    """group, split: whole groups to train, val or test, so that each split has its share of every rare class.
+    """group, split: whole groups to train, val or test, those with rare classes first, each to the split furthest below its share.
 
-    ``group_classes``: group, class_id, n (n null for a group without labels). A group counts for the rarest class it
-    has; the groups of a class are put in an order by chance and cut where their instances reach the shares. Groups
-    without labels are cut by their number. No choice waits for another, so nothing runs in one task.
+    ``group_classes``: group, class_id, n (n null for a group without labels; those come last and go by the number of
+    groups). Groups of equal class counts are alike, and are dealt together: the choices, each of which depends on those
+    before, are made for distinct counts, not for groups; which of the alike go where is by chance of group and seed. The
+    order is that of the rarest class's total, then of the counts. The distinct counts pass the driver in rounds of ROUND.
     """
-    total = group_classes.where("n is not null").groupBy("class_id").agg(F.sum("n").alias("t"))
-    rows = group_classes.join(total, "class_id", "left")
-    rank = F.when(F.col("n").isNotNull(), F.struct("t", "class_id"))
-    rarest = rows.groupBy(group).agg(F.min(rank).alias("r"), F.min_by("n", rank).alias("n"))
-    rarest = rarest.select(group, F.col("r.class_id").alias("class_id"), F.coalesce("n", F.lit(1)).alias("n"))
-    cut = [sum(ratios[: k + 1]) / sum(ratios) for k in range(2)]
-    out = running(rarest, ["class_id"], seed, group, "n")
-    at = F.col("before") / F.col("total")
-    return out.select(group, F.when(at < cut[0], KEEP_ORDER[0]).when(at < cut[1], KEEP_ORDER[1]).otherwise(KEEP_ORDER[2]).alias("split"))
+    spark = group_classes.sparkSession
+    known = F.col("n").isNotNull() & (F.col("n") > 0)
+    counted = group_classes.groupBy(group, "class_id").agg(F.sum("n").alias("n"))
+    total = counted.where(known).groupBy("class_id").agg(F.sum("n").alias("t"))
+    one = F.when(known, F.struct("class_id", "n"))
+    per = counted.join(total, "class_id", "left").groupBy(group).agg(F.min(F.when(known, F.col("t"))).alias("rarity"), F.array_sort(F.collect_list(one)).alias("counts"))
+    per = materialize(per.withColumn("alike", F.to_json("counts")), "groups")
+    quotas = Quotas({r["class_id"]: r["t"] for r in total.collect()}, ratios)  # a label space
+    alike = per.groupBy("rarity", "alike").agg(F.first("counts").alias("counts"), F.count("*").alias("m")).orderBy(F.col("rarity").asc_nulls_last(), "alike")
+    path, rows = scratch_path(spark, "dealt"), []
+    schema = "alike string, train long, val long"
+
+    def flush() -> None:
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(path)
+        rows.clear()
+
+    for r in alike.toLocalIterator():
+        train, val, _ = quotas.deal([(c["class_id"], c["n"]) for c in r["counts"]], r["m"])
+        rows.append((r["alike"], train, val))
+        if len(rows) >= ROUND:
+            flush()
+    flush()
+    placed = running(per.select(group, "alike"), ["alike"], seed, group).join(spark.read.schema(schema).parquet(path), "alike")
+    at = F.col("before")
+    return placed.select(group, F.when(at < F.col("train"), KEEP_ORDER[0]).when(at < F.col("train") + F.col("val"), KEEP_ORDER[1]).otherwise(KEEP_ORDER[2]).alias("split"))
 
 
 def group_report(images: DataFrame, group: str = "group_key", split: str = "split") -> DataFrame:

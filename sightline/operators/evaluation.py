@@ -78,23 +78,26 @@ def class_counts(matched: DataFrame, gts: DataFrame) -> DataFrame:
     return both.withColumns(rates(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
-def precision_curve(matched: DataFrame) -> DataFrame:
+def precision_curve(matched: DataFrame, part: str | None = None) -> DataFrame:
     """Adds cum_tp, cum_n, precision and envelope (best precision from there down) by falling score, within thr and class.
 
     Running values are taken in two steps, within a range of scores and over the ranges, so that no task needs all rows
-    of a class.
+    of a class. With ``part``, a column that grows as scores fall, the envelope looks down to the end of a row's part only.
     """
     keys = ["thr", "class_id"]
-    rows = matched.withColumn("__b", F.floor((1 - F.col("score")) * BUCKETS).cast("long")).withColumn("tp", F.col("gt_id").isNotNull().cast("long"))
+    part_of = F.col(part) if part else F.lit(0)
+    place = F.struct(part_of.alias("p"), F.floor((1 - F.col("score")) * BUCKETS).cast("long").alias("b"))
+    rows = matched.withColumn("__b", place).withColumn("tp", F.col("gt_id").isNotNull().cast("long"))
     order = [F.desc("score"), F.col("image_id"), F.col("det_id")]
     inside = Window.partitionBy(*keys, "__b").orderBy(*order)
     before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(*keys).orderBy("__b").rowsBetween(1, Window.unboundedFollowing)
+    below = Window.partitionBy(*keys, "__b.p").orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy(*keys, "__b").agg(F.sum("tp").alias("t"), F.count("*").alias("n"))
     sums = sums.select(*keys, "__b", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("t0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
     rows = rows.join(sums, [*keys, "__b"]).withColumn("cum_tp", F.col("t0") + F.sum("tp").over(inside)).withColumn("cum_n", F.col("n0") + F.row_number().over(inside)).withColumn("precision", F.col("cum_tp") / F.col("cum_n"))
-    best = rows.groupBy(*keys, "__b").agg(F.max("precision").alias("p")).select(*keys, "__b", F.max("p").over(after).alias("later"))
-    rest = F.max("precision").over(inside.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    best = rows.groupBy(*keys, "__b").agg(F.max("precision").alias("p")).select(*keys, "__b", F.max("p").over(below).alias("later"))
+    upwards = Window.partitionBy(*keys, "__b").orderBy(F.asc("score"), F.desc("image_id"), F.desc("det_id"))
+    rest = F.max("precision").over(upwards.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return rows.join(best, [*keys, "__b"]).withColumn("envelope", F.greatest(rest, F.col("later"))).drop("__b", "t0", "n0", "later")
 
 

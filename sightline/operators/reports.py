@@ -207,9 +207,12 @@ def valid_verdict(verdict: Column, allowed: Sequence[str] = VERDICTS) -> Column:
     return F.coalesce(verdict.isin(*allowed), F.lit(False))
 
 
-def label_signature(labels: DataFrame, image: str = "image_id", width: float = 1024, steps: int = 100) -> DataFrame:
-    """image, signature: its classes with their place, in steps of the width, in sorted order; equal labels give equal texts."""
-    one = F.concat_ws(":", "class_id", F.floor((F.col("x1") + F.col("x2")) / 2 / width * steps).cast("string"))
+def label_signature(labels: DataFrame, image: str = "image_id", steps: int = 100) -> DataFrame:
+    """image, signature: the class and all four coordinates of its boxes (cls, cx, cy, w, h, in parts of the image), rounded to 1 / ``steps``, in sorted order.
+
+    Equal labels give equal texts whatever their order; boxes that differ in height alone do not.
+    """
+    one = F.concat_ws(":", F.col("cls").cast("string"), *(F.floor(F.col(c) * steps + 0.5).cast("string") for c in ("cx", "cy", "w", "h")))
     return labels.groupBy(image).agg(F.array_join(F.array_sort(F.collect_list(one)), ",").alias("signature"))
 
 

@@ -42,44 +42,68 @@ def point_score(f1: Column, map_50: Column, fp_per_image: Column, unknown_rate:
     return F.when(~bad, 0.60 * f1 + 0.40 * F.coalesce(map_50, F.lit(0.0)) - 0.02 * fp_per_image - 0.05 * F.coalesce(unknown_rate, F.lit(0.0)))
 
 
+def _truncated_ap(marked: DataFrame, support: DataFrame, n_cuts: Column) -> DataFrame:
+    """class_id, k, area: for each of a class's cuts the sum of the precision envelope over the hits down to it.
+
+    ``part`` counts the cuts above a score, so a cut k keeps the parts up to k. Within its part a hit has one envelope for
+    all cuts; what a cut adds is the best precision of the parts in between. So hits are counted by part and envelope,
+    which the curve has few of, and only these are multiplied by the cuts.
+    """
+    curve = ev.precision_curve(marked, "part")
+    best = curve.groupBy("class_id", "part").agg(F.max("precision").alias("best"))
+    steps = curve.where("tp = 1").groupBy("class_id", "part", "envelope").agg(F.count("*").alias("n"))
+    cuts = support.select("class_id", F.explode(F.sequence(F.lit(0), n_cuts - 1)).alias("k"))
+    between = best.select("class_id", F.col("part").alias("p"), "best").join(cuts, "class_id").where("p <= k")
+    reach = cuts.withColumnRenamed("k", "part").join(between, "class_id").where("p > part").groupBy("class_id", "part", "k").agg(F.max("best").alias("later"))
+    each = steps.join(cuts, "class_id").where("part <= k").join(reach, ["class_id", "part", "k"], "left")
+    return each.groupBy("class_id", "k").agg(F.sum(F.col("n") * F.greatest("envelope", F.coalesce("later", F.lit(0.0)))).alias("area"))
+
+
 def sweep(gts: DataFrame, cands: DataFrame, classes: DataFrame, decode_floors: Sequence[float], unknown_floors: Sequence[float], strictness: Sequence[float], cached_floor: float = 0.0, cfg: gate.GateConfig = gate.GateConfig()) -> DataFrame:
     """decode, unknown, strict, precision, recall, f1, map_50, fp_per_image, unknown_rate, score of every grid point.
 
-    Suppression depends on the decode floor alone, so it runs once for each of these and is written; the confidence gate
-    and the evaluation fan out over the rest of the grid as a column, in one job. Floors under the cached one are refused.
+    Suppression, claims and matching all take boxes by falling score, so leaving out low scores changes nothing above
+    them: they run once, at the lowest decode floor, and every point is a cut through each class's scores, at its
+    threshold times the strictness or the floor. Rows are counted between the cuts, and points read from the counts: no
+    row is multiplied by the grid. Floors under the cached one are refused.
     """
     if min(decode_floors) < cached_floor - 1e-9:
         raise ValueError(f"decode floor {min(decode_floors)} is below the floor {cached_floor} that candidates were kept at")
-    parts = None
-    for floor in decode_floors:
-        good = gate.sanitise(cands.where(F.col("score") >= floor), cfg).where("drop_reason is null").drop("drop_reason")
-        own = gate.resolve_claims(gate.nms_per_class(good, cfg.nms_iou), cfg).withColumn("decode", F.lit(float(floor)))
-        parts = own if parts is None else parts.unionByName(own)
-    kept = materialize(parts, "sweep")
-    grid = F.explode(F.array(*[F.struct(F.lit(float(u)).alias("u"), F.lit(float(s)).alias("s")) for u in unknown_floors for s in strictness]))
+    good = gate.sanitise(cands.where(F.col("score") >= min(decode_floors)), cfg).where("drop_reason is null").drop("drop_reason")
+    kept = gate.resolve_claims(gate.nms_per_class(good, cfg.nms_iou), cfg)
     dim = classes.select("class_id", "ar_lo", "ar_hi", "area_lo", "area_hi", "min_conf")
-    rows = kept.join(dim, "class_id", "left").where(gate.plausibility_reason(cfg).isNull()).withColumn("g", grid)
-    thr = F.least(F.lit(0.99), F.greatest(F.lit(0.01), F.coalesce("min_conf", F.lit(cfg.default_threshold)) * F.col("g.s")))
-    rows = rows.withColumn("sure", F.col("score") >= thr).where("sure or score >= g.u")
-    point = F.concat_ws("|", F.format_string("%.6f", "decode"), F.format_string("%.6f", "g.u"), F.format_string("%.6f", "g.s"))
-    rows = rows.withColumn("point", point)
+    rows = materialize(kept.join(dim, "class_id", "left").where(gate.plausibility_reason(cfg).isNull()), "sweep")
     images = cands.select("image_id").distinct()
-    truth = gts.join(images, "image_id", "left_semi")
-    points = rows.select("point").distinct()
-    # each grid point is a data set of its own: its name goes into the image's
-    keyed = lambda df: df.withColumn("image_id", F.concat_ws("@", "image_id", "point"))
-    preds, gt = keyed(rows.where("sure")), keyed(truth.join(points))
-    m = materialize(ev.match(gt, preds.select("image_id", "det_id", "class_id", "score", "x1", "y1", "x2", "y2")).withColumn("point", F.split_part("image_id", F.lit("@"), F.lit(2))), "sweep")
-    hits = m.groupBy("point").agg(F.count("gt_id").alias("tp"), F.count("*").alias("n"))
-    as_class = lambda df: df.withColumn("class_id", F.concat_ws("@", "class_id", "point"))
-    ap = ev.average_precision(as_class(m).drop("point"), as_class(truth.join(points))).withColumn("point", F.split_part("class_id", F.lit("@"), F.lit(2))).groupBy("point").agg(F.avg("ap").alias("map_50"))
-    unknown = rows.groupBy("point").agg(F.avg((~F.col("sure")).cast("double")).alias("unknown_rate"))
-    n_gt, n_images = truth.count(), max(1, images.count())
-    out = points.join(hits, "point", "left").fillna(0, ["tp", "n"]).join(ap, "point", "left").join(unknown, "point", "left")
-    out = out.withColumns(ev.rates(F.col("tp"), F.col("n") - F.col("tp"), F.lit(n_gt) - F.col("tp"))).withColumn("fp_per_image", (F.col("n") - F.col("tp")) / n_images)
-    part = lambda k: F.split_part("point", F.lit("|"), F.lit(k)).cast("double")
+    truth = materialize(gts.join(images, "image_id", "left_semi"), "sweep")
+    # the cuts of each class, falling; at most a grid's worth
+    sure = lambda d, s: F.greatest(F.lit(float(d)), F.least(F.lit(0.99), F.greatest(F.lit(0.01), F.col("base") * float(s))))
+    maybe = lambda d, u: F.lit(float(max(d, u)))
+    both = rows.select("class_id").union(truth.select("class_id")).distinct()
+    base = both.join(classes.select("class_id", "min_conf"), "class_id", "left").withColumn("base", F.coalesce("min_conf", F.lit(cfg.default_threshold)))
+    every = [*(sure(d, s) for d in decode_floors for s in strictness), *(maybe(d, u) for d in decode_floors for u in unknown_floors)]
+    cuts = materialize(base.select("class_id", "base", F.reverse(F.array_sort(F.array_distinct(F.array(*every)))).alias("cuts")), "sweep")
+    above = lambda score: F.size(F.filter("cuts", lambda c: c > score))
+
+    m = ev.match(truth, rows.select("image_id", "det_id", "class_id", "score", "x1", "y1", "x2", "y2"))
+    marked = materialize(m.join(cuts, "class_id").withColumn("part", above(F.col("score"))).where(F.col("part") < F.size("cuts")).drop("base", "cuts"), "sweep")
+    support = truth.groupBy("class_id").agg(F.count("*").alias("support"))
+    area = materialize(_truncated_ap(marked, cuts, F.size("cuts")), "sweep")
+    counts = marked.groupBy("class_id", "part").agg(F.count("gt_id").alias("hit"), F.count("*").alias("n"))
+    ks = cuts.select("class_id", F.explode(F.sequence(F.lit(0), F.size("cuts") - 1)).alias("k"))
+    upto = materialize(ks.join(counts, "class_id", "left").where("part is null or part <= k").groupBy("class_id", "k").agg(F.coalesce(F.sum("hit"), F.lit(0)).alias("tp"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")), "sweep")
+
+    points = [F.struct(F.lit(float(d)).alias("decode"), F.lit(float(u)).alias("unknown"), F.lit(float(s)).alias("strict"), sure(d, s).alias("sure"), maybe(d, u).alias("maybe")) for d in decode_floors for u in unknown_floors for s in strictness]
+    at = cuts.select("class_id", "cuts", F.inline(F.array(*points))).withColumn("k", above(F.col("sure"))).withColumn("j", above(F.col("maybe"))).drop("cuts", "sure", "maybe")
+    low = upto.select("class_id", F.col("k").alias("j"), F.col("n").alias("n_low"))
+    at = at.join(upto, ["class_id", "k"], "left").join(low, ["class_id", "j"], "left").join(area, ["class_id", "k"], "left").join(support, "class_id", "left").fillna(0, ["tp", "n", "n_low"])
+    sums = at.groupBy("decode", "unknown", "strict").agg(
+        F.sum("tp").alias("tp"), F.sum("n").alias("n"), F.sum(F.greatest(F.lit(0), F.col("n_low") - F.col("n"))).alias("n_unknown"), F.sum(F.coalesce("support", F.lit(0))).alias("n_gt"),
+        F.avg(F.when(F.col("support") > 0, F.coalesce("area", F.lit(0.0)) / F.col("support"))).alias("map_50"),
+    )
+    out = sums.withColumns(ev.rates(F.col("tp"), F.col("n") - F.col("tp"), F.col("n_gt") - F.col("tp"))).withColumn("fp_per_image", (F.col("n") - F.col("tp")) / max(1, images.count()))
+    out = out.withColumn("unknown_rate", F.coalesce(F.try_divide("n_unknown", F.col("n") + F.col("n_unknown")), F.lit(0.0)))
     score = point_score(F.col("f1"), F.col("map_50"), F.col("fp_per_image"), F.col("unknown_rate"), F.col("precision"), F.col("recall"))
-    return out.select(part(1).alias("decode"), part(2).alias("unknown"), part(3).alias("strict"), "precision", "recall", "f1", "map_50", "fp_per_image", "unknown_rate", score.alias("score"))
+    return out.select("decode", "unknown", "strict", "precision", "recall", "f1", "map_50", "fp_per_image", "unknown_rate", score.alias("score"))
 
 
 def best_point(points: DataFrame) -> DataFrame:

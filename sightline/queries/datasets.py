@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from sightline.functions import text as tx
 from sightline.operators import datasets as ds
 from sightline.operators import reports as rp
+from sightline.plans.lineage import materialize
 from sightline.registry import query
 from sightline.views import table, view
 
@@ -94,11 +95,19 @@ BANDS = " union all ".join(f"select image_id, dhash, ahash, {k} k, (dhash >> {16
 LINKS = f"""b as ({BANDS}), near as (select distinct x.image_id a, y.image_id b from b x join b y on x.k = y.k and x.v = y.v and x.image_id < y.image_id where bit_count(xor(x.dhash, y.dhash)) <= 5 and bit_count(xor(x.ahash, y.ahash)) <= 10),
 links as (select a, b from near union select min(x.image_id) over (partition by sha), image_id from images x)"""
 GROUPS = f"""{LINKS}, e as (select a, b from links where a <> b union select b, a from links where a <> b), reach as (select a, a r from e union select reach.a, e.b from reach join e on e.a = reach.r),
-g as (select a image_id, min(r) group_id from reach group by 1), kinds as (select group_id, case when count(distinct sha) = 1 then 'exact' else 'near' end kind from g join images using (image_id) group by 1)"""
+g as (select a image_id, min(r) group_id from reach group by 1), m as (select g.*, dhash, sha, split, filename from g join images using (image_id)),
+kinds as (select x.group_id, case when bool_and(x.sha = y.sha) then 'exact' else 'near' end kind, max(bit_count(xor(x.dhash, y.dhash)))::int max_distance from m x join m y using (group_id) group by 1)"""
+#: Labels of images: those of a frame that the content names, of every fifth image those of the next.
+FRAME = "case when image_id % 5 = 0 then 1 else 0 end + ascii(substr(sha, 1, 1)) % 16"
+SIGNATURES = f"""frames as (select image_id, string_agg(sig, ',' order by sig) signature from (select image_id, concat_ws(':', cls, floor(cx * 100 + 0.5)::bigint, floor(cy * 100 + 0.5)::bigint, floor(w * 100 + 0.5)::bigint, floor(h * 100 + 0.5)::bigint) sig from p where n_fields >= 5 and cls is not null and cx is not null and cy is not null and w is not null and h is not null) group by 1),
+signed as (select m.*, coalesce(signature, '') signature from m left join frames on frames.image_id = {FRAME.replace("image_id", "m.image_id")}), clash as (select group_id from signed group by 1 having count(distinct signature) > 1)"""
+RANKED = "select image_id, group_id, split, row_number() over (partition by group_id order by case split when 'train' then 1 when 'val' then 2 else 3 end, filename, image_id) r from m"
 
 
-def _groups(spark: SparkSession, d: str) -> DataFrame:
-    return ds.duplicate_groups(view(spark, d, "images"))
+def _images(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(images, their groups), both written: several steps read them."""
+    images = materialize(view(spark, d, "images"), "images")
+    return images, materialize(ds.duplicate_groups(images), "groups")
 
 
 @query(f"with {LINKS} select count(*) n, count(distinct a) firsts from (select a, b from near where a in (select min(image_id) from images group by dhash, ahash) and b in (select min(image_id) from images group by dhash, ahash) union select min(image_id) over (partition by sha), image_id from images union select min(image_id) over (partition by dhash, ahash), image_id from images) where a <> b", "images")
@@ -106,25 +115,49 @@ def j23_hash_links(spark: SparkSession, d: str) -> DataFrame:
     return ds.hash_links(view(spark, d, "images")).agg(F.count("*").alias("n"), F.count_distinct("a").alias("firsts"))
 
 
-@query(f"with {GROUPS} select image_id, group_id, kind from g join kinds using (group_id)", "images")
+def _signatures(spark: SparkSession, d: str, images: DataFrame) -> DataFrame:
+    rows = _parsed(spark, d).where("n_fields >= 5 and cls is not null and cx is not null and cy is not null and w is not null and h is not null")
+    frames = rp.label_signature(rows).withColumnRenamed("image_id", "frame")
+    return images.withColumn("frame", F.expr(FRAME)).join(frames, "frame").select("image_id", "signature")
+
+
+@query(f"with {GROUPS} select image_id, group_id, kind, max_distance from g join kinds using (group_id)", "images")
 def g5_duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
-    return _groups(spark, d)
+    return ds.duplicate_groups(view(spark, d, "images"))
 
 
-@query(f"with {GROUPS}, s as (select group_id, kind, count(*) n, count(distinct split) k from g join kinds using (group_id) join images using (image_id) group by 1, 2) select count(*) groups, (sum(n) - count(*))::bigint redundant, count(*) filter (where kind = 'exact') exact, count(*) filter (where kind = 'near') near, count(*) filter (where k > 1) cross_split from s", "images")
+@query(
+    f"with {GROUPS}, {PARSED}, {SIGNATURES}, s as (select group_id, kind, max_distance, count(*) n, count(distinct split) k from m join kinds using (group_id) group by 1, 2, 3) select (select count(*) from images) images, count(*) groups, count(*) filter (where kind = 'exact') exact, count(*) filter (where kind = 'near') near, (sum(n) - count(*))::bigint redundant, "
+    "count(*) filter (where k > 1) cross_split, coalesce(sum(n) filter (where k > 1), 0)::bigint cross_images, (select count(*) from clash) label_conflicts, max(max_distance) max_distance, round((sum(n) - count(*)) / (select count(*) from images), 6) redundancy from s",
+    "images", "label_lines",
+)
 def a34_duplicate_report(spark: SparkSession, d: str) -> DataFrame:
-    return ds.duplicate_report(view(spark, d, "images"), _groups(spark, d))
+    images, groups = _images(spark, d)
+    return ds.duplicate_report(images, groups, _signatures(spark, d, images)).withColumn("redundancy", R("redundancy"))
+
+
+@query(f"with {GROUPS}, k as ({RANKED}) select split, count(*) redundant from k where r > 1 group by 1", "images")
+def a34_redundant_by_split(spark: SparkSession, d: str) -> DataFrame:
+    return ds.redundant_by_split(*_images(spark, d))
 
 
-@query(f"with {GROUPS}, k as (select image_id, row_number() over (partition by group_id order by case split when 'train' then 1 when 'val' then 2 else 3 end, filename, image_id) r from g join images using (image_id)) select image_id, filename, split from images where image_id not in (select image_id from k where r > 1)", "images")
+@query(f"with {GROUPS}, {PARSED}, {SIGNATURES} select group_id from clash", "images", "label_lines")
+def a34_label_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    images, groups = _images(spark, d)
+    return ds.label_conflicts(images, groups, _signatures(spark, d, images))
+
+
+@query(f"with {GROUPS}, {PARSED}, {SIGNATURES}, k as ({RANKED}) select image_id, filename, split from images where image_id not in (select image_id from k where r > 1 and group_id not in (select group_id from clash))", "images", "label_lines")
 def d13_deduplicate(spark: SparkSession, d: str) -> DataFrame:
-    return ds.keep_one(view(spark, d, "images"), _groups(spark, d)).select("image_id", "filename", "split")
+    images, groups = _images(spark, d)
+    whole = ds.label_conflicts(images, groups, _signatures(spark, d, images))
+    return ds.keep_one(images, groups, whole=whole).select("image_id", "filename", "split")
 
 
-@query(f"with {GROUPS}, k as (select image_id, row_number() over (partition by group_id order by case split when 'train' then 1 when 'val' then 2 else 3 end, filename, image_id) r from g join images using (image_id)) select image_id from k where r > 1", "images")
+@query(f"with {GROUPS}, k as ({RANKED}) select image_id from k where r > 1", "images")
 def w7_redundant(spark: SparkSession, d: str) -> DataFrame:
-    i = view(spark, d, "images")
-    return i.select("image_id").join(ds.keep_one(i, _groups(spark, d)).select("image_id"), "image_id", "left_anti")
+    i, groups = _images(spark, d)
+    return i.select("image_id").join(ds.keep_one(i, groups).select("image_id"), "image_id", "left_anti")
 
 
 KEY = "'panel' || (image_id % 89)"
@@ -141,9 +174,25 @@ def a33_group_report(spark: SparkSession, d: str) -> DataFrame:
     return ds.group_report(keyed).select("groups", R("mean_size"), "leaking")
 
 
+def _short(k: int) -> str:
+    """Shortfall of split ``k`` in the step that follows ``s``."""
+    share = (0.7, 0.2, 0.1)[k] / sum((0.7, 0.2, 0.1))
+    return f"list_sum(list_transform(q.c, lambda x: (x.t * {share!r} - coalesce(list_extract(map_extract(s.have{k}, x.c), 1), 0)) * (1.0 / sqrt(x.t))))"
+
+
+_NEXT = "case when d0 > d1 or (d0 = d1 and n0 <= n1) then case when d0 > d2 or (d0 = d2 and n0 <= n2) then 0 else 2 end when d1 > d2 or (d1 = d2 and n1 <= n2) then 1 else 2 end"
+_MORE = "map_from_entries(list_concat(list_filter(map_entries(have{k}), lambda e: not list_contains(list_transform(c, lambda x: x.c), e.key)), list_transform(c, lambda x: {{'key': x.c, 'value': coalesce(list_extract(map_extract(have{k}, x.c), 1), 0) + x.n}})))"
+
+
 @query(
-    f"with gc as (select {KEY} group_key, source c, count(*) n from images group by 1, 2), t as (select c, sum(n) t from gc group by 1), r as (select group_key, c, n from (select *, row_number() over (partition by group_key order by t, c) k from gc join t using (c)) where k = 1), "
-    "m as (select group_key, coalesce(sum(n) over (partition by c order by md5('0:' || group_key), group_key rows between unbounded preceding and 1 preceding), 0) / sum(n) over (partition by c) a from r) select group_key, case when a < 0.7 then 'train' when a < 0.9 then 'val' else 'test' end split from m",
+    f"with gc as (select {KEY} group_key, source c, count(*) n from images group by 1, 2), t as (select c, sum(n)::bigint t from gc group by 1), "
+    "q as (select *, row_number() over (order by rarity, alike, md5('0:' || group_key), group_key) i from (select group_key, min(t) rarity, '[' || string_agg('{\"class_id\":\"' || c || '\",\"n\":' || n || '}', ',' order by c) || ']' alike, list({'c': c, 't': t, 'n': n} order by c) c from gc join t using (c) group by 1)), "
+    "st as (select 0::bigint i, 0 pick, 0 n0, 0 n1, 0 n2, map([]::varchar[], []::bigint[]) have0, map([]::varchar[], []::bigint[]) have1, map([]::varchar[], []::bigint[]) have2 "
+    f"union all select i, pick, n0 + (pick = 0)::int, n1 + (pick = 1)::int, n2 + (pick = 2)::int, {', '.join(f'case when pick = {k} then {_MORE.format(k=k)} else have{k} end' for k in range(3))} "
+    f"from (select *, {_NEXT} pick from (select q.i, q.c, s.n0, s.n1, s.n2, s.have0, s.have1, s.have2, {', '.join(f'{_short(k)} d{k}' for k in range(3))} from st s join q on q.i = s.i + 1) z) y), "
+    "a as (select alike, count(*) filter (pick = 0) train, count(*) filter (pick = 1) val from st join q using (i) group by 1), "
+    "p as (select group_key, alike, row_number() over (partition by alike order by md5('0:' || group_key), group_key) - 1 place from q) "
+    "select group_key, case when place < train then 'train' when place < train + val then 'val' else 'test' end split from p join a using (alike)",
     "images",
 )
 def d14_group_split(spark: SparkSession, d: str) -> DataFrame:

@@ -271,9 +271,12 @@ def f3_box_measures(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "detections").select("det_id", g.width(b).alias("w"), g.height(b).alias("h"), g.area(b).alias("area"), g.centre(b)[0].alias("cx"))
 
 
-@query("select image_id, string_agg(class_id || ':' || sig, ',' order by class_id || ':' || sig) signature from (select image_id, class_id, round((x1 + x2) / 2048, 2)::varchar sig from ground_truth) group by 1".replace("round((x1 + x2) / 2048, 2)::varchar", "floor((x1 + x2) / 2048 * 100)::int::varchar"), "ground_truth")
+SIDES = {"cx": "(x1 + x2) / 2048", "cy": "(y1 + y2) / 1536", "w": "(x2 - x1) / 1024", "h": "(y2 - y1) / 768"}
+
+
+@query(f"select image_id, string_agg(sig, ',' order by sig) signature from (select image_id, concat_ws(':', class_id, {', '.join(f'floor({x} * 100 + 0.5)::bigint' for x in SIDES.values())}) sig from ground_truth) group by 1", "ground_truth")
 def f26_label_signature(spark: SparkSession, d: str) -> DataFrame:
-    return rp.label_signature(view(spark, d, "ground_truth"))
+    return rp.label_signature(view(spark, d, "ground_truth").select("image_id", F.col("class_id").alias("cls"), *(F.expr(x).alias(n) for n, x in SIDES.items())))
 
 
 @query("select event_id, try_cast(case when event_id % 3 = 0 then value::varchar when event_id % 3 = 1 then 'x' else null end as double) v from events")

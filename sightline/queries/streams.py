@@ -1,13 +1,15 @@
-"""Batch twins of the stateful rules, over the given tables."""
+"""Batch twins of the stateful rules, over the given tables, and streams over them that run to their end."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.operators import events as ev
 from sightline.operators import tracking
+from sightline.plans.lineage import materialize, scratch_path
 from sightline.queries.events import WALK
+from sightline.queries.jobs import FACES, d27_recognise
 from sightline.registry import query
-from sightline.streaming import rules
+from sightline.streaming import logs, rules
 from sightline.views import table, view
 
 
@@ -85,3 +87,59 @@ def p15_alert_routing(spark: SparkSession, d: str) -> DataFrame:
 def f24_local_day(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").withColumn("t", F.unix_seconds(F.col("ts").cast("timestamp")))
     return e.groupBy("user_id").agg(F.to_date(F.timestamp_seconds(F.max("t"))).alias("day"))
+
+
+def _stream(df: DataFrame, name: str) -> DataFrame:
+    """A table as a stream: it is written once, and its files are read as they would come."""
+    df.write.parquet(folder := scratch_path(df.sparkSession, name))
+    return df.sparkSession.readStream.schema(df.schema).parquet(folder)
+
+
+def _checkpoint(spark: SparkSession) -> str:
+    return scratch_path(spark, "stream")
+
+
+@query("select user_id, event_id, t from (select *, row_number() over (partition by user_id order by t desc, event_id desc) r from sightings where event_type = 'purchase') where r = 1", "sightings")
+def s25_publish_subscribe(spark: SparkSession, d: str) -> DataFrame:
+    """All sightings are published; a subscriber to one type keeps the last of each user."""
+    rows = view(spark, d, "sightings").select("user_id", "event_type", "event_id", "t")
+    log = logs.EventLog(spark, scratch_path(spark, "log"), rows.schema)
+    logs.start(_stream(rows, "sightings"), log.sink("cameras"), _checkpoint(spark)).awaitTermination()
+    table_ = logs.KeptTable(spark, scratch_path(spark, "kept"), rows.schema, ["user_id"], ["t", "event_id"])
+    logs.start(log.subscribe(event_type="purchase"), table_.sink("purchases"), _checkpoint(spark)).awaitTermination()
+    table_.compact()
+    return table_.current().select("user_id", "event_id", "t")
+
+
+@query("select user_id % 50 camera_id, count(*) events, max(t) last_seen, round(avg(value), 6) mean_latency, arg_max(event_type <> 'error', t * 100000000 + event_id) connected from sightings group by 1", "sightings")
+def s26_heartbeat(spark: SparkSession, d: str) -> DataFrame:
+    rows = view(spark, d, "sightings").select((F.col("user_id") % 50).alias("camera_id"), "t", (F.col("t") * 100_000_000 + F.col("event_id")).alias("at"), "value", (F.col("event_type") != "error").alias("up"))
+    log = logs.EventLog(spark, scratch_path(spark, "log"), "camera_id long, events long, last_seen long, mean_latency double, connected boolean")
+    logs.heartbeat(_stream(rows, "status"), log, _checkpoint(spark), "camera_id", "at", "value", "up", every=None).awaitTermination()
+    newest = logs.newest_frames(log.read(), "camera_id", "events", "last_seen")
+    return newest.withColumns({"last_seen": F.floor(F.col("last_seen") / 100_000_000), "mean_latency": F.round("mean_latency", 6)})
+
+
+@query("select user_id % 50 camera_id, arg_max(event_id, t * 100000000 + event_id) event_id, arg_max(value >= 10, t * 100000000 + event_id) alarm from sightings group by 1", "sightings")
+def r1_worker(spark: SparkSession, d: str) -> DataFrame:
+    rows = view(spark, d, "sightings").select((F.col("user_id") % 50).alias("camera_id"), "t", "event_id", "value")
+    log = logs.EventLog(spark, scratch_path(spark, "log"), "camera_id long, event_id long, alarm boolean")
+    step = lambda frames: frames.withColumn("alarm", F.col("value") >= 10)
+    logs.worker(_stream(rows, "frames"), step, log, "worker", _checkpoint(spark), "camera_id", "t", "event_id", every=None).awaitTermination()
+    return log.read()
+
+
+FACE_EVENTS = f"""{FACES}, k as (select image_id % 4 camera, image_id t, det_id, case when status = 'known' then 'face_recognized' else 'unknown_person' end event, case when status = 'known' then \"identity\"::varchar else 'Unknown' end who from rec where status in ('known', 'unknown')),
+o as (select *, row_number() over (partition by camera, event, who order by t, det_id) n from k),
+walk as (select distinct camera, event, who, 0::bigint n, null::bigint last, false fire, null::bigint det_id from o union all select w.camera, w.event, w.who, o.n, case when w.last is null or o.t - w.last >= 30 then o.t else w.last end, w.last is null or o.t - w.last >= 30, o.det_id from walk w join o on o.camera = w.camera and o.event = w.event and o.who = w.who and o.n = w.n + 1)"""
+
+
+@query(f"with {FACE_EVENTS} select camera, event, who, det_id from walk where fire", "detections", "vectors")
+def r12_recognition_events(spark: SparkSession, d: str) -> DataFrame:
+    """Faces that are recognised batch by batch, and a second stream that lets an event of a person through once in 30 seconds."""
+    faces = materialize(d27_recognise(spark, d).select((F.col("image_id") % 4).alias("camera"), F.col("image_id").alias("t"), "det_id", "status", "identity"), "faces")
+    log = logs.EventLog(spark, scratch_path(spark, "log"), faces.schema)
+    logs.start(_stream(faces, "faces"), log.sink("recognition"), _checkpoint(spark)).awaitTermination()
+    out = logs.EventLog(spark, scratch_path(spark, "log"), "camera long, event string, who string, det_id long")
+    logs.start(rules.recognition_events(log.subscribe(), "camera", "t", "det_id", 30), out.sink("events"), _checkpoint(spark)).awaitTermination()
+    return out.read()

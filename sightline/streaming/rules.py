@@ -17,21 +17,35 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from sightline.operators.tracking import TRACK_FIELDS, Tracker
 
 
-def _per_key(df: DataFrame, keys: Sequence[str], columns: Sequence[str], state: str, step: Callable) -> DataFrame:
-    """Run ``step(rows sorted by time, state tuple or None) -> (kept positions, new state tuple)`` for each key."""
+def _per_key(df: DataFrame, keys: Sequence[str], columns: Sequence[str], state: str, step: Callable, until: Callable | None = None, ts: str | None = None) -> DataFrame:
+    """Run ``step(rows sorted by time, state tuple or None) -> (kept positions, new state tuple)`` for each key.
+
+    With ``until`` (state to seconds) and ``ts``, a column that has a watermark, a key's state goes when the watermark passes
+    that second; else it stays for ever.
+    """
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in [*keys, *columns])
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
         rows = pd.concat(list(parts)).sort_values(list(columns), kind="stable").reset_index(drop=True)
         kept, new = step(rows, held.get if held.exists else None)
         held.update(new)
+        if until:
+            held.setTimeoutTimestamp(max(int(until(new) * 1000), held.getCurrentWatermarkMs() + 1))
         yield rows.iloc[kept][[*keys, *columns]]
 
-    return df.select(*keys, *columns).groupBy(*keys).applyInPandasWithState(run, schema, state, "append", GroupStateTimeout.NoTimeout)
+    timed = [ts] if until else []
+    grouped = df.select(*keys, *columns, *timed).groupBy(*keys)
+    return grouped.applyInPandasWithState(run, schema, state, "append", GroupStateTimeout.EventTimeTimeout if until else GroupStateTimeout.NoTimeout)
+
 
+def rate_limit(df: DataFrame, keys: Sequence[str], time: str, row_id: str, seconds: float, ts: str | None = None) -> DataFrame:
+    """Events that fire: the first of a key, then each at least ``seconds`` after the last that fired.
 
-def rate_limit(df: DataFrame, keys: Sequence[str], time: str, row_id: str, seconds: float) -> DataFrame:
-    """Events that fire: the first of a key, then each at least ``seconds`` after the last that fired."""
+    With ``ts``, the same time as a timestamp that has a watermark, a key is forgotten when it can hold up no event any more.
+    """
 
     def step(rows: pd.DataFrame, held: tuple | None) -> tuple[list[int], tuple]:
         last, kept = held[0] if held else None, []
@@ -41,7 +55,39 @@ def rate_limit(df: DataFrame, keys: Sequence[str], time: str, row_id: str, secon
                 kept.append(i)
         return kept, (last,)
 
-    return _per_key(df, keys, [time, row_id], "last long", step)
+    return _per_key(df, keys, [time, row_id], "last long", step, (lambda state: state[0] + seconds) if ts else None, ts)
+
+
+def recognition_events(faces: DataFrame, camera: str, time: str, row_id: str, seconds: float, delay: str = "1 minute") -> DataFrame:
+    """camera, event, who, time, row_id: *face_recognized* of a known face, *unknown_person* of an unknown one.
+
+    Each comes at most once in ``seconds`` for a camera and person; all strangers of a camera count as one. ``faces``:
+    status (known, unknown or anything else, which is no event) and identity. People who have left are forgotten.
+    """
+    who = F.when(F.col("status") == "known", F.col("identity").cast("string")).when(F.col("status") == "unknown", "Unknown")
+    event = F.when(F.col("status") == "known", "face_recognized").otherwise("unknown_person")
+    named = faces.withColumns({"who": who, "event": event, "__ts": F.timestamp_seconds(time)}).where("who is not null").withWatermark("__ts", delay)
+    return rate_limit(named, [camera, "event", "who"], time, row_id, seconds, "__ts")
+
+
+def carry_forward(df: DataFrame, camera: str, time: str, row_id: str, seconds: float) -> DataFrame:
+    """camera, time, row_id, result_of: the frame whose result stands for each frame, itself if it is run.
+
+    A frame is run if the last that was is at least ``seconds`` older; the others have its result.
+    """
+    schema = f"`{camera}` {df.schema[camera].dataType.simpleString()}, `{time}` {df.schema[time].dataType.simpleString()}, `{row_id}` long, result_of long"
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(parts)).sort_values([time, row_id], kind="stable")
+        last, of, out = *(held.get if held.exists else (None, None)), []
+        for t, i in zip(rows[time], rows[row_id], strict=True):
+            if last is None or t - last >= seconds:
+                last, of = int(t), int(i)
+            out.append(of)
+        held.update((last, of))
+        yield rows.assign(result_of=out)[[camera, time, row_id, "result_of"]]
+
+    return df.select(camera, time, row_id).groupBy(camera).applyInPandasWithState(run, schema, "last long, of long", "append", GroupStateTimeout.NoTimeout)
 
 
 def attendance(df: DataFrame, employee: str, time: str, row_id: str, timeout: int) -> DataFrame:
