@@ -172,11 +172,11 @@ def _joined_where_they_lie(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def score(docs: DataFrame, min_docs: int = 2, order: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, min_docs: int = 1, order: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, log_score (natural log, summed over words), mean_log_score; one row per input row.
 
-    Counts are those of all texts, of runs of up to ``order`` (1 to 3) words. An n-gram that fewer than ``min_docs`` documents hold has count 0: with 2, what
-    only the document itself has tells nothing. A word w after u, v scores count(u, v, w) / count(u, v), else BACKOFF
+    Counts are those of all texts, of runs of up to ``order`` (1 to 3) words. With ``min_docs`` over 1 an n-gram that fewer
+    documents hold has count 0: that prunes the tables and changes the scores, so it is not the default. A word w after u, v scores count(u, v, w) / count(u, v), else BACKOFF
     times its score after v alone, which is count(v, w) / count(v), else BACKOFF times count(w) / words in all; a text's
     second word has no u, and its first no v.
 

@@ -26,7 +26,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    found = decontaminate.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), least_words=1)
     return found.drop("key").distinct()
 
 
@@ -86,8 +86,8 @@ with d as (select row_number() over () r, doc_id, {_WORDS} l from documents),
   t as (select r, unnest(l) w, generate_subscripts(l, 1) i from d),
   g as (select r, w, lag(w) over (partition by r order by i) v, lag(w, 2) over (partition by r order by i) u from t),
   one as (select w, count(*) n from g group by w),
-  two as (select v, w, count(*) n from g where v is not null group by v, w having count(distinct r) >= 2),
-  three as (select u, v, w, count(*) n from g where u is not null group by u, v, w having count(distinct r) >= 2),
+  two as (select v, w, count(*) n from g where v is not null group by v, w),
+  three as (select u, v, w, count(*) n from g where u is not null group by u, v, w),
   s as (
     select g.r, case when three.n is not null then ln(three.n / uv.n)
         else case when g.u is not null then ln(0.4) else 0 end + case when vw.n is not null then ln(vw.n / first.n)

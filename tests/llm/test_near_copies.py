@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+import pytest
+
 import corpus_pipeline
 from sightline.llm import near_copies, simhash
 from tests.llm.conftest import passage
@@ -71,3 +73,18 @@ def test_repeated_ids_equal_rows_and_nulls(frame):
     a, b, c = passage(1, 80), passage(2, 80), passage(3, 80)
     df = frame([(3, a), (7, a), (7, b), (3, a), (None, c), (None, c), (9, None), (9, ""), (8, "")])
     assert Counter((r["doc_id"], r["text"]) for r in near_copies.drop_near_copies(df).collect()) == Counter([(3, a), (7, b), (None, c), (8, "")])
+
+
+def test_a_band_that_many_share_is_dealt_anew(frame, monkeypatch):
+    """Copies that all share most of their text, and so many bands: the same groups with buckets of a few rows, and salted pairs."""
+    from sightline.llm import near_copies
+    from tests.llm.conftest import passage
+
+    common = passage(77, 60)
+    texts = [(k, f"{common} {passage(k // 3, 18)} tail{k % 3}") for k in range(60)] + [(100 + k, passage(900 + k, 40)) for k in range(5)]
+    want = sorted(r["doc_id"] for r in near_copies.drop_near_copies(frame(texts)).collect())
+    monkeypatch.setattr(near_copies, "BUCKET", 4)
+    monkeypatch.setattr(near_copies, "MANY", 3)
+    assert sorted(r["doc_id"] for r in near_copies.drop_near_copies(frame(texts)).collect()) == want
+    with pytest.raises(ValueError):
+        near_copies.drop_near_copies(frame(texts), least=0.5)
