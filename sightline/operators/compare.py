@@ -77,23 +77,99 @@ def wire_cost(prefix: str = "o") -> Column:
     return F.when(aligned, F.least(ends, 2.0 * beside)).otherwise(ends)
 
 
-def wire_diff(refs: DataFrame, obs: DataFrame, end_dist: float = 45.0, broken: float = 0.6) -> DataFrame:
-    """panel_id, ref_id, obs_id, type: wires missing, broken (far shorter), of another colour, or extra."""
-    o = obs.select("panel_id", "obs_id", *[F.col(c).alias(f"o{c}") for c in ("sx", "sy", "ex", "ey", "length", "color")])
+def wire_matches(refs: DataFrame, obs: DataFrame, end_dist: float = 45.0) -> DataFrame:
+    """The reference wires with obs_id (null: none is near), dist, and the columns of the observed wire as o..."""
+    o = obs.select("panel_id", "obs_id", *[F.col(c).alias(f"o{c}") for c in obs.columns if c not in ("panel_id", "obs_id")])
     near = refs.join(o, "panel_id").withColumn("dist", wire_cost()).where(F.col("dist") < 2 * end_dist)
     m = greedy_assign(refs, near, "panel_id", "ref_id", "obs_id", "dist")
-    rows = m.join(refs, ["panel_id", "ref_id"]).join(o, ["panel_id", "obs_id"], "left")
+    return m.join(refs, ["panel_id", "ref_id"]).join(o, ["panel_id", "obs_id"], "left")
+
+
+def wire_diff(refs: DataFrame, obs: DataFrame, end_dist: float = 45.0, broken: float = 0.6, matched: DataFrame | None = None) -> DataFrame:
+    """panel_id, ref_id, obs_id, type: wires missing, broken (far shorter), of another colour, or extra. ``matched``: ``wire_matches``, if it is known."""
+    rows = wire_matches(refs, obs, end_dist) if matched is None else matched
     other = (F.col("color") != F.col("ocolor")) & (F.col("color") != "unknown") & (F.col("ocolor") != "unknown")
     kinds = F.when(F.col("obs_id").isNull(), F.array(F.lit("missing_wire"))).otherwise(F.array_compact(F.array(F.when(F.try_divide("olength", "length") < broken, "broken_wire"), F.when(other, "wrong_wire_color"))))
     errors = rows.select("panel_id", "ref_id", "obs_id", F.explode(kinds).alias("type"))
-    extra = o.join(m.where("obs_id is not null").select("panel_id", "obs_id"), ["panel_id", "obs_id"], "left_anti")
+    extra = obs.select("panel_id", "obs_id").join(rows.where("obs_id is not null").select("panel_id", "obs_id"), ["panel_id", "obs_id"], "left_anti")
     return errors.unionByName(extra.select("panel_id", F.lit(None).cast("long").alias("ref_id"), "obs_id", F.lit("extra_wire").alias("type")))
 
 
 def endpoint_issues(matched: DataFrame) -> DataFrame:
-    """Adds issues of matched wires whose ends are at other terminals than expected (columns rs, re and os, oe: terminals)."""
+    """Adds issues of matched wires whose ends are elsewhere than expected.
+
+    rs, re and os, oe: terminals of start and end as expected and as seen. If there are rsc, rec, osc and oec, too, the
+    components, those tell where no terminal is known at the start: *wrong_terminal*, whichever way round the wire is.
+    """
     differs = lambda want, have, opposite: F.col(want).isNotNull() & F.col(have).isNotNull() & (F.col(want) != F.col(have)) & ~F.col(opposite).eqNullSafe(F.col(want))
-    return matched.withColumn("issues", F.array_compact(F.array(F.when(differs("rs", "os", "oe"), "wrong_source"), F.when(differs("re", "oe", "os"), "wrong_destination"))))
+    kinds = [F.when(differs("rs", "os", "oe"), "wrong_source"), F.when(differs("re", "oe", "os"), "wrong_destination")]
+    if {"rsc", "rec", "osc", "oec"} <= set(matched.columns):
+        is_ = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+        same = (is_("rsc", "osc") & is_("rec", "oec")) | (is_("rsc", "oec") & is_("rec", "osc"))
+        bare = F.col("rs").isNull() & F.col("os").isNull() & F.col("rsc").isNotNull() & F.col("osc").isNotNull()
+        kinds.append(F.when(bare & ~same, "wrong_terminal"))
+    return matched.withColumn("issues", F.array_compact(F.array(*kinds)))
+
+
+#: Confidence of what is compared in the reference's frame, and without a transform.
+ALIGNED, RAW = 1.0, 0.65
+
+
+def align(rows: DataFrame, transforms: DataFrame, *points: tuple[str, str], panel: str = "panel_id") -> DataFrame:
+    """``rows`` with the named points in the reference's frame, and align: how sure that makes the comparison.
+
+    ``transforms``: panel, h (the nine numbers of a homography by rows), one row for each panel that could be registered;
+    the others stay as they are.
+    """
+    h = lambda k: F.col("__h")[k]
+    out = rows.join(transforms.select(panel, F.col("h").alias("__h")), panel, "left")
+    moved = {}
+    for x, y in points:
+        w = h(6) * F.col(x) + h(7) * F.col(y) + h(8)
+        for name, k in ((x, 0), (y, 3)):
+            at = F.try_divide(h(k) * F.col(x) + h(k + 1) * F.col(y) + h(k + 2), w)
+            moved[name] = F.when(F.col("__h").isNull(), F.col(name)).otherwise(at)
+    return out.withColumns(moved).withColumn("align", F.when(F.col("__h").isNull(), RAW).otherwise(ALIGNED)).drop("__h")
+
+
+def nearest_distance(points: DataFrame, targets: DataFrame, key: Sequence[str], radius: float, panel: str = "panel_id") -> DataFrame:
+    """``key`` and near: the distance of each point (panel, key, x, y) from the nearest target (panel, x, y) of its panel.
+
+    Targets are in square cells of the radius, and a point looks into its own and the eight around; only points that
+    find nothing within the radius meet all targets of their panel. A panel without targets has no row.
+    """
+    keys = [panel, *key]
+    cell = lambda c: F.floor(F.col(c) / radius).cast("long")
+    t = targets.where("x is not null and y is not null").select(panel, F.col("x").alias("tx"), F.col("y").alias("ty"), cell("x").alias("gx"), cell("y").alias("gy"))
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    d = g.distance(F.col("x"), F.col("y"), F.col("tx"), F.col("ty"))
+    own = points.select(*keys, "x", "y")
+    p = own.withColumn("o", around).withColumn("gx", cell("x") + F.col("o.i")).withColumn("gy", cell("y") + F.col("o.j"))
+    close = p.join(t, [panel, "gx", "gy"]).withColumn("d", d).where(F.col("d") <= radius).groupBy(*keys).agg(F.min("d").alias("near"))
+    far = own.join(close, keys, "left_anti").join(t, panel).groupBy(*keys).agg(F.min(d).alias("near"))
+    return close.unionByName(far)
+
+
+def connection_issues(matched: DataFrame, ref_terminals: DataFrame, obs_terminals: DataFrame, loose: float = 40.0, conf: Column | None = None) -> DataFrame:
+    """panel_id, ref_id, side, type (loose_wire or disconnected_wire), severity, regression, confidence.
+
+    Each end of a matched wire (sx, sy, ex, ey; osx ...) that the reference has at a terminal (rs, re not null) is compared
+    with the end of the observed wire that is nearer to it: an end counts as loose if it is farther from the nearest
+    observed terminal than the reference's end from its own, by more than ``loose``; as disconnected by twice that. So an
+    equal panel is always clean. Panels without terminals on either side have no issues.
+    """
+    rows = matched.where("obs_id is not null")
+    end = lambda side, x, y, at: F.struct(F.lit(side).alias("side"), F.col(x).alias("x"), F.col(y).alias("y"), F.col(at).isNotNull().alias("on"))
+    ends = rows.select("panel_id", "ref_id", "osx", "osy", "oex", "oey", F.inline(F.array(end("source", "sx", "sy", "rs"), end("destination", "ex", "ey", "re")))).where("on")
+    first = g.distance(F.col("x"), F.col("y"), F.col("osx"), F.col("osy")) <= g.distance(F.col("x"), F.col("y"), F.col("oex"), F.col("oey"))
+    seen = ends.select("panel_id", "ref_id", "side", F.when(first, F.col("osx")).otherwise(F.col("oex")).alias("x"), F.when(first, F.col("osy")).otherwise(F.col("oey")).alias("y"))
+    key = ["ref_id", "side"]
+    baseline = nearest_distance(ends, ref_terminals, key, 2 * loose).withColumnRenamed("near", "baseline")
+    found = nearest_distance(seen, obs_terminals, key, 2 * loose).join(baseline, ["panel_id", *key]).withColumn("regression", F.col("near") - F.col("baseline"))
+    cut = F.col("regression") > 2 * loose
+    sure = F.lit(1.0) if conf is None else conf
+    confidence = F.round(sure * F.least(F.lit(1.0), F.col("regression") / (3 * loose)), 3)
+    return found.where(F.col("regression") > loose).select("panel_id", "ref_id", "side", F.when(cut, "disconnected_wire").otherwise("loose_wire").alias("type"), F.when(cut, "error").otherwise("warning").alias("severity"), "regression", confidence.alias("confidence"))
 
 
 def object_diff(refs: DataFrame, cur: DataFrame, least_iou: float = 0.25, moved: float = 20.0) -> DataFrame:
@@ -171,6 +247,13 @@ def similarity(ssim: Column, histogram: Column, hashes: Column, objects: Column)
     return 0.5 * ssim + 0.2 * histogram + 0.15 * hashes + 0.15 * objects
 
 
+def pair_status(pairs: DataFrame, diffs: DataFrame, pair: str = "pair_id") -> DataFrame:
+    """``pairs`` with n_diffs and status: *identical* without a difference, *major* with one of that severity, else *minor*."""
+    n = diffs.groupBy(pair).agg(F.count("*").alias("n_diffs"), F.count_if(F.col("severity") == "major").alias("__major"))
+    rows = pairs.join(n, pair, "left").fillna(0, ["n_diffs", "__major"])
+    return rows.withColumn("status", F.when(F.col("n_diffs") == 0, "identical").when(F.col("__major") > 0, "major").otherwise("minor")).drop("__major")
+
+
 def drop_covered(wires: DataFrame, tolerance: float = 8.0, panel: str = "panel_id") -> DataFrame:
     """Wires but for those that run along a longer one kept before (half the tolerance across colours), longest first."""
     from sightline.operators.gate import greedy_keep

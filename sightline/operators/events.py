@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sightline.plans import pieces
 from sightline.plans.lineage import materialize
 
 
@@ -172,11 +173,21 @@ def attendance(rows: DataFrame, employee: str, time: str, row_id: str, timeout:
 
 
 def state_changes(rows: DataFrame, keys: Sequence[str], time: str, row_id: str, state: Column) -> DataFrame:
-    """Rows where the state differs from the one before, with the running number of changes."""
-    w = Window.partitionBy(*keys).orderBy(time, row_id)
-    marked = rows.withColumn("__s", state).withColumn("__p", F.lag("__s").over(w))
-    changed = marked.withColumn("changed", F.col("__p").isNotNull() & (F.col("__p") != F.col("__s")))
-    return changed.withColumn("n_changes", F.sum(F.col("changed").cast("long")).over(w)).where("changed").drop("__s", "__p", "changed")
+    """Rows where the state differs from the one before, with the running number of changes. A busy key is walked in pieces."""
+    order = [time, row_id]
+    own = pieces.cut(rows.withColumn("__s", F.struct(state.alias("s"))), keys, order)
+    marked = pieces.running(own, keys, order, __p=pieces.last_known(F.col("__s"), order, before=True))
+    changed = marked.withColumn("changed", F.coalesce(F.col("__p.s") != F.col("__s.s"), F.lit(False)))
+    counted = pieces.running(changed, keys, order, n_changes=pieces.total(F.col("changed").cast("long")))
+    return counted.where("changed").select(*rows.columns, "n_changes")
+
+
+def carry_forward(rows: DataFrame, keys: Sequence[str], time: str, row_id: str, seconds: float) -> DataFrame:
+    """keys, row_id, result_of: the row whose result stands for each, itself if it is run: one is if the last that was is ``seconds`` older."""
+    order = [time, row_id]
+    fired = rate_limit(rows, keys, time, row_id, seconds).withColumn("__fired", F.lit(True))
+    marked = pieces.cut(rows.join(fired, [*keys, row_id], "left").withColumn("__of", F.when(F.col("__fired"), F.col(row_id))), keys, order)
+    return pieces.running(marked, keys, order, result_of=pieces.last_known(F.col("__of"), order)).select(*keys, row_id, "result_of")
 
 
 def frame_rates(rows: DataFrame, keys: Sequence[str], time: str, latency: str) -> DataFrame:
@@ -186,9 +197,12 @@ def frame_rates(rows: DataFrame, keys: Sequence[str], time: str, latency: str) -
 
 
 def rolling_rates(rows: DataFrame, keys: Sequence[str], time: str, row_id: str, value: str, last: int = 60) -> DataFrame:
-    """Adds n, span and mean of ``value`` over the last rows of each key."""
-    w = Window.partitionBy(*keys).orderBy(time, row_id).rowsBetween(1 - last, 0)
-    return rows.withColumn("n", F.count("*").over(w)).withColumn("span", F.max(time).over(w) - F.min(time).over(w)).withColumn("mean", F.avg(value).over(w))
+    """Adds n, span and mean of ``value`` over the last rows of each key. A busy key is cut into pieces that get the rows before them."""
+    order = [time, row_id]
+    both = pieces.with_rows_before(pieces.cut(rows, keys, order), keys, order, last - 1) if last > 1 else pieces.cut(rows, keys, order).withColumn("__own", F.lit(True))
+    w = Window.partitionBy(*keys, pieces.PIECE).orderBy(*order).rowsBetween(1 - last, 0)
+    both = both.withColumn("n", F.count("*").over(w)).withColumn("span", F.max(time).over(w) - F.min(time).over(w)).withColumn("mean", F.avg(value).over(w))
+    return both.where("__own").select(*rows.columns, "n", "span", "mean")
 
 
 def presence(rows: DataFrame, day: Column, who: str, days: int) -> DataFrame:

@@ -15,6 +15,7 @@ from sightline.operators import evaluation as ev
 from sightline.operators import gate
 from sightline.operators import identity as idn
 from sightline.operators import inventory as inv
+from sightline.plans.lineage import materialize
 
 
 def findings(accepted: DataFrame, panel: str = "image_id", reach: float = 2.8) -> DataFrame:
@@ -105,9 +106,30 @@ def derive_profile(labels: DataFrame, space: DataFrame, least: int) -> DataFrame
     return space.join(n, "class_id").select((F.row_number().over(Window.orderBy("ordinal")) - 1).alias("ordinal"), "class_id", "n")
 
 
-def compare_panels(refs: DataFrame, obs: DataFrame, wire_refs: DataFrame, wire_obs: DataFrame) -> DataFrame:
-    """panel_id, n_err, n_warn, score, status over components and wires."""
-    parts = cp.component_diff(refs, obs).select("panel_id", "severity")
-    wires = cp.wire_diff(wire_refs, wire_obs).select("panel_id", F.when(F.col("type").isin("missing_wire", "broken_wire"), "error").otherwise("warning").alias("severity"))
+def panel_errors(refs: DataFrame, obs: DataFrame, wire_refs: DataFrame, wire_obs: DataFrame, transforms: DataFrame | None = None, ref_terminals: DataFrame | None = None, obs_terminals: DataFrame | None = None) -> DataFrame:
+    """panel_id, target (id of the reference part, else of the observed one), type, severity of all that differs.
+
+    With ``transforms`` (``compare.align``) what was observed is first put into the reference's frame. Where wires have
+    terminals (rs, re of the reference; s, e of the observed), ends at the wrong place are reported, and with the tables of
+    terminals (panel_id, x, y) loose and disconnected ends.
+    """
+    if transforms is not None:
+        obs, wire_obs = cp.align(obs, transforms, ("cx", "cy")), cp.align(wire_obs, transforms, ("sx", "sy"), ("ex", "ey"))
+        obs_terminals = obs_terminals if obs_terminals is None else cp.align(obs_terminals, transforms, ("x", "y"))
+    parts = cp.component_diff(refs, obs).select("panel_id", F.coalesce("ref_id", "obs_id").alias("target"), "type", "severity")
+    matched = materialize(cp.wire_matches(wire_refs, wire_obs), "wires")
+    wires = cp.wire_diff(wire_refs, wire_obs, matched=matched)
+    hard = F.col("type").isin("missing_wire", "broken_wire")
+    out = parts.unionByName(wires.select("panel_id", F.coalesce("ref_id", "obs_id").alias("target"), "type", F.when(hard, "error").otherwise("warning").alias("severity")))
+    if {"rs", "re", "os", "oe"} <= set(matched.columns):
+        wrong = cp.endpoint_issues(matched.where("obs_id is not null")).select("panel_id", F.col("ref_id").alias("target"), F.explode("issues").alias("type"))
+        out = out.unionByName(wrong.withColumn("severity", F.when(F.col("type") == "wrong_terminal", "warning").otherwise("error")))
+        if ref_terminals is not None and obs_terminals is not None:
+            out = out.unionByName(cp.connection_issues(matched, ref_terminals, obs_terminals).select("panel_id", F.col("ref_id").alias("target"), "type", "severity"))
+    return out
+
+
+def compare_panels(refs: DataFrame, obs: DataFrame, wire_refs: DataFrame, wire_obs: DataFrame, **more: DataFrame | None) -> DataFrame:
+    """panel_id, n_err, n_warn, score, status of the ``panel_errors``."""
     elements = refs.select("panel_id").unionByName(wire_refs.select("panel_id")).groupBy("panel_id").agg(F.count("*").alias("n_elements"))
-    return cp.inspection_score(parts.unionByName(wires), elements)
+    return cp.inspection_score(panel_errors(refs, obs, wire_refs, wire_obs, **more), elements)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sightline.functions import geometry as g
 from sightline.operators.datasets import RELIABLE, TRAINABLE
 from sightline.operators.selection import WEIGHTS, select_model
+from sightline.plans import pieces
 
 
 def acquisition(sources: DataFrame, counts: DataFrame, classes: DataFrame) -> DataFrame:
@@ -183,10 +184,52 @@ def refinement_summary(rows: DataFrame, reason: str = "reason", value: str = "io
     return rows.groupBy(F.coalesce(reason, F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"), F.avg(value).alias("mean_iou"))
 
 
+def refinement_totals(rows: DataFrame, reason: str = "reason", value: str = "iou", before: str = "area", after: str = "new_area") -> DataFrame:
+    """One row: boxes, accepted (no reason against it), accept_rate, mean_iou of these with the box before, tightened (smaller than before) and their mean_area_reduction.
+
+    What there is nothing to take a mean of is null, not 0.
+    """
+    ok = F.col(reason).isNull()
+    smaller = ok & (F.col(after) < F.col(before))
+    left = F.avg(F.when(smaller, F.col(after) / F.greatest(F.col(before), F.lit(1e-9))))
+    return rows.agg(F.count("*").alias("boxes"), F.count_if(ok).alias("accepted"), F.try_divide(F.count_if(ok), F.count("*")).alias("accept_rate"), F.avg(F.when(ok, F.col(value))).alias("mean_iou"), F.count_if(smaller).alias("tightened"), (1 - left).alias("mean_area_reduction"))
+
+
+def classifier_totals(rows: DataFrame, truth: str = "label", predicted: str = "pred", probability: str = "pr") -> DataFrame:
+    """One row: n, accuracy, precision, recall and f1 (means over the classes of either side, 0 where nothing can be divided) and log_loss."""
+    t, p = F.col(truth), F.col(predicted)
+    sides = rows.select(F.explode(F.array(F.struct(t.alias("class"), F.lit(1).alias("own"), F.lit(0).alias("said")), F.struct(p.alias("class"), F.lit(0).alias("own"), F.lit(1).alias("said")))).alias("x"), (t == p).alias("right"))
+    per = sides.groupBy("x.class").agg(F.sum("x.own").alias("support"), F.sum("x.said").alias("said"), F.sum(F.when(F.col("right"), F.col("x.own")).otherwise(0)).alias("hit"))
+    zero = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    per = per.withColumns({"p": zero(F.col("hit"), F.col("said")), "r": zero(F.col("hit"), F.col("support"))}).withColumn("f", zero(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r")))
+    means = per.agg(F.avg("p").alias("precision"), F.avg("r").alias("recall"), F.avg("f").alias("f1"))
+    whole = rows.agg(F.count("*").alias("n"), F.avg((t == p).cast("double")).alias("accuracy"), F.avg(-F.log(F.greatest(probability, F.lit(1e-15)))).alias("log_loss"))
+    return whole.join(means).select("n", "accuracy", "precision", "recall", "f1", "log_loss")
+
+
+def requirement_estimate(classes: Column, target: Column, per_image: float = 12.0, seen: float = 4.0) -> Column:
+    """Struct of what a target score takes for a label space of so many classes: low and high instances a class, instances and images in all.
+
+    Of the bands that of the nearest target counts, of two as near the lower. A frame shows ``seen`` classes and
+    ``per_image`` boxes, so images grow with the square of the classes.
+    """
+    # fixed values: target, least and most instances of a class
+    bands = ((0.50, 150, 300), (0.70, 300, 600), (0.85, 700, 1_200), (0.92, 1_500, 2_500))
+    band = F.array_min(F.array(*[F.struct(F.round(F.abs(F.lit(t) - target), 9).alias("d"), F.lit(t).alias("t"), F.lit(lo).alias("low"), F.lit(hi).alias("high")) for t, lo, hi in bands]))
+    images = lambda n: F.round(n * classes / (F.lit(per_image * seen) / classes)).cast("long")
+    return F.struct(band["low"].alias("class_low"), band["high"].alias("class_high"), (band["low"] * classes).cast("long").alias("instances_low"), (band["high"] * classes).cast("long").alias("instances_high"), images(band["low"]).alias("images_low"), images(band["high"]).alias("images_high"))
+
+
+def unsteady(sd: Column, mean: Column, most: float = 0.35) -> Column:
+    """Whether timings spread so much that they should be taken again on an idle machine."""
+    return F.coalesce(F.try_divide(sd, mean) > most, F.lit(False))
+
+
 def as_of(rows: DataFrame, key: str, time: str, row_id: str, wanted: Column, value: str) -> DataFrame:
-    """Adds as_of: ``value`` of the last row before this one, in order of time and id, for which ``wanted`` holds."""
-    w = Window.partitionBy(key).orderBy(time, row_id).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("as_of", F.last(F.when(wanted, F.col(value)), ignorenulls=True).over(w))
+    """Adds as_of: ``value`` of the last row before this one, in order of time and id, for which ``wanted`` holds (and that has one)."""
+    order = [time, row_id]
+    own = pieces.cut(rows.withColumn("__v", F.when(wanted, F.col(value))), [key], order)
+    return pieces.running(own, [key], order, as_of=pieces.last_known(F.col("__v"), order, before=True)).select(*rows.columns, "as_of")
 
 
 def with_fallback(rows: DataFrame, reference: DataFrame, key: str, value: str, computed: Column) -> DataFrame:
@@ -255,6 +298,16 @@ def panel_sentence(panel: str, n: str, classes: str) -> Column:
     return F.format_string("Panel %d: %d devices, %d classes", panel, n, classes)
 
 
+def duplicate_verdict(report: DataFrame) -> DataFrame:
+    """verdict: what a ``duplicate_report`` means, in up to three sentences."""
+    n = lambda c: F.col(c).cast("string")
+    share = F.format_string("%.1f", 100.0 * F.col("redundant") / F.greatest("images", F.lit(1)))
+    copies = F.when(F.col("redundant") == 0, "Every image is its own.").otherwise(F.concat(n("redundant"), F.lit(" of "), n("images"), F.lit(" images ("), share, F.lit(" %) repeat another.")))
+    across = F.when(F.col("cross_split") > 0, F.concat(n("cross_split"), F.lit(" groups lie in more than one split, so scores measured here are too good.")))
+    clash = F.when(F.col("label_conflicts") > 0, F.concat(n("label_conflicts"), F.lit(" groups have labels that disagree and need a look.")))
+    return report.select(F.concat_ws(" ", copies, across, clash).alias("verdict"))
+
+
 def camera_healthy(connected: Column, age_ms: Column, most_ms: float = 5_000) -> Column:
     """Connected, with a frame, and that not too old."""
     return F.coalesce(connected & (age_ms < most_ms), F.lit(False))

@@ -226,6 +226,13 @@ def a41_similarity(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "detections").select("image_id", "det_id", F.round(v, 6).alias("likeness"), F.when(v >= 0.6, "minor").otherwise("major").alias("status"))
 
 
+@query("select image_id, count(*) filter (score < 0.2 and det_id % 5 = 0) n_diffs, case when count(*) filter (score < 0.2 and det_id % 5 = 0) = 0 then 'identical' when count(*) filter (score < 0.1 and det_id % 5 = 0) > 0 then 'major' else 'minor' end status from detections group by 1", "detections")
+def a41_pair_status(spark: SparkSession, d: str) -> DataFrame:
+    rows = view(spark, d, "detections")
+    diffs = rows.where((F.col("score") < 0.2) & (F.col("det_id") % 5 == 0)).select("image_id", F.when(F.col("score") < 0.1, "major").otherwise("minor").alias("severity"))
+    return cp.pair_status(rows.select("image_id").distinct(), diffs, "image_id")
+
+
 @query(f"with p as (select a.det_id, {iou_sql('a', 'b')} v, {contain_sql('b', 'a')} c from detections a join detections b on a.image_id = b.image_id and b.det_id = a.det_id + 10) select det_id, round(v, 6) iou, round(c, 6) inside from p", "detections")
 def f1_iou(spark: SparkSession, d: str) -> DataFrame:
     a = view(spark, d, "detections")

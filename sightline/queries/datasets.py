@@ -136,6 +136,16 @@ def a34_duplicate_report(spark: SparkSession, d: str) -> DataFrame:
     return ds.duplicate_report(images, groups, _signatures(spark, d, images)).withColumn("redundancy", R("redundancy"))
 
 
+@query(
+    f"with {GROUPS}, {PARSED}, {SIGNATURES}, s as (select group_id, count(*) n, count(distinct split) k from m group by 1), t as (select (select count(*) from images) images, (sum(n) - count(*))::bigint redundant, count(*) filter (where k > 1) across, (select count(*) from clash) clash from s) "
+    "select concat_ws(' ', case when redundant = 0 then 'Every image is its own.' else redundant || ' of ' || images || ' images (' || printf('%.1f', 100.0 * redundant / images) || ' %) repeat another.' end, case when across > 0 then across || ' groups lie in more than one split, so scores measured here are too good.' end, case when clash > 0 then clash || ' groups have labels that disagree and need a look.' end) verdict from t",
+    "images", "label_lines",
+)
+def f25_duplicate_verdict(spark: SparkSession, d: str) -> DataFrame:
+    images, groups = _images(spark, d)
+    return rp.duplicate_verdict(ds.duplicate_report(images, groups, _signatures(spark, d, images)))
+
+
 @query(f"with {GROUPS}, k as ({RANKED}) select split, count(*) redundant from k where r > 1 group by 1", "images")
 def a34_redundant_by_split(spark: SparkSession, d: str) -> DataFrame:
     return ds.redundant_by_split(*_images(spark, d))

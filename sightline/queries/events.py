@@ -191,10 +191,10 @@ def a51_consolidated(spark: SparkSession, d: str) -> DataFrame:
     return part("camera", "user_id").unionByName(part("task", "event_type"))
 
 
-@query("select event_type, quantile_disc(value, 0.5) p50, quantile_disc(value, 0.95) p95, quantile_disc(value, 0.99) p99, round(avg(value), 6) mean, min(value) least, max(value) most, round(stddev_samp(value), 6) sd, round(1000 / avg(value), 6) fps from events group by 1")
+@query("select event_type, quantile_disc(value, 0.5) p50, quantile_disc(value, 0.95) p95, quantile_disc(value, 0.99) p99, round(avg(value), 6) mean, min(value) least, max(value) most, round(stddev_samp(value), 6) sd, round(1000 / avg(value), 6) fps, coalesce(stddev_samp(value) / avg(value) > 0.35, false) unsteady from events group by 1")
 def a29_latency_profile(spark: SparkSession, d: str) -> DataFrame:
     out = rp.latency_profile(table(spark, d, "events"), ["event_type"], "value")
-    return out.select("event_type", "p50", "p95", "p99", R("mean", "mean"), "least", "most", R("sd", "sd"), R("fps", "fps"))
+    return out.select("event_type", "p50", "p95", "p99", R("mean", "mean"), "least", "most", R("sd", "sd"), R("fps", "fps"), rp.unsteady(F.col("sd"), F.col("mean")).alias("unsteady"))
 
 
 @query("select image_id, count(*) n from detections where class_id = 'plc' group by 1", "detections")

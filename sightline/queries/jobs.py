@@ -99,7 +99,13 @@ WIRE_PAIRS = qc.assign_sql(f"select * from (select r.panel_id, r.ref_id, o.obs_i
 )
 def d20_compare_panels(spark: SparkSession, d: str) -> DataFrame:
     wire = lambda df, i: df.select(F.col("image_id").alias("panel_id"), F.col(i).alias("ref_id" if i == "gt_id" else "obs_id"), F.col("x1").alias("sx"), F.col("y1").alias("sy"), F.col("x2").alias("ex"), F.col("y2").alias("ey"), g.distance(*g.box()).alias("length"), F.lit("red").alias("color"))
-    out = jobs.compare_panels(qc._refs(spark, d), qc._obs(spark, d), wire(view(spark, d, "ground_truth"), "gt_id"), wire(view(spark, d, "detections"), "det_id"))
+    wires = wire(view(spark, d, "detections"), "det_id")
+    # two of three panels are seen at twice the size and elsewhere, and registered again
+    p, seen = F.col("panel_id"), F.col("panel_id") % 3 != 0
+    far = lambda df, xs, ys: df.withColumns({c: F.when(seen, 2 * F.col(c) + 16 * (p % 5)).otherwise(F.col(c)) for c in xs} | {c: F.when(seen, 2 * F.col(c) - 8 * (p % 4)).otherwise(F.col(c)) for c in ys})
+    h = F.array(*(x.cast("double") for x in (F.lit(0.5), F.lit(0), -8 * (p % 5), F.lit(0), F.lit(0.5), 4 * (p % 4), F.lit(0), F.lit(0), F.lit(1))))
+    transforms = wires.select("panel_id").distinct().where(seen).select("panel_id", h.alias("h"))
+    out = jobs.compare_panels(qc._refs(spark, d), far(qc._obs(spark, d), ["cx"], ["cy"]), wire(view(spark, d, "ground_truth"), "gt_id"), far(wires, ["sx", "ex"], ["sy", "ey"]), transforms=transforms)
     return out.select("panel_id", "n_err", "n_warn", R("score"), "status")
 
 
@@ -180,13 +186,44 @@ def d26_panel_types(spark: SparkSession, d: str) -> DataFrame:
     return types.groupBy("panel_type", "reason").agg(F.count("*").alias("n"))
 
 
-@query("select det_id, concat_ws(',', case when a <> c and d <> a then 'wrong_source' end, case when b <> d and c <> b then 'wrong_destination' end) issues from (select det_id, det_id % 3 a, det_id % 5 b, det_id % 4 c, det_id % 7 d from detections)", "detections")
+@query(
+    "select det_id, concat_ws(',', case when a <> c and d is distinct from a then 'wrong_source' end, case when b <> d and c is distinct from b then 'wrong_destination' end, "
+    "case when a is null and c is null and not ((p = r and q = s) or (p = s and q = r)) then 'wrong_terminal' end) issues "
+    "from (select det_id, case when det_id % 2 = 0 then det_id % 3 end a, det_id % 5 b, case when det_id % 2 = 0 then det_id % 4 end c, det_id % 7 d, det_id % 3 p, det_id % 5 q, det_id % 4 r, det_id % 7 s from detections)",
+    "detections",
+)
 def g6_endpoint_issues(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("det_id")
-    rows = view(spark, d, "detections").select("det_id", (i % 3).alias("rs"), (i % 5).alias("re"), (i % 4).alias("os"), (i % 7).alias("oe"))
+    known = lambda c: F.when(i % 2 == 0, c)
+    rows = view(spark, d, "detections").select("det_id", known(i % 3).alias("rs"), (i % 5).alias("re"), known(i % 4).alias("os"), (i % 7).alias("oe"), (i % 3).alias("rsc"), (i % 5).alias("rec"), (i % 4).alias("osc"), (i % 7).alias("oec"))
     return cp.endpoint_issues(rows).select("det_id", F.array_join("issues", ",").alias("issues"))
 
 
+_D = "sqrt(power({a}x - {b}x, 2) + power({a}y - {b}y, 2))"
+
+
+@query(
+    "with w as (select g.image_id panel_id, gt_id ref_id, g.x1 sx, g.y1 sy, g.x2 ex, g.y2 ey, case when det_id % 3 = 0 then d.x2 else d.x1 end osx, case when det_id % 3 = 0 then d.y2 else d.y1 end osy, case when det_id % 3 = 0 then d.x1 else d.x2 end oex, case when det_id % 3 = 0 then d.y1 else d.y2 end oey from ground_truth g join detections d on d.det_id = g.gt_id), "
+    "rt as (select image_id panel_id, x1 x, y1 y from ground_truth union all select image_id, x2, y2 from ground_truth), ot as (select image_id panel_id, x1 x, y1 y from detections where det_id % 4 <> 1 and (image_id % 5 > 0 or det_id % 20 = 0) union all select image_id, x2 + case when det_id % 4 = 1 then 60 else 0 end, y2 from detections where det_id % 8 <> 1 and image_id % 5 > 0), "
+    "ends as (select *, 'source' side, sx x, sy y from w where ref_id % 5 <> 0 union all select *, 'destination', ex, ey from w where ref_id % 7 <> 0), "
+    "seen as (select panel_id, ref_id, side, x, y, case when sqrt(power(x - osx, 2) + power(y - osy, 2)) <= sqrt(power(x - oex, 2) + power(y - oey, 2)) then osx else oex end px, case when sqrt(power(x - osx, 2) + power(y - osy, 2)) <= sqrt(power(x - oex, 2) + power(y - oey, 2)) then osy else oey end py from ends), "
+    f"r as (select *, (select min({_D.format(a='s.p', b='t.')}) from ot t where t.panel_id = s.panel_id) - (select min({_D.format(a='s.', b='t.')}) from rt t where t.panel_id = s.panel_id) reg from seen s) "
+    "select panel_id, ref_id, side, case when reg > 80 then 'disconnected_wire' else 'loose_wire' end \"type\", case when reg > 80 then 'error' else 'warning' end severity, round(reg, 6) regression, round(least(1.0, reg / 120), 3) confidence from r where reg > 40",
+    "detections",
+    "ground_truth",
+)
+def g6_connections(spark: SparkSession, d: str) -> DataFrame:
+    gt, dets = view(spark, d, "ground_truth"), view(spark, d, "detections")
+    i, turned = F.col("det_id"), F.col("det_id") % 3 == 0
+    o = dets.select(i.alias("obs_id"), *(F.when(turned, F.col(b)).otherwise(F.col(a)).alias(n) for n, a, b in (("osx", "x1", "x2"), ("osy", "y1", "y2"), ("oex", "x2", "x1"), ("oey", "y2", "y1"))))
+    wires = gt.select(F.col("image_id").alias("panel_id"), F.col("gt_id").alias("ref_id"), F.col("x1").alias("sx"), F.col("y1").alias("sy"), F.col("x2").alias("ex"), F.col("y2").alias("ey"), F.when(F.col("gt_id") % 5 != 0, "a").alias("rs"), F.when(F.col("gt_id") % 7 != 0, "b").alias("re"))
+    corner = lambda df, x, y: df.select(F.col("image_id").alias("panel_id"), x.alias("x"), F.col(y).alias("y"))
+    ref = corner(gt, F.col("x1"), "y1").union(corner(gt, F.col("x2"), "y2"))
+    bare = F.col("image_id") % 5 == 0  # frames with one terminal
+    obs = corner(dets.where((i % 4 != 1) & (~bare | (i % 20 == 0))), F.col("x1"), "y1").union(corner(dets.where((i % 8 != 1) & ~bare), F.col("x2") + F.when(i % 4 == 1, 60).otherwise(0), "y2"))
+    return cp.connection_issues(wires.join(o, F.col("ref_id") == F.col("obs_id")), ref, obs).withColumn("regression", R("regression"))
+
+
 def _off(p: str, q: str) -> str:
     """Distance of a point from the wire k."""
     t = f"greatest(0.0, least(1.0, coalesce((({p} - k.x1) * (k.x2 - k.x1) + ({q} - k.y1) * (k.y2 - k.y1)) / nullif(power(k.x2 - k.x1, 2) + power(k.y2 - k.y1, 2), 0), 0.0)))"
@@ -266,6 +303,16 @@ def f27_requirement_band(spark: SparkSession, d: str) -> DataFrame:
     return s.select("p_brand", rp.requirement_band(F.col("s")).alias("per_class"))
 
 
+@query(
+    "with b(target, lo, hi) as (values (0.5, 150, 300), (0.7, 300, 600), (0.85, 700, 1200), (0.92, 1500, 2500)), p as (select p_brand, avg(p_size) / 50 s, count(distinct p_type) n from part group by 1), "
+    "c as (select * from (select *, row_number() over (partition by p_brand order by round(abs(target - s), 9), target) r from p cross join b) where r = 1) "
+    "select p_brand, lo class_low, hi class_high, lo * n instances_low, hi * n instances_high, round(lo * n / (48.0 / n))::bigint images_low, round(hi * n / (48.0 / n))::bigint images_high from c"
+)
+def f27_requirement_estimate(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part").groupBy("p_brand").agg((F.avg("p_size") / 50).alias("s"), F.count_distinct("p_type").alias("n"))
+    return p.select("p_brand", rp.requirement_estimate(F.col("n"), F.col("s")).alias("e")).select("p_brand", "e.*")
+
+
 @query("select det_id, case when gap <= 0.05 then 'small' when gap >= 0.5 then 'meaningless' else 'substantial' end verdict from (select det_id, score - 0.3 gap from detections)", "detections")
 def f28_gap_verdict(spark: SparkSession, d: str) -> DataFrame:
     rows = view(spark, d, "detections").select(F.col("det_id").alias("label"), F.col("score").alias("map_50"))

@@ -13,7 +13,7 @@ from sightline.queries import compare as qc
 from sightline.queries.inventory import RULES
 from sightline.queries.selection import MODELS, _models
 from sightline.registry import query
-from sightline.sources import files
+from sightline.sources import annotations, files
 from sightline.views import table, view
 
 R = lambda c, n=None: F.round(c, 6).alias(n or c)
@@ -142,6 +142,35 @@ def d24_dataset_report(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("warnings", F.array_join("warnings", ",")).withColumn("errors", F.array_join("errors", ","))
 
 
+#: Annotated data sets of every layout: two of text labels, of JSON, of XML, of class folders, one of images alone and one of notes. Every 70th file is cut short.
+ANNOTATED = {
+    "image": "case page_id % 10 when 0 then 'images/train/' || page_id || '.jpg' when 1 then 'images/train/' || page_id || '.jpg' when 2 then 'img/' || page_id || '.png' when 3 then 'img/' || page_id || '.png' when 4 then 'x/' || page_id || '.jpeg' when 5 then 'x/' || page_id || '.jpeg' when 8 then 'all/' || page_id || '.bmp' when 9 then page_id || '.md' else 'class' || page_id % 4 || '/' || page_id || '.webp' end",
+    "note": "case when page_id % 10 < 2 and page_id % 3 <> 0 then 'labels/train/' || page_id || '.txt' when page_id % 10 in (2, 3) then 'annotations/instances_' || page_id || '.json' when page_id % 10 in (4, 5) and page_id % 3 <> 0 then 'x/' || page_id || '.xml' end",
+    "content": "case when page_id % 10 < 2 then repeat(page_id % 3 || ' 0.5 0.5 0.1 0.1\n', cast(page_id % 4 + 1 as int)) || case when page_id % 70 < 2 then 'x 0.5' else '' end "
+    "when page_id % 10 in (2, 3) then '{\"categories\":[{\"id\":0,\"name\":\"a\"},{\"id\":1,\"name\":\"b\"}],\"annotations\":[{\"id\":1,\"category_id\":0}' || repeat(',{\"id\":2,\"category_id\":' || page_id % 3 || '}', cast(page_id % 4 as int)) || case when page_id % 70 in (2, 3) then '' else ']}' end "
+    "when page_id % 10 in (4, 5) then '<annotation>' || repeat('<object><name>c' || page_id % 3 || '</name></object>', cast(page_id % 4 + 2 as int)) || case when page_id % 70 in (4, 5) then '<object>' else '</annotation>' end end",
+}
+
+
+@query(
+    f"with p as (select page_id, page_id % 10 dataset, {ANNOTATED['note']} note, case when page_id % 10 < 8 then page_id % 70 = page_id % 10 else false end cut, page_id % 10 <> 9 is_image, page_id % 33 <> 5 readable from pages), "
+    "l as (select dataset, page_id, (page_id % 3)::varchar class_id, page_id % 4 + 1 n from p where note like '%.txt' union all select dataset, page_id, 'a', 1 from p where note like '%.json' and not cut "
+    "union all select dataset, page_id, case page_id % 3 when 0 then 'a' when 1 then 'b' else '2' end, page_id % 4 from p where note like '%.json' and not cut and page_id % 4 > 0 union all select dataset, page_id, 'c' || page_id % 3, page_id % 4 + 2 from p where note like '%.xml' and not cut "
+    "union all select dataset, page_id, 'class' || page_id % 4, 1 from p where dataset in (6, 7)), "
+    "c as (select dataset, count(*) n_classes, sum(n)::bigint n_rows, round(max(n) / greatest(min(n), 1), 2) imbalance from (select dataset, class_id, sum(n) n from l group by 1, 2) group by 1), "
+    "i as (select dataset, count(*) filter (is_image) n_images, count(note) notes, count(*) filter (is_image and not readable) corrupt, count(*) filter (cut and note is not null) broken from p group by 1), "
+    "k as (select i.*, coalesce(n_classes, 0) n_classes, imbalance, case when dataset < 2 then 'yolo' when dataset < 4 then 'coco' when dataset < 6 then 'voc' when dataset < 8 then 'classification' when dataset = 8 then 'images' else 'unknown' end kind, "
+    "case when dataset in (0, 1, 4, 5) then notes when dataset < 8 then coalesce(n_rows, 0) else 0 end n_labels, case when dataset in (0, 1, 4, 5) then n_images - notes else 0 end missing_labels from i left join c using (dataset)) "
+    "select dataset, kind, n_images, n_labels, n_classes, imbalance, missing_labels, corrupt, broken, concat_ws(',', case when imbalance >= 10 then 'severe_imbalance' when imbalance >= 3 then 'imbalance' end, case when missing_labels > 0 then 'missing_labels' end, case when broken > 0 then 'unreadable_annotations' end) warnings, "
+    "concat_ws(',', case when corrupt > 0 then 'corrupt_images' end, case when n_images = 0 then 'no_images' when dataset < 6 and n_labels = 0 then 'no_labels' end) errors, corrupt = 0 and n_images > 0 and not (dataset < 6 and n_labels = 0) ok from k"
+)
+def d24_annotated_formats(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "pages").select("page_id", (F.col("page_id") % 10).alias("dataset"), *(F.expr(x).alias(n) for n, x in ANNOTATED.items()))
+    image = p.select("dataset", F.col("image").alias("path"), (F.col("page_id") % 33 != 5).alias("readable"), F.lit(None).cast("string").alias("content"))
+    out = annotations.validate_annotated(image.unionByName(p.where("note is not null").select("dataset", F.col("note").alias("path"), F.lit(True).alias("readable"), "content")))
+    return out.withColumn("warnings", F.array_join("warnings", ",")).withColumn("errors", F.array_join("errors", ","))
+
+
 def _wires(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("det_id")
     end = lambda c, k, a, b: F.when(i % k == 0, F.concat(F.lit(a), i % b)).alias(c)

@@ -9,7 +9,8 @@ from sightline.operators import gate
 from sightline.operators import inventory as inv
 from sightline.operators import reports as rp
 from sightline.operators import selection as sel
-from sightline.queries.gate import CFG, GATED, iou_sql
+from sightline.queries.evaluation import match_sql
+from sightline.queries.gate import CFG, CLAIMS, GATED, JUDGED, NMS, SANITISED, iou_sql
 from sightline.registry import query
 from sightline.views import table, view
 
@@ -77,14 +78,36 @@ def a27_accounting(spark: SparkSession, d: str) -> DataFrame:
     return out.select("raw", "by_gate", "asserted", "unknown", R("unknown_rate"))
 
 
-@query(None)
+DECODE, MAYBE, STRICT = (0.1, 0.3), (0.1, 0.2), (0.8, 1.0, 1.2)
+_values = lambda of: ", ".join(f"({x}::double)" for x in of)
+#: The sweep with a row for each box and grid point.
+SWEEP = f"""{SANITISED.replace("from candidates", "from detections")}, good as (select * from reasoned where drop_reason is null and score >= 0.1), {NMS}, {CLAIMS}, {JUDGED.format(source="claims")},
+plausible as (select c.* from claims c join judged j using (det_id) where j.drop_reason is null or j.drop_reason = 'below_unknown_floor'), {match_sql(0.5).replace("detections", "plausible")},
+points as (select d, u, s from (values {_values(DECODE)}) a(d) cross join (values {_values(MAYBE)}) b(u) cross join (values {_values(STRICT)}) c(s)),
+boxes as (select d, u, s, m.*, score >= greatest(0.01, least(0.99, min_conf::double * s)) sure from matched m join class_dim using (class_id) cross join points where score >= d),
+run as (select *, count(gt_id) over w / count(*) over w prec from boxes where sure window w as (partition by d, u, s, class_id order by score desc, image_id, det_id rows unbounded preceding)),
+env as (select *, max(prec) over (partition by d, u, s, class_id order by score desc, image_id, det_id rows between current row and unbounded following) best from run),
+support as (select class_id, count(*) n_gt from ground_truth group by 1), area as (select d, u, s, class_id, sum(best) filter (gt_id is not null) area from env group by all),
+maps as (select d, u, s, avg(coalesce(area, 0) / n_gt) map_50 from points cross join support left join area using (d, u, s, class_id) group by all),
+sums as (select d, u, s, count(gt_id) filter (sure) tp, count(*) filter (sure) n, count(*) filter (not sure and score >= u) maybe from boxes group by all),
+rated as (select *, coalesce(tp / nullif(n, 0), 0.0) p, coalesce(tp / (select sum(n_gt) from support), 0.0) r, (n - tp) / (select count(distinct image_id) from detections) fp, coalesce(maybe / nullif(n + maybe, 0), 0.0) un from sums join maps using (d, u, s)),
+swept as (select d "decode", u "unknown", s strict, p "precision", r recall, case when p + r > 0 then 2 * p * r / (p + r) else 0.0 end f1, map_50, fp fp_per_image, un unknown_rate, 0.6 * (case when p + r > 0 then 2 * p * r / (p + r) else 0.0 end) + 0.4 * map_50 - 0.02 * fp - 0.05 * un score from rated)"""
+SWEPT = ("precision", "recall", "f1", "map_50", "fp_per_image", "unknown_rate", "score")
+_ROUNDED = '"decode", "unknown", strict, ' + ", ".join(f'round("{c}", 6) "{c}"' for c in SWEPT)
+
+
+def _sweep(spark: SparkSession, d: str) -> DataFrame:
+    return sel.sweep(view(spark, d, "ground_truth"), view(spark, d, "detections"), view(spark, d, "class_dim"), DECODE, MAYBE, STRICT, cfg=CFG)
+
+
+@query(f"with {SWEEP} select {_ROUNDED} from swept", "detections", "ground_truth", "class_dim")
 def d6_sweep(spark: SparkSession, d: str) -> DataFrame:
-    return sel.sweep(view(spark, d, "ground_truth"), view(spark, d, "detections"), view(spark, d, "class_dim"), (0.1, 0.3), (0.1, 0.2), (0.8, 1.0, 1.2), cfg=CFG)
+    return _sweep(spark, d).select("decode", "unknown", "strict", *map(R, SWEPT))
 
 
-@query(None)
+@query(f"with {SWEEP} select {_ROUNDED} from swept order by round(score, 9) desc, \"decode\" desc, \"unknown\" desc, abs(strict - 1) limit 1", "detections", "ground_truth", "class_dim")
 def t8_best_point(spark: SparkSession, d: str) -> DataFrame:
-    return sel.best_point(d6_sweep(spark, d))
+    return sel.best_point(_sweep(spark, d)).select("decode", "unknown", "strict", *map(R, SWEPT))
 
 
 @query("select det_id, case when score < 0.2 or score > 0.97 then null else round(0.6 * score + 0.4 * (1 - score) - 0.02 * (det_id % 7) - 0.05 * (det_id % 10) / 10, 6) end point from detections", "detections")
@@ -175,6 +198,16 @@ def a45_classifier_metrics(spark: SparkSession, d: str) -> DataFrame:
     return rp.classifier_metrics(v).select(F.col("class").alias("label"), F.col("right").alias("a"), F.col("predicted").alias("p"), R("precision"), R("log_loss"))
 
 
+@query(
+    "with v as (select label, vec_id % 12 pred, (vec_id % 97 + 1) / 100.0 pr from vectors), c as (select label c from v union select pred from v), k as (select c, (select count(*) from v where label = c) s, (select count(*) from v where pred = c) q, (select count(*) from v where pred = c and label = c) h from c), "
+    "r as (select *, case when q > 0 then h / q else 0.0 end p, case when s > 0 then h / s else 0.0 end r from k) select (select count(*) from v) n, round((select avg((label = pred)::int) from v), 6) accuracy, round(avg(p), 6) \"precision\", round(avg(r), 6) recall, round(avg(case when p + r > 0 then 2 * p * r / (p + r) else 0.0 end), 6) f1, round((select avg(-ln(greatest(1e-15, pr))) from v), 6) log_loss from r",
+    "vectors",
+)
+def a45_classifier_totals(spark: SparkSession, d: str) -> DataFrame:
+    v = view(spark, d, "vectors").select("label", (F.col("vec_id") % 12).alias("pred"), ((F.col("vec_id") % 97 + 1) / 100).alias("pr"))
+    return rp.classifier_totals(v).select("n", *map(R, ("accuracy", "precision", "recall", "f1", "log_loss")))
+
+
 @query("select det_id, 'any' class_id, score from detections", "detections")
 def p24_class_agnostic(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "detections").select("det_id", F.lit("any").alias("class_id"), "score")
@@ -253,6 +286,18 @@ def a28_refinement_summary(spark: SparkSession, d: str) -> DataFrame:
     return rp.refinement_summary(view(spark, d, "detections").select(r.alias("reason"), F.col("score").alias("iou"))).select("reason", "n", R("mean_iou"))
 
 
+@query(
+    "with r as (select case when det_id % 4 = 0 then 'grew_too_much' when det_id % 4 = 1 then 'moved_too_far' end reason, score v, (x2 - x1) * (y2 - y1) a, (x2 - x1) * (y2 - y1) * (0.8 + det_id % 5 / 10.0) b from detections) "
+    "select count(*) boxes, count(*) filter (reason is null) accepted, round(count(*) filter (reason is null) / count(*), 6) accept_rate, round(avg(v) filter (reason is null), 6) mean_iou, count(*) filter (reason is null and b < a) tightened, round(1 - avg(b / a) filter (reason is null and b < a), 6) mean_area_reduction from r",
+    "detections",
+)
+def a28_refinement_totals(spark: SparkSession, d: str) -> DataFrame:
+    i, area = F.col("det_id"), g.area(g.box())
+    r = F.when(i % 4 == 0, "grew_too_much").when(i % 4 == 1, "moved_too_far")
+    rows = view(spark, d, "detections").select(r.alias("reason"), F.col("score").alias("iou"), area.alias("area"), (area * (0.8 + i % 5 / 10.0)).alias("new_area"))
+    return rp.refinement_totals(rows).select("boxes", "accepted", R("accept_rate"), R("mean_iou"), "tightened", R("mean_area_reduction"))
+
+
 @query(f"with o as (select a.image_id, count(*) n from detections a join detections b on a.image_id = b.image_id and a.det_id < b.det_id and {iou_sql('a', 'b')} > 0.5 group by 1) select image_id, n from o", "detections")
 def u6_overlap_edges(spark: SparkSession, d: str) -> DataFrame:
     a = view(spark, d, "detections")

@@ -23,13 +23,7 @@ def r4_component_throttle(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {WALK.format(key='user_id', s=7200, daily='true')}, f as (select user_id, event_id, value, t from walk join sightings using (event_id, user_id) where fire) select s.event_id, (select f.event_id from f where f.user_id = s.user_id and (f.t < s.t or (f.t = s.t and f.event_id <= s.event_id)) order by f.t desc, f.event_id desc limit 1) result_of from sightings s", "sightings")
 def r5_carry_forward(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    rows = view(spark, d, "sightings")
-    fired = ev.rate_limit(rows, ["user_id"], "t", "event_id", 7_200).withColumn("fired", F.lit(True))
-    w = Window.partitionBy("user_id").orderBy("t", "event_id")
-    marked = rows.join(fired, ["user_id", "event_id"], "left")
-    return marked.select("event_id", F.last(F.when(F.col("fired"), F.col("event_id")), ignorenulls=True).over(w).alias("result_of"))
+    return ev.carry_forward(view(spark, d, "sightings"), ["user_id"], "t", "event_id", 7_200).select("event_id", "result_of")
 
 
 @query(None)

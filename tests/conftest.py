@@ -7,6 +7,8 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+#: Queries are held against their twins where all kinds of rows occur.
+TWIN_SF_DIR = os.environ.get("TWIN_SF_DIR", "/root/testdata/sf0.01")
 
 
 @pytest.fixture(scope="session")
@@ -29,3 +31,8 @@ def spark():
 @pytest.fixture(scope="session")
 def sf_dir():
     return SF_DIR
+
+
+@pytest.fixture(scope="session")
+def twin_dir():
+    return TWIN_SF_DIR

@@ -47,3 +47,62 @@ def test_tracks_are_carried_over_batches(spark, small_batches):
         want += [(*key, *r) for r in tracking.Tracker().run(own).itertuples(index=False, name=None)]
     assert len(want) > 100 and sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
     assert "FlatMapGroupsInPandas" not in plan(out)
+
+
+@pytest.fixture
+def small_pieces(monkeypatch):
+    """A key's history in many pieces, some of one row."""
+    from sightline.plans import pieces
+
+    cut = pieces.cut
+    monkeypatch.setattr(pieces, "cut", lambda rows, keys, order, n=None: cut(rows, keys, order, 23))
+    return pieces
+
+
+def history(n=400):
+    rng = np.random.default_rng(3)
+    return [(("a", "a", "a", None, "b")[k % 5], k, int(t) if k % 50 else None, float(rng.integers(0, 9)), ("up", "down", None)[rng.integers(0, 3)]) for k, t in enumerate(np.cumsum(rng.integers(0, 40, n)))]
+
+
+def of_key(rows, key):
+    return sorted((r for r in rows if r[0] == key), key=lambda r: (r[2] is not None, r[2] or 0, r[1]))
+
+
+def test_running_values_cross_pieces(spark, small_pieces):
+    from pyspark.sql import functions as F
+
+    from sightline.operators import reports
+
+    rows = history()
+    df = spark.createDataFrame(rows, "who string, i long, t long, v double, s string")
+    changes, as_of, rolling = [], [], []
+    for key in ("a", "b", None):
+        own, n, last = of_key(rows, key), 0, None
+        for k, r in enumerate(own):
+            before = own[k - 1][4] if k else None
+            if before is not None and r[4] is not None and before != r[4]:
+                n += 1
+                changes.append((r[1], n))
+            as_of.append((r[1], last))
+            last = r[1] if r[4] == "up" else last
+            some = own[max(0, k - 6) : k + 1]
+            times = [x[2] for x in some if x[2] is not None]
+            rolling.append((r[1], len(some), max(times) - min(times) if times else None, round(sum(x[3] for x in some) / len(some), 9)))
+    got = lambda out, *cols: sorted(map(tuple, out.select(*cols).collect()), key=str)
+    assert got(events.state_changes(df, ["who"], "t", "i", F.col("s")), "i", "n_changes") == sorted(changes, key=str)
+    assert got(reports.as_of(df, "who", "t", "i", F.col("s") == "up", "i"), "i", "as_of") == sorted(as_of, key=str)
+    assert got(events.rolling_rates(df, ["who"], "t", "i", "v", 7), "i", "n", "span", F.round("mean", 9)) == sorted(rolling, key=str)
+    assert small_pieces.cut(df, ["who"], ["t", "i"]).where("who = 'a'").select(small_pieces.PIECE).distinct().count() > 5
+
+
+def test_carry_forward_crosses_pieces(spark, small_pieces):
+    rows = [r for r in history() if r[0] and r[2] is not None]
+    out = events.carry_forward(spark.createDataFrame(rows, "who string, i long, t long, v double, s string"), ["who"], "t", "i", 100)
+    want = []
+    for key in ("a", "b"):
+        last = None
+        for r in of_key(rows, key):
+            if last is None or r[2] - last[2] >= 100:
+                last = r
+            want.append((key, r[1], last[1]))
+    assert sorted(map(tuple, out.collect())) == sorted(want)

@@ -7,8 +7,8 @@ registry.load()
 
 
 @pytest.mark.parametrize("name", sorted(registry.SQL))
-def test_equals_duckdb(spark, sf_dir, name):
-    assert same(registry.QUERIES[name](spark, sf_dir), registry.SQL[name], sf_dir) > 0
+def test_equals_duckdb(spark, twin_dir, name):
+    assert same(registry.QUERIES[name](spark, twin_dir), registry.SQL[name], twin_dir) > 0
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))

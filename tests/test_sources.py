@@ -81,3 +81,29 @@ def test_replace_partition(spark, tmp_path):
     events.replace_partition(df, path, "panel_id")
     events.replace_partition(spark.createDataFrame([(2, "c"), (2, "d")], df.schema), path, "panel_id")
     assert rows(spark.read.parquet(path), "panel_id", "v") == [(1, "a"), (2, "c"), (2, "d")]
+
+
+def test_annotated_sets_of_every_layout(spark, tmp_path):
+    """Good and broken files of each layout, read from disk in one pass."""
+    from sightline.sources import annotations
+
+    sets = {
+        "y": {"images/a.jpg": "x", "images/b.jpg": "x", "images/c.jpg": "", "labels/a.txt": "0 .5 .5 .1 .1\n\n2 .5 .5 .1 .1\r\n", "labels/b.txt": "0 .5\nbad\n1 .5\n", "labels/classes.txt": "panel\n"},
+        "c": {"img/a.png": "x", "annotations/instances_a.json": json.dumps({"categories": [{"id": 7, "name": "mcb"}], "annotations": [{"id": 1, "category_id": 7}, {"id": 2, "category_id": 7}, {"id": 3, "category_id": 8}]}), "annotations/instances_b.json": '{"annotations": [{"id": 1, "cate', "annotations/info.json": '{"year": 2020}'},
+        "v": {"x/a.jpeg": "x", "x/b.jpeg": "x", "x/a.xml": "<annotation><object><name>mcb</name></object><object><bndbox/></object></annotation>", "x/c.xml": "<annotation><object><name>mcb</na"},
+        "f": {"mcb/1.webp": "x", "mcb/2.webp": "x", "plc/3.webp": "x", "top.webp": "x"},
+        "n": {"a.md": "x"},
+    }
+    for name, files_ in sets.items():
+        for path, text in files_.items():
+            (tmp_path / name / path).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / name / path).write_text(text, newline="")
+    read = annotations.read_files(spark, {n: str(tmp_path / n) for n in sets})
+    assert read.where("content is not null").count() == 8
+    kinds = files.detect_kind(read, "path", "dataset")
+    labels, broken = annotations.annotation_labels(read, kinds)
+    assert rows(labels.groupBy("dataset", "class_id").count()) == [("c", "8", 1), ("c", "mcb", 2), ("f", "mcb", 2), ("f", "plc", 1), ("v", "mcb", 1), ("v", "unknown", 1), ("y", "0", 2), ("y", "2", 1)]
+    assert rows(broken) == [("c", "annotations/instances_b.json"), ("v", "x/c.xml"), ("y", "labels/b.txt")]
+    report = {r["dataset"]: r for r in annotations.validate_annotated(read).collect()}
+    assert {k: (r["kind"], r["n_images"], r["n_labels"], r["missing_labels"], r["broken"]) for k, r in report.items()} == {"y": ("yolo", 3, 2, 1, 1), "c": ("coco", 1, 3, 0, 1), "v": ("voc", 2, 2, 1, 1), "f": ("classification", 4, 3, 0, 0), "n": ("unknown", 0, 0, 0, 0)}
+    assert report["y"]["errors"] == ["corrupt_images"] and report["n"]["errors"] == ["no_images"] and report["f"]["ok"]

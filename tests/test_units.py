@@ -131,3 +131,97 @@ def test_exact_hash_links_miss_none(spark):
     assert {tuple(r) for r in hash_links(df, exact=True).collect()} == want
     sliced = {(a, b) for a, b in want if any(hashes_of[a] >> 16 * k & 65535 == hashes_of[b] >> 16 * k & 65535 for k in range(4))}
     assert {tuple(r) for r in hash_links(df).collect()} == sliced < want
+
+
+def _one_by_one(classes_of, ratios=(0.7, 0.2, 0.1)):
+    """The sequential rule on a list of groups, each a list of (class, instances): the split of each."""
+    overall = {}
+    for classes in classes_of:
+        for c, k in classes:
+            overall[c] = overall.get(c, 0) + k
+    share = [r / sum(ratios) for r in ratios]
+    have, groups, out = [{} for _ in share], [0] * len(share), []
+    for classes in classes_of:
+        if classes:
+            short = [sum((overall[c] * share[s] - have[s].get(c, 0)) * (1.0 / math.sqrt(overall[c])) for c, _ in classes) for s in range(len(share))]
+            best = max(range(len(share)), key=lambda s: (short[s], -groups[s]))
+        else:
+            best = min(range(len(share)), key=lambda s: groups[s] / share[s])
+        groups[best] += 1
+        for c, k in classes:
+            have[best][c] = have[best].get(c, 0) + k
+        out.append(best)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_dealing_alike_groups_together_equals_one_by_one(seed):
+    import random
+
+    rng = random.Random(seed)
+    kinds = [tuple((c, rng.randrange(1, 9)) for c in sorted(rng.sample("abcdef", rng.randrange(1, 4)))) for _ in range(12)] + [()]
+    alike = [(k, rng.choice([1, 3, 20, 400])) for k in dict.fromkeys(kinds)]
+    groups = [k for k, m in alike for _ in range(m)]
+    overall = {}
+    for k, m in alike:
+        for c, n in k:
+            overall[c] = overall.get(c, 0) + n * m
+    quotas, at, want = datasets.Quotas(overall, (0.7, 0.2, 0.1)), 0, _one_by_one(groups)
+    for k, m in alike:
+        assert quotas.deal(k, m) == [want[at : at + m].count(s) for s in range(3)]
+        at += m
+
+
+def test_group_split_equals_the_sequential_rule(spark, monkeypatch):
+    """Rarest class first, then equal counts; no group is in two splits, and every split has the rare class."""
+    import random
+
+    monkeypatch.setattr(datasets, "ROUND", 3)
+    rng = random.Random(2)
+    rows = [(f"g{k}", c, n) for k in range(120) for c, n in {"common": rng.randrange(1, 4), **({"rare": 1} if k % 11 == 0 else {}), **({"some": 2} if k % 3 == 0 else {})}.items()]
+    rows += [(f"e{k}", None, None) for k in range(9)]
+    out = {r["group_key"]: r["split"] for r in datasets.assign_groups(spark.createDataFrame(rows, "group_key string, class_id string, n long")).collect()}
+    assert len(out) == 129
+    counts = {g: [] for g in out}
+    for g, c, n in rows:
+        counts[g] += [(c, n)] if c else []
+    total = {c: sum(n for _, d, n in rows if d == c) for c in ("common", "rare", "some")}
+    key = lambda g: (min((total[c] for c, _ in counts[g]), default=1e9), "[" + ",".join(f'{{"class_id":"{c}","n":{n}}}' for c, n in sorted(counts[g])) + "]")
+    order = sorted(out, key=key)
+    want = _one_by_one([sorted(counts[g]) for g in order])
+    names = ("train", "val", "test")
+    for alike in {key(g) for g in order}:
+        own = [n for n, g in enumerate(order) if key(g) == alike]
+        assert sorted(out[order[n]] for n in own) == sorted(names[want[n]] for n in own)
+    assert {out[g] for g in out if any(c == "rare" for c, _ in counts[g])} == set(names)
+
+
+def test_an_equal_panel_seen_from_elsewhere_is_clean(spark):
+    """A projective view, registered again: nothing differs; without the transform nearly all does. A loose end is found."""
+    from sightline.operators import compare, jobs
+
+    h = [[1.1, 0.02, -30.0], [-0.01, 0.95, 12.0], [1e-5, -2e-5, 1.0]]
+    det = lambda a, b, c, d: a * d - b * c
+    inv = [[det(h[(j + 1) % 3][(i + 1) % 3], h[(j + 1) % 3][(i + 2) % 3], h[(j + 2) % 3][(i + 1) % 3], h[(j + 2) % 3][(i + 2) % 3]) for j in range(3)] for i in range(3)]
+
+    def seen(x, y):
+        a, b, w = (r[0] * x + r[1] * y + r[2] for r in inv)
+        return a / w, b / w
+
+    parts = [(1, k, "mcb", 100.0 * k, 50.0 + 40 * (k % 2), 0.0) for k in range(5)]
+    wires = [(1, k, 100.0 * k, 50.0, 100.0 * k + 80, 300.0, 262.0, "red", f"a{k}", f"b{k}") for k in range(5)]
+    refs = spark.createDataFrame(parts, "panel_id long, ref_id long, comp_type string, cx double, cy double, rotation double")
+    wire_refs = spark.createDataFrame(wires, "panel_id long, ref_id long, sx double, sy double, ex double, ey double, length double, color string, rs string, re string")
+    obs = spark.createDataFrame([(p, k, t, *seen(x, y), r) for p, k, t, x, y, r in parts], "panel_id long, obs_id long, comp_type string, cx double, cy double, rotation double")
+    wire_obs = lambda off: spark.createDataFrame([(p, k, *seen(sx, sy), *seen(ex, ey + (off if k == 2 else 0)), n, c, s, e) for p, k, sx, sy, ex, ey, n, c, s, e in wires], "panel_id long, obs_id long, sx double, sy double, ex double, ey double, length double, color string, s string, e string")
+    ends = [(1, x, y) for w in wires for x, y in ((w[2], w[3]), (w[4], w[5]))]
+    terminals = spark.createDataFrame(ends, "panel_id long, x double, y double")
+    seen_terminals = spark.createDataFrame([(p, *seen(x, y)) for p, x, y in ends], "panel_id long, x double, y double")
+    transforms = spark.createDataFrame([(1, [x for row in h for x in row])], "panel_id long, h array<double>")
+    found = lambda off, **more: sorted(map(tuple, jobs.panel_errors(refs, obs, wire_refs, wire_obs(off), ref_terminals=terminals, obs_terminals=seen_terminals, **more).select("target", "type", "severity").collect()))
+    assert found(0.0, transforms=transforms) == []
+    assert len(found(0.0)) > 3
+    assert found(60.0, transforms=transforms) == [(2, "loose_wire", "warning")]
+    assert found(85.0, transforms=transforms) == [(2, "disconnected_wire", "error")]
+    two = compare.align(obs.withColumn("panel_id", F.col("obs_id") % 2), transforms, ("cx", "cy"))
+    assert {r["panel_id"]: r["align"] for r in two.collect()} == {0: compare.RAW, 1: compare.ALIGNED}
