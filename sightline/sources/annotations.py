@@ -12,6 +12,8 @@ NOTES = ("txt", "json", "xml")
 COCO = "annotations array<struct<category_id:string>>, categories array<struct<id:string,name:string>>, _bad string"
 VOC = "object array<struct<name:string>>, _bad string"
 NOT_LABELS = ("classes", "readme")
+#: How image files begin, in hexadecimal.
+BEGINS = {"jpg": "FFD8FF", "jpeg": "FFD8FF", "png": "89504E47", "bmp": "424D", "webp": "52494646"}
 
 
 def suffix(path: Column) -> Column:
@@ -21,12 +23,15 @@ def suffix(path: Column) -> Column:
 def read_files(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
     """dataset, path (below its root), readable, content: every file of the data sets; only annotation files have a content.
 
-    An image is readable if it isn't empty: its bytes are not decoded. A file is one row, so it has 2 GB at most.
+    An image is readable if it begins as its format does; it is not decoded. Empty files are not listed. A file is one
+    row, so it has 2 GB at most.
     """
     out = None
     for name, root in roots.items():
         below = lambda c: F.regexp_replace(c, rf"^.*?\Q{root.rstrip('/')}\E/", "")
-        listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(below(F.col("path")).alias("path"), (F.col("length") > 0).alias("readable"))
+        begins = F.try_element_at(F.create_map(*[F.lit(x) for kv in BEGINS.items() for x in kv]), suffix(F.col("path")))
+        readable = begins.isNull() | F.startswith(F.hex(F.substring("content", 1, 4)), begins)
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(below(F.col("path")).alias("path"), readable.alias("readable"))
         texts = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{','.join(NOTES)}}}").text(root, wholetext=True)
         texts = texts.select(below(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("content"))
         own = listed.join(texts, "path", "left").select(F.lit(name).alias("dataset"), "path", "readable", "content")
