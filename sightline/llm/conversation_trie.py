@@ -228,7 +228,7 @@ def id_lists(ends: DataFrame) -> DataFrame:
     return joined.repartition(*NODE).sortWithinPartitions(*NODE, "first").mapInArrow(ending(hashed), "d long, k1 long, k2 long, sha string")
 
 
-def trie_nodes(turns: DataFrame, convs: DataFrame, batches: int = 3) -> DataFrame:
+def trie_nodes(turns: DataFrame, convs: DataFrame, batches: int = 2) -> DataFrame:
     """conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 for each distinct sequence of first turns.
 
     ``turns``: conv, piece, d (from 1), t, bytes; ``convs``: conv, all conversations, turnless ones are members of the
@@ -287,7 +287,7 @@ def trie_nodes(turns: DataFrame, convs: DataFrame, batches: int = 3) -> DataFram
     return out.select(*(F.col(c).cast("string" if c == "ends_sha256" else "long").alias(c) for c in root.columns)).unionByName(root)
 
 
-def prefix_trie(conversations: DataFrame, batches: int = 3) -> DataFrame:
+def prefix_trie(conversations: DataFrame, batches: int = 2) -> DataFrame:
     """``trie_nodes`` of the rebuilt conversations (conv_id, turn, role, text).
 
     A null role or text counts as empty; turns without a number come first, turns of one number stand by role and MD5 of

@@ -14,14 +14,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm.rows import text_input
+from sightline.llm.rows import may_match, text_input
 from sightline.plans.lineage import materialize, scratch_path
 
 #: ASCII white space, and letters that are lower-cased.
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Bits of the map that tells whose texts lose lines; it has 16 MB at most.
-MAP_BITS = 27
 KEY, ROW = ["h1", "h2"], ["r1", "r2"]
 
 
@@ -150,13 +148,7 @@ def without(docs: DataFrame, lines: DataFrame, repeated: DataFrame, id_col: str
     line are shuffled, as a map of bounded size tells apart.
     """
     gone = materialize(lines.join(repeated, KEY).groupBy(*ROW).agg(F.sort_array(F.collect_set("pos")).alias("gone")), "gone")
-    at = F.pmod("r1", F.lit(1 << MAP_BITS)) + 1
-    bits = gone.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("word")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
-    rows = _rows(docs, id_col, text_col).withColumn("word", F.bitmap_bucket_number(at)).withColumn("bit", F.bitmap_bit_position(at).cast("int"))
-    told = rows.join(F.broadcast(bits), "word", "left")  # 1 << MAP_BITS bits at most
-    byte = F.conv(F.hex(F.substring("bits", F.shiftright("bit", 3) + 1, F.lit(1))), 16, 10).cast("int")
-    set_ = F.call_function("shiftright", byte, F.col("bit").bitwiseAND(7)).bitwiseAND(1) == 1
-    told = told.withColumn("loses", F.coalesce(set_, F.lit(False)))
+    told = may_match(_rows(docs, id_col, text_col), gone, "r1", "loses")
     whole = told.where("not loses").select("doc_id", F.size(_split(F.col("text"))).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), F.col("text").alias("kept"))
     met = told.where("loses").select("doc_id", "text", *ROW).join(gone, ROW, "left")
     met = met.select("doc_id", _split(F.col("text")).alias("all"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))

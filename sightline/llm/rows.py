@@ -26,6 +26,23 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
 
 
+#: Bits of a map that tells which rows a join may find something for; it has 16 MB at most.
+MAP_BITS = 27
+
+
+def may_match(rows: DataFrame, of: DataFrame, h: str, name: str) -> DataFrame:
+    """``rows`` with the boolean ``name``: false only where no row of ``of`` has the same long ``h``.
+
+    A map of MAP_BITS bits is broadcast; where ``of`` has very many rows it lets more pass, and loses none.
+    """
+    at = F.pmod(h, F.lit(1 << MAP_BITS)) + 1
+    marks = of.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("__word")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("__bits"))
+    told = rows.withColumn("__word", F.bitmap_bucket_number(at)).withColumn("__bit", F.bitmap_bit_position(at).cast("int")).join(F.broadcast(marks), "__word", "left")
+    byte = F.conv(F.hex(F.substring("__bits", F.shiftright("__bit", 3) + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.call_function("shiftright", byte, F.col("__bit").bitwiseAND(7)).bitwiseAND(1)
+    return told.withColumn(name, F.coalesce(bit == 1, F.lit(False))).drop("__word", "__bit", "__bits")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have, whatever its case."""
     taken = {c.lower() for c in df.columns}

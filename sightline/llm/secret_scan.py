@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from sightline.llm.rows import arrow_map, fresh, row_key, text_input
 from sightline.plans.lineage import materialize
+from sightline.plans.skew import join_counted
 
 KINDS = ("assign", "access", "hex", "bare")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -31,7 +32,6 @@ MAY_HAVE = {
     "bare": r"[0-9][A-Za-z0-9+/_=-]{10}|[A-Za-z0-9+/_=-]{10}[0-9]",
 }
 MASK = "[SECRET]"
-SPREAD = 32
 
 
 def _bits(value: str) -> float:
@@ -95,12 +95,12 @@ def verdicts(scanned: DataFrame, owned: int = 1, wide: int = 5) -> DataFrame:
     """row, spans kept (array of struct start, kind, end, wide), for rows with candidates.
 
     A value of at most ``owned`` owners looks live; one that more owners have, in ``wide`` or more repositories, is a
-    copied example; one owner's many repositories don't make it one. Rows of one value are
-    spread over SPREAD keys, as a copied value may sit in any share of all rows.
+    copied example; one owner's many repositories don't make it one. Values meet their uses by digest; the hot ones, at most
+    1,000 digests, are broadcast, as a copied value may sit in any share of all rows.
     """
-    uses = scanned.where(F.size("found") > 0).select("row", F.explode("found").alias("f")).withColumn("salt", F.pmod(F.hash("row"), F.lit(SPREAD)))
-    known = materialize(ownership(scanned), "owners").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    judged = uses.withColumn("value", F.col("f.value")).join(known.hint("merge"), ["value", "salt"])  # many times its file's size
+    uses = scanned.where(F.size("found") > 0).select("row", F.explode("found").alias("f")).withColumn("digest", F.md5("f.value"))
+    known = materialize(ownership(scanned).select(F.md5("value").alias("digest"), "n_repos", "n_owners", F.col("n_uses").alias("rows")), "owners")
+    judged = join_counted(uses, known, "digest")
     span = F.struct(F.col("f.start").alias("start"), F.when(F.col("f.kind") == "assign", 0).when(F.col("f.kind") == "access", 1).when(F.col("f.kind") == "hex", 2).otherwise(3).alias("rank"), F.col("f.kind").alias("kind"), F.col("f.end").alias("end"), ((F.col("n_repos") >= wide) & (F.col("n_owners") > owned)).alias("wide"), (F.col("n_owners") <= owned).alias("live"))
     kept = judged.where((F.col("f.kind") != "bare") | (F.col("n_owners") <= owned))
     return kept.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("kept"))

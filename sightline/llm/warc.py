@@ -18,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.rows import ending
+from sightline.llm.rows import ending, may_match
 from sightline.plans.lineage import materialize
+from sightline.plans.skew import join_counted
 
 #: Uncompressed bytes after which a new archive begins; an archive exceeds it by one record at most.
 ARCHIVE_BYTES = 8 << 20
@@ -49,13 +50,17 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
     The payload is the html in UTF-8, of a null html empty. Of equal payloads, that with the least id is the response
     and the others revisit it. Rows without an id are responses and never referred to, and of rows that repeat the least
-    id each is a response. Payloads are compared by digest; only ids and digests are shuffled to find the copies.
+    id each is a response. Payloads are compared by digest. Only ids and digests are shuffled to find the copies, and then
+    the pages that may be revisits, as a map of bounded size tells: no html of any other page moves.
     """
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"))
     seen = own.select("page_id", F.sha1("html").alias("digest")).where("page_id is not null")
-    first = materialize(seen.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
-    again = materialize(seen.join(first, "digest").where("page_id <> first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct(), "again")
-    dealt = own.withColumn("digest", F.sha1("html")).join(again, ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
+    first = materialize(seen.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("rows")).where("rows > 1"), "first")
+    copies = join_counted(seen, first, "digest")  # error pages and empty ones may be most of all
+    again = materialize(copies.where("page_id <> first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct(), "again")
+    told = may_match(own.withColumn("digest", F.sha1("html")).withColumn("h", F.xxhash64("page_id", "digest")), again.withColumn("h", F.xxhash64("page_id", "digest")), "h", "copy")
+    names = ["page_id", "url", "html"]
+    dealt = told.where("not copy").select(*names, F.lit(None).cast("long").alias("refers_to")).unionByName(told.where("copy").join(again, ["page_id", "digest"], "left").select(*names, "refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
