@@ -32,7 +32,7 @@ def group_key(filename: Column, prefixes: Sequence[str] = ()) -> Column:
     own = F.lower(stem)
     cut = stem
     for p in reversed(list(prefixes)):
-        cut = F.when(stem.startswith(p), F.substring(stem, len(p) + 1, 10_000)).otherwise(cut)
+        cut = F.when(stem.startswith(p), F.substring(stem, F.lit(len(p) + 1), F.length(stem))).otherwise(cut)
     cut = F.regexp_replace(cut, EXPORT_SUFFIX, "")
     for _ in range(3):
         shorter = F.regexp_replace(F.regexp_replace(cut, AUGMENT_SUFFIX, ""), COUNTER_SUFFIX, "")

@@ -79,7 +79,7 @@ def s13_voc(spark: SparkSession, d: str) -> DataFrame:
 @query("select row_number() over (order by p_type) - 1 cls, p_type class_id from (select distinct p_type from part)")
 def s14_class_map(spark: SparkSession, d: str) -> DataFrame:
     """The types of parts as the side file of a data set, written and read back."""
-    names = sorted(r[0] for r in table(spark, d, "part").select("p_type").distinct().limit(files.MOST_CLASSES).collect())
+    names = sorted(r[0] for r in table(spark, d, "part").select("p_type").distinct().collect())
     path = scratch_path(spark, "yaml")
     lines = ["path: .", "names:", *(f"  {k}: '{c}'" for k, c in enumerate(names))]
     spark.createDataFrame([("\n".join(lines),)], "value string").write.text(path)
