@@ -5,11 +5,13 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from sightline import registry
 from sightline.functions import geometry as g
 from sightline.functions import panel_rules as rules
 from sightline.operators import datasets, evaluation, gate, identity, inventory, selection, wires
 from sightline.operators.graph import connected_components
-from sightline.views import view
+from sightline.views import TABLES, view
+from tests.oracle import same
 
 BOX = "image_id long, det_id long, class_id string, score double, x1 double, y1 double, x2 double, y2 double"
 
@@ -224,3 +226,15 @@ def test_an_equal_panel_seen_from_elsewhere_is_clean(spark):
     assert found(85.0, transforms=transforms) == [(2, "disconnected_wire", "error")]
     two = compare.align(obs.withColumn("panel_id", F.col("obs_id") % 2), transforms, ("cx", "cy"))
     assert {r["panel_id"]: r["align"] for r in two.collect()} == {0: compare.RAW, 1: compare.ALIGNED}
+
+
+def test_mix_rounds_halves_up_as_its_twin(spark, sf_dir, tmp_path):
+    """Ten training images ask for 2.5 synthetic ones, so 3."""
+    for t in TABLES:
+        if t != "documents":
+            (tmp_path / f"{t}.parquet").symlink_to(f"{sf_dir}/{t}.parquet")
+    spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 13").write.parquet(str(tmp_path / "part"))
+    spark.read.parquet(str(tmp_path / "part")).toPandas().to_parquet(tmp_path / "documents.parquet")
+    registry.load()
+    assert same(registry.QUERIES["u5_mix"](spark, str(tmp_path)), registry.SQL["u5_mix"], str(tmp_path)) == 1
+    assert registry.QUERIES["u5_mix"](spark, str(tmp_path)).first().asDict() == {"total": 16, "n": 10}
