@@ -5,6 +5,7 @@ import tracemalloc
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from sightline.operators import identity
 
@@ -47,3 +48,39 @@ def test_counting_two_blocks_takes_little_memory():
     tracemalloc.stop()
     assert counts["n"].sum() == identity.BLOCK**2
     assert peak < 200 << 20
+
+
+@pytest.mark.parametrize("broadcast", [64 << 20, 0])
+def test_nearest_over_blocks_with_ties_by_number(spark, monkeypatch, broadcast):
+    """Copies tie exactly, and go by their number, not its text: 9, 10, 100."""
+    monkeypatch.setattr(identity, "BROADCAST_BYTES", broadcast)
+    monkeypatch.setattr(identity, "BLOCK", 16)
+    monkeypatch.setattr(identity, "STRIP", 3)
+    own = some_vectors(25)
+    gallery = spark.createDataFrame([(k, k % 2, own[k % 25]) for k in range(125)], "id long, label long, v array<double>")
+    probes = gallery.where("id < 25")
+    got = {(r["id"], r["rank"]): (r["other"], round(r["score"], 9)) for r in identity.nearest(probes, gallery.select(F.col("id").alias("other"), "v"), "id", "other", "v", 4).collect()}
+    assert got == {(k, n + 1): (k + 25 * n, 1.0) for k in range(25) for n in range(4)}
+    unit = np.array(own) / np.linalg.norm(own, axis=1, keepdims=True)
+    sims = unit @ unit.T
+    some = gallery.where("id >= 25 and id < 50")
+    best = {(r["id"], r["rank"]): (r["label"], round(r["score"], 9)) for r in identity.nearest(probes, some, "id", "label", "v").collect()}
+    for k in range(25):
+        most = sorted(((round(max(sims[k][(n - 25) % 25] for n in range(25, 50) if n % 2 == who), 9), who) for who in (0, 1)), reverse=True)
+        assert [best[k, 1], best[k, 2]] == [(who, s) for s, who in most]
+
+
+def test_an_identity_of_many_vectors_is_dealt_to_many_blocks(spark):
+    rows = spark.range(2000).select((F.col("id") % 2).cast("string").alias("identity"), F.array(F.rand(1), F.rand(2)).alias("gvec"))
+    sizes = [r["count"] for r in identity.in_blocks(rows, 20).groupBy("b").count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 200
+
+
+def test_the_nearest_of_a_block_take_little_memory():
+    probes = pd.DataFrame({"probe": np.arange(10_000).astype(str), "pvec": some_vectors(10_000)})
+    block = pd.DataFrame({"identity": np.arange(identity.BLOCK).astype(str), "gvec": some_vectors(identity.BLOCK, seed=1)})
+    tracemalloc.start()
+    n = sum(len(part) for part in identity.best_of_block(probes, block, 5, True))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 50_000 and peak < 100 << 20
