@@ -109,7 +109,7 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
 
 
 def _item_windows(benchmark: DataFrame, id_col: str, text_col: str, least_words: int) -> DataFrame:
-    """item_id, template (hash), pos, size, n_windows, window, slots: windows of each item."""
+    """item_id, template (hash of its words and slot values), wpos, size, n_windows, window, islots: windows of each item."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,13 +120,19 @@ def _item_windows(benchmark: DataFrame, id_col: str, text_col: str, least_words:
                 if len(words) < max(1, least_words):
                     continue
                 size = min(WINDOW, len(words))
-                hashes, whole = window_hashes(words, size), xxhash.xxh64_intdigest(words.tobytes())
+                hashes, whole = window_hashes(words, size), xxhash.xxh64_intdigest(words.tobytes() + slots.tobytes())
                 out += [(item, _signed(whole), k, size, len(hashes), _signed(int(h)), slots[k : k + size].view(np.int64).tolist()) for k, h in enumerate(hashes)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [()] * 7, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())), strict=True)], names=["item_id", "template", "wpos", "size", "n_windows", "window", "islots"])
 
     return rows.mapInArrow(ending(run, _words.clear), "item_id long, template long, wpos int, size int, n_windows int, window long, islots array<long>")
 
 
+def item_classes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+    """item_id, class_id: the item that stands for each in ``leaks``, the least of equal words and slot values."""
+    firsts = _item_windows(benchmark, id_col, text_col, least_words).where("wpos = 0").select("item_id", "template").distinct()
+    return firsts.join(firsts.groupBy("template").agg(F.min("item_id").alias("class_id")), "template").select("item_id", "class_id")
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
@@ -189,7 +195,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, id_col:
     each other is not, and a copy with a few of its values changed still is. Names are told by title case: a copy in
     small letters or capitals matches only where names don't break up its windows.
 
-    Items with equal templates count as one, the least id; items of fewer than ``least_words`` template words never
+    Items with equal words and slot values count as one, the least id (``item_classes`` tells whose); those that differ in
+    a value are items of their own, as other rows may hold them. Items of fewer than ``least_words`` template words never
     match. Rows and items with null or empty text never match, rows without an id match like others, repeated rows share
     their key and give one result; empty tables give no rows; texts are read whole and other columns not at all. Beyond
     the Bloom filter, of bounded size, only windows that may match are shuffled and hash-joined with those of the items,

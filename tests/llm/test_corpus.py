@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from sightline.llm import decontaminate, importance, language_id, ngram_lm
+from sightline.llm import decontaminate, importance, language_id, ngram_lm, queries
 from tests.llm.conftest import passage
 
 ITEM = "A train leaves Paris Gare at 9 and goes 120 km in 2 hours, then Paris Gare calls it back after 45 minutes of waiting there."
@@ -191,6 +191,21 @@ def test_repeated_window_and_contradicting_lines(spark, frame):
     assert got == {3: True, 4: False}
 
 
+def test_items_that_differ_in_values_are_items_of_their_own(spark, frame, tmp_path):
+    """Item 1 asks twice for one value, item 2 for two: a row with two other values holds item 2, not 1; item 9 equals item 2."""
+    ask = "how many hours does the train need for {} km if it goes back for {} km and rests at night"
+    items = [(1, ask.format(3, 3)), (2, ask.format(3, 4)), (9, ask.format(3, 4).upper().lower())]
+    texts = [(1, ask.format(7, 7)), (2, ask.format(7, 8)), (3, ask.format(3, 4)), (4, passage(3))]
+    bench = benchmark(spark, items)
+    got = {(r["doc_id"], r["item_id"], r["reparameterised"]) for r in decontaminate.leaks(frame(texts), bench).collect()}
+    assert {(1, 1, True), (2, 2, True), (3, 2, False)} <= got and (2, 1) not in {x[:2] for x in got}
+    assert {tuple(r) for r in decontaminate.item_classes(bench).collect()} == {(1, 1), (2, 2), (9, 2)}
+    frame(texts).write.parquet(str(tmp_path / "documents.parquet"))
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    each = {(r["doc_id"], r["item_id"]) for r in queries.op3_decontamination(spark, str(tmp_path)).collect()}
+    assert {(2, 2), (2, 9), (3, 2), (3, 9)} <= each
+
+
 def test_leaks_edge_cases(spark, edge, none):
     items = benchmark(spark, [(1, passage(1)), (2, None), (3, "The quick brown fox jumps")])
     assert {r["doc_id"] for r in decontaminate.leaks(edge, items).collect()} == {4, 5}
