@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
-from itertools import combinations
+from collections.abc import Iterator
+from itertools import combinations, count
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 Points = list[tuple[float, float]]
 
@@ -27,30 +30,49 @@ def joined(a: Points, b: Points, gap: float, least_cos: float) -> Points | None:
 
 def merge_lines(lines: list[dict], gap: float, angle: float) -> list[dict]:
     """Join pairs, the first that fits each time, until none does. A joined line has the colour of its longer part."""
-    least_cos, lines = math.cos(math.radians(angle)), list(lines)
+    least_cos, numbers, apart = math.cos(math.radians(angle)), count(), set()
+    lines = [(next(numbers), x) for x in lines]
     while True:
-        for i, j in combinations(range(len(lines)), 2):
-            points = joined(lines[i]["points"], lines[j]["points"], gap, least_cos)
+        for (i, a), (j, b) in combinations(lines, 2):
+            if (i, j) in apart:  # tried before
+                continue
+            points = joined(a["points"], b["points"], gap, least_cos)
             if points:
-                a, b = lines[i], lines[j]
                 length = sum(math.dist(p, q) for p, q in zip(points, points[1:], strict=False))
                 new = {"id": min(a["id"], b["id"]), "points": points, "length": length, "color": a["color"] if a["length"] >= b["length"] else b["color"], "n": a["n"] + b["n"]}
-                lines = [x for k, x in enumerate(lines) if k not in (i, j)] + [new]
+                lines = [(k, x) for k, x in lines if k not in (i, j)] + [(next(numbers), new)]
                 break
+            apart.add((i, j))
         else:
-            return lines
+            return [x for _, x in lines]
 
 
 def merge_segments(wires: DataFrame, gap: float = 14.0, angle: float = 25.0, panel: str = "panel_id") -> DataFrame:
     """panel, wire_id (least of the parts), sx, sy, ex, ey, length, color, parts. Input: panel, wire_id, sx..ey, length, color.
 
     The order of joins matters, so a panel is walked in one task; it holds tens of wires, however many panels there are.
+    A task walks its panels one after another, in their order.
     """
+    schema = f"`{panel}` {wires.schema[panel].dataType.simpleString()}, wire_id long, sx double, sy double, ex double, ey double, length double, color string, parts long"
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        lines = [{"id": int(r.wire_id), "points": [(r.sx, r.sy), (r.ex, r.ey)], "length": r.length, "color": r.color, "n": 1} for r in rows.sort_values("wire_id").itertuples()]
-        out = [(key[0], x["id"], *x["points"][0], *x["points"][-1], x["length"], x["color"], x["n"]) for x in merge_lines(lines, gap, angle)]
-        return pd.DataFrame(out, columns=[panel, "wire_id", "sx", "sy", "ex", "ey", "length", "color", "parts"])
+    def walked(key: object, lines: list[dict]) -> list[tuple]:
+        return [(key, x["id"], *x["points"][0], *x["points"][-1], x["length"], x["color"], x["n"]) for x in merge_lines(lines, gap, angle)]
 
-    kind = wires.schema[panel].dataType.simpleString()
-    return wires.groupBy(panel).applyInPandas(run, f"`{panel}` {kind}, wire_id long, sx double, sy double, ex double, ey double, length double, color string, parts long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, out = None, [], []
+        for batch in batches:
+            for own, wire, sx, sy, ex, ey, length, color in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and own != key:
+                    out += walked(key, held)
+                    held = []
+                key = own
+                held.append({"id": wire, "points": [(sx, sy), (ex, ey)], "length": length, "color": color, "n": 1})
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+                out = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*walked(key, held), strict=True), arrow, strict=True)], schema=arrow)
+
+    rows = wires.select(panel, "wire_id", "sx", "sy", "ex", "ey", "length", "color")
+    return rows.repartition(panel).sortWithinPartitions(panel, "wire_id").mapInArrow(run, schema)

@@ -238,3 +238,14 @@ def test_mix_rounds_halves_up_as_its_twin(spark, sf_dir, tmp_path):
     registry.load()
     assert same(registry.QUERIES["u5_mix"](spark, str(tmp_path)), registry.SQL["u5_mix"], str(tmp_path)) == 1
     assert registry.QUERIES["u5_mix"](spark, str(tmp_path)).first().asDict() == {"total": 16, "n": 10}
+
+
+def test_lines_that_are_apart_are_tried_once(monkeypatch):
+    """After each join all pairs were tried anew: 40 fragments of one line took thousands of tries."""
+    tries, plain = [], wires.joined
+    monkeypatch.setattr(wires, "joined", lambda *a: tries.append(1) or plain(*a))
+    apart = [{"id": k, "points": [(0.0, 50.0 * k), (10.0, 50.0 * k)], "length": 10.0, "color": "red", "n": 1} for k in range(30)]
+    parts = [{"id": 100 + k, "points": [(10.0 * k, -50.0), (10.0 * k + 10, -50.0)], "length": 10.0, "color": "red", "n": 1} for k in range(10)]
+    out = wires.merge_lines(apart + parts, 5.0, 25.0)
+    assert len(out) == 31 and max(x["n"] for x in out) == 10
+    assert len(tries) < 1_500
