@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.llm.rows import ending, fresh, row_key, slices, text_input
+from sightline.llm.rows import ending, fresh, row_key, slices, small_batches, text_input
 from sightline.plans.lineage import materialize
 
 WINDOW = 8
@@ -236,5 +236,6 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, id_
     Rows of equal id and text go or stay together; rows with null or empty text stay; an empty table stays empty.
     """
     key = fresh(docs, "key")
-    gone = materialize(leaks(docs, benchmark, coverage, id_col, text_col).select(F.col("key").alias(key)).distinct(), "leaks")
+    with small_batches(docs.sparkSession):
+        gone = materialize(leaks(docs, benchmark, coverage, id_col, text_col).select(F.col("key").alias(key)).distinct(), "leaks")
     return docs.join(gone.hint("merge"), row_key(id_col, text_col) == F.col(key), "left_anti")

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.rows import arrow_map, ending, fresh, row_key, slices, text_input
+from sightline.llm.rows import arrow_map, ending, fresh, row_key, slices, small_batches, text_input
 from sightline.plans.lineage import materialize
 
 #: Hash buckets of the two generative models: their size is fixed, whatever the corpus has.
@@ -182,6 +182,7 @@ def keep_selected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     Rows of equal id and text go or stay together, rows without an id are judged by their text, null texts as empty
     ones; an empty table stays empty, and columns of any name are kept.
     """
-    gone = resample(docs, labels, id_col=id_col, text_col=text_col, **options).where("not selected")
+    with small_batches(docs.sparkSession):
+        gone = resample(docs, labels, id_col=id_col, text_col=text_col, **options).where("not selected")
     key = fresh(docs, "key")
     return docs.join(gone.select(F.col("key").alias(key)).distinct().hint("merge"), row_key(id_col, text_col) == F.col(key), "left_anti")

@@ -88,3 +88,15 @@ def test_a_band_that_many_share_is_dealt_anew(frame, monkeypatch):
     assert sorted(r["doc_id"] for r in near_copies.drop_near_copies(frame(texts)).collect()) == want
     with pytest.raises(ValueError):
         near_copies.drop_near_copies(frame(texts), least=0.5)
+
+
+def test_slices_are_bounded_by_bytes():
+    import pyarrow as pa
+
+    from sightline.llm import rows
+
+    texts = ["x" * n for n in (0, 700_000, 300_000, 100_000, 5_000_000, 0, 3)] + [None] * 3_000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    parts = list(rows.slices(iter([batch])))
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(len(texts)))
+    assert all(p.num_rows <= rows.SLICE and (p.num_rows == 1 or sum(len(t or "") for t in p.column(1).to_pylist()) <= rows.SLICE_BYTES) for p in parts)
