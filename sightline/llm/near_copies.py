@@ -1,8 +1,9 @@
 """Near copies by the exact Jaccard similarity of five-word shingles.
 
-MinHash bands deal texts into buckets, SimHash fingerprints are compared there in tiles, by exclusive-or and bit count,
-and exact similarity decides on what these propose. Groups are what links connect, so comparing in three steps, each
-within what the step before has not connected, saves most pairs of a large group.
+SimHash fingerprints of the shingles are linked as in ``simhash``: in buckets of equal bits, in tiles, by exclusive-or and
+bit count. That radius misses most pairs that are less alike, so MinHash bands deal texts into buckets, too, where every
+pair is compared by its fingerprints; exact similarity decides on what all these propose. Groups are what links connect,
+so comparing in four steps, each within what the step before has not connected, saves most pairs of a large group.
 """
 
 from __future__ import annotations
@@ -16,11 +17,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm import minhash
-from sightline.llm.rows import Batches, arrow_map, ending, row_key, text_input
+from sightline.llm import minhash, simhash
+from sightline.llm.rows import Batches, arrow_map, ending, row_key, small_batches, text_input
 from sightline.llm.simhash import TILE, first_of_groups, keep_first
 from sightline.operators.graph import connected_components
 from sightline.plans.lineage import materialize
+from sightline.plans.skew import join_counted
 
 #: A pair of similarity s shares no band with probability (1 - s ** ROWS) ** BANDS: 1.3e-7 at 0.8, less above.
 BANDS, ROWS = 40, 5
@@ -30,6 +32,8 @@ MAP_BITS = 24
 PAIRS = 65_536
 #: Fingerprints of sets of similarity 0.8 differ in 9.7 of 64 bits on average; more than RADIUS by chance of 1e-6.
 RADIUS = 24
+#: Majorities of few shingles turn more easily: 12 bits on average where 4 shingles face 5. Sets of under SMALL shingles may differ in WIDE.
+SMALL, WIDE = 64, 36
 #: Least hashes of a set that stand for it where all that is left is compared: whole for smaller sets.
 LEAST_HASHES = 256
 #: Nearest members of other components that a text is compared with in the second step.
@@ -172,11 +176,12 @@ def _tiles(own: np.ndarray, least: float) -> Iterator[tuple[slice, np.ndarray, n
     parts, sizes, fps, ones = parts[order], sizes[order], fps[order].view(np.uint64), ones[order]
     for at in range(0, len(order), TILE):
         tile = slice(at, at + TILE)
-        low, high = np.searchsorted(ones, [ones[tile][0] - RADIUS, ones[tile][-1] + RADIUS + 1])
+        reach = WIDE if sizes.min() < SMALL else RADIUS
+        low, high = np.searchsorted(ones, [ones[tile][0] - reach, ones[tile][-1] + reach + 1])
         others = slice(int(low), int(high))
         off = np.bitwise_count(fps[tile, None] ^ fps[None, others])
         small, large = np.minimum(sizes[tile, None], sizes[None, others]), np.maximum(sizes[tile, None], sizes[None, others])
-        may = (parts[tile, None] != parts[None, others]) & (off <= RADIUS) & (small >= least * large - 1e-9)
+        may = (parts[tile, None] != parts[None, others]) & (off <= np.where(small < SMALL, WIDE, RADIUS)) & (small >= least * large - 1e-9)
         yield order[tile], order[others], off, may
 
 
@@ -218,7 +223,8 @@ def _read(docs: DataFrame, wanted: DataFrame, nodes: DataFrame, schema: str, of:
         return {"node": [node(s) for s in sets], name: [of(s) for s in sets]}
 
     read = arrow_map(text_input(docs, id_col, text_col, row_key(id_col, text_col).alias("key")), f"node long, {schema}", run, minhash._words.clear)
-    return materialize(read.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    with small_batches(docs.sparkSession):
+        return materialize(read.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, least: float, id_col: str, text_col: str) -> DataFrame:
@@ -259,27 +265,43 @@ def _near_by_least(low: np.ndarray, a: int, others: np.ndarray, least: float) ->
     return m >= (least - slack) * (n - m)
 
 
+def _alike(nodes: DataFrame) -> DataFrame:
+    """a, b: nodes (node, fp) that ``simhash.links`` connects; of one fingerprint, the least node stands for all."""
+    of = materialize(nodes.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("rows")), "fps")
+    same = join_counted(nodes.select("fp", "node"), of.where("rows > 1"), "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    ends = simhash.links(of.select("fp")).distinct().toDF("x", "y")
+    ends = ends.join(of.select(F.col("fp").alias("x"), F.col("least").alias("a")), "x").join(of.select(F.col("fp").alias("y"), F.col("least").alias("b")), "y")
+    return same.union(ends.select("a", "b"))
+
+
 def first_rows(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """key, doc_id, node, first (of the row's group); one row per input row.
 
-    Nodes are the distinct sets of shingles; groups are what pairs of at least ``least`` connect. In each band all nodes
-    are first compared with the least, then each with those of other components whose fingerprints are nearest, and at
-    last all that are still in different components with each other. Texts without words are one group.
+    Nodes are the distinct sets of shingles; groups are what pairs of at least ``least`` connect. First fingerprints are
+    linked whatever their bands. Then, in each band, all nodes are compared with the least, each with those of other
+    components whose fingerprints are nearest, and at last all that are still in different components with each other.
+    Texts without words are one group.
 
     ``least`` is LEAST or more: bands and sift are made for that, and would miss pairs of less.
     """
     if not LEAST <= least <= 1:
         raise ValueError(f"a similarity from {LEAST} to 1, not {least}: bands would miss others")
-    rows = materialize(_sketched(docs, id_col, text_col), "sketched")
-    nodes = materialize(rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key")).alias("first"), F.max("size").alias("size")), "nodes")
+    with small_batches(docs.sparkSession):
+        rows = materialize(_sketched(docs, id_col, text_col), "sketched")
+    nodes = materialize(rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key")).alias("first"), F.max("size").alias("size"), F.max("fp").alias("fp")), "nodes")
+    links = _verified(docs, materialize(_alike(nodes), "pairs"), nodes, least, id_col, text_col)
+    parts = materialize(connected_components(links, "a", "b").select("node", F.col("component").alias("part")), "parts")
     alone = rows.join(nodes.select("node", F.col("first.key").alias("key")), ["node", "key"]).select("node", "size", "fp", "bands").dropDuplicates(["node"])
-    met = materialize(alone.select("node", "size", "fp", F.explode("bands").alias("band")), "bands")
-    hubs = met.groupBy("band").agg(F.min(F.struct("node", "size")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "hub")
+    alone = alone.join(parts, "node", "left").withColumn("component", F.coalesce("part", "node"))
+    met = materialize(alone.select("node", "component", "size", "fp", F.explode("bands").alias("band")), "bands")
+    hubs = met.groupBy("band").agg(F.min(F.struct("node", "component", "size", "fp")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "hub")
     shared = materialize(met.join(hubs, "band"), "shared")
-    near_size = F.least("size", "hub.size") >= least * F.greatest("size", "hub.size") - 1e-9
-    first = shared.where((F.col("node") != F.col("hub.node")) & near_size).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
-    links = _verified(docs, materialize(first, "pairs"), nodes, least, id_col, text_col)
-    parts = materialize(connected_components(links, "a", "b").select("node", F.col("component").alias("part")), "parts")
+    small = F.least("size", "hub.size")
+    near_size = small >= least * F.greatest("size", "hub.size") - 1e-9
+    near_fp = F.bit_count(F.col("fp").bitwiseXOR(F.col("hub.fp"))) <= F.when(small < SMALL, WIDE).otherwise(RADIUS)
+    first = shared.where((F.col("component") != F.col("hub.component")) & near_size & near_fp).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
+    more = _verified(docs, materialize(first, "pairs"), nodes, least, id_col, text_col)
+    parts = materialize(_joined(parts, more).select("node", F.col("component").alias("part")), "parts")
     for step in (_nearest, _across):
         of_band = shared.join(parts, "node", "left").select("band", "node", "size", "fp", F.coalesce("part", "node").alias("component"))
         several = of_band.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")

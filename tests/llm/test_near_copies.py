@@ -1,7 +1,9 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sightline.llm import near_copies, simhash
@@ -90,6 +92,27 @@ def test_a_band_that_many_share_is_dealt_anew(frame, monkeypatch):
         near_copies.drop_near_copies(frame(texts), least=0.5)
 
 
+def test_fingerprints_link_texts_whatever_their_bands(spark, frame, sf_dir, monkeypatch):
+    """Close copies are linked by their fingerprints, as in op5, where they share no band."""
+    own = passage(9, 600).split()
+    texts = [" ".join(own), " ".join([*own[:-1], "other"]), passage(10, 600)]
+    fps = [near_copies.simhash_of(near_copies.shingles(t)) for t in texts]
+    assert 0 <= ((fps[0] ^ fps[1]) % (1 << 64)).bit_count() <= 2 < ((fps[0] ^ fps[2]) % (1 << 64)).bit_count()
+    sketched = near_copies._sketched
+    monkeypatch.setattr(near_copies, "_sketched", lambda *a: sketched(*a).withColumn("bands", F.array().cast("array<bigint>")))
+    assert kept_ids(corpus_pipeline.near_dedup(spark, frame(list(enumerate(texts))), sf_dir)) == [0, 2]
+
+
+def test_small_sets_may_differ_in_more_bits():
+    """Fingerprints of four and five shingles, four of them the same, may be over 24 bits apart."""
+    own = np.array([[1, 2], [1, 2], [4, 5], [0, (1 << 30) - 1]], dtype=np.int64)
+    (_, _, _, may), = near_copies._tiles(own, 0.8)
+    assert may.any()
+    own[2] = [400, 500]
+    (_, _, _, may), = near_copies._tiles(own, 0.8)
+    assert not may.any()
+
+
 def test_slices_are_bounded_by_bytes():
     import pyarrow as pa
 
