@@ -47,6 +47,10 @@ def replace_partition(df: DataFrame, path: str, by: str) -> None:
 
 #: Seconds in a piece of a key's history, at least so many times the interval.
 PIECE, INTERVALS = 86_400, 16
+#: Rows of a key from which on its history is cut into pieces; a task walks those of lighter keys whole.
+BUSY = 65_536
+#: Rows that go out of a task at a time.
+POOLED = 10_000
 
 
 def _chain(times: np.ndarray, seconds: int, at: int) -> list[int]:
@@ -83,20 +87,61 @@ def _grouped(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[list,
         yield key, held
 
 
+def _pooled(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in larger batches: one for each key costs more than its rows."""
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += part.num_rows
+        if n >= POOLED:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _counted(rows: DataFrame, keys: Sequence[str], time: str, row_id: str, seconds: int) -> DataFrame:
     """keys, __t, row_id: first row of every second of a key that counts under the interval.
 
-    A key's history is cut into pieces, so that a busy key is many tasks. Only distinct seconds matter, which bounds a
-    piece. First each piece tells, for every second that may be its first to count, which is then its last; so the pieces
-    of a key are chained with a row for each; then each piece is walked from where it is entered.
+    Keys of up to BUSY rows are walked whole, after one shuffle. The history of others is cut into pieces, so that a busy
+    key is many tasks.
+    """
+    own = materialize(rows.where(F.col(time).isNotNull()).select(*keys, F.floor(F.col(time)).cast("long").alias("__t"), row_id), "times")
+    busy = materialize(own.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > BUSY).select(*[F.col(c).alias(f"__b{k}") for k, c in enumerate(keys)]), "busy")
+    if busy.isEmpty():
+        return _walked_whole(own, keys, row_id, seconds)
+    on = [own[c].eqNullSafe(busy[f"__b{k}"]) for k, c in enumerate(keys)]
+    light = _walked_whole(own.join(busy, on, "left_anti"), keys, row_id, seconds)
+    return light.unionByName(_walked_in_pieces(own.join(busy, on, "left_semi"), keys, row_id, seconds))
+
+
+def _walked_whole(own: DataFrame, keys: Sequence[str], row_id: str, seconds: int) -> DataFrame:
+    """``_counted`` of rows (keys, __t, row_id), a key at a time."""
+    n = len(keys)
+    dealt = own.repartition(*keys).sortWithinPartitions(*keys, "__t", F.asc_nulls_last(row_id))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, parts in _grouped(batches, n):
+            whole = pa.concat_batches(parts)
+            yield whole.take(pa.array(_chain(whole.column(n).to_numpy(), seconds, 0)))
+
+    return dealt.mapInArrow(lambda batches: _pooled(each(batches)), own.schema)
+
+
+def _walked_in_pieces(own: DataFrame, keys: Sequence[str], row_id: str, seconds: int) -> DataFrame:
+    """``_counted`` of rows (keys, __t, row_id), each key's in pieces.
+
+    Only distinct seconds matter, which bounds a piece. First each piece tells, for every second that may be its first to
+    count, which is then its last; so the pieces of a key are chained with a row for each; then each piece is walked from
+    where it is entered.
     """
     length, n = max(PIECE, INTERVALS * seconds), len(keys)
-    own = rows.where(F.col(time).isNotNull()).groupBy(*keys, F.floor(F.col(time)).cast("long").alias("__t")).agg(F.min(row_id).alias(row_id))
+    fields = [own.schema[c] for c in [*keys, "__t", row_id]]
+    own = own.groupBy(*keys, "__t").agg(F.min(row_id).alias(row_id))
     piece = F.floor(F.col("__t") / length).cast("long").alias("__p")
     times = materialize(own.select(*keys, piece, "__t", row_id), "times")
     by_piece = times.repartition(*keys, "__p").sortWithinPartitions(*keys, "__p", "__t")
-    fields = [rows.schema[c] for c in keys]
-    entries = T.StructType([*fields, T.StructField("__p", T.LongType()), T.StructField("__from", T.LongType()), T.StructField("__to", T.LongType())])
+    entries = T.StructType([*fields[:n], T.StructField("__p", T.LongType()), T.StructField("__from", T.LongType()), T.StructField("__to", T.LongType())])
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, parts in _grouped(batches, n + 1):
@@ -123,9 +168,9 @@ def _counted(rows: DataFrame, keys: Sequence[str], time: str, row_id: str, secon
             if at < len(start):
                 last = int(end[at])
 
-    found = by_piece.mapInArrow(ends, entries)
+    found = by_piece.mapInArrow(lambda batches: _pooled(ends(batches)), entries)
     chained = found.repartition(*keys).sortWithinPartitions(*keys, "__p", "__from")
-    entered = chained.mapInArrow(enter, T.StructType([*entries.fields[: n + 1], T.StructField("__least", T.LongType())]))
+    entered = chained.mapInArrow(lambda batches: _pooled(enter(batches)), T.StructType([*entries.fields[: n + 1], T.StructField("__least", T.LongType())]))
     entered = entered.select(*[F.col(c).alias(f"__e{k}") for k, c in enumerate(entries.names[: n + 1])], "__least")
     on = [times[c].eqNullSafe(entered[f"__e{k}"]) for k, c in enumerate([*keys, "__p"])]
     known = times.join(entered, on).select(*keys, "__p", "__t", row_id, "__least")
@@ -139,7 +184,7 @@ def _counted(rows: DataFrame, keys: Sequence[str], time: str, row_id: str, secon
             if kept:
                 yield whole.select([*range(n), n + 1, n + 2]).take(pa.array(kept))
 
-    return walked.mapInArrow(walk, T.StructType([*fields, T.StructField("__t", T.LongType()), rows.schema[row_id]]))
+    return walked.mapInArrow(lambda batches: _pooled(walk(batches)), T.StructType(fields))
 
 
 def _greedy(rows: DataFrame, keys: Sequence[str], time: str, row_id: str, seconds: float, by_day: bool) -> DataFrame:

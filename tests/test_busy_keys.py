@@ -37,6 +37,21 @@ def test_dense_keys_are_walked_in_batches(spark, small_batches, seconds, by_day)
     assert "collect_list" not in plan(out)
 
 
+@pytest.mark.parametrize(("seconds", "by_day"), [(600, False), (43_200, True)])
+def test_light_keys_are_walked_whole_and_busy_ones_in_pieces(spark, small_batches, monkeypatch, seconds, by_day):
+    rng = np.random.default_rng(2)
+    rows = [((None, "a", "b", "c")[3 if k % 31 == 0 else k % 3], k, int(t)) for k, t in enumerate(np.cumsum(rng.integers(0, 90 if not by_day else 9_000, 900)))]
+    df = spark.createDataFrame(rows, "who string, i long, t long")
+    walk = lambda: events.attendance(df, "who", "t", "i", seconds) if by_day else events.rate_limit(df, ["who"], "t", "i", seconds)
+    want = sorted(brute(rows, seconds, by_day), key=str)
+    out = walk()
+    assert plan(out).count("MapInArrow") == 1 and sorted(map(tuple, out.collect()), key=str) == want
+    monkeypatch.setattr(events, "BUSY", 100)
+    monkeypatch.setattr(events, "POOLED", 5)
+    out = walk()
+    assert plan(out).count("MapInArrow") > 1 and sorted(map(tuple, out.collect()), key=str) == want
+
+
 def test_tracks_are_carried_over_batches(spark, small_batches):
     rows = [(c, lab, f, 10 * f + d, 0.3 + 0.1 * (f % 6), 40.0 * d + f, 5.0, 40.0 * d + f + 30, 45.0) for c in ("x", "y") for lab in ("p", None) for f in range(25) if f % 9 for d in range(3)]
     names = ["camera_id", "label", "frame_no", "det_id", "score", "x1", "y1", "x2", "y2"]
