@@ -3,7 +3,7 @@
 SimHash fingerprints of the shingles are linked as in ``simhash``: in buckets of equal bits, in tiles, by exclusive-or and
 bit count. That radius misses most pairs that are less alike, so MinHash bands deal texts into buckets, too, where every
 pair is compared by its fingerprints; exact similarity decides on what all these propose. Groups are what links connect,
-so comparing in four steps, each within what the step before has not connected, saves most pairs of a large group.
+so comparing in three steps, each within what the step before has not connected, saves most pairs of a large group.
 """
 
 from __future__ import annotations
@@ -278,8 +278,9 @@ def first_rows(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text
     """key, doc_id, node, first (of the row's group); one row per input row.
 
     Nodes are the distinct sets of shingles; groups are what pairs of at least ``least`` connect. First fingerprints are
-    linked whatever their bands. Then, in each band, all nodes are compared with the least, each with those of other
-    components whose fingerprints are nearest, and at last all that are still in different components with each other.
+    linked whatever their bands, and in each band all nodes are compared with the least. Then, in each band, each is
+    compared with those of other components whose fingerprints are nearest, and at last all that are still in different
+    components with each other.
     Texts without words are one group.
 
     ``least`` is LEAST or more: bands and sift are made for that, and would miss pairs of less.
@@ -289,19 +290,17 @@ def first_rows(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text
     with small_batches(docs.sparkSession):
         rows = materialize(_sketched(docs, id_col, text_col), "sketched")
     nodes = materialize(rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key")).alias("first"), F.max("size").alias("size"), F.max("fp").alias("fp")), "nodes")
-    links = _verified(docs, materialize(_alike(nodes), "pairs"), nodes, least, id_col, text_col)
-    parts = materialize(connected_components(links, "a", "b").select("node", F.col("component").alias("part")), "parts")
     alone = rows.join(nodes.select("node", F.col("first.key").alias("key")), ["node", "key"]).select("node", "size", "fp", "bands").dropDuplicates(["node"])
-    alone = alone.join(parts, "node", "left").withColumn("component", F.coalesce("part", "node"))
-    met = materialize(alone.select("node", "component", "size", "fp", F.explode("bands").alias("band")), "bands")
-    hubs = met.groupBy("band").agg(F.min(F.struct("node", "component", "size", "fp")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "hub")
+    met = materialize(alone.select("node", "size", "fp", F.explode("bands").alias("band")), "bands")
+    hubs = met.groupBy("band").agg(F.min(F.struct("node", "size", "fp")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "hub")
     shared = materialize(met.join(hubs, "band"), "shared")
     small = F.least("size", "hub.size")
     near_size = small >= least * F.greatest("size", "hub.size") - 1e-9
     near_fp = F.bit_count(F.col("fp").bitwiseXOR(F.col("hub.fp"))) <= F.when(small < SMALL, WIDE).otherwise(RADIUS)
-    first = shared.where((F.col("component") != F.col("hub.component")) & near_size & near_fp).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
-    more = _verified(docs, materialize(first, "pairs"), nodes, least, id_col, text_col)
-    parts = materialize(_joined(parts, more).select("node", F.col("component").alias("part")), "parts")
+    first = shared.where((F.col("node") != F.col("hub.node")) & near_size & near_fp).select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
+    # both kinds of pairs in one pass over the texts, and their components at once
+    links = _verified(docs, materialize(_alike(nodes).union(first).distinct(), "pairs"), nodes, least, id_col, text_col)
+    parts = materialize(connected_components(links, "a", "b").select("node", F.col("component").alias("part")), "parts")
     for step in (_nearest, _across):
         of_band = shared.join(parts, "node", "left").select("band", "node", "size", "fp", F.coalesce("part", "node").alias("component"))
         several = of_band.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")

@@ -103,6 +103,15 @@ def test_fingerprints_link_texts_whatever_their_bands(spark, frame, sf_dir, monk
     assert kept_ids(corpus_pipeline.near_dedup(spark, frame(list(enumerate(texts))), sf_dir)) == [0, 2]
 
 
+def test_first_pairs_are_verified_at_once(spark, frame, sf_dir, monkeypatch):
+    """Pairs of fingerprints and of bands are one pass over the texts and one search for components."""
+    runs, verified = [], near_copies._verified
+    monkeypatch.setattr(near_copies, "_verified", lambda *a: runs.append(a) or verified(*a))
+    own = passage(9, 600).split()
+    texts = [" ".join(own), " ".join([*own[:-1], "other"]), " ".join(own[:560]), passage(10, 600)]
+    assert kept_ids(corpus_pipeline.near_dedup(spark, frame(list(enumerate(texts))), sf_dir)) == [0, 3] and len(runs) == 1
+
+
 def test_small_sets_may_differ_in_more_bits():
     """Fingerprints of four and five shingles, four of them the same, may be over 24 bits apart."""
     own = np.array([[1, 2], [1, 2], [4, 5], [0, (1 << 30) - 1]], dtype=np.int64)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sightline import registry
 from sightline.functions import geometry as g
 from sightline.functions import panel_rules as rules
-from sightline.operators import datasets, evaluation, gate, identity, inventory, selection, wires
+from sightline.operators import datasets, evaluation, gate, graph, identity, inventory, selection, wires
 from sightline.operators.graph import connected_components
 from sightline.views import TABLES, view
 from tests.oracle import same
@@ -93,6 +93,16 @@ def test_components(spark):
     assert {got[k] for k in range(41)} == {0} and got[102] == 100 and got[200] == 200 and got[329] == 300
 
 
+def test_components_end_with_stars(spark, monkeypatch):
+    """Stars need no round, and no round runs only to find that nothing changes."""
+    written, materialize = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda *a: written.append(a) or materialize(*a))
+    for edges, most in ([(300, 300 + k) for k in range(1, 30)] + [(500, 400), (7, 7)], 1), ([(1, 2), (2, 3)], 2), ([], 1):
+        written.clear()
+        got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+        assert got == {n: 300 if 300 <= n < 330 else 400 if n >= 400 else 7 if n == 7 else 1 for e in edges for n in e} and len(written) <= most
+
+
 def test_sweep_equals_one_point_at_a_time(spark, sf_dir):
     gts, cands, dim = (view(spark, sf_dir, n) for n in ("ground_truth", "detections", "class_dim"))
     cands, gts = cands.where("image_id < 12"), gts.where("image_id < 12")
