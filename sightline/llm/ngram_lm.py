@@ -9,17 +9,16 @@ the same hash; what backs off to single words is joined to the counts of words,
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.llm.rows import Batches, ending, slices, text_input
 from sightline.plans.lineage import materialize
+from sightline.plans.skew import joined_where_they_lie
 
 BACKOFF = 0.4
 #: Words remembered in a task; results don't depend on it.
@@ -160,18 +159,6 @@ def count_tables(grams: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]
     return counted(held.where("three"), "n", "docs", "u", "v", "w"), counted(held.where("two"), "n2", "docs2", "v", "w")
 
 
-@contextmanager
-def _joined_where_they_lie(spark: SparkSession) -> Iterator[None]:
-    """Rows dealt by (v, w, salt) are joined by (u, v, w, salt), too, without being dealt anew."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def score(docs: DataFrame, min_docs: int = 1, order: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, log_score (natural log, summed over words), mean_log_score; one row per input row.
 
@@ -205,7 +192,7 @@ def score(docs: DataFrame, min_docs: int = 1, order: int = 3, id_col: str = "doc
     each = met.withColumn("rest", rest).groupBy("row", "rest").agg(
         F.max(F.when(doc & (F.col("salt") == 0), F.col("u"))).alias("doc_id"), F.max(F.when(doc, F.col("n"))).alias("n_words"), F.sum(F.when(~doc, F.col("value"))).alias("value"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("steps")).alias("steps")
     )
-    with _joined_where_they_lie(docs.sparkSession):
+    with joined_where_they_lie(docs.sparkSession):
         each = materialize(each, "sums")
     done = each.where("rest is null").select("row", "doc_id", "n_words", "value")
     rare = each.where("rest is not null").select("row", F.col("rest").alias("w"), "n", "steps").join(words.select("w", F.col("n").alias("count")), "w")

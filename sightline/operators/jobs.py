@@ -16,6 +16,7 @@ from sightline.operators import gate
 from sightline.operators import identity as idn
 from sightline.operators import inventory as inv
 from sightline.plans.lineage import materialize
+from sightline.plans.skew import joined_where_they_lie
 
 
 def findings(accepted: DataFrame, panel: str = "image_id", reach: float = 2.8) -> DataFrame:
@@ -132,4 +133,6 @@ def panel_errors(refs: DataFrame, obs: DataFrame, wire_refs: DataFrame, wire_obs
 def compare_panels(refs: DataFrame, obs: DataFrame, wire_refs: DataFrame, wire_obs: DataFrame, **more: DataFrame | None) -> DataFrame:
     """panel_id, n_err, n_warn, score, status of the ``panel_errors``."""
     elements = refs.select("panel_id").unionByName(wire_refs.select("panel_id")).groupBy("panel_id").agg(F.count("*").alias("n_elements"))
-    return cp.inspection_score(panel_errors(refs, obs, wire_refs, wire_obs, **more), elements)
+    refs, obs, wire_refs, wire_obs = (x.repartition("panel_id") for x in (refs, obs, wire_refs, wire_obs))  # all that follows is within a panel
+    with joined_where_they_lie(refs.sparkSession):
+        return materialize(cp.inspection_score(panel_errors(refs, obs, wire_refs, wire_obs, **more), elements), "panels")

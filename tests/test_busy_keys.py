@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from sightline.operators import events, tracking
 
@@ -121,3 +122,17 @@ def test_carry_forward_crosses_pieces(spark, small_pieces):
                 last = r
             want.append((key, r[1], last[1]))
     assert sorted(map(tuple, out.collect())) == sorted(want)
+
+
+def test_rows_dealt_by_panel_are_joined_where_they_lie(spark):
+    """A join by panel and part deals nothing anew, and the setting is as before after it."""
+    from sightline.plans.skew import joined_where_they_lie
+
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before, rows = spark.conf.get(name), spark.range(1_000).selectExpr("id % 50 panel", "id")
+    with joined_where_they_lie(spark):
+        held = rows.repartition("panel").groupBy("panel", "id").agg(F.count("*").alias("n"))
+        both = held.join(rows.repartition("panel").withColumn("m", F.col("id") + 1).hint("merge"), ["panel", "id"])
+        plan = both._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(panel") == plan.count("Exchange ") == 2 and both.count() == 1_000
+    assert spark.conf.get(name) == before
