@@ -4,6 +4,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +60,27 @@ def test_scores_of_hot_pairs_and_rare_words(frame, monkeypatch):
             assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-9, abs=1e-7)
 
 
+def test_packed_runs_are_whole():
+    rng = np.random.default_rng(1)
+    words = rng.integers(1, 1 << 64, 5_000, np.uint64, endpoint=False)
+    slots, table = ngram_lm._slots(words[:3_000])
+    u, v, w = (words[rng.integers(0, 5_000, 20_000)] for _ in range(3))
+    u[::7] = 0
+    n, at = rng.integers(1, 1 << 31, 20_000), np.sort(rng.integers(0, 1 << 17, 20_000))
+    packs = [(base, ngram_lm._pack(slots, ngram_lm._numbers(table), (u[own], v[own], w[own]), n[own], at[own])) for base, own in ((0, slice(0, 9)), (1 << 40, slice(9, 20_000)))]
+    for got, want in zip(ngram_lm._unpack(table, packs), (u, v, w, n, at + np.repeat([0, 1 << 40], [9, 19_991])), strict=True):
+        assert (got == want).all()
+
+
+def test_scores_move_runs_once(spark, docs):
+    """Words' counts and a sample of pairs move too, 20 bytes a word in all here; where runs were dealt twice as rows it was 145."""
+    shuffled = lambda: sum(e.totalShuffleWrite() for e in conversions.asJava(store.executorList(False)))
+    store, conversions = spark.sparkContext._jsc.sc().statusStore(), spark._jvm.scala.jdk.javaapi.CollectionConverters
+    before = shuffled()
+    n_words = sum(n for _, n, _ in scored(docs))
+    assert shuffled() - before < 40 * n_words
+
+
 def test_scores_without_words(frame, none):
     assert ngram_lm.score(none).count() == 0
     assert scored(frame([(1, None), (2, ""), (2, ""), (None, "  ")])) == [("1", 0, 0.0), ("2", 0, 0.0), ("2", 0, 0.0), ("None", 0, 0.0)]
