@@ -34,26 +34,35 @@ def match(gts: DataFrame, preds: DataFrame, ious: Sequence[float] = (0.5,), same
     In a frame (and class, if ``same_class``) predictions are taken by score, each gets the free ground truth of the
     highest overlap, at least the threshold; of equal overlaps the last. The pairs are found once for all thresholds.
     """
+    each = match_each(gts, preds, ious, same_class)
+    all_of = each.withColumn("m", F.explode(F.array(*[F.struct(F.lit(t).alias("thr"), F.col("found")[k].alias("f")) for k, t in enumerate(ious)])))
+    return all_of.select(F.col("m.thr").alias("thr"), "image_id", "det_id", "class_id", "score", F.col("m.f.g").alias("gt_id"), F.col("m.f.c").alias("gt_class"))
+
+
+def match_each(gts: DataFrame, preds: DataFrame, ious: Sequence[float], same_class: bool = True) -> DataFrame:
+    """image_id, det_id, class_id, score, found: ``match`` in a row for each prediction, ``found`` with (g, c), the box and its class, for each of ``ious``."""
     keys = ["image_id", "class_id"] if same_class else ["image_id"]
     pairs = overlaps(gts, preds, min(ious), same_class)
     options = pairs.groupBy("image_id", "det_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("k"), (-F.col("gt_id")).alias("g"), F.col("gt_class").alias("c")))).alias("options"))
     rows = preds.select("image_id", "det_id", "class_id", "score").join(options, ["image_id", "det_id"], "left")
     none = F.expr("cast(array() as array<struct<k:double,g:bigint,c:string>>)")
     one = F.struct((-F.col("score")).alias("s"), F.col("det_id").alias("d"), F.col("class_id").alias("cls"), F.coalesce("options", none).alias("o"))
-    start = F.struct(F.expr("cast(array() as array<bigint>)").alias("used"), F.expr("cast(array() as array<struct<s:double,d:bigint,cls:string,g:bigint,c:string>>)").alias("out"))
+    start = F.struct(F.expr("cast(array() as array<bigint>)").alias("used"), F.expr("cast(array() as array<struct<g:bigint,c:string>>)").alias("out"))
 
     def at(thr: Column) -> Column:
         def step(acc: Column, p: Column) -> Column:
             free = F.get(F.filter(p["o"], lambda o: (-o["k"] >= thr) & ~F.array_contains(acc["used"], o["g"])), F.lit(0))
             used = F.when(free.isNull(), acc["used"]).otherwise(F.concat(acc["used"], F.array(free["g"])))
-            return F.struct(used.alias("used"), F.concat(acc["out"], F.array(F.struct(p["s"].alias("s"), p["d"].alias("d"), p["cls"].alias("cls"), (-free["g"]).alias("g"), free["c"].alias("c")))).alias("out"))
+            return F.struct(used.alias("used"), F.concat(acc["out"], F.array(F.struct((-free["g"]).alias("g"), free["c"].alias("c")))).alias("out"))
 
-        return F.struct(thr.alias("thr"), F.aggregate("all", start, step)["out"].alias("out"))
+        return F.aggregate("all", start, step)["out"]
 
-    # one group for each frame (and class) serves all thresholds: rows are multiplied after the shuffle, not before
+    # one group for each frame (and class) serves all thresholds: no row is multiplied
     frames = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(one), lambda a, b: _compare(a, b)).alias("all"))
-    done = frames.select("image_id", F.explode(F.array(*[at(F.lit(t)) for t in ious])).alias("r")).select(F.col("r.thr").alias("thr"), "image_id", F.explode("r.out").alias("m"))
-    return done.select("thr", "image_id", F.col("m.d").alias("det_id"), F.col("m.cls").alias("class_id"), (-F.col("m.s")).alias("score"), F.col("m.g").alias("gt_id"), F.col("m.c").alias("gt_class"))
+    own = [f"f{k}" for k in range(len(ious))]
+    done = frames.select("image_id", "all", *[at(F.lit(t)).alias(f) for f, t in zip(own, ious, strict=True)]).select("image_id", F.explode(F.arrays_zip("all", *own)).alias("m"))
+    found = F.array(*[F.col(f"m.{f}") for f in own])
+    return done.select("image_id", F.col("m.all.d").alias("det_id"), F.col("m.all.cls").alias("class_id"), (-F.col("m.all.s")).alias("score"), found.alias("found"))
 
 
 def _compare(a: Column, b: Column) -> Column:
@@ -109,6 +118,30 @@ def average_precision(matched: DataFrame, gts: DataFrame) -> DataFrame:
     return every.join(gained, ["thr", "class_id"], "left").select("thr", "class_id", F.coalesce(F.col("area") / F.col("support"), F.lit(0.0)).alias("ap"))
 
 
+def average_precisions(each: DataFrame, gts: DataFrame, ious: Sequence[float]) -> DataFrame:
+    """thr, class_id, ap as ``average_precision`` has them, from ``match_each``: predictions are put in order once for all thresholds."""
+    every = range(len(ious))
+    keys = ["class_id", "__b"]
+    place = F.struct(F.floor((1 - F.col("score")) * BUCKETS).cast("long").alias("b"))  # null scores are a range, too
+    rows = each.select("image_id", "det_id", "class_id", "score", place.alias("__b"), *[F.col("found")[k]["g"].isNotNull().cast("long").alias(f"tp{k}") for k in every])
+    order = [F.desc("score"), F.col("image_id"), F.col("det_id")]
+    inside = Window.partitionBy(*keys).orderBy(*order)
+    before = Window.partitionBy("class_id").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    below = Window.partitionBy("class_id").orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(f"tp{k}").alias(f"t{k}") for k in every])
+    sums = sums.select(*keys, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_0") for c in ("n", *(f"t{k}" for k in every))])
+    rows = rows.join(sums, keys).withColumn("n", F.col("n_0") + F.row_number().over(inside))
+    rows = rows.select("image_id", "det_id", "score", *keys, *[f"tp{k}" for k in every], *[((F.col(f"t{k}_0") + F.sum(f"tp{k}").over(inside)) / F.col("n")).alias(f"p{k}") for k in every])
+    best = rows.groupBy(*keys).agg(*[F.max(f"p{k}").alias(f"p{k}") for k in every]).select(*keys, *[F.max(f"p{k}").over(below).alias(f"later{k}") for k in every])
+    upwards = Window.partitionBy(*keys).orderBy(F.asc("score"), F.desc("image_id"), F.desc("det_id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.select(*keys, *[f"tp{k}" for k in every], *[F.max(f"p{k}").over(upwards).alias(f"rest{k}") for k in every]).join(best, keys)
+    gained = rows.groupBy("class_id").agg(*[F.sum(F.when(F.col(f"tp{k}") == 1, F.greatest(f"rest{k}", f"later{k}"))).alias(f"area{k}") for k in every])
+    thr = F.explode(F.array(*[F.struct(F.lit(t).alias("thr"), F.lit(k).alias("k")) for k, t in enumerate(ious)])).alias("t")
+    support = gts.groupBy("class_id").agg(F.count("*").alias("support")).join(each.limit(1).select(thr), how="inner")
+    area = F.get(F.array(*[f"area{k}" for k in every]), F.col("t.k"))
+    return support.join(gained, "class_id", "left").select("t.thr", "class_id", F.coalesce(area / F.col("support"), F.lit(0.0)).alias("ap"))
+
+
 def confusion(gts: DataFrame, preds: DataFrame, iou: float = 0.5) -> DataFrame:
     """gt_class, class_id, n: class-blind matches, with the background as the other side of what is unmatched."""
     m = match(gts, preds, (iou,), same_class=False)
@@ -128,10 +161,11 @@ def false_positive_causes(matched: DataFrame, gts: DataFrame, preds: DataFrame,
 
 def evaluate(gts: DataFrame, preds: DataFrame, iou: float = 0.5, ious: Sequence[float] = COCO_IOUS) -> DataFrame:
     """scope, class_id, metric values: one row for each class at ``iou``, and one overall with mAP at ``iou`` and over ``ious``."""
-    every = materialize(match(gts, preds, sorted({*ious, iou})), "matches")  # counts and curves read it, each more than once
-    at = every.where(F.col("thr") == iou)
-    ap = average_precision(every, gts)
-    counts = class_counts(at, gts)
+    thrs = sorted({*ious, iou})
+    each = materialize(match_each(gts, preds, thrs), "matches")  # counts and curves read it, each more than once
+    found = F.col("found")[thrs.index(iou)]
+    counts = class_counts(each.select(F.lit(iou).alias("thr"), "class_id", found["g"].alias("gt_id")), gts)
+    ap = average_precisions(each, gts, thrs)
     own = counts.join(ap.where(F.col("thr") == iou).drop("thr"), "class_id", "left").select(F.lit("class").alias("scope"), "class_id", "tp", "fp", "fn", "precision", "recall", "f1", F.coalesce("ap", F.lit(0.0)).alias("ap"), F.lit(None).cast("double").alias("map_50_95"))
     total = counts.agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn")).withColumns(rates(F.col("tp"), F.col("fp"), F.col("fn")))
     by_iou = ap.groupBy("thr").agg(F.avg("ap").alias("m"))

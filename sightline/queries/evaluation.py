@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.operators import evaluation as ev
+from sightline.plans.lineage import materialize
 from sightline.queries.gate import iou_sql
 from sightline.registry import query
 from sightline.views import view
@@ -92,7 +93,7 @@ def d5_evaluation(spark: SparkSession, d: str) -> DataFrame:
 @query(evaluation_sql().split("select 'class'")[0] + " select thr::double thr, round(m, 6) map from by_thr", "detections", "ground_truth")
 def a25_map_by_iou(spark: SparkSession, d: str) -> DataFrame:
     t, p = _both(spark, d)
-    return ev.average_precision(ev.match(t, p, ev.COCO_IOUS), t).groupBy("thr").agg(F.round(F.avg("ap"), 6).alias("map"))
+    return ev.average_precisions(materialize(ev.match_each(t, p, ev.COCO_IOUS), "matches"), t, ev.COCO_IOUS).groupBy("thr").agg(F.round(F.avg("ap"), 6).alias("map"))
 
 
 @query(

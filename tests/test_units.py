@@ -49,6 +49,26 @@ def test_matching_takes_last_of_equal_overlaps(spark):
     assert {r["det_id"]: r["gt_id"] for r in evaluation.match(gts, preds).collect()} == {1: 11, 2: 10, 3: None}
 
 
+def test_thresholds_share_a_row(spark, monkeypatch):
+    """An evaluation writes and orders a prediction once, not once for each threshold; ties, null scores and classes of one side count."""
+    boxes = "image_id long, {} long, class_id string, x1 double, y1 double, x2 double, y2 double"
+    gts = spark.createDataFrame([(i, 10 * i + k, "abc"[k % 3], 20.0 * k, 0.0, 20.0 * k + 10, 10.0) for i in range(30) for k in range(4)], boxes.format("gt_id"))
+    found = [(i, 10 * i + k, "abd"[(i + k) % 3], 20.0 * (k % 4) + i % 5, 0.0, 20.0 * (k % 4) + 10, 10.0, None if (i * k) % 17 == 3 else (i * 7 + k) % 6 / 5) for i in range(30) for k in range(6)]
+    preds = spark.createDataFrame(found, boxes.format("det_id") + ", score double")
+    written = []
+    monkeypatch.setattr(evaluation, "materialize", lambda df, name: written.append(df.count()) or df)
+    row = evaluation.evaluate(gts, preds).where("scope = 'overall'").first()
+    assert written == [len(found)]
+    every = evaluation.match(gts, preds, evaluation.COCO_IOUS)
+    plain = {(r["thr"], r["class_id"]): r["ap"] for r in evaluation.average_precision(every, gts).collect()}
+    each = evaluation.match_each(gts, preds, evaluation.COCO_IOUS)
+    own = {(r["thr"], r["class_id"]): r["ap"] for r in evaluation.average_precisions(each, gts, evaluation.COCO_IOUS).collect()}
+    assert own.keys() == plain.keys() and own == pytest.approx(plain) and len(set(own.values())) > 9
+    assert row["map_50_95"] == pytest.approx(sum(plain.values()) / len(plain))
+    none = preds.where("false")
+    assert evaluation.average_precisions(evaluation.match_each(gts, none, (0.5,)), gts, (0.5,)).count() == evaluation.average_precision(evaluation.match(gts, none), gts).count() == 0
+
+
 def test_separable_scores(spark):
     rows = [("genuine", s) for s in (0.9, 0.85, 0.95, 0.88)] + [("impostor", s) for s in (0.1, 0.2, 0.05, 0.15)]
     r = identity.auc_eer(spark.createDataFrame(rows, "kind string, s double")).first()
