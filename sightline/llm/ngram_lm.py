@@ -36,9 +36,9 @@ NUMBERED = 65_534
 #: Slots that numbered words are looked up in, by the upper bits of their hash; one word has a slot.
 SLOT_BITS = 20
 #: Runs packed at once in a task, runs that a task counts at once, and runs a task reads in all (a bucket is never parted).
-PACKED, COUNTED, READ = 1 << 19, 1 << 19, 1 << 26
-#: Buckets of packed runs: so many, more where a bucket would have over COUNTED runs.
-BUCKETS = 2_048
+PACKED, COUNTED, READ = 1 << 19, 1 << 18, 1 << 26
+#: Buckets of packed runs: so many, more where a bucket would have over FULL runs.
+BUCKETS, FULL = 2_048, 1 << 21
 
 
 class _Words(dict):
@@ -250,7 +250,7 @@ def _settled(rows: DataFrame, frequent: np.ndarray, hot: np.ndarray, total: int)
     """
     sc = rows.sparkSession.sparkContext
     known = sc.broadcast((*_slots(frequent), hot))
-    buckets = max(BUCKETS, -(-total // COUNTED))
+    buckets = max(BUCKETS, -(-total // FULL))
     names = ["u", "v", "w", "row", "n", "doc_id", "n_words"]
     out = ", ".join(f"{c} long" for c in names) + ", value double"
 
@@ -260,7 +260,7 @@ def _settled(rows: DataFrame, frequent: np.ndarray, hot: np.ndarray, total: int)
         u, v, w, n = (np.concatenate([t[k] for t in texts]) for k in range(3, 7))
         at = np.repeat([t[0] - base for t in texts], [len(t[3]) for t in texts])
         pair = _mixed(v, w)
-        often = np.isin(pair, hot)
+        often = hot[np.minimum(np.searchsorted(hot, pair), len(hot) - 1)] == pair if len(hot) else np.zeros(len(pair), bool)
         # the runs of frequent pairs, and the rows themselves, go wherever this chunk's number says
         own = np.where(often, buckets, ((pair >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64))
         order = np.argsort(own, kind="stable")
